@@ -1,0 +1,6 @@
+"""All queries over the reference data model, by name, with DuckDB SQL where SQL can express them."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
