@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -51,10 +51,6 @@ def core(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.where(F.col("doc_id").isNotNull()).select(*out)
 
 
-def byte_length(c: str) -> Column:
-    return F.octet_length(F.col(c))
-
-
 def table(sf_dir: str, name: str, spark: SparkSession) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,17 +1,20 @@
 """Substring dedup: repeated windows of words, found by rolling hashes.
 
 Every window of ``width`` words gets a Rabin-Karp hash.  The hashes are dealt
-into buckets by their leading bits and packed (8 bytes a window, with its place),
-so that the shuffle carries arrays and not a row for each window; each bucket is
-counted on its own.  Windows that occur more than once, in one text or in
-several, merge into maximal intervals of each document.
+into buckets and packed (8 bytes a window and about one for its place), so that
+the shuffle carries arrays and not a row for each window; each bucket is counted
+on its own.  Windows that occur more than once, in one text or in several, merge
+into maximal intervals of each document.
 
 Words are those of ``wordhash`` kind "plain": lower-cased letters and digits.
+Hashes have 64 bits; two different windows are taken for the same with a
+probability of about n**2 / 2**65 for n windows.
 
 Defined results: null texts are empty; texts of fewer than ``width`` words have
-no window; rows without a doc_id are left out; rows that share a doc_id and its
-text count once; an empty table gives an empty result; columns other than
-doc_id and text don't matter.
+no window; rows without a doc_id are left out of the intervals and keep their
+text in ``remove_repeats``; rows that share a doc_id and its text count once; an
+empty table gives an empty result; columns other than doc_id and text don't
+matter and come back from ``remove_repeats`` as they were.
 """
 
 from __future__ import annotations
@@ -24,120 +27,141 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.llm import shared, wordhash
+from pageloom.llm.postings import BUCKET, bucket_of, chunk_of, estimated_words, read, runs, squeeze, stable_order, unsqueeze
 
 WIDTH = 50
-#: Windows in one bucket: what a task sorts at once.
-BUCKET_WINDOWS = 2_000_000
 
 _PACKED = pa.schema([("bucket", pa.int32()), ("hashes", pa.binary()), ("places", pa.binary()), ("docs", pa.binary()), ("counts", pa.binary())])
-_FOUND = pa.schema([("doc_id", pa.int64()), ("first", pa.bool_()), ("places", pa.list_(pa.int32()))])
+_FOUND = pa.schema([("chunk", pa.int32()), ("docs", pa.binary()), ("places", pa.binary()), ("first", pa.binary())])
+_SPANS = pa.schema([("doc_id", pa.int64()), ("kind", pa.string()), ("first_word", pa.int64()), ("end_word", pa.int64()), ("n_words", pa.int64())])
 
 
 def _pack(width: int, buckets: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[int, list] = {}
-            for part in wordhash.slices(batch, limit=8 << 20):
+            for part in wordhash.slices(batch, limit=24 << 20):
                 w = wordhash.words(part.column("text"), "plain")
                 hashes, at = wordhash.windows(w.hashes, w.doc, width)
                 if not len(at):
                     continue
                 doc = np.searchsorted(w.doc, at, "right") - 1
-                place = (at - w.doc[doc]).astype(np.uint32)
+                place = at - w.doc[doc]
                 bucket = bucket_of(hashes, buckets)
-                order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
+                order = stable_order(bucket, buckets)
                 hashes, doc, place, bucket = hashes[order], doc[order], place[order], bucket[order]
                 ids = part.column("doc_id").to_numpy()
-                cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-                for a, b in zip(cuts, np.append(cuts[1:], len(bucket))):
-                    d = doc[a:b]
-                    runs = np.flatnonzero(np.append(True, d[1:] != d[:-1]))
-                    out.setdefault(int(bucket[a]), []).append((hashes[a:b], place[a:b], ids[d[runs]], np.diff(np.append(runs, b - a)).astype(np.uint32)))
-            if out:
-                names = list(out)
-                blob = lambda i: [np.concatenate([x[i] for x in out[k]]).tobytes() for k in names]  # noqa: B023, E731
-                yield shared.rows(_PACKED, bucket=names, hashes=blob(0), places=blob(1), docs=blob(2), counts=blob(3))
+                out: dict[str, list] = {n: [] for n in _PACKED.names}
+                cuts = runs(bucket)
+                for a, b in zip(cuts, cuts[1:]):
+                    d, p = doc[a:b], place[a:b]
+                    r = runs(d)
+                    step = np.diff(p, prepend=0)
+                    step[r[:-1]] = p[r[:-1]]
+                    for name, x in zip(out, (int(bucket[a]), hashes[a:b].tobytes(), squeeze(step), ids[d[r[:-1]]].tobytes(), np.diff(r).astype(np.uint32).tobytes())):
+                        out[name].append(x)
+                yield shared.rows(_PACKED, **out)
 
     return pack
 
 
-def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """Equal ranges of the hash's upper 32 bits."""
-    return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-
-
-def _count(key: tuple, group: pa.Table) -> pa.Table:
-    read = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in group.column(name).to_pylist()])
-    hashes, place = read("hashes", np.uint64), read("places", np.uint32)
-    order = np.argsort(hashes, kind="stable")
-    hashes = hashes[order]
-    same = np.zeros(len(hashes) + 1, bool)
-    same[1:-1] = hashes[1:] == hashes[:-1]
-    kept = same[1:] | same[:-1]
-    order, hashes = order[kept], hashes[kept]
-    place = place[order].astype(np.int64)
-    doc = np.repeat(read("docs", np.int64), read("counts", np.uint32))[order]
-    order = np.lexsort((place, doc, hashes))
-    hashes, doc, place = hashes[order], doc[order], place[order]
-    new = np.ones(len(hashes), bool)
-    new[1:] = hashes[1:] != hashes[:-1]
-    fresh = new.copy()
-    fresh[1:] |= (doc[1:] != doc[:-1]) | (place[1:] != place[:-1])
-    hashes, doc, place, new = hashes[fresh], doc[fresh], place[fresh], new[fresh]
-    run = np.cumsum(new) - 1
-    many = np.bincount(run, minlength=1)[run] > 1 if len(run) else np.zeros(0, bool)
-    doc, place, new = doc[many], place[many], new[many]
-    order = np.lexsort((place, new, doc))
-    doc, place, new = doc[order], place[order], new[order]
-    cuts = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (new[1:] != new[:-1]))) if len(doc) else np.zeros(0, np.int64)
-    lists = pa.ListArray.from_arrays(pa.array(np.append(cuts, len(doc)), pa.int32()), pa.array(place, pa.int32()))
-    return pa.Table.from_batches([shared.rows(_FOUND, doc_id=doc[cuts], first=new[cuts], places=lists)], _FOUND)
-
-
-def repeated_intervals(docs: DataFrame, width: int = WIDTH, bucket_windows: int = BUCKET_WINDOWS) -> DataFrame:
+def _places(steps: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Running sums that begin anew at each run."""
+    total = np.cumsum(steps)
+    first = np.cumsum(counts) - counts
+    return total - np.repeat(total[first] - steps[first], counts)
+
+
+def _count(chunks: int):
+    def count(key: tuple, group: pa.Table) -> pa.Table:
+        hashes, ids, counts = read(group, "hashes", np.uint64), read(group, "docs", np.int64), read(group, "counts", np.uint32).astype(np.int64)
+        steps = np.concatenate([unsqueeze(x) for x in group.column("places").to_pylist()])
+        place, doc = _places(steps, counts), np.repeat(ids, counts)
+        del steps
+        order = np.argsort(hashes, kind="stable")
+        hashes = hashes[order]
+        same = np.zeros(len(hashes) + 1, bool)
+        same[1:-1] = hashes[1:] == hashes[:-1]
+        kept = same[1:] | same[:-1]
+        order, hashes = order[kept], hashes[kept]
+        doc, place = doc[order], place[order]
+        order = np.lexsort((place, doc, hashes))
+        hashes, doc, place = hashes[order], doc[order], place[order]
+        fresh = np.ones(len(hashes), bool)
+        fresh[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1]) | (place[1:] != place[:-1])
+        hashes, doc, place = hashes[fresh], doc[fresh], place[fresh]
+        r = runs(hashes)
+        many = np.repeat(np.diff(r) > 1, np.diff(r))
+        first = np.zeros(len(hashes), bool)
+        first[r[:-1]] = True
+        doc, place, first = doc[many], place[many].astype(np.uint32), first[many]
+        chunk = chunk_of(doc, chunks)
+        order = np.lexsort((place, doc, chunk))
+        doc, place, first, chunk = doc[order], place[order], first[order], chunk[order]
+        cuts = runs(chunk)
+        pairs = list(zip(cuts, cuts[1:]))
+        blob = lambda x: [x[a:b].tobytes() for a, b in pairs]
+        return pa.Table.from_batches([shared.rows(_FOUND, chunk=chunk[cuts[:-1]], docs=blob(doc), places=blob(place), first=blob(first))], _FOUND)
+
+    return count
+
+
+def _merge(width: int):
+    def merge(key: tuple, group: pa.Table) -> pa.Table:
+        doc, place, first = read(group, "docs", np.int64), read(group, "places", np.uint32).astype(np.int64), read(group, "first", np.bool_)
+        order = np.lexsort((place, first, doc))
+        doc, place, first = doc[order], place[order], first[order]
+        begins = np.ones(len(doc), bool)
+        begins[1:] = (doc[1:] != doc[:-1]) | (first[1:] != first[:-1]) | (place[1:] > place[:-1] + width)
+        at = np.flatnonzero(begins)
+        last = np.append(at[1:], len(doc)) - 1
+        a, b = place[at], place[last] + width
+        return pa.Table.from_batches([shared.rows(_SPANS, doc_id=doc[at], kind=np.where(first[at], "source", "remove").tolist(), first_word=a, end_word=b, n_words=b - a)], _SPANS)
+
+    return merge
+
+
+def repeated_intervals(docs: DataFrame, width: int = WIDTH, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, kind, first_word, end_word, n_words): maximal runs of repeated windows.
 
     ``kind`` is "remove" for windows that occurred before, in a smaller doc_id or
     earlier in the same text, and "source" for first occurrences.  ``end_word`` is
-    the word after the last one.  Removing all "remove" intervals leaves one
-    occurrence of every window.
+    the word after the last one.  Every word of a "remove" interval lies in a
+    window that is a first occurrence somewhere else.
     """
     docs = shared.core(docs, "doc_id", "text")
-    total = docs.agg(F.sum(F.size(F.split("text", " ")))).first()[0] or 0
-    buckets = shared.buckets_for(total, bucket_windows)
+    buckets = shared.buckets_for(estimated_words(docs), bucket)
     packed = docs.mapInArrow(_pack(width, buckets), "bucket int, hashes binary, places binary, docs binary, counts binary")
-    found = packed.groupBy("bucket").applyInArrow(_count, "doc_id long, first boolean, places array<int>")
-    of_doc = found.groupBy("doc_id", "first").agg(F.array_sort(F.flatten(F.collect_list("places"))).alias("places"))
-    starts = F.filter("places", lambda p, i: (i == 0) | (p > F.get("places", i - 1) + width))
-    ends = F.filter("places", lambda p, i: (i == F.size("places") - 1) | (F.get("places", i + 1) > p + width))
-    return of_doc.select("doc_id", F.when(F.col("first"), "source").otherwise("remove").alias("kind"), F.explode(F.arrays_zip(starts.alias("a"), ends.alias("b"))).alias("x")).select(
-        "doc_id", "kind", F.col("x.a").cast("long").alias("first_word"), (F.col("x.b") + width).cast("long").alias("end_word"), (F.col("x.b") + width - F.col("x.a")).cast("long").alias("n_words")
-    )
+    found = packed.groupBy("bucket").applyInArrow(_count(buckets), "chunk int, docs binary, places binary, first binary")
+    return found.groupBy("chunk").applyInArrow(_merge(width), "doc_id long, kind string, first_word long, end_word long, n_words long")
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH, bucket_windows: int = BUCKET_WINDOWS) -> DataFrame:
-    """The documents, all columns, without the words of their "remove" intervals (and the separators inside those)."""
+def cut_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """The documents, all columns, without the words of ``spans`` (doc_id, first_word, end_word: in "plain"
+    words, not overlapping) and the separators inside those."""
     at = shared.free_name("cut_at", docs)
     key = shared.free_name("cut_doc", docs)
-    gone = repeated_intervals(docs, width, bucket_windows).where("kind = 'remove'")
-    gone = gone.groupBy(F.col("doc_id").alias(key)).agg(F.sort_array(F.collect_list(F.struct("first_word", "end_word"))).alias(at))
+    gone = spans.groupBy(F.col("doc_id").alias(key)).agg(F.sort_array(F.collect_list(F.struct("first_word", "end_word"))).alias(at))
     both = docs.join(gone, docs["doc_id"] == gone[key], "left").drop(key)
-    schema = docs.schema
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in wordhash.slices(batch):
                 cuts = part.column(at).to_pylist()
                 texts = part.column("text").to_pylist()
-                w = wordhash.words(part.column("text"), "plain")
-                for i, spans in enumerate(cuts):
-                    if spans and texts[i]:
-                        raw, base = texts[i].encode(), w.offsets[i]
-                        for s in reversed(spans):
-                            a, b = w.starts[w.doc[i] + s["first_word"]] - base, w.ends[w.doc[i] + s["end_word"] - 1] - base
-                            raw = raw[:a] + raw[b:]
-                        texts[i] = raw.decode()
-                names = part.schema.names
-                yield pa.RecordBatch.from_arrays([pa.array(texts, part.column(n).type) if n == "text" else part.column(n) for n in names if n != at], [n for n in names if n != at])
-
-    return both.mapInArrow(strip, schema)
+                some = [i for i, c in enumerate(cuts) if c and texts[i]]
+                w = wordhash.words(pa.array([texts[i] for i in some], pa.string()), "plain")
+                for k, i in enumerate(some):
+                    raw, base = texts[i].encode(), w.offsets[k]
+                    for s in reversed(cuts[i]):
+                        a, b = w.starts[w.doc[k] + s["first_word"]] - base, w.ends[w.doc[k] + s["end_word"] - 1] - base
+                        raw = raw[:a] + raw[b:]
+                    texts[i] = raw.decode()
+                names = [n for n in part.schema.names if n != at]
+                yield pa.RecordBatch.from_arrays([pa.array(texts, part.column(n).type) if n == "text" else part.column(n) for n in names], names)
+
+    return both.mapInArrow(strip, docs.schema)
+
+
+def remove_repeats(docs: DataFrame, width: int = WIDTH, bucket: int = BUCKET) -> DataFrame:
+    """The documents, all columns, without the words of their "remove" intervals."""
+    return cut_spans(docs, repeated_intervals(docs, width, bucket).where("kind = 'remove'"))

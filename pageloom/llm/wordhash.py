@@ -200,3 +200,25 @@ def windows(hashes: np.ndarray, doc: np.ndarray, width: int) -> tuple[np.ndarray
     room = np.repeat(doc[1:], np.diff(doc))[: len(at)]
     at = at[at + width <= room]
     return mix((total[at + width] - total[at]) * down[at]), at
+
+
+def shingles(hashes: np.ndarray, doc: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct window hashes of every text, sorted by (text, hash), and the text of each.
+
+    A text of 1 to ``width - 1`` words has one shingle, all its words; a text without words has none.
+    """
+    found, at = windows(hashes, doc, width)
+    owner = np.searchsorted(doc, at, "right") - 1
+    counts = np.diff(doc)
+    short = np.flatnonzero((counts > 0) & (counts < width))
+    if len(short):
+        up, down = _WORDS.get(len(hashes) + 1)
+        total = np.zeros(len(hashes) + 1, np.uint64)
+        np.cumsum(hashes * up[: len(hashes)], out=total[1:])
+        whole = mix((total[doc[short + 1]] - total[doc[short]]) * down[doc[short]] + counts[short].astype(np.uint64))
+        found, owner = np.concatenate([found, whole]), np.concatenate([owner, short])
+    order = np.lexsort((found, owner))
+    found, owner = found[order], owner[order]
+    new = np.ones(len(found), bool)
+    new[1:] = (found[1:] != found[:-1]) | (owner[1:] != owner[:-1])
+    return found[new], owner[new]
