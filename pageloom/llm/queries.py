@@ -6,13 +6,31 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pageloom.llm import line_dedup, shared, substring_dedup
+from pageloom.llm import decontamination, line_dedup, shared, substring_dedup
 from pageloom.llm.wordhash import PLAIN_SEPARATOR
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: A text's "plain" words in DuckDB.
-_WORDS = f"list_filter(regexp_split_to_array(lower(text), '{PLAIN_SEPARATOR}'), x -> x <> '')"
+_WORDS = f"list_filter(regexp_split_to_array(lower(text), '{PLAIN_SEPARATOR}'), lambda x: x <> '')"
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated_spans(shared.table(sf_dir, "documents", spark), shared.table(sf_dir, "benchmark", spark))
+
+
+OP2_SQL = f"""
+WITH b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+bg AS (SELECT DISTINCT item_id, n, array_to_string(w[j + 1 : j + n], ' ') AS g
+  FROM (SELECT item_id, w, least(len(w), 13) AS n, unnest(range(len(w) - least(len(w), 13) + 1)) AS j FROM b WHERE len(w) >= 5)),
+d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+dg AS (SELECT doc_id, n, len(w) AS total, unnest(range(len(w) - n + 1)) AS j, w FROM d, (SELECT DISTINCT n FROM bg)),
+h AS (SELECT doc_id, total, j, j + n AS e, item_id FROM (SELECT *, array_to_string(w[j + 1 : j + n], ' ') AS g FROM dg) AS x JOIN bg USING (n, g)),
+s AS (SELECT *, CASE WHEN j < max(e) OVER (PARTITION BY doc_id ORDER BY j, e, item_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM h),
+i AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY j, e, item_id) AS island FROM s),
+t AS (SELECT doc_id, any_value(total) AS total, min(j) AS first_word, max(e) AS end_word, list_sort(list(DISTINCT item_id)) AS items FROM i GROUP BY doc_id, island)
+SELECT doc_id, first_word, end_word, items, CASE WHEN sum(end_word - first_word) OVER (PARTITION BY doc_id) >= 0.5 * total THEN 'remove_document' ELSE 'remove_span' END AS action FROM t
+"""
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,5 +60,5 @@ SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (WHERE stay
   CAST(count(*) FILTER (WHERE NOT stays) AS INTEGER) AS lines_removed FROM r GROUP BY doc_id
 """
 
-QUERIES: dict[str, Query] = {"op5_substring_dedup": op5_substring_dedup, "op7_line_dedup": op7_line_dedup}
-ORACLE_SQL: dict[str, str] = {"op5_substring_dedup": OP5_SQL, "op7_line_dedup": OP7_SQL}
+QUERIES: dict[str, Query] = {"op2_decontamination": op2_decontamination, "op5_substring_dedup": op5_substring_dedup, "op7_line_dedup": op7_line_dedup}
+ORACLE_SQL: dict[str, str] = {"op2_decontamination": OP2_SQL, "op5_substring_dedup": OP5_SQL, "op7_line_dedup": OP7_SQL}

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,3 +65,10 @@ def rows(schema: pa.Schema, **columns) -> pa.RecordBatch:
 def buckets_for(total: int, each: int) -> int:
     """Number of hash buckets that hold about ``each`` items of ``total``."""
     return max(1, -(-total // each))
+
+
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """Where a path or URI of the shared folder is, on the driver as on any executor."""
+    if "://" in path or path.startswith("file:"):
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), path
