@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pageloom.llm import wordhash
 
 #: Hashes in one bucket, and in one chunk: what a task holds and sorts at once.
-BUCKET = 3_000_000
+BUCKET = 2_000_000
 #: Bytes of text that stand for one word when only byte lengths are known.
 BYTES_PER_WORD = 6
 
