@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pageloom.llm import decontamination, line_dedup, shared, substring_dedup
+from pageloom.llm import decontamination, line_dedup, quality, shared, substring_dedup
 from pageloom.llm.wordhash import PLAIN_SEPARATOR
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,5 +60,11 @@ SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (WHERE stay
   CAST(count(*) FILTER (WHERE NOT stays) AS INTEGER) AS lines_removed FROM r GROUP BY doc_id
 """
 
-QUERIES: dict[str, Query] = {"op2_decontamination": op2_decontamination, "op5_substring_dedup": op5_substring_dedup, "op7_line_dedup": op7_line_dedup}
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kept documents with their scores."""
+    out = quality.scored(shared.table(sf_dir, "documents", spark).select("doc_id", "text"))
+    return out.where(out["quality_score"] >= quality.THRESHOLD).select("doc_id", "weak_label", "quality_score")
+
+
+QUERIES: dict[str, Query] = {"op2_decontamination": op2_decontamination, "op5_substring_dedup": op5_substring_dedup, "op7_line_dedup": op7_line_dedup, "op9_quality": op9_quality}
 ORACLE_SQL: dict[str, str] = {"op2_decontamination": OP2_SQL, "op5_substring_dedup": OP5_SQL, "op7_line_dedup": OP7_SQL}
