@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pageloom.llm import decontamination, line_dedup, quality, shared, substring_dedup
+from pageloom.llm import decontamination, jaccard_join, line_dedup, quality, shared, substring_dedup
 from pageloom.llm.wordhash import PLAIN_SEPARATOR
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,22 @@ SELECT doc_id, first_word, end_word, items, CASE WHEN sum(end_word - first_word)
 """
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(shared.table(sf_dir, "documents", spark))
+
+
+OP3_SQL = f"""
+WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(len(w) - 2), lambda j: array_to_string(w[j + 1 : j + 3], ' '))
+  ELSE [array_to_string(w, ' ')] END)) AS s FROM w WHERE len(w) > 0),
+g AS (SELECT list_sort(list(doc_id)) AS ids, s FROM s GROUP BY s),
+e AS (SELECT ids, len(s) AS n, unnest(s) AS x FROM g),
+p AS (SELECT a.ids AS doc_ids_a, b.ids AS doc_ids_b, a.n + b.n AS total, count(*) AS n FROM e a JOIN e b ON a.x = b.x AND a.ids[1] < b.ids[1] GROUP BY a.ids, b.ids, a.n, b.n)
+SELECT doc_ids_a, doc_ids_b, n / CAST(total - n AS DOUBLE) AS jaccard FROM p WHERE n / CAST(total - n AS DOUBLE) >= 0.5
+UNION ALL SELECT ids, ids, 1.0 FROM g WHERE len(ids) > 1
+"""
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_intervals(shared.table(sf_dir, "documents", spark))
 
@@ -66,5 +82,5 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.where(out["quality_score"] >= quality.THRESHOLD).select("doc_id", "weak_label", "quality_score")
 
 
-QUERIES: dict[str, Query] = {"op2_decontamination": op2_decontamination, "op5_substring_dedup": op5_substring_dedup, "op7_line_dedup": op7_line_dedup, "op9_quality": op9_quality}
-ORACLE_SQL: dict[str, str] = {"op2_decontamination": OP2_SQL, "op5_substring_dedup": OP5_SQL, "op7_line_dedup": OP7_SQL}
+QUERIES: dict[str, Query] = {"op2_decontamination": op2_decontamination, "op3_ngram_jaccard": op3_ngram_jaccard, "op5_substring_dedup": op5_substring_dedup, "op7_line_dedup": op7_line_dedup, "op9_quality": op9_quality}
+ORACLE_SQL: dict[str, str] = {"op2_decontamination": OP2_SQL, "op3_ngram_jaccard": OP3_SQL, "op5_substring_dedup": OP5_SQL, "op7_line_dedup": OP7_SQL}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -72,3 +73,16 @@ def file_system(path: str) -> tuple[fs.FileSystem, str]:
     if "://" in path or path.startswith("file:"):
         return fs.FileSystem.from_uri(path)
     return fs.LocalFileSystem(), path
+
+
+def store(df: DataFrame, name: str) -> DataFrame:
+    """``df`` computed once into a Parquet table of the shared folder; what reads it reads only the columns it needs."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished steps: Spark removes them once nothing refers to them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
