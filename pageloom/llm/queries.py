@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pageloom.llm import decontamination, jaccard_join, line_dedup, quality, shared, substring_dedup
+from pageloom.llm import decontamination, jaccard_join, line_dedup, packing, quality, shared, substring_dedup, token_output
 from pageloom.llm.wordhash import PLAIN_SEPARATOR
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +15,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 _WORDS = f"list_filter(regexp_split_to_array(lower(text), '{PLAIN_SEPARATOR}'), lambda x: x <> '')"
 
 
+def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes all documents' sequences into the shared folder and gives their index."""
+    return token_output.write_tokens(shared.table(sf_dir, "documents", spark), shared.new_path(spark, "tokens"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated_spans(shared.table(sf_dir, "documents", spark), shared.table(sf_dir, "benchmark", spark))
 
@@ -82,5 +87,9 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.where(out["quality_score"] >= quality.THRESHOLD).select("doc_id", "weak_label", "quality_score")
 
 
-QUERIES: dict[str, Query] = {"op2_decontamination": op2_decontamination, "op3_ngram_jaccard": op3_ngram_jaccard, "op5_substring_dedup": op5_substring_dedup, "op7_line_dedup": op7_line_dedup, "op9_quality": op9_quality}
+def op10_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(shared.table(sf_dir, "documents", spark))
+
+
+QUERIES: dict[str, Query] = {"op1_token_output": op1_token_output, "op2_decontamination": op2_decontamination, "op3_ngram_jaccard": op3_ngram_jaccard, "op5_substring_dedup": op5_substring_dedup, "op7_line_dedup": op7_line_dedup, "op9_quality": op9_quality, "op10_bestfit_packing": op10_bestfit_packing}
 ORACLE_SQL: dict[str, str] = {"op2_decontamination": OP2_SQL, "op3_ngram_jaccard": OP3_SQL, "op5_substring_dedup": OP5_SQL, "op7_line_dedup": OP7_SQL}

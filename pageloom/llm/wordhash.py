@@ -212,13 +212,17 @@ def shingles(hashes: np.ndarray, doc: np.ndarray, width: int) -> tuple[np.ndarra
     counts = np.diff(doc)
     short = np.flatnonzero((counts > 0) & (counts < width))
     if len(short):
-        up, down = _WORDS.get(len(hashes) + 1)
-        total = np.zeros(len(hashes) + 1, np.uint64)
-        np.cumsum(hashes * up[: len(hashes)], out=total[1:])
-        whole = mix((total[doc[short + 1]] - total[doc[short]]) * down[doc[short]] + counts[short].astype(np.uint64))
-        found, owner = np.concatenate([found, whole]), np.concatenate([owner, short])
+        found, owner = np.concatenate([found, whole_texts(hashes, doc)[short]]), np.concatenate([owner, short])
     order = np.lexsort((found, owner))
     found, owner = found[order], owner[order]
     new = np.ones(len(found), bool)
     new[1:] = (found[1:] != found[:-1]) | (owner[1:] != owner[:-1])
     return found[new], owner[new]
+
+
+def whole_texts(hashes: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """A hash of all words of each text, in their order."""
+    up, down = _WORDS.get(len(hashes) + 1)
+    total = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * up[: len(hashes)], out=total[1:])
+    return mix((total[doc[1:]] - total[doc[:-1]]) * down[doc[:-1]] + np.diff(doc).astype(np.uint64))
