@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pageloom.llm import decontamination, jaccard_join, line_dedup, packing, quality, shared, substring_dedup, token_output
+from pageloom.llm import capture_index, decontamination, jaccard_join, line_dedup, packing, quality, shared, substring_dedup, token_output, url_filter
 from pageloom.llm.wordhash import PLAIN_SEPARATOR
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +55,29 @@ UNION ALL SELECT ids, ids, 1.0 FROM g WHERE len(ids) > 1
 """
 
 
+#: Sites to block, with all hosts under them; the site allowed is so whatever its aliases are.
+SITE_RULES = [("domain", f"{name}.example.{end}", "block") for name in ("cheap-pills", "free-bets", "spam-farm", "adult-x", "ads-track", "casino-win") for end in ("com", "net", "org")]
+SITE_RULES += [("domain", "tionsh.example.net", "allow")]
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.decide(shared.table(sf_dir, "pages", spark), url_filter.rules_frame(spark, SITE_RULES))
+
+
+_DOMAINS = ", ".join(f"'{value}'" for _, value, action in SITE_RULES if action == "block")
+OP4_SQL = f"""
+WITH u AS (SELECT page_id, url, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), ':[0-9]*$', '') AS host,
+  regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '(/index)?(\\.html?|/)?$', '') AS path,
+  regexp_replace(regexp_replace(regexp_replace(regexp_extract(url, '(\\?[^#]*)', 1), '([?&])(utm_[a-z]+|ref|source)=[^&]*', '\\1', 'g'), '([?&])&+', '\\1', 'g'), '[?&]+$', '') AS query FROM pages),
+n AS (SELECT *, 'http://' || regexp_replace(host, '^(www|m)\\.', '') || path || query AS normal FROM u),
+h AS (SELECT *, host = 'tionsh.example.net' OR host LIKE '%.tionsh.example.net' AS allowed,
+  len(list_filter([{_DOMAINS}], lambda d: host = d OR host LIKE '%.' || d OR regexp_extract(normal, '//([^/?]*)', 1) = d OR regexp_extract(normal, '//([^/?]*)', 1) LIKE '%.' || d)) > 0 AS hit FROM n),
+c AS (SELECT *, least(min(url) OVER (PARTITION BY normal), normal) AS component, bool_or(hit AND NOT allowed) OVER (PARTITION BY normal) AS blocked FROM h)
+SELECT page_id, url, component, CASE WHEN allowed THEN 'allow' WHEN blocked THEN 'block' ELSE 'keep' END AS decision,
+  CASE WHEN allowed OR (hit AND blocked) THEN 'rule' WHEN blocked THEN 'alias' END AS reason FROM c
+"""
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_intervals(shared.table(sf_dir, "documents", spark))
 
@@ -81,6 +105,21 @@ SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (WHERE stay
   CAST(count(*) FILTER (WHERE NOT stays) AS INTEGER) AS lines_removed FROM r GROUP BY doc_id
 """
 
+def op8_capture_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages carry no time of capture, so one within a year is made from page_id."""
+    ts = F.lit(1_704_067_200) + F.pmod(F.col("page_id") * 7919, F.lit(31_536_000))
+    return capture_index.merged_index(capture_index.captures(shared.table(sf_dir, "pages", spark), ts=ts))
+
+
+OP8_SQL = """
+WITH r AS (SELECT page_id AS id, 1704067200 + (page_id * 7919) % 31536000 AS ts, html, regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest FROM pages WHERE url IS NOT NULL),
+h AS (SELECT *, regexp_replace(lower(regexp_extract(rest, '^([^/?#]*)', 1)), '^www\\.|:(80|443)$', '', 'g') AS host, regexp_replace(regexp_replace(rest, '^[^/?#]*', ''), '#.*$', '') AS path FROM r),
+k AS (SELECT *, array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || CASE WHEN path = '' THEN '/' ELSE path END AS url_key FROM h)
+SELECT row_number() OVER (ORDER BY url_key, ts, id) AS position, url_key, ts, row_number() OVER (PARTITION BY url_key ORDER BY ts, id) AS capture, id,
+  CAST(strlen(html) AS BIGINT) AS length, md5(html) AS digest FROM k
+"""
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The kept documents with their scores."""
     out = quality.scored(shared.table(sf_dir, "documents", spark).select("doc_id", "text"))
@@ -91,5 +130,5 @@ def op10_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(shared.table(sf_dir, "documents", spark))
 
 
-QUERIES: dict[str, Query] = {"op1_token_output": op1_token_output, "op2_decontamination": op2_decontamination, "op3_ngram_jaccard": op3_ngram_jaccard, "op5_substring_dedup": op5_substring_dedup, "op7_line_dedup": op7_line_dedup, "op9_quality": op9_quality, "op10_bestfit_packing": op10_bestfit_packing}
-ORACLE_SQL: dict[str, str] = {"op2_decontamination": OP2_SQL, "op3_ngram_jaccard": OP3_SQL, "op5_substring_dedup": OP5_SQL, "op7_line_dedup": OP7_SQL}
+QUERIES: dict[str, Query] = {"op1_token_output": op1_token_output, "op2_decontamination": op2_decontamination, "op3_ngram_jaccard": op3_ngram_jaccard, "op4_url_filter": op4_url_filter, "op5_substring_dedup": op5_substring_dedup, "op7_line_dedup": op7_line_dedup, "op8_capture_merge": op8_capture_merge, "op9_quality": op9_quality, "op10_bestfit_packing": op10_bestfit_packing}
+ORACLE_SQL: dict[str, str] = {"op2_decontamination": OP2_SQL, "op3_ngram_jaccard": OP3_SQL, "op4_url_filter": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op7_line_dedup": OP7_SQL, "op8_capture_merge": OP8_SQL}
