@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import capture_index, decontamination, jaccard_join, line_dedup, packing, quality, shared, substring_dedup, token_output, url_filter
+from pageloom.llm import capture_index, decontamination, jaccard_join, line_dedup, media, packing, quality, shared, substring_dedup, token_output, url_filter
 from pageloom.llm.wordhash import PLAIN_SEPARATOR
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,6 +93,11 @@ SELECT doc_id, kind, min(j) AS first_word, max(j) + 50 AS end_word, max(j) + 50
 """
 
 
+def op6_avi_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no media, so every row of ``embeddings`` is drawn as a video first."""
+    return media.clips(media.drawn(shared.table(sf_dir, "embeddings", spark), "vec_id", "embedding"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = shared.table(sf_dir, "documents", spark).select("doc_id", "text")
     return line_dedup.dedup_lines(docs)
@@ -130,5 +135,5 @@ def op10_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(shared.table(sf_dir, "documents", spark))
 
 
-QUERIES: dict[str, Query] = {"op1_token_output": op1_token_output, "op2_decontamination": op2_decontamination, "op3_ngram_jaccard": op3_ngram_jaccard, "op4_url_filter": op4_url_filter, "op5_substring_dedup": op5_substring_dedup, "op7_line_dedup": op7_line_dedup, "op8_capture_merge": op8_capture_merge, "op9_quality": op9_quality, "op10_bestfit_packing": op10_bestfit_packing}
+QUERIES: dict[str, Query] = {"op1_token_output": op1_token_output, "op2_decontamination": op2_decontamination, "op3_ngram_jaccard": op3_ngram_jaccard, "op4_url_filter": op4_url_filter, "op5_substring_dedup": op5_substring_dedup, "op6_avi_clips": op6_avi_clips, "op7_line_dedup": op7_line_dedup, "op8_capture_merge": op8_capture_merge, "op9_quality": op9_quality, "op10_bestfit_packing": op10_bestfit_packing}
 ORACLE_SQL: dict[str, str] = {"op2_decontamination": OP2_SQL, "op3_ngram_jaccard": OP3_SQL, "op4_url_filter": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op7_line_dedup": OP7_SQL, "op8_capture_merge": OP8_SQL}
