@@ -51,7 +51,7 @@ SPREAD = 2_000_000
 #: Sets in one block of verification.
 BLOCK = 8_000
 #: Pairs made at once in a task.
-_EVENTS = 4_000_000
+_EVENTS = 1_000_000
 
 _PACKED = pa.schema([("bucket", pa.int32()), ("hashes", pa.binary()), ("docs", pa.binary()), ("counts", pa.binary()), ("sizes", pa.binary())])
 _COMMON = pa.schema([("chunk", pa.int32()), ("hashes", pa.binary()), ("classes", pa.binary()), ("docs", pa.binary()), ("counts", pa.binary()), ("sizes", pa.binary())])
@@ -74,7 +74,7 @@ def _table(schema: pa.Schema, **columns) -> pa.Table:
 def _pack(n: int, buckets: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in wordhash.slices(batch, limit=8 << 20):
+            for part in wordhash.slices(batch, limit=4 << 20):
                 w = wordhash.words(part.column("text"), "plain")
                 hashes, doc = wordhash.shingles(w.hashes, w.doc, n)
                 size = np.bincount(doc, minlength=part.num_rows)
@@ -251,7 +251,7 @@ def _count_pairs(t: float):
         order = np.lexsort((length, leaders))
         cuts = runs(leaders[order])
         codes, counts = [], []
-        pending = 0
+        pending = merged = 0
 
         def flush(leader: np.ndarray) -> None:
             nonlocal codes, counts
@@ -275,12 +275,12 @@ def _count_pairs(t: float):
                     codes.append(code)
                     counts.append(n)
                     pending += len(code)
-                    if pending > 2 * _EVENTS:
+                    if pending > 2 * max(merged, _EVENTS):
                         code, n = _add_up(codes, counts)
-                        codes, counts, pending = [code], [n], len(code)
+                        codes, counts, pending, merged = [code], [n], len(code), len(code)
             if codes:
                 flush(leaders[mine[0]])
-                pending = 0
+                pending = merged = 0
         if not found:
             return _PAIRS.empty_table()
         lead = np.repeat([f[4] for f in found], [len(f[0]) for f in found])
