@@ -339,7 +339,7 @@ def distinct_pairs(docs: DataFrame, n: int = N, t: float = THRESHOLD, longest: i
     shared.release(spark)
     same = sets.where("shared = size").groupBy(F.md5("hashes").alias("set"), "size").agg(F.array_sort(F.collect_list("doc_id")).alias("members"))
     same = shared.store(same.where(F.size("members") > 1).select(F.element_at("members", 1).alias("doc_id"), "members"), "copies")
-    others = same.select(F.explode(F.slice("members", 2, 2**31 - 1)).alias("doc_id"))
+    others = same.select(F.explode(F.slice("members", F.lit(2), F.size("members"))).alias("doc_id"))
     ones = sets.select("doc_id", "size", "l", "prefix", F.substring("hashes", F.lit(1), F.col("prefix") * 8).alias("hashes")).join(others, "doc_id", "left_anti")
     total = sets.agg(F.sum("prefix")).first()[0] or 0
     parts = shared.buckets_for(total, bucket // 4)
