@@ -108,7 +108,7 @@ def distinct_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select(F.regexp_extract("url", r"^([^?#]*)", 1).alias("url")).dropDuplicates()
 
 
-@query("SELECT page_id, u AS sitemap FROM (SELECT page_id, unnest([x || '/sitemap.xml', x || '/sitemap_index.xml', x || '/sitemap-index.xml', x || '/sitemaps.xml', x || '/sitemap/sitemap.xml']) AS u FROM (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS x FROM pages))")
+@query("SELECT page_id, u AS sitemap FROM (SELECT page_id, unnest([x || '/sitemap.xml', x || '/sitemap_index.xml', x || '/sitemaps.xml', x || '/news-sitemap.xml', x || '/sitemap/']) AS u FROM (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS x FROM pages))")
 def sitemap_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pageloom.operators.discover import sitemap_addresses
 

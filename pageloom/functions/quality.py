@@ -57,7 +57,7 @@ def breakdown(text: Column, title: Column, html: Column | None = None, published
         "content": clamped * F.lit(weights.content),
         "date": part(None if published is None else _given(published), weights.date),
         "author": part(None if byline is None else _given(byline), weights.author),
-        "schema": part(None if schema_type is None else schema_type.isin(*ARTICLE_TYPES), weights.schema),
+        "schema": part(None if schema_type is None else F.lower(schema_type).isin(*map(str.lower, ARTICLE_TYPES)), weights.schema),
         "reading_time": part(None if minutes is None else minutes >= 2, weights.reading_time),
     }
     total = parts["content"] + parts["date"] + parts["author"] + parts["schema"] + parts["reading_time"]

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 WS = r"[\s\x0B\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 #: Entity, and what it stands for, in the order of replacement: "&amp;lt;" becomes "<".
 ENTITIES = (("nbsp", " "), ("amp", "&"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#039", "'"), ("apos", "'"), ("ndash", "–"), ("mdash", "—"), ("hellip", "…"), ("ldquo", '"'), ("rdquo", '"'), ("lsquo", "‘"), ("rsquo", "’"))
-_REST = 2**31 - 1
 #: Levels by their highest grade; above them it is "expert".
 LEVELS = ((5, "elementary"), (8, "intermediate"), (12, "advanced"))
 INTERFACE = "Copy link|Email|Facebook|Jump to|LinkedIn|Menu|Navigate to|Print|Search|Share|Skip to|Tweet"
@@ -64,11 +63,11 @@ def detect_paragraphs(text: Column) -> Column:
     """Blank lines go; one is put after a line of over 40 characters that ends a sentence before one of over 20 that begins one."""
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(strip_space(x)) > 0)
 
-    def mark(x: Column, i: Column) -> Column:
-        following = F.coalesce(F.get(lines, i + 1), F.lit(""))
+    def mark(x: Column, following: Column) -> Column:
         return F.when(x.rlike(r"[.!?]$") & following.rlike("^[A-Z0-9]") & (F.length(x) > 40) & (F.length(following) > 20), F.concat(x, F.lit("\n"))).otherwise(x)
 
-    return F.array_join(F.transform(lines, mark), "\n")
+    # both arrays are computed once a row; an index into ``lines`` inside a lambda would compute it for every line
+    return F.array_join(F.zip_with(lines, F.slice(lines, F.lit(2), F.greatest(F.size(lines), F.lit(0))), mark), "\n")
 
 
 def clean_text(text: Column) -> Column:

@@ -1,11 +1,32 @@
-"""Discovery of articles: sitemaps, feeds and where they may be."""
+"""Discovery of articles: sitemaps, feeds, listing pages, and the cascade over them.
+
+Sitemaps and feeds are parsed by Spark's own XML functions; listing pages by the
+HTML tree.  Fetched bodies are rows; nothing here uses the network.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import json
+from collections.abc import Iterator
+from urllib.parse import urljoin
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SITEMAPS = ("/sitemap.xml", "/sitemap_index.xml", "/sitemap-index.xml", "/sitemaps.xml", "/sitemap/sitemap.xml")
+from pageloom.functions import text, urls
+from pageloom.operators import dom
+from pageloom.operators.extract import _DATED
+
+SITEMAPS = tuple(f"/{p}" for p in "sitemap.xml sitemap_index.xml sitemaps.xml news-sitemap.xml sitemap/".split())
+FEEDS = tuple(f"/{p}" for p in "atom.xml index.xml".split()) + tuple(f"/{p}{e}" for p in ("feed", "feeds", "rss") for e in (".xml", "/")) + tuple(f"/{d}/{p}" for d in ("blog", "news") for p in ("feed/", "rss.xml"))
+_URLSET = "url array<struct<loc:string,lastmod:string,changefreq:string,priority:string,`news:news`:struct<`news:title`:string,`news:publication_date`:string,`news:keywords`:string>,`image:image`:array<struct<`image:loc`:string,`image:title`:string>>>>"
+_INDEX = "sitemap array<struct<loc:string,lastmod:string>>"
+_RSS = "channel struct<title:string,item:array<struct<title:string,link:string,pubDate:string,guid:string,description:string,`content:encoded`:string>>>"
+_ATOM = "title string, entry array<struct<title:string,link:array<struct<_href:string,_rel:string>>,id:string,published:string,updated:string,summary:string,content:string>>"
+#: A body that isn't XML at all would fail the row; it becomes an empty document instead.
+_XML = {"mode": "PERMISSIVE", "excludeAttribute": "false"}
 
 
 def origin(url: Column) -> Column:
@@ -15,3 +36,239 @@ def origin(url: Column) -> Column:
 def sitemap_addresses(url: Column) -> Column:
     """Where a site's sitemap usually is."""
     return F.array(*(F.concat(origin(url), F.lit(p)) for p in SITEMAPS))
+
+
+def feed_addresses(url: Column) -> Column:
+    """Where a site's feed usually is."""
+    return F.array(*(F.concat(origin(url), F.lit(p)) for p in FEEDS))
+
+
+def _given(c: Column) -> Column:
+    return F.nullif(F.trim(c), F.lit(""))
+
+
+def sitemap_entries(xml: DataFrame, since: Column | None = None, most: int | None = None, url: str = "url", body: str = "xml") -> DataFrame:
+    """(sitemap, ord, loc, lastmod, changefreq, priority, news_title, news_date, keywords, images).
+
+    Entries without an address are skipped, as are those older than ``since``; entries
+    without a date stay.  At most ``most`` of a sitemap are kept, in its order.
+    """
+    parsed = xml.select(F.col(url).alias("sitemap"), F.posexplode(F.from_xml(F.col(body), _URLSET, _XML)["url"]).alias("ord", "e"))
+    news = F.col("e.`news:news`")
+    out = parsed.select(
+        "sitemap",
+        "ord",
+        _given(F.col("e.loc")).alias("loc"),
+        text.parse_date(_given(F.col("e.lastmod"))).alias("lastmod"),
+        F.col("e.changefreq"),
+        F.col("e.priority").try_cast("double").alias("priority"),
+        _given(news["news:title"]).alias("news_title"),
+        text.parse_date(news["news:publication_date"]).alias("news_date"),
+        F.filter(F.transform(F.split(news["news:keywords"], ","), F.trim), lambda k: k != "").alias("keywords"),
+        F.transform("e.`image:image`", lambda i: i["image:loc"]).alias("images"),
+    ).where("loc IS NOT NULL")
+    if since is not None:
+        out = out.where(F.col("lastmod").isNull() | (F.col("lastmod") >= since))
+    if most is not None:
+        out = out.withColumn("_n", F.row_number().over(W.partitionBy("sitemap").orderBy("ord"))).where(F.col("_n") <= most).drop("_n")
+    return out
+
+
+def index_priority(address: Column) -> Column:
+    """The order of an index's children: US English, other English, the rest."""
+    low = F.lower(address)
+    return F.when(low.rlike("en[-_]us"), 0).when(low.rlike("en[-_][a-z]{2}"), 1).otherwise(2)
+
+
+def sitemap_children(xml: DataFrame, most: int = 1000, children: int = 10, url: str = "url", body: str = "xml") -> DataFrame:
+    """(sitemap, child, place, quota) of the first ``children`` of an index, and how many entries each may give."""
+    parsed = xml.where(F.col(body).contains("<sitemapindex")).select(F.col(url).alias("sitemap"), F.posexplode(F.from_xml(F.col(body), _INDEX, _XML)["sitemap"]).alias("ord", "e"))
+    named = parsed.select("sitemap", "ord", _given(F.col("e.loc")).alias("child")).where("child IS NOT NULL")
+    order = W.partitionBy("sitemap").orderBy(index_priority(F.col("child")), "ord")
+    ranked = named.withColumn("place", F.row_number().over(order)).withColumn("n", F.count("*").over(W.partitionBy("sitemap")))
+    return ranked.where(F.col("place") <= children).select("sitemap", "child", "place", F.floor(F.lit(most) / F.least("n", F.lit(children))).cast("int").alias("quota"))
+
+
+def sitemap_errors(xml: DataFrame, url: str = "url", body: str = "xml") -> DataFrame:
+    """(sitemap, errors): what is wrong with each sitemap, sorted."""
+    entries = F.from_xml(F.col(body), _URLSET, _XML)["url"]
+    any_entry = lambda test: F.coalesce(F.exists(entries, test), F.lit(False))
+    problems = (
+        (~F.col(body).rlike("<(urlset|sitemapindex)"), "no urlset or sitemapindex"),
+        (F.coalesce(F.size(entries), F.lit(0)) > 50_000, "more than 50000 entries"),
+        (any_entry(lambda e: _given(e["loc"]).isNull()), "entry without loc"),
+        (any_entry(lambda e: _given(e["loc"]).isNotNull() & ~urls.is_valid(e["loc"])), "invalid loc"),
+        (any_entry(lambda e: _given(e["lastmod"]).isNotNull() & text.parse_date(e["lastmod"]).isNull()), "invalid lastmod"),
+        (any_entry(lambda e: _given(e["priority"]).isNotNull() & ~F.coalesce(e["priority"].try_cast("double").between(0, 1), F.lit(False))), "invalid priority"),
+    )
+    return xml.select(F.col(url).alias("sitemap"), F.array_sort(F.array_compact(F.array(*(F.when(t, F.lit(m)) for t, m in problems)))).alias("errors"))
+
+
+_CANDIDATE = ("url", "title", "published_at", "content", "excerpt", "guid", "confidence", "source", "extraction_method")
+
+
+def feed_items(xml: DataFrame, as_of: Column, url: str = "url", body: str = "xml") -> DataFrame:
+    """(feed, title, link, pub_date, guid, content, snippet) of RSS and Atom; a date that is missing is ``as_of``'s text."""
+    rss = xml.where(F.col(body).rlike("<(rss|rdf:RDF|channel)\\b")).select(F.col(url).alias("feed"), F.explode(F.from_xml(F.col(body), _RSS, _XML)["channel"]["item"]).alias("i"))
+    now = F.date_format(as_of, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    e = lambda n: _given(F.col(f"i.{n}"))
+    first = lambda *c: F.coalesce(*c)
+    a = rss.select("feed", first(e("title"), F.lit("Untitled")).alias("title"), first(e("link"), F.lit("")).alias("link"), first(e("pubDate"), now).alias("pub_date"), first(e("guid"), e("link"), F.lit("")).alias("guid"), first(e("`content:encoded`"), e("description"), F.lit("")).alias("content"), e("description").alias("snippet"))
+    atom = xml.where(F.col(body).rlike("<feed\\b")).select(F.col(url).alias("feed"), F.explode(F.from_xml(F.col(body), _ATOM, _XML)["entry"]).alias("i"))
+    links = F.filter("i.link", lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate")
+    link = F.try_element_at(links, F.lit(1))["_href"]
+    b = atom.select("feed", first(e("title"), F.lit("Untitled")).alias("title"), first(link, F.lit("")).alias("link"), first(e("published"), e("updated"), now).alias("pub_date"), first(e("id"), link, F.lit("")).alias("guid"), first(e("content"), e("summary"), F.lit("")).alias("content"), e("summary").alias("snippet"))
+    return a.union(b)
+
+
+def feed_candidates(items: DataFrame) -> DataFrame:
+    """Candidates of confidence 0.9; items whose date can't be read are dropped."""
+    found = items.withColumn("published_at", text.parse_date(F.col("pub_date"))).where("published_at IS NOT NULL")
+    return found.select(F.col("link").alias("url"), "title", "published_at", "content", F.col("snippet").alias("excerpt"), "guid", F.lit(0.9).alias("confidence"), F.lit("rss").alias("source"), F.lit("rss").alias("extraction_method"))
+
+
+def sitemap_candidates(entries: DataFrame, as_of: Column) -> DataFrame:
+    """Candidates of confidence 0.8 with news data, else 0.6; a missing date is ``as_of``."""
+    at = F.coalesce("lastmod", as_of)
+    has = F.col("news_title").isNotNull()
+    none = F.lit(None).cast("string")
+    return entries.select(F.col("loc").alias("url"), F.coalesce("news_title", urls.title(F.col("loc"))).alias("title"), at.alias("published_at"), none.alias("content"), none.alias("excerpt"), urls.guid(F.col("loc"), at).alias("guid"), F.when(has, F.lit(0.8)).otherwise(F.lit(0.6)).alias("confidence"), F.lit("sitemap").alias("source"), F.lit("sitemap").alias("extraction_method"))
+
+
+LINK_SELECTORS = ("article a[href]", ".article a[href]", ".post a[href]", ".story a[href]", ".news-item a[href]", ".content-item a[href]", "h1 a[href]", "h2 a[href]", "h3 a[href]", ".headline a[href]", ".title a[href]")
+EXCLUDED_SECTIONS = ".ads,.advertisement,.comments,.footer,.menu,.navigation,.related,.sidebar"
+LINKS_PER_PAGE = 100
+
+
+def _page_links(html: str, base: str, most: int) -> list[dict]:
+    root = dom.parse(html)
+    root.remove(EXCLUDED_SECTIONS)
+    out: list[dict] = []
+    seen: set[str] = set()
+    for k, selector in enumerate(LINK_SELECTORS):
+        for a in root.all(selector):
+            try:
+                to = urljoin(base, a.get("href").strip())
+            except ValueError:
+                continue
+            if not a.get("href") or to in seen:
+                continue
+            seen.add(to)
+            title = a.text().strip()
+            card = a.closest("article,.article,.post,.story,.news-item")
+            head = card.first("h1,h2,h3,.headline,.title") if card and len(title) < 5 else None
+            better = head.text().strip() if head else ""
+            dated = a.closest("article,.article,.post")
+            date = dated.first("time[datetime],.date,.published") if dated else None
+            when = (date.get("datetime") or date.text().strip()) if date else ""
+            about = a.closest("article,.article,.post,.story")
+            told = about.first(".excerpt,.summary,p") if about else None
+            description = told.text().strip() if told else ""
+            out.append({"ord": len(out), "url": to, "title": better if len(better) > len(title) else title, "retitled": len(better) > len(title), "date": when if _DATED.search(when) else None, "description": description or None, "structured": False})
+    for s in root.all('script[type="application/ld+json"]'):
+        try:
+            block = json.loads(s.text())
+        except ValueError:
+            continue
+        for x in block if isinstance(block, list) else [block]:
+            if isinstance(x, dict) and x.get("@type") in ("Article", "NewsArticle"):
+                main = x.get("mainEntityOfPage")
+                to = x.get("url") or (main.get("@id") if isinstance(main, dict) else None)
+                if isinstance(to, str):
+                    out.append({"ord": len(out), "url": urljoin(base, to), "title": x.get("headline") or x.get("name"), "retitled": False, "date": x.get("datePublished"), "description": x.get("description"), "structured": True})
+    return out
+
+
+_LINK = pa.struct([("ord", pa.int32()), ("url", pa.string()), ("title", pa.string()), ("retitled", pa.bool_()), ("date", pa.string()), ("description", pa.string()), ("structured", pa.bool_())])
+
+
+def listing_links(pages: DataFrame, url: str = "url", html: str = "html", excluded: str = urls.EXCLUDED, included: str = urls.INCLUDED, most: int = LINKS_PER_PAGE) -> DataFrame:
+    """(page, ord, url, title, published_at, description, confidence, source) of the articles that listing pages link to.
+
+    The tree gives signals only; filters and scores are column expressions.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_page_links(h, u or "", most) if h else [] for u, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(_LINK))], ["page", "links"])
+
+    kind = "array<struct<ord:int,url:string,title:string,retitled:boolean,date:string,description:string,structured:boolean>>"
+    found = pages.select(url, html).mapInArrow(run, f"page string, links {kind}").select("page", F.explode("links").alias("l")).select("page", "l.*")
+    found = found.where(F.col("structured") | urls.passes_filters(F.col("url"), excluded, included))
+    one = lambda test, points: F.when(F.coalesce(test, F.lit(False)), points).otherwise(0)
+    size = F.length("title")
+    tenths = 5 + one(F.col("retitled"), 2) + one(F.col("date").isNotNull(), 1) + one(F.length("description") > 50, 1) + one(urls.likely_article(F.col("url")), 2) + one(size.between(20, 120), 1)
+    told = F.when(~F.col("structured") & (F.length("description") > 50), F.concat(F.substring("description", 1, 300), F.lit("..."))).otherwise(F.col("description"))
+    scored = found.select("page", "ord", "url", "title", text.parse_date(F.col("date")).alias("published_at"), told.alias("description"), F.when(F.col("structured"), 0.9).otherwise(F.least(tenths / 10, F.lit(1.0))).alias("confidence"), F.when(F.col("structured"), "structured-data").otherwise("link-text").alias("source"))
+    kept = scored.where((F.col("source") == "structured-data") | (size >= 10))
+    first = kept.withColumn("_n", F.row_number().over(W.partitionBy("page", "url").orderBy("ord"))).where("_n = 1")
+    place = F.row_number().over(W.partitionBy("page", "source").orderBy("ord"))
+    return first.withColumn("_n", place).where((F.col("source") == "structured-data") | (F.col("_n") <= most)).drop("_n")
+
+
+def listing_candidates(links: DataFrame, as_of: Column) -> DataFrame:
+    at = F.coalesce("published_at", as_of)
+    none = F.lit(None).cast("string")
+    return links.select("url", F.coalesce("title", urls.title(F.col("url"))).alias("title"), at.alias("published_at"), none.alias("content"), F.col("description").alias("excerpt"), urls.guid(F.col("url"), at).alias("guid"), "confidence", F.lit("html").alias("source"), F.lit("html").alias("extraction_method"))
+
+
+def discover_feeds(pages: DataFrame, url: str = "url", html: str = "html", content_type: str | None = None) -> DataFrame:
+    """(page, feed, type, confidence) of the first tier that finds any: the page is a feed itself (1.0), links to one
+    (0.9 in its head, 0.6 elsewhere), or names one in its text (0.5)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for u, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                root = dom.parse(h or "")
+                for n in root.all('link[rel="alternate"]'):
+                    if n.get("href") and any(k in n.get("type").lower() for k in ("rss", "atom", "rdf", "xml")):
+                        rows.append((u, urljoin(u or "", n.get("href")), n.get("type"), n.text(), 0.9))
+                rows += [(u, urljoin(u or "", n.get("href")), "", n.text().strip(), 0.6) for n in root.all("a[href]")]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate([pa.string()] * 4 + [pa.float64()])], ["page", "feed", "kind", "label", "confidence"])
+
+    base = pages.select(F.col(url).alias("page"), F.col(html).alias("html"))
+    linked = base.mapInArrow(run, "page string, feed string, kind string, label string, confidence double").where((F.col("confidence") == 0.9) | text.feed_like(F.col("feed"), F.col("label")))
+    named = base.select("page", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(r"https?://[^\s\"'<>]*(?:feed|rss|atom)[^\s\"'<>]*"), 0))).alias("feed"))
+    tiers = linked.select("page", "feed", F.when(F.col("kind") == "", F.col("feed")).otherwise(F.col("kind")).alias("kind"), "confidence", F.lit(2).alias("tier"))
+    tiers = tiers.union(named.select("page", "feed", F.col("feed").alias("kind"), F.lit(0.5), F.lit(3)))
+    if content_type:
+        own = pages.where(F.lower(content_type).rlike("rss|atom|rdf|xml") & ~F.lower(content_type).contains("html"))
+        tiers = tiers.union(own.select(url, url, content_type, F.lit(1.0), F.lit(1)))
+    best = tiers.withColumn("_t", F.min("tier").over(W.partitionBy("page"))).where("tier = _t")
+    return best.groupBy("page", "feed").agg(F.max(F.struct("confidence", "kind")).alias("b")).select("page", "feed", text.feed_type(F.col("b.kind")).alias("type"), F.col("b.confidence").alias("confidence"))
+
+
+def next_pages(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """(page, next): links of a listing that lead to its next page."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for u, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for n in dom.parse(h or "").all(".pagination a[href],.pager a[href],.next a[href],a.next[href],a[rel=\"next\"]"):
+                    label = n.text().strip().lower()
+                    if "next" in label or "→" in label or label == ">":
+                        rows.append((u, urljoin(u or "", n.get("href"))))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], ["page", "next"])
+
+    return pages.select(url, html).mapInArrow(run, "page string, next string").distinct()
+
+
+def crawl(start: DataFrame, corpus: DataFrame, depth: int = 5, url: str = "url", html: str = "html") -> DataFrame:
+    """The pages of ``corpus`` (url, html) that ``start`` (url) reaches by next links, in at most ``depth`` levels."""
+    level = corpus.join(start.select(url).distinct(), url, "left_semi")
+    seen = level
+    for _ in range(depth - 1):
+        ahead = next_pages(level, url, html).select(F.col("next").alias(url)).distinct().join(seen.select(url), url, "left_anti")
+        level = corpus.join(ahead, url, "left_semi")
+        seen = seen.union(level)
+    return seen
+
+
+def cascade(rss: DataFrame, sitemap: DataFrame, listing: DataFrame) -> DataFrame:
+    """Candidates of the first kind of source that has any, site by site."""
+    ranked = rss.withColumn("_k", F.lit(0)).unionByName(sitemap.withColumn("_k", F.lit(1))).unionByName(listing.withColumn("_k", F.lit(2)))
+    ranked = ranked.withColumn("_h", urls.domain(F.col("url")))
+    return ranked.withColumn("_b", F.min("_k").over(W.partitionBy("_h"))).where("_k = _b").drop("_k", "_b", "_h")
