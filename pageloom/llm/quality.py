@@ -39,7 +39,7 @@ from pageloom.llm.postings import runs
 BUCKETS = 1 << 14
 SAMPLE = 12_000
 THRESHOLD = 0.5
-LABELLERS = ("symbols", "odd_endings", "capitals", "exclamations", "capital_words", "dominant_word", "repeated_words", "recurring_words", "bars", "letterless_words", "word_length", "sentences")
+LABELLERS = ("symbols", "odd_endings", "capitals", "exclamations", "capital_words", "dominant_word", "repeated_words", "word_runs", "close_words", "recurring_words", "bars", "letterless_words", "word_length", "sentences")
 GOOD, BAD, ABSTAIN = 1, 0, 2
 
 _CLASS = np.arange(256, dtype=np.uint8)
@@ -99,21 +99,28 @@ class Looks:
         last = k[w.ends - 1]
         small, large, digits = (_within(k == c, w.starts, w.ends) for c in (97, 65, 48))
         ends = self.sum_bytes((k == 46) | (k == 63)) / n_words
-        enough = self.n_words >= 8
+        enough, few = self.n_words >= 8, self.n_words >= 4
+        again = self.recent == 1
+        runs_of_5 = again.copy()
+        for back in range(1, 4):
+            runs_of_5[back:] &= again[:-back]
+            runs_of_5[:back] = False
         per_word = lambda flags: self.sum_words(flags) / n_words
-        bad = lambda flags: np.where(flags & enough, BAD, ABSTAIN)
-        both = lambda no, yes: np.where(no & enough, BAD, np.where(yes & enough, GOOD, ABSTAIN))
+        bad = lambda flags, when=enough: np.where(flags & when, BAD, ABSTAIN)
+        both = lambda no, yes: np.where(no & few, BAD, np.where(yes & enough, GOOD, ABSTAIN))
         out = [
             both(symbols > 0.08, (symbols < 0.01) & (capitals < 0.12)),
-            bad(per_word(~_PLAIN_MARKS[last]) > 0.3),
+            bad(per_word(~_PLAIN_MARKS[last]) > 0.3, few),
             bad(capitals > 0.5),
             bad(self.sum_bytes(k == 33) / n_words > 0.25),
             bad(per_word((small == 0) & (large > 1)) > 0.4),
             bad(self.dominant() / n_words > 0.2),
-            bad(per_word(self.recent == 1) > 0.25),
+            bad(per_word(again) > 0.25),
+            bad(self.sum_words(runs_of_5) > 0),
+            bad(per_word((self.recent > 0) & (self.recent < 4)) > 0.4),
             bad(per_word(self.recent > 0) > 0.5),
-            bad(self.sum_bytes(k == 124) / n_words > 0.1),
-            bad(per_word(small + large + digits == 0) > 0.2),
+            bad(self.sum_bytes(k == 124) / n_words > 0.1, few),
+            bad(per_word(small + large + digits == 0) > 0.2, few),
             np.where((letters / n_words < 1.5) | (letters / n_words > 20), BAD, ABSTAIN),
             both((ends == 0) & (self.n_words >= 30), (ends > 0.01) & (ends < 0.6)),
         ]
