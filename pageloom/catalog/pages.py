@@ -10,7 +10,7 @@ from pageloom.catalog.urls import _PATH
 from pageloom.operators import discover, evaluate, extract, robots
 from pageloom.plans import pipeline
 
-_H1 = "trim(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1))"
+_H1 = "trim(replace(replace(replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'))"
 _NAV = "(SELECT page_id, u.href, u.label FROM (SELECT page_id, unnest(list_transform(regexp_extract_all(html, '<a href=\"[^\"]*\">[^<]*</a>'), lambda a: {'href': regexp_extract(a, 'href=\"([^\"]*)\"', 1), 'label': trim(regexp_extract(a, '>([^<]*)<', 1))})) AS u FROM pages))"
 
 

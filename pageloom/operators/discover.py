@@ -64,7 +64,7 @@ def sitemap_entries(xml: DataFrame, since: Column | None = None, most: int | Non
         F.col("e.priority").try_cast("double").alias("priority"),
         _given(news["news:title"]).alias("news_title"),
         text.parse_date(news["news:publication_date"]).alias("news_date"),
-        F.filter(F.transform(F.split(news["news:keywords"], ","), F.trim), lambda k: k != "").alias("keywords"),
+        F.filter(F.transform(F.split(news["news:keywords"], ","), lambda k: F.trim(k)), lambda k: k != "").alias("keywords"),
         F.transform("e.`image:image`", lambda i: i["image:loc"]).alias("images"),
     ).where("loc IS NOT NULL")
     if since is not None:

@@ -52,7 +52,7 @@ def check(pages: DataFrame, found: DataFrame, url: str = "url", agent: str = AGE
     host = urls.domain(F.col(url))
     joined = pages.withColumn("_host", host).join(own.withColumnRenamed("host", "_host"), "_host", "left")
     path = urls.path(F.col(url))
-    any_of = lambda c: F.coalesce(F.exists(c, lambda r: path.rlike(r)), F.lit(False))
+    any_of = lambda c: F.coalesce(F.exists(c, lambda r: F.rlike(path, r)), F.lit(False))
     return joined.withColumn("allowed", any_of(F.col("_allow")) | ~any_of(F.col("_deny"))).drop("_host", "_allow", "_deny")
 
 
@@ -68,7 +68,7 @@ def disallowed_paths(robots: DataFrame, agent: str = "*", host: str = "host", bo
 
 def path_allowed(path: Column, disallowed: Column) -> Column:
     """Disallowed prefixes only; a rule with * is used as a regular expression as it stands."""
-    hit = F.exists(disallowed, lambda d: F.when(d.contains("*"), path.rlike(F.concat(F.lit("^"), F.replace(d, F.lit("*"), F.lit(".*"))))).otherwise(path.startswith(d)))
+    hit = F.exists(disallowed, lambda d: F.when(d.contains("*"), F.rlike(path, F.concat(F.lit("^"), F.replace(d, F.lit("*"), F.lit(".*"))))).otherwise(path.startswith(d)))
     return ~F.coalesce(hit, F.lit(False))
 
 
