@@ -225,7 +225,7 @@ def test_scrape(spark):
     corpus = spark.createDataFrame([("https://x.org/blog/mills", RICH)], "url string, html string")
     plugins = pipeline.Plugins(enhance={"site": F.lit("x")}, keep=[F.col("word_count") > 0], after=[lambda d: d.withColumn("n", F.lit(1))])
     rows = pipeline.scrape(candidates, corpus, pipeline.ScrapeConfig(), plugins).collect()
-    assert len(rows) == 1 and rows[0].confidence == 0.7 and round(rows[0].quality_score, 9) == 0.76 and rows[0].n == 1 and rows[0].site == "x"
+    assert len(rows) == 1 and rows[0].confidence == 0.7 and round(rows[0].quality_score, 9) == 0.88 and rows[0].n == 1 and rows[0].site == "x"
     assert pipeline.scrape(candidates, corpus).count() == 2
     with pytest.raises(pipeline.ConfigError):
         pipeline.ScrapeConfig(most=0)
