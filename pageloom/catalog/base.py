@@ -7,13 +7,15 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
+from pageloom.sources.tables import table
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return table(spark, sf_dir, name)
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -29,13 +31,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def column(name: str, table: str, key: str, value: Callable[[], Column | dict[str, Column]], sql: str, source: str | None = None) -> None:
+def column(name: str, of: str, key: str, value: Callable[[], Column | dict[str, Column]], sql: str, source: str | None = None) -> None:
     """Registers (key, value) of every row of a table; ``sql`` is the value's expression, or several with names."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         made = value()
-        return read(spark, sf_dir, table).select(key, *((c.alias(n) for n, c in made.items()) if isinstance(made, dict) else [made.alias("value")]))
+        return read(spark, sf_dir, of).select(key, *((c.alias(n) for n, c in made.items()) if isinstance(made, dict) else [made.alias("value")]))
 
     QUERIES[name] = run
     named = re.search(r" AS [a-z_]+$", sql)
-    ORACLE_SQL[name] = f"SELECT {key}, {sql if named else f'{sql} AS value'} FROM {source or table}"
+    ORACLE_SQL[name] = f"SELECT {key}, {sql if named else f'{sql} AS value'} FROM {source or of}"

@@ -119,9 +119,17 @@ def utf16_length(text: Column) -> Column:
 def estimate_tokens(text: Column) -> Column:
     """A quarter of the length, more for URLs, code blocks, numbers and characters beyond ASCII."""
     flat = strip_space(F.regexp_replace(text, rf"{WS}+", " "))
-    n = F.ceil(utf16_length(flat) / 4) + F.regexp_count(flat, F.lit(r"https?://[^ ]+")) * 5 + F.regexp_count(flat, F.lit(r"(?s)```.*?```")) * 10
-    n = n + F.floor(F.regexp_count(flat, F.lit(r"\d+")) * 0.5) + F.regexp_count(flat, F.lit(r"[^\x00-\x7F]")) + F.regexp_count(flat, F.lit(r"[\x{10000}-\x{10FFFF}]"))
-    return F.coalesce(F.when(text == "", 0).otherwise(n), F.lit(0)).cast("long")
+    return F.coalesce(F.when(text == "", 0).otherwise(F.element_at(F.transform(F.array(flat), _tokens_of), 1)), F.lit(0)).cast("long")
+
+
+def _tokens_of(flat: Column) -> Column:
+    """The estimate for a text that is computed once and bound to a variable; rare things are looked for only where they can be."""
+    rare = lambda mark, pattern, n: F.when(flat.contains(mark), F.regexp_count(flat, F.lit(pattern)) * n).otherwise(0)
+    missing = lambda pattern: F.length(flat) - F.length(F.regexp_replace(flat, pattern, ""))
+    beyond = F.when(F.octet_length(flat) > F.length(flat), missing(r"[^\x00-\x7F]+")).otherwise(0)
+    wide = F.when(F.octet_length(flat) > F.length(flat), missing(r"[\x{10000}-\x{10FFFF}]+")).otherwise(0)
+    numbers = F.length(F.regexp_replace(F.regexp_replace(flat, "[^0-9]+", " "), "[0-9]+", "1")) - F.length(F.regexp_replace(F.regexp_replace(flat, "[^0-9]+", " "), "[0-9]+", ""))
+    return F.ceil((F.length(flat) + wide) / 4) + rare("://", r"https?://[^ ]+", 5) + rare("```", r"(?s)```.*?```", 10) + F.floor(numbers * 0.5) + beyond + wide
 
 
 def simple_tokens(text: Column) -> Column:

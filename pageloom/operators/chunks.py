@@ -32,29 +32,66 @@ def overlap(text: str, tokens: int) -> str:
     return tail[found.start() + 2 :] if found and found.start() else tail
 
 
+#: Of a text with single spaces: length, first and last character, numbers, characters beyond ASCII and beyond 16 bits.
+_Stats = tuple[int, str, str, int, int, int]
+_NONE: _Stats = (0, "", "", 0, 0, 0)
+_NUMBER, _BEYOND = re.compile("[0-9]+"), re.compile(r"[^\x00-\x7f]")
+
+
+def _stats(text: str) -> _Stats:
+    flat = _SPACE.sub(" ", text)
+    ascii_only = flat.isascii()
+    return (len(flat), flat[:1], flat[-1:], len(_NUMBER.findall(flat)), 0 if ascii_only else len(_BEYOND.findall(flat)), 0 if ascii_only else sum(c > "\uffff" for c in flat))
+
+
+def _joined(a: _Stats, b: _Stats) -> _Stats:
+    if not a[0] or not b[0]:
+        return a if a[0] else b
+    edge = a[2] + b[1]
+    return (a[0] + b[0] - (edge == "  "), a[1], b[2], a[3] + b[3] - (edge.isascii() and edge.isdigit()), a[4] + b[4], a[5] + b[5])
+
+
+def _tokens(s: _Stats) -> int:
+    n = s[0] - (s[1] == " ") - (s[2] == " " and s[0] > 1)
+    return math.ceil((n + s[5]) / 4) + s[5] + s[4] + s[3] // 2
+
+
 class _Filler:
-    """Puts pieces together up to ``most`` tokens; (content, tokens, start, end) of what is full."""
+    """Puts pieces together up to ``most`` tokens; (content, tokens, start, end) of what is full.
 
-    def __init__(self, most: int, repeat: int, joint: str, trim: bool) -> None:
-        self.most, self.repeat, self.joint, self.trim = most, repeat, joint, trim
-        self.text, self.tokens, self.start, self.at = "", 0, 0, 0
+    Texts without URLs and code blocks are counted piece by piece, others as a whole each time.
+    """
+
+    def __init__(self, most: int, repeat: int, joint: str, trim: bool, whole: bool) -> None:
+        self.most, self.repeat, self.joint, self.trim, self.whole = most, repeat, joint, trim, whole
+        self.parts: list[str] = []
+        self.known, self.tokens, self.start, self.at = _NONE, 0, 0, 0
         self.done: list[tuple[str, int, int, int]] = []
 
-    def emit(self, end: int) -> None:
-        if self.text:
-            self.done.append((self.text.strip() if self.trim else self.text, self.tokens, self.start, end))
+    def emit(self, end: int) -> str:
+        text = "".join(self.parts)
+        if text:
+            self.done.append((text.strip() if self.trim else text, self.tokens, self.start, end))
+        return text
 
     def clear(self) -> None:
-        self.text, self.tokens, self.start = "", 0, self.at
+        self.parts, self.known, self.tokens, self.start = [], _NONE, 0, self.at
+
+    def _append(self, text: str, stats: _Stats) -> None:
+        if text:
+            self.parts.append(text)
+            self.known = _joined(self.known, stats)
 
     def add(self, piece: str, gap: int, always: bool) -> None:
-        if self.tokens + estimate_tokens(piece) > self.most and (self.text or always):
-            self.emit(self.at)
-            tail = overlap(self.text, self.repeat)
-            self.text, self.start = tail + piece, self.at - len(tail)
-        else:
-            self.text += (self.joint if self.text else "") + piece
-        self.tokens = estimate_tokens(self.text)
+        stats = _stats(piece)
+        if self.tokens + (estimate_tokens(piece) if self.whole else _tokens(stats)) > self.most and (self.parts or always):
+            tail = overlap(self.emit(self.at), self.repeat)
+            self.parts, self.known, self.start = [], _NONE, self.at - len(tail)
+            self._append(tail, _stats(tail))
+        elif self.parts and self.joint:
+            self._append(self.joint, _stats(self.joint))
+        self._append(piece, stats)
+        self.tokens = estimate_tokens("".join(self.parts)) if self.whole else _tokens(self.known)
         self.at += len(piece) + gap
 
 
@@ -65,13 +102,14 @@ def chunk(text: str, most: int = 4000, repeat: int = 200) -> list[tuple[str, int
     total = estimate_tokens(text)
     if total <= most:
         return [(text, total, 0, len(text))]
-    out = _Filler(most, repeat, "\n\n", False)
+    whole = "http" in text or "```" in text
+    out = _Filler(most, repeat, "\n\n", False, whole)
     for paragraph in re.split(r"\n\n+", text):
         if estimate_tokens(paragraph) <= most:
             out.add(paragraph, 2, True)
             continue
         out.emit(out.at)
-        inner = _Filler(most, repeat, "", True)
+        inner = _Filler(most, repeat, "", True, whole)
         for sentence in _SENTENCE.findall(paragraph) or [paragraph]:
             inner.add(sentence, 0, False)
         inner.emit(len(paragraph))

@@ -94,6 +94,26 @@ def test_chunks():
     assert chunks.overlap("abc. Def ghi", 2) == " Def ghi" and chunks.overlap("Zz abc. Def ghi", 3) == "Def ghi" and chunks.overlap("", 5) == "" and chunks.overlap("x", 0) == ""
 
 
+def test_chunks_count_by_pieces():
+    """Counting piece by piece gives what counting the whole gives."""
+    import random
+
+    r = random.Random(7)
+    for _ in range(60):
+        text = "".join(r.choice(["word", "x1", "22", " ", "  ", "\n\n", ". ", "! ", "é", "😀", "Ab", "\u00a0", "3.14"]) for _ in range(r.randint(50, 600)))
+        fast = chunks.chunk(text, 20, 3)
+        real, chunks._tokens = chunks._tokens, None
+        try:
+            class Whole(chunks._Filler):
+                def __init__(self, *a):
+                    super().__init__(*a[:-1], True)
+
+            kept, chunks._Filler = chunks._Filler, Whole
+            assert chunks.chunk(text, 20, 3) == fast
+        finally:
+            chunks._tokens, chunks._Filler = real, kept
+
+
 def test_robots(spark):
     body = "# all\nUser-agent: pageloom/1.0\nDisallow: /private\nAllow: /private/open\nCrawl-delay: 1.5\n\nUser-agent: *\nDisallow: /\nSitemap: https://a.org/s.xml"
     two = "User-agent: x\nUser-agent: *\nDisallow: /a*b$\nDisallow:"
