@@ -13,7 +13,7 @@ ENTITIES = (("nbsp", " "), ("amp", "&"), ("lt", "<"), ("gt", ">"), ("quot", '"')
 LEVELS = ((5, "elementary"), (8, "intermediate"), (12, "advanced"))
 INTERFACE = "Copy link|Email|Facebook|Jump to|LinkedIn|Menu|Navigate to|Print|Search|Share|Skip to|Tweet"
 TEASERS = "Click here|Continue reading|Read more|See more|View all"
-_CLUTTER = "nav|menu|sidebar|advertisement|ads|social|share|comment|popup|modal"
+_CLUTTER = "ads|advertisement|comment|menu|modal|nav|popup|share|sidebar|social"
 NON_ARTICLE = tuple(rf"(?i)<{t}\b[^>]*>.*?</{t}>" for t in ("nav", "header", "footer", "aside", "form")) + tuple(rf'(?i)<div[^>]*{a}="[^"]*(?:{_CLUTTER})[^"]*"[^>]*>.*?</div>' for a in ("class", "id"))
 ATTRIBUTES = (r'(?i)\s*class="[^"]*"', r'(?i)\s*id="[^"]*"', r'(?i)\s*data-[^=]*="[^"]*"')
 

@@ -28,8 +28,8 @@ ARTICLE = "|".join(
 LIKELY = r"/(?:articles?|posts?|story|stories|news|blog)/|/\d{4}/\d{2}/"
 INCLUDED = r"(?i:/(?:blog|news|story|post|article)/)|/\d{4}/\d{2}/"
 EXCLUDED = r"(?i:/(?:about|archive|author|category|contact|login|register|search|tag)/|\.(?:doc|gif|jpe?g|mp4|pdf|png|zip)$|javascript:|mailto:)|#"
-LOCALE = r"(?i)^/[a-z]{2}(-[a-z]{2})?(/|$)"
-US_ENGLISH = r"(?i)^/en-us(/|$)"
+LOCALE = r"^/[A-Za-z][A-Za-z](?:-[A-Za-z][A-Za-z])?(?:/|$)"
+US_ENGLISH = r"^/[Ee][Nn]-[Uu][Ss](?:/|$)"
 SECTIONS = ("/news", "/blog", "/articles", "/posts", "/stories", "/press", "/updates", "/announcements", "/insights", "/resources", "/publications", "/research", "/engineering")
 SECTION_LIKE = r"(?i)^/(?:press|update|stor|article|post|blog|news)"
 SUBDOMAINS = ("ai", "blog", "blogs", "developers", "engineering", "news", "newsroom", "press", "research")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from pageloom.functions import text, urls
 from pageloom.operators import dom
-from pageloom.operators.extract import _DATED
+from pageloom.operators.extract import _DATED, DATA_BLOCKS
 
 SITEMAPS = tuple(f"/{p}" for p in "sitemap.xml sitemap_index.xml sitemaps.xml news-sitemap.xml sitemap/".split())
 FEEDS = tuple(f"/{p}" for p in "atom.xml index.xml".split()) + tuple(f"/{p}{e}" for p in ("feed", "feeds", "rss") for e in (".xml", "/")) + tuple(f"/{d}/{p}" for d in ("blog", "news") for p in ("feed/", "rss.xml"))
@@ -165,7 +165,7 @@ def _page_links(html: str, base: str, most: int) -> list[dict]:
             told = about.first(".excerpt,.summary,p") if about else None
             description = told.text().strip() if told else ""
             out.append({"ord": len(out), "url": to, "title": better if len(better) > len(title) else title, "retitled": len(better) > len(title), "date": when if _DATED.search(when) else None, "description": description or None, "structured": False})
-    for s in root.all('script[type="application/ld+json"]'):
+    for s in root.all(DATA_BLOCKS):
         try:
             block = json.loads(s.text())
         except ValueError:

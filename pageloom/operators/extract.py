@@ -29,6 +29,7 @@ PAGE_REMOVED = f"{_NOISE},aside,.newsletter-signup,{_ROLES}"
 FAST_CONTENT = ("article", "main", '[role="main"]', ".article-content", ".blog-post__body", "#content", ".content", ".entry-content", "#main-content", ".main-content", ".markdown-body", ".page-content", ".post-content")
 FALLBACK_CONTENT = (".blog-post__body", "article", ".article-content", ".post-content", ".entry-content", ".content", "main", "#content", ".story-body")
 PAGE_CONTENT = ("main", '[role="main"]', "article") + tuple(f"{m}{n}" for n, ms in (("content", ".#"), ("main-content", ".#")) for m in ms) + tuple(f".{n}" for n in ("page-content", "post-content", "entry-content", "article-content", "documentation-content", "doc-content", "wiki-content", "markdown-body"))
+DATA_BLOCKS = "script[type='application/ld+json']"
 HEADINGS = "h1,h2,h3,h4,h5,h6"
 PUBLISHED = ('[property="article:published_time"]', '[name="publish-date"]', '[name="date"]', "time[datetime]", ".publish-date", ".published", ".date")
 ARTICLE_TYPES = frozenset(("article", "blogposting", "newsarticle", "scholarlyarticle", "techarticle"))
@@ -183,7 +184,7 @@ def metadata(root: Node, url: str) -> dict:
 def json_ld(root: Node, url: str) -> list[str]:
     """Every JSON-LD block that can be read, as JSON."""
     out = []
-    for s in root.all('script[type="application/ld+json"]'):
+    for s in root.all(DATA_BLOCKS):
         try:
             out.append(json.dumps(json.loads(s.text())))
         except ValueError:
@@ -260,7 +261,7 @@ def page_type(root: Node, url: str) -> str:
         path = urlsplit(url).path.lower()
     except ValueError:
         path = ""
-    first = root.first('script[type="application/ld+json"]')
+    first = root.first(DATA_BLOCKS)
     try:
         block = json.loads(first.text()) if first else None
         kind = str(block.get("@type", "")).lower() if isinstance(block, dict) else ""

@@ -92,7 +92,7 @@ def to_markdown(html: str, paragraphs: bool = False) -> str:
     return tidy(space_sections(raw))
 
 
-_CLUTTER = "nav|menu|sidebar|advertisement|ads|social|share|comment|popup|modal"
+_CLUTTER = "ads|advertisement|comment|menu|modal|nav|popup|share|sidebar|social"
 _STRIP = [re.compile(rf"<{t}\b[^>]*>.*?</{t}>", re.I) for t in ("nav", "header", "footer", "aside", "form")]
 _STRIP += [re.compile(rf'<div[^>]*{a}="[^"]*(?:{_CLUTTER})[^"]*"[^>]*>.*?</div>', re.I) for a in ("class", "id")]
 _STRIP += [re.compile(p, re.I) for p in (r'\s*class="[^"]*"', r'\s*id="[^"]*"', r'\s*data-[^=]*="[^"]*"')]

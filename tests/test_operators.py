@@ -12,7 +12,7 @@ from pageloom.streaming import state
 
 SF = "/root/testdata/sf0.001"
 PROSE = " ".join(f"Sentence {i} tells the reader, in plain words, of river{i}, mill{i}, stone{i} and wheel{i}." for i in range(30))
-RICH = f"""<!DOCTYPE html><html lang="en"><head><title>Old mills | Site</title>
+RICH = f"""<!doctype html><html lang='en'><head><title>Old mills | Site</title>
 <meta name="description" content="About mills"><meta name="keywords" content="mills, rivers ,,water">
 <meta property="og:title" content="Old mills"><meta property="og:image" content="/i.png"><meta property="og:image" content="/j.png"><meta property="og:site_name" content="Site">
 <meta name="twitter:title" content="T"><meta name="author" content="A. Able"><link rel="canonical" href="https://x.org/mills"><link rel="icon" href="/f.ico">
