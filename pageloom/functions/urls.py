@@ -42,7 +42,7 @@ _LANGUAGES = "de es fr it ja ko nl pl pt ru zh"
 DENIED = tuple(sorted({"/", *(f"/{p}" for p in f"{_WITH_CHILDREN} {_ALONE}".split()), *(f"/{p}/*" for p in f"{_WITH_CHILDREN} {_CHILDREN_ONLY} {_LOCALES} {_LANGUAGES}".split())}))
 
 PRIVATE_HOST = (
-    r"^(?i)(?:localhost|0\.0\.0\.0|\[?::1\]?|0\..*|10\..*|127\..*|169\.254\..*|192\.168\..*|172\.(?:1[6-9]|2[0-9]|3[01])\..*|\[?(?:fc00:|fd00:|fe80:|::ffff:(?:0\.|10\.|127\.|192\.168\.|172\.(?:1[6-9]|2[0-9]|3[01])\.)).*|.*\.(?:local|internal|localhost))$"
+    r"^(?i)(?:localhost|0\.0\.0\.0|\[?::1\]?|0\..*|10\..*|127\..*|169\.254\..*|192\.168\..*|172\.(?:1[6-9]|2\d|3[01])\..*|\[?(?:fc00:|fd00:|fe80:|::ffff:(?:0\.|10\.|127\.|192\.168\.|172\.(?:1[6-9]|2\d|3[01])\.)).*|.*\.(?:local|internal|localhost))$"
 )
 
 

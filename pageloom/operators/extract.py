@@ -276,7 +276,7 @@ def page_type(root: Node, url: str) -> str:
             return name
     if root.first("article,.post-content"):
         return "article"
-    if root.first('.product-page,.product-detail,[itemtype*="Product"]'):
+    if root.first('[itemtype*="Product"],.product-detail,.product-page'):
         return "product"
     return "landing" if path in ("", "/") else "generic"
 
