@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from pageloom.llm import shared, wordhash
 from pageloom.llm.components import components
-from pageloom.llm.postings import BUCKET, bucket_of, chunk_of, estimated_words, read, runs, stable_order
+from pageloom.llm.postings import BUCKET, bucket_of, chunk_of, estimated_words, read, read_steps, runs, squeeze, stable_order, unsqueeze
 
 N = 3
 THRESHOLD = 0.5
@@ -87,7 +87,7 @@ def _pack(n: int, buckets: int):
                 for a, b in zip(cuts, cuts[1:]):
                     r = runs(doc[a:b])
                     of = doc[a:b][r[:-1]]
-                    for name, x in zip(out, (int(bucket[a]), hashes[a:b].tobytes(), ids[of].tobytes(), np.diff(r).astype(np.uint32).tobytes(), size[of].astype(np.uint32).tobytes())):
+                    for name, x in zip(out, (int(bucket[a]), hashes[a:b].tobytes(), np.diff(ids[of], prepend=0).tobytes(), squeeze(np.diff(r)), size[of].astype(np.uint32).tobytes())):
                         out[name].append(x)
                 if out["bucket"]:
                     yield shared.rows(_PACKED, **out)
@@ -99,8 +99,8 @@ def _count(chunks: int):
     """Shingles of two documents or more, with the class of their number: quarter powers of two."""
 
     def count(key: tuple, group: pa.Table) -> pa.Table:
-        counts = read(group, "counts", np.uint32)
-        hashes, doc, size = read(group, "hashes", np.uint64), np.repeat(read(group, "docs", np.int64), counts), np.repeat(read(group, "sizes", np.uint32), counts)
+        counts = np.concatenate([unsqueeze(x) for x in group.column("counts").to_pylist()])
+        hashes, doc, size = read(group, "hashes", np.uint64), np.repeat(read_steps(group, "docs"), counts), np.repeat(read(group, "sizes", np.uint32), counts)
         order = np.argsort(hashes, kind="stable")
         hashes = hashes[order]
         same = np.zeros(len(hashes) + 1, bool)

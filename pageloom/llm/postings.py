@@ -55,6 +55,12 @@ def read(table: pa.Table, column: str, kind: type) -> np.ndarray:
     return np.concatenate(blobs) if blobs else np.zeros(0, kind)
 
 
+def read_steps(table: pa.Table, column: str) -> np.ndarray:
+    """The packed arrays of a column that hold the differences of int64 numbers, which compress where ids ascend."""
+    blobs = [np.cumsum(np.frombuffer(x.as_buffer(), np.int64)) for x in table.column(column) if x.is_valid]
+    return np.concatenate(blobs) if blobs else np.zeros(0, np.int64)
+
+
 def squeeze(deltas: np.ndarray) -> bytes:
     """Non-negative integers, one byte each below 255; larger ones follow in a tail of 4 bytes each."""
     big = deltas >= 255
