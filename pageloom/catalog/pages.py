@@ -183,9 +183,9 @@ def feed_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def scrape_site(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The listing query over all sites: sitemaps, ranking, extraction, scores."""
+    """The listing query over all pages of all sites: sitemaps, extraction, scores."""
     candidates = discover.sitemap_candidates(discover.sitemap_entries(_sitemap(spark, sf_dir)), F.lit("2024-02-01").cast("timestamp"))
-    config = pipeline.ScrapeConfig(deny=("/",), most=1000, threshold=0.3)
+    config = pipeline.ScrapeConfig(deny=("/",), most=None, threshold=0.3)
     everything = candidates.withColumn("url", F.regexp_replace("url", "/(en|de|fr|es)/", "/en-us/"))
     corpus = read(spark, sf_dir, "pages").select(F.regexp_replace("url", "/(en|de|fr|es)/", "/en-us/").alias("url"), "html")
     return pipeline.scrape(everything, corpus, config).select("url", "title", "confidence", "quality_score", "word_count")

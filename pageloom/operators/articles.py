@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pageloom.functions import urls
+
 #: Articles kept of one source.
 MOST = 1000
 FULL_CONTENT = 2000
@@ -22,6 +24,13 @@ def rank(df: DataFrame, most: int = MOST, confidence: str = "confidence", publis
     return df.orderBy(F.desc(confidence), F.desc(published), guid).limit(most)
 
 
+def rank_sites(df: DataFrame, most: int | None = MOST, url: str = "url", confidence: str = "confidence", published: str = "published_at", guid: str = "guid") -> DataFrame:
+    """Of each site the best as ``rank`` orders them, or all if ``most`` is None."""
+    if most is None:
+        return df
+    return quota(df.withColumn("_site", urls.domain(F.col(url))), "_site", most, F.desc(confidence), F.desc(published), F.col(guid)).drop("_site")
+
+
 def quota(df: DataFrame, group: str, most: int, *order: Column) -> DataFrame:
     """The first ``most`` rows of each group."""
     return df.withColumn("_n", F.row_number().over(W.partitionBy(group).orderBy(*order))).where(F.col("_n") <= most).drop("_n")

@@ -44,12 +44,12 @@ class Plugins:
 class ScrapeConfig:
     allow: tuple[str, ...] = ()
     deny: tuple[str, ...] = urls.DENIED
-    most: int = 10
+    most: int | None = 10
     threshold: float = 0.3
     weights: quality.Weights = quality.Weights()
 
     def __post_init__(self) -> None:
-        if self.most < 1 or not 0 <= self.threshold <= 1:
+        if (self.most is not None and self.most < 1) or not 0 <= self.threshold <= 1:
             raise ConfigError("most must be positive and threshold from 0 to 1")
 
 
@@ -95,15 +95,15 @@ def scored(df: DataFrame, weights: quality.Weights = quality.Weights()) -> DataF
 
 
 def scrape(candidates: DataFrame, corpus: DataFrame, config: ScrapeConfig = ScrapeConfig(), plugins: Plugins | None = None) -> DataFrame:
-    """The listing query: candidates are filtered by path, deduplicated and ranked, their bodies looked up in the corpus
-    (url, html), extracted, scored, and kept from the threshold on."""
+    """The listing query: candidates are filtered by path, deduplicated and ranked, the best
+    ``most`` of each site (None: all) looked up in the corpus (url, html), extracted, scored, and kept from the threshold on."""
     plugins = plugins or Plugins()
     found = candidates
     for hook in plugins.before:
         found = hook(found)
     found = found.where(~urls.denied(F.col("url"), config.deny))
     found = urls.apply_path_filters(found, "url", allow=config.allow, skip_allow=not config.allow)
-    ranked = articles.rank(articles.dedupe(found.withColumn("ord", F.col("guid"))).drop("ord"), config.most)
+    ranked = articles.rank_sites(articles.dedupe(found.withColumn("ord", F.col("guid"))).drop("ord"), config.most)
     bodies = extract_articles(corpus.join(ranked.select("url"), "url", "left_semi")).select("url", *(F.col(c).alias(f"x_{c}") for c in ("title", "html", "text", "word_count", "reading_time", "byline", "schema_type", "excerpt")))
     joined = ranked.join(bodies, "url", "left")
     c = F.col

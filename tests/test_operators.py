@@ -251,6 +251,19 @@ def test_scrape(spark):
         pipeline.ScrapeConfig(most=0)
 
 
+def test_scrape_cuts_by_site(spark):
+    candidates = spark.createDataFrame([(f"https://{h}.org/blog/{i}", f"A title of {i}", i, None, None, f"{h}{i}", 0.6, "sitemap") for h in "xyz" for i in range(4)], "url string, title string, at int, content string, excerpt string, guid string, confidence double, source string")
+    candidates = candidates.withColumn("published_at", F.make_date(F.lit(2024) - F.when(F.col("guid").startswith("z"), 9).otherwise(0), F.lit(1), F.col("at") + 1).cast("timestamp"))
+    corpus = candidates.select("url", F.lit(RICH).alias("html"))
+    got = lambda most: sorted(r.guid for r in pipeline.scrape(candidates, corpus, pipeline.ScrapeConfig(most=most)).collect())
+    assert got(2) == ["x2", "x3", "y2", "y3", "z2", "z3"] and len(got(None)) == 12
+
+
+def test_scrape_site_has_no_limit(spark):
+    """At sf0.1 more articles pass than the 1000 that were once ranked first."""
+    assert QUERIES["scrape_site"](spark, "/root/testdata/sf0.1").count() > 1000
+
+
 def test_parse_and_smart(spark, rich):
     inputs = spark.createDataFrame([(1, "https://x.org/page/mills"), (2, RICH), (3, "words"), (4, "https://nowhere.org/")], "id long, input string")
     got = {r.id: r for r in pipeline.parse(inputs, rich).collect()}
