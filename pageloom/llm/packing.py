@@ -115,9 +115,15 @@ def measured(docs: DataFrame, tokenizer: str = TOKENIZER, source: str | None = "
     return texts.mapInArrow(measure, "doc_id long, source string, cluster long, n_tokens long")
 
 
-def pack(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, part_tokens: int = PART_TOKENS, source: str | None = "source", cluster: str | None = None) -> DataFrame:
-    """(bin, slot, doc_id, first_token, n_tokens, bin_tokens): a row for each document, or piece of a long one."""
-    items = shared.store(measured(docs, tokenizer, source, cluster).where("n_tokens > 0"), "items")
+def pack(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, part_tokens: int = PART_TOKENS, source: str | None = "source", cluster: str | None = None, groups: DataFrame | None = None) -> DataFrame:
+    """(bin, slot, doc_id, first_token, n_tokens, bin_tokens): a row for each document, or piece of a long one.
+
+    ``groups`` (doc_id, group) are clusters that go before those of ``measured``.
+    """
+    items = measured(docs, tokenizer, source, cluster).where("n_tokens > 0")
+    if groups is not None:
+        items = items.join(groups.select("doc_id", "group"), "doc_id", "left").select("doc_id", "source", F.coalesce("group", "cluster").alias("cluster"), "n_tokens")
+    items = shared.store(items, "items")
     parts = shared.buckets_for(items.agg(F.sum("n_tokens")).first()[0] or 0, part_tokens)
     dealt = items.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)))
     return dealt.groupBy("part").applyInArrow(_pack(capacity), "bin long, slot int, doc_id long, first_token long, n_tokens long, bin_tokens long")

@@ -229,6 +229,20 @@ def test_packing_holds_all_tokens(spark, docs):
         assert sorted(r.slot for r in rs) == list(range(len(rs)))
 
 
+def test_packing_parts_near_copies(spark, tmp_path):
+    """No bin of the query holds two documents of a group of near copies, whatever their sources are."""
+    from pageloom.llm import queries
+
+    rows = [(i, t, None) for i, t, _ in ROWS]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    group, bins = brute_groups(rows), defaultdict(list)
+    texts = {i: tuple(words(t)) for i, t, _ in rows}
+    for r in queries.op10_bestfit_packing(spark, str(tmp_path)).collect():
+        bins[r.bin].append(group.get(r.doc_id, r.doc_id))
+    assert len({texts[i] for i in group}) > len(set(group.values())) and max(map(len, bins.values())) > 1
+    assert sum(map(len, bins.values())) == len(rows) and all(len(set(b)) == len(b) for b in bins.values())
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.tiktoken", "byte_bpe_50k.json", "piece_bpe_32k.model"])
 def test_tokens_round_trip(spark, docs, name):
     path, file = shared.new_path(spark, "tokens"), f"/opt/tokenizers/{name}"
