@@ -8,6 +8,8 @@ matches one is allowed, whatever blocks it or its aliases, and a block rule that
 matches as well is not passed on to its aliases.  Allowing isn't passed on, so a
 redirect to an allowed site launders nothing.
 
+Targets in a page may be relative, and character references in them are decoded.
+
 Rules are rows (kind, value, action): kind "domain" matches a host and all hosts
 under it, kind "url" a URL by its normal form; action is "block" or "allow".
 
@@ -19,6 +21,12 @@ an empty table gives an empty result; other columns don't matter.
 
 from __future__ import annotations
 
+import html
+import re
+from collections.abc import Iterator
+from urllib.parse import urljoin
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,8 +36,13 @@ from pageloom.llm.components import components
 RULES = "kind string, value string, action string"
 _SPLIT = r"^([A-Za-z][A-Za-z0-9+.-]*://)?([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
 _LINK = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
+_BASE = r"(?is)<base\b[^>]*>"
 _REFRESH = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
 
+_SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://")
+#: What comes before the target in a refresh.
+_DELAY = re.compile(r"\s*(?:[\d.]+\s*(?:[;,]|\s|$)\s*(?:url\s*=\s*)?|url\s*=\s*)", re.I)
+
 
 def host(url: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract(F.trim(url), _SPLIT, 2)), r"^.*@", ""), r":\d*$", "")
@@ -43,12 +56,40 @@ def normal_form(url: Column) -> Column:
     return F.concat(F.lit("http://"), F.regexp_replace(host(url), r"^(www|m)\.", ""), path, query)
 
 
+def _attribute(tag: str, name: str) -> Column:
+    """The value of an attribute of the page's first such tag, as written, without quotes."""
+    value = F.regexp_extract(F.regexp_extract("html", tag, 0), rf"(?is)[\s\"']{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*)", 1)
+    return F.regexp_replace(value, "(?s)^([\"'])(.*)\\1$", "$2")
+
+
+def resolve(url: str, base: str, target: str) -> str | None:
+    """Where ``target`` leads from a page; ``base`` is what its ``base`` element has, or empty."""
+    if not (target := re.sub(r"[\t\r\n]", "", target).strip()):
+        return None
+    url = url.strip()
+    try:
+        return urljoin(urljoin(url if _SCHEME.match(url) else f"http://{url}", base.strip()), target)
+    except ValueError:
+        return None
+
+
+def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for url, base, canonical, refresh in zip(*(c.to_pylist() for c in batch.columns)):
+            base = html.unescape(base)
+            refresh = html.unescape(refresh)
+            after = refresh[delay.end() :] if (delay := _DELAY.match(refresh)) else ""
+            after = after[1:].split(after[0])[0] if after[:1] in ("'", '"') else after
+            rows += [(url, to) for to in (resolve(url, base, html.unescape(canonical)), resolve(url, base, after)) if to]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], ["src", "dst"])
+
+
 def page_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst): absolute canonical links and refresh targets of pages (url, html)."""
-    href = F.regexp_extract(F.regexp_extract("html", _LINK, 0), r"(?i)\bhref\s*=\s*[\"']?([^\s\"'>]+)", 1)
-    refresh = F.regexp_extract(F.regexp_extract("html", _REFRESH, 0), r"(?i)url\s*=\s*['\"]?([^\s\"'>]+)", 1)
-    some = pages.where(F.lower("html").rlike("canonical|http-equiv"))
-    return some.select(F.col("url").alias("src"), F.explode(F.array(href, refresh)).alias("dst")).where(F.col("dst").rlike("(?i)^https?://"))
+    """(src, dst): canonical links and refresh targets of pages (url, html), resolved against the page's URL or its base element."""
+    some = pages.where("url IS NOT NULL").where(F.lower("html").rlike("canonical|http-equiv"))
+    written = some.select("url", _attribute(_BASE, "href").alias("base"), _attribute(_LINK, "href").alias("canonical"), _attribute(_REFRESH, "content").alias("refresh"))
+    return written.where("canonical <> '' OR refresh <> ''").mapInArrow(_edges, "src string, dst string").where(F.col("dst").rlike("(?i)^https?://[^/?#]"))
 
 
 def rules_frame(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:

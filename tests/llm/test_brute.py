@@ -309,6 +309,28 @@ def test_aliases(spark):
     assert part[0] == part[1] and part[2] == part[3] and part[4] == part[6] == part[7] != part[2]
 
 
+def test_aliases_by_relative_targets(spark):
+    link, refresh = '<link rel="canonical" href="{}">'.format, '<meta http-equiv="refresh" content="0; url={}">'.format
+    want = {
+        "http://a.org/x/1": (link("/p?a=1&amp;b=2"), "http://a.org/p?a=1&b=2"),
+        "http://a.org/x/2": (link("page.html"), "http://a.org/x/page.html"),
+        "https://a.org/x/y/3": (refresh("../up"), "https://a.org/x/up"),
+        "https://a.org/4": (refresh("//bad.org/q"), "https://bad.org/q"),
+        "http://a.org/5": ("<meta http-equiv=refresh content='3;URL=\"//bad.org/r?x=1&#38;y=2\"'>", "http://bad.org/r?x=1&y=2"),
+        "http://a.org/6": ('<base href="//c.org/d/">' + link(" e "), "http://c.org/d/e"),
+        "a.org/7": (link("/s"), "http://a.org/s"),
+        "http://a.org/8": (link("http://d.org/z?u=1&amp;v=2"), "http://d.org/z?u=1&v=2"),
+        "http://a.org/9": (link("mailto:x@bad.org") + refresh("") + "<meta http-equiv=refresh content=5>", None),
+        "http://a.org/10": (link("http://[bad"), None),
+    }
+    rows = [(k, u, h) for k, (u, (h, _)) in enumerate(want.items())] + [(90, "https://www.bad.org/q", ""), (91, "http://d.org/z?u=1&v=2", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted(tuple(r) for r in url_filter.page_edges(pages).collect())
+    assert got == sorted((u, to) for u, (_, to) in want.items() if to)
+    found = {r.page_id: r for r in url_filter.decide(pages, url_filter.rules_frame(spark, [("domain", "bad.org", "block"), ("url", "http://a.org/x/page", "block")])).collect()}
+    assert {k for k, r in found.items() if r.decision == "block"} == {1, 3, 4, 90} and found[7].component == found[91].component
+
+
 @pytest.mark.parametrize("shape", [(16, 16, 3), (37, 53, 3), (20, 9)])
 @pytest.mark.parametrize("interval", [0, 1, 2])
 def test_jpeg(shape, interval):
