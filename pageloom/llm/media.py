@@ -74,18 +74,24 @@ def _idx1(data: bytes, index: tuple[int, int], movi: int, names: set[bytes]) ->
 
 
 def _opendml(data: bytes, at: int, end: int, depth: int = 0) -> list[tuple[int, int]]:
-    """The frames of an ``indx`` or ``ix`` chunk's body."""
+    """The frames of an ``indx`` or ``ix`` chunk's body, none if any part of the index is missing."""
     if end - at < 24:
         return []
     longs, _, kind, n = struct.unpack_from("<HBBI", data, at)
     out: list[tuple[int, int]] = []
     if kind == 0 and depth == 0 and longs == 4:
-        for i in range(min(n, (end - at - 24) // 16)):
+        if n > (end - at - 24) // 16:
+            return []
+        for i in range(n):
             offset, size, _ = struct.unpack_from("<QII", data, at + 24 + 16 * i)
-            out += _opendml(data, offset + 8, min(offset + size, len(data)), 1)
+            if not (found := _opendml(data, offset + 8, min(offset + size, len(data)), 1)):
+                return []
+            out += found
     elif kind == 1 and longs == 2:
         base = struct.unpack_from("<Q", data, at + 12)[0]
-        for i in range(min(n, (end - at - 24) // 8)):
+        if n > (end - at - 24) // 8:
+            return []
+        for i in range(n):
             offset, size = struct.unpack_from("<II", data, at + 24 + 8 * i)
             out.append((base + offset, size & 0x7FFFFFFF))
     return out if all(0 <= a and a + n <= len(data) for a, n in out) else []

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import struct
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -355,6 +356,34 @@ def test_avi_index(index):
     assert [data[a : a + n] for a, n in video.frames] == frames
 
 
+@pytest.mark.parametrize("later", ["short", "missing"])
+def test_part_of_an_opendml_index_is_none(later):
+    frames = [jpeg.encode(np.full((8, 8), 20 * k, np.uint8)) for k in range(5)]
+    data = bytearray(media.write_avi(frames, 8, 8, 10, "opendml"))
+    at = data.index(b"indx") + 8
+    offset = struct.unpack_from("<Q", data, at + 24)[0]
+    if later == "short":
+        struct.pack_into("<I", data, at + 32, 8 + 24 + 8 * 2)
+    else:
+        struct.pack_into("<I", data, offset + 8 + 4, 2)
+        room = struct.unpack_from("<I", data, at - 4)[0] - 24
+        entry = struct.pack("<QII", len(data) + 100, 64, 3)
+        if room < 32:
+            data[at + 40 : at + 40] = entry
+            for size in (4, 16, at - 4):
+                struct.pack_into("<I", data, size, struct.unpack_from("<I", data, size)[0] + 16)
+            strl = data.index(b"strl") - 4
+            struct.pack_into("<I", data, strl, struct.unpack_from("<I", data, strl)[0] + 16)
+            struct.pack_into("<Q", data, at + 24, offset + 16)
+            where = offset + 16 + 8 + 12
+            struct.pack_into("<Q", data, where, struct.unpack_from("<Q", data, where)[0] + 16)
+        else:
+            data[at + 40 : at + 56] = entry
+        struct.pack_into("<I", data, at + 4, 2)
+    data = bytes(data)
+    assert [data[a : a + n] for a, n in media.parse(data).frames] == frames
+
+
 def test_shots_of_drawn_media():
     r = np.random.default_rng(2)
     for k in range(60):
