@@ -2,7 +2,7 @@
 
 Each round is two aggregations and joins over the edges, whose number never grows
 beyond the first round's; the number of rounds grows with the logarithm of the
-longest path.  Each round is checkpointed.
+longest path.  Each round is stored in the shared folder.
 """
 
 from __future__ import annotations
@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 from pageloom.llm import shared
 
-MOST_ROUNDS = 100
-
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -37,14 +35,14 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     Edges have no direction; repeated ones, loops and ones with a null end don't matter.
     """
     a, b = F.col(src), F.col(dst)
-    now = shared.cut(edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+    linked = edges.where(a.isNotNull() & b.isNotNull() & (a != b))
+    now = shared.store(linked.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
     state = _state(now)
-    for _ in range(MOST_ROUNDS if state[0] else 0):
-        now = shared.cut(_small_star(_large_star(now)))
+    while state[0]:
+        before, now = now, shared.store(_small_star(_large_star(now)), "edges")
+        shared.discard(before)
         if (new := _state(now)) == state:
             break
         state = new
-    else:
-        if state[0]:
-            raise RuntimeError(f"no fixed point after {MOST_ROUNDS} rounds")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

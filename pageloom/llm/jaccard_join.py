@@ -6,15 +6,19 @@ their l-prefixes, the first ``size - ceil(t * size) + l`` ones, for every l.  Ea
 document takes the l of least estimated cost: candidates are verified only if they
 share min(l of the one, l of the other) prefix shingles.  The join is exact.
 
-1. Shingle hashes are counted in packed buckets.  Those of one document only come
+1. Of the texts with the same set that a task meets together, one goes on for all.
+2. Shingle hashes are counted in packed buckets.  Those of one document only come
    first in its prefix and find nothing; the others go back to their documents,
-   unless the unique ones fill the prefix.  Then l is chosen.
-2. Documents with the same set are collapsed into one.
+   unless the unique ones fill the prefix, as numbers of 4 to 6 bytes.  Then l is
+   chosen, and the sets that are still the same are collapsed into one.
 3. Prefix shingles meet in packed buckets; each posting list goes to the leader,
-   its least document, so that the lists of a group of copies come together and
-   candidates are counted there.  A leader's long lists are spread.
+   its least document, so that the lists of a group of near copies come together
+   and candidates are counted there.  Lists with the same members count as one of
+   their number.  A list of over ``LIST_BLOCK`` documents is cut into blocks, and
+   its pairs of blocks are spread.
 4. Candidates are verified by blocks of a leader; a set is sent once to a block,
-   however many partners it has there.
+   however many partners it has there.  A block gives each document's number of
+   links and its root within the block, so that pairs needn't be listed.
 
 Words are those of ``wordhash`` kind "plain"; a text of fewer than ``n`` words has
 one shingle, all its words.
@@ -30,6 +34,7 @@ don't matter and come back as they were.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +43,7 @@ from pyspark.sql import functions as F
 
 from pageloom.llm import shared, wordhash
 from pageloom.llm.components import components
-from pageloom.llm.postings import BUCKET, bucket_of, chunk_of, estimated_words, read, read_steps, runs, squeeze, stable_order, unsqueeze
+from pageloom.llm.postings import BUCKET, BYTES_PER_WORD, bucket_of, chunk_of, narrow, read, read_narrow, read_squeezed, runs, squeeze, stable_order, text_size, unsqueeze, widen
 
 N = 3
 THRESHOLD = 0.5
@@ -46,20 +51,27 @@ THRESHOLD = 0.5
 LONGEST = 6
 #: Cost of verifying a candidate, in postings read.
 VERIFY_COST = 8.0
-#: Pairs of one list, and of one leader, from which they are spread over several tasks.
+#: Pairs of one leader from which they are spread over several tasks.
 SPREAD = 2_000_000
+#: Documents of a posting list that are paired in one piece.
+LIST_BLOCK = 1_000
 #: Sets in one block of verification.
 BLOCK = 8_000
+#: Repeated doc_ids that a task can hold; with more of them texts aren't collapsed where they are read.
+MOST_REPEATED = 100_000
 #: Pairs made at once in a task.
 _EVENTS = 1_000_000
-
-_PACKED = pa.schema([("bucket", pa.int32()), ("hashes", pa.binary()), ("docs", pa.binary()), ("counts", pa.binary()), ("sizes", pa.binary())])
-_COMMON = pa.schema([("chunk", pa.int32()), ("hashes", pa.binary()), ("classes", pa.binary()), ("docs", pa.binary()), ("counts", pa.binary()), ("sizes", pa.binary())])
-_SETS = pa.schema([("doc_id", pa.int64()), ("size", pa.int32()), ("shared", pa.int32()), ("l", pa.int32()), ("prefix", pa.int32()), ("hashes", pa.binary())])
-_PREFIX = pa.schema([("bucket", pa.int32()), ("hashes", pa.binary()), ("docs", pa.binary()), ("counts", pa.binary()), ("sizes", pa.binary()), ("ls", pa.binary())])
-_LISTS = pa.schema([("part", pa.int32()), ("leaders", pa.binary()), ("lengths", pa.binary()), ("docs", pa.binary()), ("sizes", pa.binary()), ("ls", pa.binary())])
+#: Bytes of a hash within its bucket: with buckets of ``BUCKET`` hashes a chance of false matches no greater than that of 64 bits.
+_HASH = 7
+
+_PACKED = pa.schema([("bucket", pa.int32()), ("hashes", pa.binary()), ("docs", pa.binary()), ("counts", pa.binary()), ("sizes", pa.binary()), ("copies", pa.binary())])
+_COMMON = pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("ranks", pa.binary()), ("classes", pa.binary()), ("docs", pa.binary()), ("counts", pa.binary()), ("owners", pa.binary()), ("sizes", pa.binary()), ("copies", pa.binary())])
+_SETS = pa.schema([("doc_id", pa.int64()), ("size", pa.int32()), ("shared", pa.int32()), ("l", pa.int32()), ("prefix", pa.int32()), ("head", pa.binary()), ("rest", pa.binary()), ("same_as", pa.int64())])
+_PREFIX = pa.schema([("bucket", pa.int32()), ("tokens", pa.binary()), ("docs", pa.binary()), ("counts", pa.binary()), ("sizes", pa.binary()), ("ls", pa.binary())])
+_LISTS = pa.schema([("part", pa.int32()), ("leaders", pa.binary()), ("lengths", pa.binary()), ("lefts", pa.binary()), ("docs", pa.binary()), ("sizes", pa.binary()), ("ls", pa.binary())])
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int32()), ("need", pa.int32()), ("leader", pa.int64())])
 _FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("jaccard", pa.float64())])
+_LINKS = pa.schema([("doc_id", pa.int64()), ("root", pa.int64()), ("links", pa.int64())])
 
 
 def _ddl(schema: pa.Schema) -> str:
@@ -71,23 +83,64 @@ def _table(schema: pa.Schema, **columns) -> pa.Table:
     return pa.Table.from_batches([shared.rows(schema, **columns)], schema)
 
 
-def _pack(n: int, buckets: int):
+def _token_width(total: int) -> int:
+    """Bytes that hold the number of any shared shingle of ``total`` bytes of text.
+
+    A shingle needs two bytes of text and a shared one two places, so there are at
+    most total / 4; buckets are filled evenly, and a factor of two is left for that.
+    """
+    return max(4, -(-(total // 2 + 1).bit_length() // 8))
+
+
+def _same_sets(hashes: np.ndarray, owner: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each text the first one with the same set, by 128 bits of the sets."""
+    begin = np.append(0, np.cumsum(size))
+    sums = []
+    for salt in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+        total = np.append(np.zeros(1, np.uint64), np.cumsum(wordhash.mix(hashes ^ np.uint64(salt))))
+        sums.append(total[begin[1:]] - total[begin[:-1]])
+    order = np.lexsort((np.arange(len(size)), sums[1], sums[0], size))
+    new = np.ones(len(size), bool)
+    for x in (size, *sums):
+        new[1:] &= x[order][1:] == x[order][:-1]
+    new[1:] = ~new[1:]
+    first = np.empty(len(size), np.int64)
+    first[order] = np.repeat(order[new], np.diff(np.append(np.flatnonzero(new), len(size))))
+    return first
+
+
+def _pack(n: int, buckets: int, repeated: np.ndarray | None):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in wordhash.slices(batch, limit=4 << 20):
+                part = part.take(pa.array(np.argsort(part.column("doc_id").to_numpy(), kind="stable")))
                 w = wordhash.words(part.column("text"), "plain")
                 hashes, doc = wordhash.shingles(w.hashes, w.doc, n)
                 size = np.bincount(doc, minlength=part.num_rows)
+                ids = part.column("doc_id").to_numpy()
+                copies = b""
+                if repeated is not None:
+                    first = _same_sets(hashes, doc, size)
+                    goes = (first != np.arange(len(ids))) & (size > 0) & ~np.isin(ids, repeated) & ~np.isin(ids[first], repeated)
+                    copies = np.stack([ids[goes], ids[first[goes]]], 1).tobytes()
+                    stays = ~goes[doc]
+                    hashes, doc = hashes[stays], doc[stays]
                 bucket = bucket_of(hashes, buckets)
+                # a text's size goes to one bucket only, that of its first hash
+                opens = np.append(True, doc[1:] != doc[:-1]) if len(doc) else np.zeros(0, bool)
                 order = stable_order(bucket, buckets)
-                hashes, doc, bucket = hashes[order], doc[order], bucket[order]
-                ids = part.column("doc_id").to_numpy()
+                hashes, doc, bucket, opens = hashes[order], doc[order], bucket[order], opens[order]
                 out: dict[str, list] = {k: [] for k in _PACKED.names}
                 cuts = runs(bucket)
                 for a, b in zip(cuts, cuts[1:]):
                     r = runs(doc[a:b])
                     of = doc[a:b][r[:-1]]
-                    for name, x in zip(out, (int(bucket[a]), hashes[a:b].tobytes(), np.diff(ids[of], prepend=0).tobytes(), squeeze(np.diff(r)), size[of].astype(np.uint32).tobytes())):
+                    sizes = np.where(np.logical_or.reduceat(opens[a:b], r[:-1]), size[of], 0)
+                    for name, x in zip(out, (int(bucket[a]), narrow(hashes[a:b] - _low(int(bucket[a]), buckets), _HASH), squeeze(np.diff(ids[of], prepend=0)), squeeze(np.diff(r)), squeeze(sizes), copies)):
+                        out[name].append(x)
+                    copies = b""
+                if copies:
+                    for name, x in zip(out, (int(chunk_of(ids[:1], buckets)[0]), b"", squeeze(ids[:0]), squeeze(ids[:0]), squeeze(ids[:0]), copies)):
                         out[name].append(x)
                 if out["bucket"]:
                     yield shared.rows(_PACKED, **out)
@@ -95,35 +148,56 @@ def _pack(n: int, buckets: int):
     return pack
 
 
+def _low(bucket: int, buckets: int) -> np.uint64:
+    """The least hash of a bucket."""
+    return np.uint64(-(-(bucket << 32) // buckets) << 32)
+
+
 def _count(chunks: int):
     """Shingles of two documents or more, with the class of their number: quarter powers of two."""
 
     def count(key: tuple, group: pa.Table) -> pa.Table:
-        counts = np.concatenate([unsqueeze(x) for x in group.column("counts").to_pylist()])
-        hashes, doc, size = read(group, "hashes", np.uint64), np.repeat(read_steps(group, "docs"), counts), np.repeat(read(group, "sizes", np.uint32), counts)
-        order = np.argsort(hashes, kind="stable")
+        counts = read_squeezed(group, "counts")
+        ids, sizes = read_squeezed(group, "docs", steps=True), read_squeezed(group, "sizes")
+        entries = np.argsort(ids, kind="stable")
+        n = counts[entries]
+        take = np.repeat((np.cumsum(counts) - counts)[entries] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        hashes, doc = read_narrow(group, "hashes", _HASH)[take], np.repeat(ids[entries], n)
+        del take
+        order = wordhash.order_of(hashes)  # by document where hashes are equal
         hashes = hashes[order]
         same = np.zeros(len(hashes) + 1, bool)
         same[1:-1] = hashes[1:] == hashes[:-1]
         kept = same[1:] | same[:-1]
-        hashes, doc, size = hashes[kept], doc[order[kept]], size[order[kept]]
-        order = np.lexsort((-size.astype(np.int64), doc, hashes))
-        hashes, doc, size = hashes[order], doc[order], size[order]
+        hashes, doc = hashes[kept], doc[order[kept]]
+        del order, same, kept
         fresh = np.ones(len(hashes), bool)
         fresh[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
-        hashes, doc, size = hashes[fresh], doc[fresh], size[fresh]
+        # a document's size is its texts' sizes less what they have twice
+        ids, sizes = np.concatenate([ids, doc[~fresh]]), np.concatenate([sizes, np.full((~fresh).sum(), -1)])
+        ids, sizes = ids[sizes != 0], sizes[sizes != 0]
+        hashes, doc = hashes[fresh], doc[fresh]
         df = np.diff(runs(hashes))
+        number = np.repeat(np.cumsum(df > 1) - 1, df)
         df = np.repeat(df, df)
         many = df > 1
-        hashes, doc, size, kind = hashes[many], doc[many], size[many], np.floor(4 * np.log2(df[many])).astype(np.uint8)
+        doc, rank, kind = doc[many], number[many].astype(np.uint32), np.floor(4 * np.log2(df[many])).astype(np.uint8)
         chunk = chunk_of(doc, chunks)
-        order = np.lexsort((doc, chunk))
-        hashes, doc, size, kind, chunk = hashes[order], doc[order], size[order], kind[order], chunk[order]
+        order = np.argsort(doc, kind="stable")
+        order = order[stable_order(chunk[order], chunks)]
+        doc, rank, kind, chunk = doc[order], rank[order], kind[order], chunk[order]
+        owners, where = np.unique(ids, return_inverse=True)
+        sizes = np.bincount(where, sizes, len(owners)).astype(np.int64)
+        order = np.argsort(home := chunk_of(owners, chunks), kind="stable")
+        owners, sizes, home = owners[order], sizes[order], home[order]
+        copies = read(group, "copies", np.int64).reshape(-1, 2)
+        order = np.argsort(goal := chunk_of(copies[:, 0], chunks), kind="stable")
+        copies, goal = copies[order], goal[order]
         out: dict[str, list] = {k: [] for k in _COMMON.names}
-        cuts = runs(chunk)
-        for a, b in zip(cuts, cuts[1:]):
+        for c in np.union1d(np.union1d(chunk, home), goal).tolist():
+            (a, b), (i, j), (p, q) = (np.searchsorted(x, (c, c + 1)) for x in (chunk, home, goal))
             r = runs(doc[a:b])
-            for name, x in zip(out, (int(chunk[a]), hashes[a:b].tobytes(), kind[a:b].tobytes(), doc[a:b][r[:-1]].tobytes(), np.diff(r).astype(np.uint32).tobytes(), size[a:b][r[:-1]].tobytes())):
+            for name, x in zip(out, (c, key[0].as_py(), rank[a:b].tobytes(), kind[a:b].tobytes(), squeeze(np.diff(doc[a:b][r[:-1]], prepend=0)), squeeze(np.diff(r)), squeeze(np.diff(owners[i:j], prepend=0)), squeeze(sizes[i:j]), copies[p:q].tobytes())):
                 out[name].append(x)
         return _table(_COMMON, **out)
 
@@ -149,23 +223,47 @@ def choose_l(df: np.ndarray, cut: np.ndarray, base: np.ndarray, limit: np.ndarra
     return best
 
 
-def _assemble(t: float, longest: int):
+def _assemble(t: float, longest: int, buckets: int, width: int):
     def assemble(key: tuple, group: pa.Table) -> pa.Table:
-        counts = read(group, "counts", np.uint32)
-        hashes, kind = read(group, "hashes", np.uint64), read(group, "classes", np.uint8)
-        doc, size = np.repeat(read(group, "docs", np.int64), counts), np.repeat(read(group, "sizes", np.uint32), counts)
-        order = np.lexsort((hashes, kind, doc))
-        hashes, kind, doc, size = hashes[order], kind[order], doc[order], size[order]
-        cut = runs(doc)
+        docs, counts, ranks = [], [], []
+        for bucket, d, n, r in zip(*(group.column(c).to_pylist() for c in ("bucket", "docs", "counts", "ranks"))):
+            docs.append(np.cumsum(unsqueeze(d)))
+            counts.append(unsqueeze(n))
+            ranks.append(np.frombuffer(r, np.uint32).astype(np.uint64) * np.uint64(buckets) + np.uint64(bucket))
+        ids, number = np.unique(np.concatenate(docs), return_inverse=True)
+        tokens, number = np.concatenate(ranks) | read(group, "classes", np.uint8).astype(np.uint64) << np.uint64(56), np.repeat(number, np.concatenate(counts))
+        del ranks
+        order = wordhash.order_by(number, tokens)
+        tokens, number = tokens[order], number[order]
+        kind, tokens = (tokens >> np.uint64(56)).astype(np.int64), tokens & np.uint64((1 << 56) - 1)
+        cut = np.searchsorted(number, np.arange(len(ids) + 1))
         known = np.diff(cut)
-        size = np.maximum(np.maximum.reduceat(size, cut[:-1]).astype(np.int64), known) if len(doc) else np.zeros(0, np.int64)
+        owners, sizes = read_squeezed(group, "owners", steps=True), read_squeezed(group, "sizes")
+        at = np.searchsorted(ids, owners)
+        mine = at < len(ids)
+        mine[mine] = ids[at[mine]] == owners[mine]
+        size = np.bincount(at[mine], sizes[mine], len(ids)).astype(np.int64)
         least = least_overlap(size, t)
         base = size - least + 1 - (size - known)
         ell = choose_l(2.0 ** (kind / 4), cut, base, least, longest)
         prefix = np.minimum(base + ell - 1, known)
         some = np.flatnonzero(base > 0)
-        blobs = [hashes[cut[i] : cut[i + 1]].tobytes() for i in some]
-        return _table(_SETS, doc_id=doc[cut[:-1]][some], size=size[some], shared=known[some], l=ell[some], prefix=prefix[some], hashes=blobs)
+        begin, end = cut[:-1][some], cut[1:][some]
+        heads = [narrow(tokens[a:m], width) for a, m in zip(begin, begin + prefix[some])]
+        rests = [narrow(tokens[m:b], width) for m, b in zip(begin + prefix[some], end)]
+        copies = read(group, "copies", np.int64).reshape(-1, 2)
+        none = [None] * len(copies)
+        return _table(
+            _SETS,
+            doc_id=np.concatenate([ids[some], copies[:, 0]]),
+            size=[*size[some].tolist(), *none],
+            shared=[*known[some].tolist(), *none],
+            l=[*ell[some].tolist(), *none],
+            prefix=[*prefix[some].tolist(), *none],
+            head=[*heads, *none],
+            rest=[*rests, *none],
+            same_as=[*[None] * len(some), *copies[:, 1].tolist()],
+        )
 
     return assemble
 
@@ -175,22 +273,22 @@ def least_overlap(size: np.ndarray, t: float) -> np.ndarray:
     return np.maximum(np.ceil(t * size - 1e-9).astype(np.int64), 1)
 
 
-def _send_prefix(buckets: int):
+def _send_prefix(buckets: int, width: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts = batch.column("prefix").to_numpy()
-            hashes = np.frombuffer(b"".join(batch.column("hashes").to_pylist()), np.uint64)
+            tokens = widen(b"".join(batch.column("head").to_pylist()), width)
             row = np.repeat(np.arange(batch.num_rows), counts)
-            bucket = bucket_of(hashes, buckets)
+            bucket = bucket_of(wordhash.mix(tokens), buckets)
             order = stable_order(bucket, buckets)
-            hashes, row, bucket = hashes[order], row[order], bucket[order]
+            tokens, row, bucket = tokens[order], row[order], bucket[order]
             ids, size, ell = (batch.column(c).to_numpy() for c in ("doc_id", "size", "l"))
             out: dict[str, list] = {k: [] for k in _PREFIX.names}
             cuts = runs(bucket)
             for a, b in zip(cuts, cuts[1:]):
                 r = runs(row[a:b])
                 of = row[a:b][r[:-1]]
-                for name, x in zip(out, (int(bucket[a]), hashes[a:b].tobytes(), ids[of].tobytes(), np.diff(r).astype(np.uint32).tobytes(), size[of].astype(np.uint32).tobytes(), ell[of].astype(np.uint8).tobytes())):
+                for name, x in zip(out, (int(bucket[a]), narrow(tokens[a:b], width), squeeze(np.diff(ids[of], prepend=0)), squeeze(np.diff(r)), size[of].astype(np.uint32).tobytes(), ell[of].astype(np.uint8).tobytes())):
                     out[name].append(x)
             if out["bucket"]:
                 yield shared.rows(_PREFIX, **out)
@@ -198,34 +296,49 @@ def _send_prefix(buckets: int):
     return send
 
 
-def _lists(parts: int):
+def _lists(parts: int, width: int, list_block: int):
     """Posting lists of two documents or more, sent to where their leader's are counted."""
 
     def make(key: tuple, group: pa.Table) -> pa.Table:
-        counts = read(group, "counts", np.uint32)
-        hashes = read(group, "hashes", np.uint64)
-        doc, size, ell = (np.repeat(read(group, c, k), counts) for c, k in (("docs", np.int64), ("sizes", np.uint32), ("ls", np.uint8)))
-        order = np.lexsort((doc, hashes))
-        hashes, doc, size, ell = hashes[order], doc[order], size[order], ell[order]
-        cut = runs(hashes)
+        counts = read_squeezed(group, "counts")
+        tokens = read_narrow(group, "tokens", width)
+        doc = np.repeat(read_squeezed(group, "docs", steps=True), counts)
+        size, ell = (np.repeat(read(group, c, k), counts) for c, k in (("sizes", np.uint32), ("ls", np.uint8)))
+        order = np.lexsort((doc, tokens))
+        tokens, doc, size, ell = tokens[order], doc[order], size[order], ell[order]
+        cut = runs(tokens)
         length = np.diff(cut)
-        many = np.repeat(length > 1, length)
-        first, length = cut[:-1][length > 1], length[length > 1]
-        leader = doc[first]
-        spread = 1 + length.astype(np.int64) ** 2 // 2 // SPREAD
-        salt = (hashes[first] % spread.astype(np.uint64)).astype(np.int64)
+        first, length = cut[:-1][length > 1], length[length > 1].astype(np.int64)
+        # pieces of lists: the places of a piece are two runs, the second empty in a piece that is paired with itself
+        short = length <= list_block
+        begin, n, begin2, n2 = first[short], length[short], np.zeros(short.sum(), np.int64), np.zeros(short.sum(), np.int64)
+        for f, k in zip(first[~short].tolist(), length[~short].tolist()):
+            blocks = -(-k // list_block)
+            i, j = np.triu_indices(blocks)
+            each = np.minimum(list_block, k - np.arange(blocks) * list_block)
+            begin, n = np.append(begin, f + i * list_block), np.append(n, each[i])
+            begin2, n2 = np.append(begin2, f + j * list_block), np.append(n2, np.where(i == j, 0, each[j]))
+        two = np.stack([begin, begin2], 1).ravel(), np.stack([n, n2], 1).ravel()
+        take = np.repeat(two[0] - np.append(0, np.cumsum(two[1])[:-1]), two[1]) + np.arange(two[1].sum())
+        length, left = n + n2, np.where(n2 > 0, n, 0)
+        at = np.append(0, np.cumsum(length))
+        doc, size, ell = doc[take], size[take], ell[take]
+        leader = doc[at[:-1]] if len(length) else doc[:0]
+        # lists of the same members go to the same part, where they count as one
+        total = np.append(np.zeros(1, np.uint64), np.cumsum(wordhash.mix(doc.view(np.uint64))))
+        content = wordhash.mix(total[at[1:]] - total[at[:-1]])
+        pairs = np.where(left > 0, left * (length - left), length * (length - 1) // 2)
+        salt = content % (1 + 4 * pairs // list_block**2).astype(np.uint64)
+        salt = np.where(left > 0, content % np.uint64(1 << 20), salt).astype(np.int64)
         part = chunk_of(leader + salt * 0x5851F42D4C957F2D, parts)
         order = np.lexsort((leader, part))
-        begin = np.cumsum(length) - length
-        doc, size, ell = doc[many], size[many], ell[many]
-        take = np.repeat(begin[order] - np.append(0, np.cumsum(length[order])[:-1]), length[order]) + np.arange(len(doc))
-        doc, size, ell, leader, length, part = doc[take], size[take], ell[take], leader[order], length[order], part[order]
-        at = np.append(0, np.cumsum(length))
         out: dict[str, list] = {k: [] for k in _LISTS.names}
-        cuts = runs(part)
+        cuts = runs(part[order])
         for a, b in zip(cuts, cuts[1:]):
-            i, j = at[a], at[b]
-            for name, x in zip(out, (int(part[a]), leader[a:b].tobytes(), length[a:b].astype(np.uint32).tobytes(), doc[i:j].tobytes(), size[i:j].tobytes(), ell[i:j].tobytes())):
+            mine = order[a:b]
+            n = length[mine]
+            take = np.repeat(at[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            for name, x in zip(out, (int(part[mine[0]]), leader[mine].tobytes(), squeeze(n), squeeze(left[mine]), doc[take].tobytes(), size[take].tobytes(), ell[take].tobytes())):
                 out[name].append(x)
         return _table(_LISTS, **out)
 
@@ -240,64 +353,106 @@ def _add_up(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarr
     return code[cut[:-1]], np.add.reduceat(n, cut[:-1]) if len(code) else n
 
 
+@lru_cache(4)
+def _places(k: int, left: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the pairs of a list of ``k``, or of its first ``left`` documents with the others."""
+    if not left:
+        return np.triu_indices(k, 1)
+    return np.repeat(np.arange(left), k - left), np.tile(np.arange(left, k), left)
+
+
 def _count_pairs(t: float):
-    def count(key: tuple, group: pa.Table) -> pa.Table:
-        leaders, length = read(group, "leaders", np.int64), read(group, "lengths", np.uint32).astype(np.int64)
-        doc, size, ell = read(group, "docs", np.int64), read(group, "sizes", np.uint32).astype(np.int64), read(group, "ls", np.uint8)
-        ids, where, local = np.unique(doc, return_index=True, return_inverse=True)
-        size, ell = size[where], ell[where].astype(np.int32)
+    """Candidates and the prefix shingles that they share, in batches of bounded size; a pair may come in several."""
+
+    def count(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = pa.Table.from_batches(list(batches))
+        leaders, length, left = read(group, "leaders", np.int64), read_squeezed(group, "lengths"), read_squeezed(group, "lefts")
+        ids, where, local = np.unique(read(group, "docs", np.int64), return_index=True, return_inverse=True)
+        local = local.astype(np.int32)
+        size, ell = read(group, "sizes", np.uint32)[where].astype(np.int64), read(group, "ls", np.uint8)[where].astype(np.int32)
+        del group, where
         at = np.cumsum(length) - length
-        found: list[tuple[np.ndarray, ...]] = []
-        order = np.lexsort((length, leaders))
+        order = np.lexsort((left, length, leaders))
         cuts = runs(leaders[order])
-        codes, counts = [], []
-        pending = merged = 0
+        ready: list[tuple[np.ndarray, ...]] = []
+        codes: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
+        pending = merged = held = 0
 
         def flush(leader: np.ndarray) -> None:
-            nonlocal codes, counts
+            nonlocal codes, counts, held, pending, merged
             code, n = _add_up(codes, counts)
             a, b = code // len(ids), code % len(ids)
-            found.append((ids[a], ids[b], n.astype(np.int32), np.minimum(ell[a], ell[b]), leader))
-            codes, counts = [], []
+            ready.append((ids[a], ids[b], n.astype(np.int32), np.minimum(ell[a], ell[b]), np.full(len(a), leader)))
+            codes, counts, held = [], [], held + len(a)
+            pending = merged = 0
+
+        def batch() -> pa.RecordBatch:
+            nonlocal ready, held
+            out = shared.rows(_PAIRS, **{f.name: np.concatenate(c) for f, c in zip(_PAIRS, zip(*ready))})
+            ready, held = [], 0
+            return out
 
         for i, j in zip(cuts, cuts[1:]):
             mine = order[i:j]
-            for k in np.unique(length[mine]):
-                lists = at[mine[length[mine] == k]]
-                x, y = np.triu_indices(int(k), 1)
+            kinds = runs(length[mine] << 32 | left[mine])
+            for c, d in zip(kinds, kinds[1:]):
+                k, half = int(length[mine[c]]), int(left[mine[c]])
+                lists = at[mine[c:d]]
+                weight = np.ones(len(lists), np.int64)
+                if len(lists) > 1:
+                    alike = np.ascontiguousarray(local[lists[:, None] + np.arange(k)]).view(np.dtype((np.void, 4 * k))).ravel()
+                    _, one, weight = np.unique(alike, return_index=True, return_counts=True)
+                    lists = lists[one]
+                    del alike
+                x, y = _places(k, half)
                 step = max(1, _EVENTS // max(1, len(x)))
                 for p in range(0, len(lists), step):
                     members = local[lists[p : p + step, None] + np.arange(k)]
                     a, b = members[:, x].ravel(), members[:, y].ravel()
                     low, high = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
                     fits = low >= t * high - 1e-9
-                    code, n = np.unique(a[fits] * len(ids) + b[fits], return_counts=True)
+                    code, n = _add_up([a[fits].astype(np.int64) * len(ids) + b[fits]], [np.repeat(weight[p : p + step], len(x))[fits]])
                     codes.append(code)
                     counts.append(n)
                     pending += len(code)
                     if pending > 2 * max(merged, _EVENTS):
                         code, n = _add_up(codes, counts)
                         codes, counts, pending, merged = [code], [n], len(code), len(code)
+                        if merged > 2 * _EVENTS:
+                            flush(leaders[mine[0]])
+                            yield batch()
             if codes:
                 flush(leaders[mine[0]])
-                pending = merged = 0
-        if not found:
-            return _PAIRS.empty_table()
-        lead = np.repeat([f[4] for f in found], [len(f[0]) for f in found])
-        a, b, n, need = (np.concatenate([f[k] for f in found]) for k in range(4))
-        return _table(_PAIRS, a=a, b=b, n=n, need=need, leader=lead)
+            if held > _EVENTS // 4:
+                yield batch()
+        if ready:
+            yield batch()
 
     return count
 
 
-def _verify(t: float):
+def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least number of each one's component."""
+    root = np.arange(n)
+    while (root[a] != root[b]).any():
+        np.minimum.at(root, np.maximum(root[a], root[b]), np.minimum(root[a], root[b]))
+        while ((up := root[root]) != root).any():
+            root = up
+    return root
+
+
+def _verify(t: float, width: int, pairs_too: bool):
     def verify(key: tuple, pairs: pa.Table, sets: pa.Table) -> pa.Table:
         pairs, sets = pairs.combine_chunks(), sets.combine_chunks()
         ids, size = sets.column("doc_id").to_numpy(), sets.column("size").to_numpy().astype(np.int64)
         order = np.argsort(ids)
-        blobs = sets.column("hashes")
-        length = np.array([len(blobs[int(i)].as_buffer()) // 8 for i in order], np.int64)
-        tokens = np.concatenate([np.frombuffer(blobs[int(i)].as_buffer(), np.uint64) for i in order]) if len(order) else np.zeros(0, np.uint64)
+        head, rest = sets.column("head").to_pylist(), sets.column("rest").to_pylist()
+        blobs = [head[i] + rest[i] for i in order]
+        del head, rest
+        length = np.array(list(map(len, blobs)), np.int64) // width
+        tokens = widen(b"".join(blobs), width)
+        del blobs
         ids, size = ids[order], size[order]
         tokens = np.unique(tokens, return_inverse=True)[1].astype(np.int32)
         cut = np.append(0, np.cumsum(length))
@@ -320,64 +475,78 @@ def _verify(t: float):
             mark[mine] = False
         value = np.minimum(common / (size[a] + size[b] - common), 1.0)
         good = value >= t - 1e-12
-        return _table(_FOUND, a=ids[a[good]], b=ids[b[good]], jaccard=value[good])
+        a, b = a[good], b[good]
+        if pairs_too:
+            return _table(_FOUND, a=ids[a], b=ids[b], jaccard=value[good])
+        links = np.bincount(a, minlength=len(ids)) + np.bincount(b, minlength=len(ids))
+        root, some = _roots(len(ids), a, b), np.flatnonzero(links)
+        return _table(_LINKS, doc_id=ids[some], root=ids[root[some]], links=links[some])
 
     return verify
 
 
-def distinct_pairs(docs: DataFrame, n: int = N, t: float = THRESHOLD, longest: int = LONGEST, bucket: int = BUCKET, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b, jaccard) of documents with different sets, and groups (doc_id, members) of documents with the same one.
-
-    Of documents with the same set, only the least doc_id is in a pair.
-    """
+def _linked(docs: DataFrame, n: int, t: float, longest: int, bucket: int, block: int, pairs_too: bool) -> tuple[DataFrame, DataFrame]:
+    """What is found of documents with different sets, stored: pairs (a, b, jaccard), or (doc_id, root, links) in
+    each block; and the copies (doc_id, same_as), stored: documents with the set of a lesser doc_id, the first of its class."""
     spark = docs.sparkSession
     docs = shared.core(docs, "doc_id", "text")
-    buckets = shared.buckets_for(estimated_words(docs), bucket)
-    packed = docs.mapInArrow(_pack(n, buckets), _ddl(_PACKED)).groupBy("bucket").applyInArrow(_count(buckets), _ddl(_COMMON))
-    sets = shared.store(packed.groupBy("chunk").applyInArrow(_assemble(t, longest), _ddl(_SETS)), "sets")
-    del packed
-    shared.release(spark)
-    same = sets.where("shared = size").groupBy(F.md5("hashes").alias("set"), "size").agg(F.array_sort(F.collect_list("doc_id")).alias("members"))
-    same = shared.store(same.where(F.size("members") > 1).select(F.element_at("members", 1).alias("doc_id"), "members"), "copies")
-    others = same.select(F.explode(F.slice("members", F.lit(2), F.size("members"))).alias("doc_id"))
-    ones = sets.select("doc_id", "size", "l", "prefix", F.substring("hashes", F.lit(1), F.col("prefix") * 8).alias("hashes")).join(others, "doc_id", "left_anti")
-    total = sets.agg(F.sum("prefix")).first()[0] or 0
-    parts = shared.buckets_for(total, bucket // 4)
-    lists = ones.mapInArrow(_send_prefix(parts), _ddl(_PREFIX)).groupBy("bucket").applyInArrow(_lists(parts), _ddl(_LISTS))
+    total = text_size(docs)
+    buckets, width = shared.buckets_for(total // BYTES_PER_WORD, bucket), _token_width(total)
+    repeated = docs.groupBy("doc_id").count().where("count > 1").select("doc_id").limit(MOST_REPEATED + 1).toPandas()["doc_id"].to_numpy(np.int64)
+    packed = docs.mapInArrow(_pack(n, buckets, repeated if len(repeated) <= MOST_REPEATED else None), _ddl(_PACKED)).groupBy("bucket").applyInArrow(_count(buckets), _ddl(_COMMON))
+    stored = shared.store(packed.groupBy("chunk").applyInArrow(_assemble(t, longest, buckets, width), _ddl(_SETS)), "sets")
+    sets = stored.where("same_as IS NULL")
+    whole = sets.where("shared = size").select("doc_id", "size", F.md5(F.concat("head", "rest")).alias("set"))
+    first = whole.groupBy("set", "size").agg(F.min("doc_id").alias("same_as"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = shared.store(whole.join(first, ["set", "size"]).where("doc_id <> same_as").select("doc_id", "same_as"), "later")
+    direct = stored.where("same_as IS NOT NULL").select("doc_id", F.col("same_as").alias("met")).distinct()
+    copies = direct.join(later.select(F.col("doc_id").alias("met"), "same_as"), "met", "left").select("doc_id", F.coalesce("same_as", "met").alias("same_as"))
+    copies = shared.store(copies.union(later), "copies")
+    ones = sets.select("doc_id", "size", "l", "prefix", "head").join(later.select("doc_id"), "doc_id", "left_anti")
+    parts = shared.buckets_for(sets.agg(F.sum("prefix")).first()[0] or 0, bucket // 4)
+    lists = ones.mapInArrow(_send_prefix(parts, width), _ddl(_PREFIX)).groupBy("bucket").applyInArrow(_lists(parts, width, LIST_BLOCK), _ddl(_LISTS))
     counted = lists.groupBy("part").applyInArrow(_count_pairs(t), _ddl(_PAIRS)).groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need"), F.min("leader").alias("leader"))
-    pairs = shared.store(counted.where("n >= need").select("a", "b", "leader"), "candidates")
-    del ones, lists, counted
-    shared.release(spark)
-    big = pairs.groupBy("leader").agg((F.count("*") / SPREAD * 4).cast("long").alias("spread")).where("spread > 0")
-    pairs = pairs.join(big, "leader", "left").select("a", "b", F.xxhash64("leader", F.when(F.col("spread") > 0, F.pmod(F.xxhash64("a"), F.col("spread") + 1)).otherwise(0)).alias("block"))
+    candidates = shared.store(counted.where("n >= need").select("a", "b", "leader"), "candidates")
+    big = candidates.groupBy("leader").agg((F.count("*") / SPREAD * 4).cast("long").alias("spread")).where("spread > 0")
+    pairs = candidates.join(big, "leader", "left").select("a", "b", F.xxhash64("leader", F.when(F.col("spread") > 0, F.pmod(F.xxhash64("a"), F.col("spread") + 1)).otherwise(0)).alias("block"))
     needed = pairs.select(F.col("a").alias("doc_id"), "block").union(pairs.select(F.col("b").alias("doc_id"), "block")).distinct()
     blocks = shared.buckets_for(needed.count(), block)
     of_block = F.pmod(F.col("block"), F.lit(blocks)).cast("int").alias("block")
-    held = needed.select("doc_id", of_block).distinct().join(sets.select("doc_id", "size", "hashes"), "doc_id").select("block", "doc_id", "size", "hashes")
-    found = pairs.select(of_block, "a", "b").groupBy("block").cogroup(held.groupBy("block")).applyInArrow(_verify(t), _ddl(_FOUND))
-    return found, same
+    held = needed.select("doc_id", of_block).distinct().join(sets.select("doc_id", "size", "head", "rest"), "doc_id").select("block", "doc_id", "size", "head", "rest")
+    found = pairs.select(of_block, "a", "b").groupBy("block").cogroup(held.groupBy("block")).applyInArrow(_verify(t, width, pairs_too), _ddl(_FOUND if pairs_too else _LINKS))
+    found = shared.store(found, "found")
+    shared.discard(stored, later, candidates)
+    return found, copies
+
+
+def distinct_pairs(docs: DataFrame, n: int = N, t: float = THRESHOLD, longest: int = LONGEST, bucket: int = BUCKET, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b, jaccard), a < b, between the least documents of each set, without loss; and the other documents (doc_id, same_as) of sets that several have."""
+    return _linked(docs, n, t, longest, bucket, block, True)
 
 
-def join(docs: DataFrame, n: int = N, t: float = THRESHOLD, longest: int = LONGEST, bucket: int = BUCKET, block: int = BLOCK) -> DataFrame:
-    """(doc_ids_a, doc_ids_b, jaccard): every pair of documents of similarity ``t`` or more, without loss.
+def similar(docs: DataFrame, n: int = N, t: float = THRESHOLD, longest: int = LONGEST, bucket: int = BUCKET, block: int = BLOCK) -> DataFrame:
+    """(doc_id, class_id, set_id, n_links, n_copies): a row for each document that is similar to another one.
 
-    A row stands for two sets: all documents of ``doc_ids_a`` have the one, all of
-    ``doc_ids_b`` the other, so that copies don't multiply rows.  Documents with the
-    same set are a row whose two lists are the same.  Lists ascend, and the first
-    list begins with the lesser doc_id.
+    ``class_id`` is the least doc_id of all documents that it is similar to, directly
+    or by others, ``set_id`` the least one with the same set of shingles, ``n_links``
+    the number of other sets of similarity ``t`` or more, and ``n_copies`` that of the
+    documents with its set, itself included.
     """
-    found, same = distinct_pairs(docs, n, t, longest, bucket, block)
-    side = lambda c: same.select(F.col("doc_id").alias(c), F.col("members").alias(f"doc_ids_{c}"))
-    whole = lambda c: F.coalesce(f"doc_ids_{c}", F.array(c)).alias(f"doc_ids_{c}")
-    out = found.join(side("a"), "a", "left").join(side("b"), "b", "left").select(whole("a"), whole("b"), "jaccard")
-    return out.union(same.select("members", "members", F.lit(1.0)))
+    found, copies = _linked(docs, n, t, longest, bucket, block, False)
+    group = components(found, "doc_id", "root")
+    links = found.groupBy(F.col("doc_id").alias("set_id")).agg(F.sum("links").alias("n_links"))
+    size = copies.groupBy(F.col("same_as").alias("set_id")).agg((F.count("*") + 1).alias("n_copies"))
+    sets = links.join(size, "set_id", "full").join(group, F.col("set_id") == F.col("node"), "left")
+    sets = sets.select("set_id", F.coalesce("component", "set_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
+    sets = shared.store(sets, "similar")
+    rest = copies.select("doc_id", F.col("same_as").alias("set_id")).join(sets, "set_id")
+    columns = ("doc_id", "class_id", "set_id", "n_links", "n_copies")
+    return sets.withColumn("doc_id", F.col("set_id")).select(*columns).union(rest.select(*columns))
 
 
 def groups(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
     """(doc_id, group) of the documents that are similar to another one, directly or by others; ``group`` is the least doc_id."""
-    found, same = distinct_pairs(docs, n, t)
-    edges = found.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(same.select("doc_id", F.explode("members")))
-    return components(edges).select(F.col("node").alias("doc_id"), F.col("component").alias("group"))
+    return similar(docs, n, t).select("doc_id", F.col("class_id").alias("group"))
 
 
 def drop_near_copies(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:

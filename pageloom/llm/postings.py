@@ -23,9 +23,14 @@ BUCKET = 2_000_000
 BYTES_PER_WORD = 6
 
 
+def text_size(docs: DataFrame) -> int:
+    """Bytes of all texts."""
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
 def estimated_words(docs: DataFrame) -> int:
     """About the number of words in all texts, from their byte lengths."""
-    return (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BYTES_PER_WORD
+    return text_size(docs) // BYTES_PER_WORD
 
 
 def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -55,20 +60,37 @@ def read(table: pa.Table, column: str, kind: type) -> np.ndarray:
     return np.concatenate(blobs) if blobs else np.zeros(0, kind)
 
 
-def read_steps(table: pa.Table, column: str) -> np.ndarray:
-    """The packed arrays of a column that hold the differences of int64 numbers, which compress where ids ascend."""
-    blobs = [np.cumsum(np.frombuffer(x.as_buffer(), np.int64)) for x in table.column(column) if x.is_valid]
-    return np.concatenate(blobs) if blobs else np.zeros(0, np.int64)
-
-
-def squeeze(deltas: np.ndarray) -> bytes:
-    """Non-negative integers, one byte each below 255; larger ones follow in a tail of 4 bytes each."""
-    big = deltas >= 255
-    return len(deltas).to_bytes(4, "little") + np.where(big, 255, deltas).astype(np.uint8).tobytes() + deltas[big].astype(np.uint32).tobytes()
+def squeeze(values: np.ndarray) -> bytes:
+    """Integers, one byte each from 0 to 254; the others follow in a tail of 8 bytes each."""
+    big = (values < 0) | (values >= 255)
+    return len(values).to_bytes(4, "little") + np.where(big, 255, values).astype(np.uint8).tobytes() + values[big].astype(np.int64).tobytes()
 
 
 def unsqueeze(blob: bytes) -> np.ndarray:
     n = int.from_bytes(blob[:4], "little")
     out = np.frombuffer(blob, np.uint8, n, 4).astype(np.int64)
-    out[out == 255] = np.frombuffer(blob, np.uint32, -1, 4 + n)
+    out[out == 255] = np.frombuffer(blob, np.int64, -1, 4 + n)
     return out
+
+
+def read_squeezed(table: pa.Table, column: str, steps: bool = False) -> np.ndarray:
+    """The numbers of a column of ``squeeze``; with ``steps`` each blob holds differences."""
+    blobs = [unsqueeze(x.as_buffer()) for x in table.column(column) if x.is_valid]
+    return np.concatenate([np.cumsum(b) for b in blobs] if steps else blobs) if blobs else np.zeros(0, np.int64)
+
+
+def narrow(values: np.ndarray, width: int) -> bytes:
+    """Unsigned integers in their lower ``width`` bytes each."""
+    return np.ascontiguousarray(values.astype("<u8", copy=False)).view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def widen(blob: bytes | pa.Buffer, width: int) -> np.ndarray:
+    raw = np.frombuffer(blob, np.uint8).reshape(-1, width)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :width] = raw
+    return out.view("<u8").ravel()
+
+
+def read_narrow(table: pa.Table, column: str, width: int) -> np.ndarray:
+    blobs = [widen(x.as_buffer(), width) for x in table.column(column) if x.is_valid]
+    return np.concatenate(blobs) if blobs else np.zeros(0, np.uint64)

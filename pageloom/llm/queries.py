@@ -40,18 +40,22 @@ SELECT doc_id, first_word, end_word, items, CASE WHEN sum(end_word - first_word)
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.join(shared.table(sf_dir, "documents", spark))
+    """A row for each document that is similar to another one, with its class and its number of links."""
+    return jaccard_join.similar(shared.table(sf_dir, "documents", spark))
 
 
 OP3_SQL = f"""
-WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(len(w) - 2), lambda j: array_to_string(w[j + 1 : j + 3], ' '))
   ELSE [array_to_string(w, ' ')] END)) AS s FROM w WHERE len(w) > 0),
-g AS (SELECT list_sort(list(doc_id)) AS ids, s FROM s GROUP BY s),
-e AS (SELECT ids, len(s) AS n, unnest(s) AS x FROM g),
-p AS (SELECT a.ids AS doc_ids_a, b.ids AS doc_ids_b, a.n + b.n AS total, count(*) AS n FROM e a JOIN e b ON a.x = b.x AND a.ids[1] < b.ids[1] GROUP BY a.ids, b.ids, a.n, b.n)
-SELECT doc_ids_a, doc_ids_b, n / CAST(total - n AS DOUBLE) AS jaccard FROM p WHERE n / CAST(total - n AS DOUBLE) >= 0.5
-UNION ALL SELECT ids, ids, 1.0 FROM g WHERE len(ids) > 1
+g AS (SELECT min(doc_id) AS id, list(doc_id) AS ids, s FROM s GROUP BY s),
+e AS (SELECT id, len(s) AS n, unnest(s) AS x FROM g),
+p AS (SELECT a.id AS a, b.id AS b FROM e a JOIN e b ON a.x = b.x AND a.id <> b.id GROUP BY a.id, b.id, a.n, b.n HAVING count(*) / CAST(a.n + b.n - count(*) AS DOUBLE) >= 0.5),
+r(node, seen) AS (SELECT id, id FROM g UNION SELECT p.b, r.seen FROM r JOIN p ON p.a = r.node),
+c AS (SELECT node, min(seen) AS class_id FROM r GROUP BY node),
+l AS (SELECT a, count(*) AS n_links FROM p GROUP BY a)
+SELECT unnest(ids) AS doc_id, class_id, id AS set_id, coalesce(n_links, 0) AS n_links, len(ids) AS n_copies
+FROM g JOIN c ON c.node = g.id LEFT JOIN l ON l.a = g.id WHERE n_links > 0 OR len(ids) > 1
 """
 
 

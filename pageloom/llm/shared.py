@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import gc
+import atexit
 import tempfile
 import uuid
+import weakref
 
 import pyarrow as pa
 from pyarrow import fs
@@ -29,14 +30,10 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and written to the shared folder, so that lost executors don't lose it."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, as a URI: a folder named without a scheme is where Spark would look for it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 def free_name(wanted: str, *frames: DataFrame) -> str:
@@ -48,8 +45,9 @@ def free_name(wanted: str, *frames: DataFrame) -> str:
 
 
 def core(docs: DataFrame, *columns: str) -> DataFrame:
-    """Only the named columns of the rows that have a ``doc_id``; null texts become empty."""
-    out = [F.coalesce(F.col("text"), F.lit("")).alias("text") if c == "text" else F.col(c) for c in columns]
+    """Only the named columns of the rows that have a ``doc_id``, which becomes a long; null texts become empty."""
+    own = {"text": F.coalesce(F.col("text"), F.lit("")).alias("text"), "doc_id": F.col("doc_id").cast("long").alias("doc_id")}
+    out = [own.get(c, F.col(c)) for c in columns]
     return docs.where(F.col("doc_id").isNotNull()).select(*out)
 
 
@@ -69,20 +67,65 @@ def buckets_for(total: int, each: int) -> int:
 
 
 def file_system(path: str) -> tuple[fs.FileSystem, str]:
-    """Where a path or URI of the shared folder is, on the driver as on any executor."""
-    if "://" in path or path.startswith("file:"):
-        return fs.FileSystem.from_uri(path)
-    return fs.LocalFileSystem(), path
+    """Where a URI of ``new_path`` is, on the driver as on any executor; other paths are local ones."""
+    if path.startswith("file:/"):
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
-    """``df`` computed once into a Parquet table of the shared folder; what reads it reads only the columns it needs."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+#: Stored tables that exist, and where; what is left when the driver ends goes then.
+_STORED: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_LEFT: set[str] = set()
+#: Has Spark remove the shuffle files of a query when it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def release(spark: SparkSession) -> None:
-    """Let go of the shuffle files of finished steps: Spark removes them once nothing refers to them."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def store(df: DataFrame, name: str) -> DataFrame:
+    """``df`` computed once into a Parquet table of the shared folder, so that lost executors don't lose it.
+
+    What reads it reads only the columns it needs.  ``discard`` removes it, or else the end of the driver.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        # a new frame, planned under that setting
+        df.select("*").write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.parquet(path)
+    _STORED[out] = path
+    _LEFT.add(path)
+    return out
+
+
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that goes with the driver."""
+    path = new_path(spark, name)
+    where, local = file_system(path)
+    where.create_dir(local)
+    _LEFT.add(path)
+    return path
+
+
+def discard(*stored: DataFrame) -> None:
+    """Removes tables of ``store`` that nothing will read any more."""
+    for df in stored:
+        if path := _STORED.pop(df, None):
+            _remove(path)
+
+
+def _remove(path: str) -> None:
+    _LEFT.discard(path)
+    where, local = file_system(path)
+    try:
+        where.delete_dir(local)
+    except OSError:
+        pass
+
+
+@atexit.register
+def _remove_all() -> None:
+    for path in list(_LEFT):
+        _remove(path)

@@ -202,6 +202,39 @@ def windows(hashes: np.ndarray, doc: np.ndarray, width: int) -> tuple[np.ndarray
     return mix((total[at + width] - total[at]) * down[at]), at
 
 
+def order_of(keys: np.ndarray) -> np.ndarray:
+    """The stable order of unsigned integers.
+
+    Upper bits and place are sorted as one number, which is several times as fast as
+    an indirect sort; where upper bits are equal and the rest isn't in order, it is put so.
+    """
+    n = len(keys)
+    if n < 2:
+        return np.arange(n)
+    keys = keys.astype(np.uint64, copy=False)
+    low = np.uint64((n - 1).bit_length())
+    mask = (np.uint64(1) << low) - np.uint64(1)
+    up = np.uint64(64 - int(keys.max()).bit_length())
+    packed = np.sort(((keys << up) & ~mask) | np.arange(n, dtype=np.uint64))
+    order = (packed & mask).view(np.int64)
+    if 64 - up + low <= 64:
+        return order
+    found = keys[order]
+    wrong = np.flatnonzero(found[1:] < found[:-1])
+    if len(wrong):
+        packed >>= low
+        mine = np.flatnonzero(np.isin(packed, packed[wrong]))
+        order[mine] = order[mine][np.argsort(found[mine], kind="stable")]
+    return order
+
+
+def order_by(first: np.ndarray, then: np.ndarray) -> np.ndarray:
+    """The stable order by small non-negative integers ``first``, and by ``then`` where those are equal."""
+    order = order_of(then)
+    first = first[order]
+    return order[np.argsort(first.astype(np.uint16), kind="stable") if len(first) and first.max() < 1 << 16 else order_of(first)]
+
+
 def shingles(hashes: np.ndarray, doc: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct window hashes of every text, sorted by (text, hash), and the text of each.
 
@@ -213,7 +246,7 @@ def shingles(hashes: np.ndarray, doc: np.ndarray, width: int) -> tuple[np.ndarra
     short = np.flatnonzero((counts > 0) & (counts < width))
     if len(short):
         found, owner = np.concatenate([found, whole_texts(hashes, doc)[short]]), np.concatenate([owner, short])
-    order = np.lexsort((found, owner))
+    order = order_by(owner, found)
     found, owner = found[order], owner[order]
     new = np.ones(len(found), bool)
     new[1:] = (found[1:] != found[:-1]) | (owner[1:] != owner[:-1])

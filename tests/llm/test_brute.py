@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import struct
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -11,10 +12,11 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pageloom.llm import capture_index, components, decontamination, jaccard_join, jpeg, line_dedup, media, packing, quality, shared, substring_dedup, token_output, tokenization, url_filter, wordhash
-from pageloom.llm.postings import squeeze, unsqueeze
+from pageloom.llm.postings import narrow, squeeze, unsqueeze, widen
 
 from tests.llm.data import corpus, frame, words
 
@@ -44,6 +46,17 @@ def test_lines(docs, segment, limit):
     assert {r.doc_id: r.text for r in line_dedup.dedup_lines(docs, segment, limit).collect()} == brute_lines(ROWS)
 
 
+@pytest.mark.parametrize("limit", [1 << 26, 0])
+def test_lines_when_splits_change(spark, tmp_path, limit):
+    """Documents that are read in another split than before are looked up in the whole table."""
+    frame(spark, ROWS).write.parquet(f"{tmp_path}/docs")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    out = line_dedup.dedup_lines(spark.read.parquet(f"{tmp_path}/docs"), broadcast_limit=limit)
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert {r.doc_id: r.text for r in out.collect()} == brute_lines(ROWS)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_blooms_suspect_all_repeats():
     r = np.random.default_rng(3)
     parts = [r.integers(0, 5000, 2000).astype(np.uint64) for _ in range(5)]
@@ -56,10 +69,9 @@ def test_blooms_suspect_all_repeats():
     assert c.has(hashes[:100]).all() and c.has(hashes[100:]).mean() < 0.02
 
 
-@pytest.mark.parametrize(("width", "bucket"), [(50, 2_000_000), (8, 300)])
-def test_substrings(docs, width, bucket):
+def brute_intervals(rows, width):
     count, occurrences = Counter(), []
-    for i, text, _ in sorted(ROWS):
+    for i, text in sorted({r[:2] for r in rows}):
         w = words(text)
         for j in range(len(w) - width + 1):
             g = tuple(w[j : j + width])
@@ -77,8 +89,28 @@ def test_substrings(docs, width, bucket):
                 want.add((i, kind, begin, last + width, last + width - begin))
                 begin = p
             last = p
-    assert want
-    assert {tuple(r) for r in substring_dedup.repeated_intervals(docs, width, bucket).collect()} == want
+    return want
+
+
+@pytest.mark.parametrize(("width", "bucket"), [(50, 2_000_000), (8, 300)])
+def test_substrings(docs, width, bucket):
+    want = brute_intervals(ROWS, width)
+    got = [tuple(r) for r in substring_dedup.repeated_intervals(docs, width, bucket).collect()]
+    assert want and set(got) == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_substrings_of_repeated_rows(spark, parts):
+    """Equal rows count once, and int ids do; texts that share an id lose their own repeats."""
+    p, q = " ".join(f"p{i}" for i in range(60)), " ".join(f"q{i}" for i in range(55))
+    rows = [(1, p + " " + p), (1, p + " " + p), (2, p), (2, p), (3, q), (4, "own words"), (5, q)]
+    df = spark.createDataFrame(rows, "doc_id int, text string").repartition(parts)
+    assert {tuple(r) for r in substring_dedup.repeated_intervals(df).collect()} == brute_intervals(rows, 50)
+    df = spark.createDataFrame([(1, p), (2, p + " tail"), (2, "hi there"), (None, p)], "doc_id int, text string").repartition(parts)
+    out = substring_dedup.remove_repeats(df)
+    assert out.dtypes == df.dtypes
+    texts = Counter(tuple(r) for r in out.collect())
+    assert texts[2, "hi there"] == texts[None, p] == 1 and sum(texts.values()) == 4 and texts[1, p] + texts[2, p + " tail"] == 1
 
 
 def shingle_sets(rows, n=3):
@@ -90,21 +122,80 @@ def shingle_sets(rows, n=3):
     return out
 
 
-@pytest.mark.parametrize("t", [0.3, 0.5, 0.8])
-@pytest.mark.parametrize("longest", [1, 6])
-def test_jaccard(docs, t, longest, monkeypatch):
+@pytest.mark.parametrize(("t", "longest", "collapsed"), [(0.3, 1, True), (0.5, 6, True), (0.5, 6, False), (0.8, 6, True)])
+def test_jaccard(docs, t, longest, collapsed, monkeypatch):
     monkeypatch.setattr(jaccard_join, "SPREAD", 2)
+    monkeypatch.setattr(jaccard_join, "LIST_BLOCK", 3 if longest == 6 else 1000)
+    monkeypatch.setattr(jaccard_join, "MOST_REPEATED", 100 if collapsed else -1)
     sets = shingle_sets(ROWS)
     ids = sorted(sets)
     want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for k, a in enumerate(ids) for b in ids[k + 1 :]}
     want = {p: j for p, j in want.items() if j >= t}
+    found, copies = jaccard_join.distinct_pairs(docs, t=t, longest=longest, bucket=500, block=3)
+    members = defaultdict(list)
+    for r in copies.collect():
+        members[r.same_as].append(r.doc_id)
     got = {}
-    for r in jaccard_join.join(docs, t=t, longest=longest, bucket=500, block=3).collect():
-        for a in r.doc_ids_a:
-            for b in r.doc_ids_b:
-                if a != b:
-                    got[min(a, b), max(a, b)] = r.jaccard
+    for r in found.collect():
+        for a in (r.a, *members[r.a]):
+            for b in (r.b, *members[r.b]):
+                got[min(a, b), max(a, b)] = r.jaccard
+    for first, own in members.items():
+        own = sorted([first, *own])
+        got |= {(a, b): 1.0 for k, a in enumerate(own) for b in own[k + 1 :]}
     assert want.keys() == got.keys() and all(abs(want[p] - got[p]) < 1e-12 for p in want)
+    rows = jaccard_join.similar(docs, t=t, longest=longest, bucket=500, block=3).collect()
+    assert {tuple(r) for r in rows} == brute_similar(ROWS, t) and len(rows) == len({r.doc_id for r in rows})
+
+
+def brute_similar(rows, t):
+    """(doc_id, class_id, set_id, n_links, n_copies) by comparing all pairs."""
+    sets = shingle_sets(rows)
+    ids = sorted(sets)
+    alike = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if len(sets[a] & sets[b]) >= t * len(sets[a] | sets[b]) - 1e-12]
+    group, first, n = union_find(alike), {}, Counter(sets.values())
+    for i in ids:
+        first.setdefault(sets[i], i)
+    links = defaultdict(set)
+    for a, b in alike:
+        links[a].add(sets[b])
+        links[b].add(sets[a])
+    return {(i, group[i], first[sets[i]], len(links[i] - {sets[i]}), n[sets[i]]) for i in group}
+
+
+@pytest.mark.parametrize("rows", [[(1, "a b c d e"), (1, "f g h i j"), (2, "a b c d e")], [(1, "a b c d e"), (1, "b c d e f g"), (2, "a b c d e f g h"), (2, "c d e f")]])
+def test_jaccard_of_texts_that_share_a_doc_id(spark, rows):
+    """They are one document with the shingles of all."""
+    sets = defaultdict(set)
+    for i, text in rows:
+        w = text.split()
+        sets[i] |= {tuple(w[j : j + 3]) for j in range(len(w) - 2)}
+    value = len(sets[1] & sets[2]) / len(sets[1] | sets[2])
+    found, copies = jaccard_join.distinct_pairs(spark.createDataFrame(rows, "doc_id int, text string").coalesce(1), t=0.3)
+    assert copies.count() == 0
+    assert [tuple(r) for r in found.collect()] == ([(1, 2, value)] if value >= 0.3 else [])
+
+
+def test_one_list_of_many_documents(monkeypatch):
+    """A posting list of 6,000 near copies is paired in bounded memory, and lists of the same members count together."""
+    n, lists = 6_000, 20
+    width = 4
+    ids = np.arange(n, dtype=np.int64)
+    group = pa.table(
+        {
+            "tokens": [b"".join(jaccard_join.narrow(np.full(n, k, np.uint64), width) for k in range(lists))],
+            "docs": [jaccard_join.squeeze(np.diff(np.tile(ids, lists), prepend=0))],
+            "counts": [jaccard_join.squeeze(np.ones(n * lists, np.int64))],
+            "sizes": [np.full(n * lists, 40, np.uint32).tobytes()],
+            "ls": [np.full(n * lists, 6, np.uint8).tobytes()],
+        }
+    )
+    sent = jaccard_join._lists(1, width, jaccard_join.LIST_BLOCK)((pa.scalar(0),), group)
+    seen, most = 0, 0
+    for b in jaccard_join._count_pairs(0.5)((pa.scalar(0),), iter(sent.to_batches())):
+        assert set(b.column("n").to_pylist()[:1000]) == {lists}
+        seen, most = seen + b.num_rows, max(most, b.num_rows)
+    assert seen == n * (n - 1) // 2 and most < 4_000_000
 
 
 def test_longer_prefixes_are_chosen_where_they_pay():
@@ -151,12 +242,14 @@ def test_components(spark, seed):
     assert got == want and found.count() == len(want)
 
 
-@pytest.mark.parametrize("limit", [4_000_000, 5])
-def test_decontamination(spark, docs, limit):
+@pytest.mark.parametrize(("limit", "each", "item_words"), [(1 << 26, 1 << 25, 20_000), (0, 1 << 25, 20_000), (0, 200, 3), (1 << 26, 200, 1)])
+def test_decontamination(spark, docs, limit, each, item_words, monkeypatch):
+    monkeypatch.setattr(decontamination, "ITEM_WORDS", item_words)
+    monkeypatch.setattr(decontamination, "HELD_BYTES", 5_000)
     r = random.Random(5)
     items = []
     for k in range(6):
-        w = words(ROWS[k * 7][1])
+        w = words(ROWS[k % 5 * 7][1])
         at = r.randrange(max(1, len(w) - 30))
         items.append((k, " ".join(w[at : at + r.randint(6, 25)]).upper() + "!"))
     grams = defaultdict(set)
@@ -178,9 +271,9 @@ def test_decontamination(spark, docs, limit):
         gone = sum(b - a for a, b, _ in spans) >= 0.5 * len(w)
         want |= {(i, a, b, tuple(sorted(k)), "remove_document" if gone else "remove_span") for a, b, k in spans}
     benchmark = spark.createDataFrame(items, "item_id long, text string")
-    got = {(*r[:3], tuple(r[3]), r[4]) for r in decontamination.contaminated_spans(docs, benchmark, gram_limit=limit).collect()}
+    got = {(*r[:3], tuple(r[3]), r[4]) for r in decontamination.contaminated_spans(docs, benchmark, broadcast_bytes=limit, slice_bytes=each).collect()}
     assert want and got == want
-    left = {r.doc_id: words(r.text) for r in decontamination.decontaminate(docs, benchmark, gram_limit=limit).collect()}
+    left = {r.doc_id: words(r.text) for r in decontamination.decontaminate(docs, benchmark, broadcast_bytes=limit, slice_bytes=each).collect()}
     original = {i: words(t) for i, t, _ in ROWS}
     assert set(original) - set(left) == {i for i, *_, action in want if action == "remove_document"}
     for i, w in left.items():
@@ -188,9 +281,21 @@ def test_decontamination(spark, docs, limit):
         assert w == [x for p, x in enumerate(original[i]) if p not in cut]
 
 
-@given(st.integers(0, 10_000))
+def test_grams_of_a_large_benchmark(spark, docs):
+    """300,000 items' n-grams are built by executors within few bytes each; the driver holds none of them."""
+    item = F.concat_ws(" ", *[F.concat(F.lit(f"w{j}x"), F.pmod(F.xxhash64("id", F.lit(j)), F.lit(50_000))) for j in range(20)])
+    benchmark = spark.range(300_000).select(F.col("id").alias("item_id"), item.alias("text"))
+    built = decontamination._Benchmark(benchmark, 13, 5, 1 << 20, 8 << 20)
+    grams = sum(n for *_, n in built.built)
+    assert grams == 300_000 * 8 and built.held is None and len(built.paths) > 5
+    assert sum(n for _, n, _ in built.built) / grams < 90 and max(n for _, n, _ in built.built) < 3 * (8 << 20)
+
+
+@pytest.mark.parametrize("hot", [0, 64])
+@given(seed=st.integers(0, 10_000))
 @settings(max_examples=40, deadline=None)
-def test_best_fit(seed):
+def test_best_fit(hot, seed):
+    packing.HOT_ITEMS = hot
     r = random.Random(seed)
     n = r.randint(0, 60)
     lengths = sorted((r.randint(1, 30) for _ in range(n)), reverse=True)
@@ -208,6 +313,20 @@ def test_best_fit(seed):
     assert packing.best_fit(lengths, sources, clusters, 40) == want
 
 
+def test_best_fit_of_a_hot_source():
+    """Half of all pieces are of one source and a third of one cluster; time doesn't grow with the bins that have them."""
+    r = random.Random(1)
+    n = 30_000
+    lengths = sorted((r.randint(1, 200) for _ in range(n)), reverse=True)
+    sources, clusters = packing._bits([0 if r.random() < 0.5 else k for k in range(n)]), packing._bits([0 if r.random() < 0.3 else k for k in range(n)])
+    began = time.process_time()
+    bins = packing.best_fit(lengths, sources, clusters, 4096)
+    assert time.process_time() - began < 20
+    for bits in (sources, clusters):
+        used = Counter((b, s) for b, s in zip(bins, bits) if s)
+        assert max(used.values()) == 1
+
+
 def test_packing_holds_all_tokens(spark, docs):
     rows = packing.pack(docs, capacity=64, part_tokens=1500).collect()
     assert {r.bin >> 32 for r in rows} != {0}
@@ -266,15 +385,36 @@ def test_tokens_round_trip(spark, docs, name):
     assert sum(int(f[i][1].sum()) for f in files.values() for i in range(len(f))) == sum(len(w) + 1 for w in want.values())
 
 
-def test_long_texts_are_cut_where_no_token_lies():
+def test_long_texts_have_the_ids_of_uncut_ones(monkeypatch):
+    encode, _ = tokenization.load(tokenization.TOKENIZER, open(tokenization.TOKENIZER, "rb").read())
+    r = random.Random(3)
+    letters = "".join(r.choices("abcdefgh", k=200_500))
+    texts = ["Some words, and 12 more! " * 30_000, letters, letters + " end. " + letters, "".join(r.choices("ab1 .\n\té漢\u3000", k=250_000)), " a" * 150_000, "\u00a0 x" * 90_000]
+    cut = [x.tolist() for x in encode(texts)]
+    assert len(tokenization._cuts(texts[0])) > 2 and all("".join(tokenization._cuts(t)) == t for t in texts)
+    monkeypatch.setattr(tokenization, "_PIECE_CHARS", 1 << 40)
+    assert cut == [x.tolist() for x in encode(texts)]
+
+
+def test_very_long_white_space():
+    """What the pieces' look-ahead can't take has the ids that it would have."""
     encode, _ = tokenization.load(tokenization.TOKENIZER, open(tokenization.TOKENIZER, "rb").read())
-    text = "Some words, and 12 more! " * 30_000
-    import tiktoken  # noqa: F401
+    for space in (" ", "\n", "\t \n", "\u3000"):
+        one = lambda n: encode([f"before{space * n}after it{space * n}"])[0].tolist()  # noqa: B023, E731
+        short, long = one(2_000), one(400_000)
+        assert short[:1] == long[:1] and len(long) > len(short) and len(encode([space * 1_000_000])[0]) > 10
+        assert one(1_200) == _by_pieces(f"before{space * 1_200}after it{space * 1_200}")
 
-    parts = tokenization._cuts(text)
-    assert len(parts) > 2 and "".join(parts) == text
-    assert encode([text])[0].tolist() == np.concatenate([encode([p])[0] for p in parts]).tolist()
-    assert len(encode([text[:150_000]])[0]) + len(encode([text[150_000:]])[0]) - len(encode([text])[0]) in (0, 1)
+
+def _by_pieces(text):
+    import base64
+
+    import regex
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in open(tokenization.TOKENIZER, "rb"))}
+    whole = tiktoken.Encoding("whole", pat_str="(?s:.+)", mergeable_ranks=ranks, special_tokens={})
+    return [i for p in regex.findall(tokenization._PIECES, text) for i in whole.encode_ordinary(p)]
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -444,11 +584,27 @@ def test_words_against_a_regular_expression():
     assert w.hashes[: w.doc[1]].tolist() == again.hashes[again.doc[-2] : again.doc[-1]].tolist()
 
 
-@given(st.lists(st.integers(0, 2**31)))
+@given(st.lists(st.integers(-(2**63), 2**63 - 1)))
 def test_squeeze(values):
     assert unsqueeze(squeeze(np.array(values, np.int64))).tolist() == values
 
 
+@given(st.lists(st.integers(0, 2**40 - 1)))
+def test_narrow(values):
+    assert widen(narrow(np.array(values, np.uint64), 5), 5).tolist() == values
+
+
+@pytest.mark.parametrize("high", [3, 1 << 20, 1 << 63])
+@pytest.mark.parametrize("n", [0, 1, 2, 1000, 70_000])
+def test_orders(n, high):
+    r = np.random.default_rng(n)
+    keys, first = r.integers(0, high, n).astype(np.uint64), r.integers(0, max(n, 1), n)
+    if n == 1000 and high > 1 << 40:
+        keys[::2] = (keys[::2] >> np.uint64(58) << np.uint64(58)) + r.integers(0, 5, 500).astype(np.uint64)  # equal upper bits
+    assert (wordhash.order_of(keys) == np.argsort(keys, kind="stable")).all()
+    assert (wordhash.order_by(first, keys) == np.lexsort((keys, first))).all()
+
+
 def test_pipeline(spark, tmp_path):
     """Each stage against a plain version, on what the one before kept; and ``run`` gives the last one's bins."""
     junk = [(1000 + k, " ".join(["Spam"] * 40) if k % 2 else "!! ".join(["BUY", "NOW"] * 30), "s9") for k in range(8)]

@@ -58,16 +58,15 @@ def test_substring_dedup(spark, docs, empty):
 
 
 def test_jaccard_join(spark, docs, empty):
-    rows = jaccard_join.join(docs).collect()
-    pairs = {(tuple(r.doc_ids_a), tuple(r.doc_ids_b)): r.jaccard for r in rows}
-    assert pairs[(8, 9), (8, 9)] == 1.0
-    assert any(a == (1,) and b == (2,) for a, b in pairs)
-    assert not any(i in (4, 5, 6, 7, None) for a, b in pairs for i in (*a, *b))
+    rows = {r.doc_id: tuple(r)[1:] for r in jaccard_join.similar(docs).collect()}
+    assert rows[8] == rows[9] == (8, 8, 0, 2)
+    assert rows[1][0] == rows[2][0] == 1 and rows[1][2] > 0 and rows[1][3] == rows[2][3] == 1
+    assert not {4, 5, 6, 7, None} & set(rows)
     kept = jaccard_join.drop_near_copies(docs)
     assert kept.columns == docs.columns
     ids = Counter(r.doc_id for r in kept.collect())
     assert ids[1] == 1 and ids[2] == 0 and ids[8] == 1 and ids[9] == 0 and ids[None] == 1 and ids[4] == ids[5] == ids[6] == ids[7] == 1
-    assert jaccard_join.join(empty).count() == jaccard_join.drop_near_copies(empty).count() == 0
+    assert jaccard_join.similar(empty).count() == jaccard_join.drop_near_copies(empty).count() == 0
 
 
 def test_decontamination(spark, docs, empty, benchmark):
