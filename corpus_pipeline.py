@@ -64,6 +64,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = shared.table(sf_dir, "documents", spark)
     for name, stage in STAGES[:-1]:
-        docs = shared.store(stage(spark, docs, sf_dir), name)
-        shared.release(spark)
+        before, docs = docs, shared.store(stage(spark, docs, sf_dir), name)
+        shared.discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
