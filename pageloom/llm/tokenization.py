@@ -6,6 +6,7 @@ The driver reads the file and broadcasts its bytes, so executors need no copy of
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -15,23 +16,33 @@ from pyspark.sql import SparkSession
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 _PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Characters encoded at once; a longer text is cut where a word begins.
+#: Characters after which a longer text is cut, where the next word begins.
 _PIECE_CHARS = 200_000
+#: Where a word ends and another begins after one space: no token lies across.
+_BETWEEN = re.compile(r"(?<=[A-Za-z0-9])(?= [A-Za-z])")
+#: White space (as in ``\\s`` of the pieces) of a length that their look-ahead can't take.
+_LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
 
-Encode = Callable[[list[str]], list[np.ndarray]]
+
+class Encode:
+    """Called with texts it gives the ids of each; ``lengths`` gives only their numbers."""
+
+    def __init__(self, ids: Callable[[list[str]], list[np.ndarray]], lengths: Callable[[list[str]], list[int]] | None = None) -> None:
+        self._ids, self._lengths = ids, lengths
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        return self._ids(texts)
+
+    def lengths(self, texts: list[str]) -> list[int]:
+        return self._lengths(texts) if self._lengths else list(map(len, self._ids(texts)))
 
 
 def _cuts(text: str) -> list[str]:
-    """Parts of a very long text, cut before a space that follows a letter or digit and precedes a letter, where no token can lie across."""
+    """Parts of a very long text, whose ids one after another are the text's; one without a place to cut is whole."""
     out, at = [], 0
-    while len(text) - at > _PIECE_CHARS:
-        end = at + _PIECE_CHARS
-        while end > at + 1 and not (text[end] == " " and text[end - 1].isalnum() and text[end + 1 : end + 2].isalpha()):
-            end -= 1
-        if end == at + 1:
-            end = at + _PIECE_CHARS
-        out.append(text[at:end])
-        at = end
+    while len(text) - at > _PIECE_CHARS and (found := _BETWEEN.search(text, at + _PIECE_CHARS)):
+        out.append(text[at : found.start()])
+        at = found.start()
     return [*out, text[at:]]
 
 
@@ -39,14 +50,29 @@ def _tiktoken(raw: bytes) -> tuple[Encode, int]:
     import tiktoken
 
     ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in raw.splitlines() if line)}
-    encoding = tiktoken.Encoding("own", pat_str=_PIECES, mergeable_ranks=ranks, special_tokens={})
+    encoding, whole = (tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={}) for name, pattern in (("own", _PIECES), ("whole", "(?s:.+)")))
+
+    def spaced(text: str) -> list[int]:
+        """Long white space is one piece, without its last character if something follows it."""
+        out, at = [], 0
+        for run in _LONG_SPACE.finditer(text):
+            end = run.end() - (run.end() < len(text))
+            out += encoding.encode_ordinary(text[at : run.start()]) + whole.encode_ordinary(text[run.start() : end])
+            at = end
+        return out + encoding.encode_ordinary(text[at:])
+
+    def part(text: str) -> list[int]:
+        try:
+            return encoding.encode_ordinary(text)
+        except BaseException as e:
+            if type(e).__name__ != "PanicException":
+                raise
+            return spaced(text)
 
     def one(text: str) -> np.ndarray:
-        if len(text) <= _PIECE_CHARS:
-            return np.array(encoding.encode_ordinary(text), np.uint32)
-        return np.concatenate([np.array(encoding.encode_ordinary(p), np.uint32) for p in _cuts(text)])
+        return np.concatenate([np.array(part(p), np.uint32) for p in _cuts(text)])
 
-    return lambda texts: list(map(one, texts)), max(ranks.values()) + 1
+    return Encode(lambda texts: list(map(one, texts)), lambda texts: [sum(len(part(p)) for p in _cuts(t)) for t in texts]), max(ranks.values()) + 1
 
 
 def _tokenizers(raw: bytes) -> tuple[Encode, int]:
@@ -54,14 +80,14 @@ def _tokenizers(raw: bytes) -> tuple[Encode, int]:
 
     t = Tokenizer.from_str(raw.decode())
     t.encode_special_tokens = True
-    return lambda texts: [np.array(e.ids, np.uint32) for e in t.encode_batch(texts, add_special_tokens=False)], t.get_vocab_size(with_added_tokens=True)
+    return Encode(lambda texts: [np.array(e.ids, np.uint32) for e in t.encode_batch(texts, add_special_tokens=False)]), t.get_vocab_size(with_added_tokens=True)
 
 
 def _sentencepiece(raw: bytes) -> tuple[Encode, int]:
     import sentencepiece
 
     t = sentencepiece.SentencePieceProcessor(model_proto=raw)
-    return lambda texts: [np.array(x, np.uint32) for x in t.encode(texts, num_threads=1)], t.get_piece_size()
+    return Encode(lambda texts: [np.array(x, np.uint32) for x in t.encode(texts, num_threads=1)]), t.get_piece_size()
 
 
 def load(path: str, raw: bytes) -> tuple[Encode, int]:
