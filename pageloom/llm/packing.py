@@ -3,7 +3,9 @@
 Bins of ``capacity`` tokens are kept in the order of their residual.  A piece, the
 longest first, looks up the tightest bin that has room and goes on to the successor
 until the bin's source and duplicate-cluster bitmaps have neither of its own bits;
-if no bin is left, it opens one.  Documents are dealt to independent parts of about
+if no bin is left, it opens one.  For a source or cluster that more than a
+sixteenth of a part's pieces have, the bins without it are also kept in that order by
+themselves, so that the search doesn't pass all bins that have it.  Documents are dealt to independent parts of about
 ``part_tokens`` tokens by a hash of doc_id; only ids, sources, clusters and lengths
 are shuffled.
 
@@ -20,6 +22,7 @@ empty result; other columns don't matter.
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +35,8 @@ from pageloom.llm.tokenization import TOKENIZER, shared_tokenizer
 
 CAPACITY = 4096
 PART_TOKENS = 8_000_000
+#: Pieces of one source or cluster from which its free bins are kept by themselves.
+HOT_ITEMS = 64
 
 _ITEMS = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("cluster", pa.int64()), ("n_tokens", pa.int64())])
 _PACKED = pa.schema([("bin", pa.int64()), ("slot", pa.int32()), ("doc_id", pa.int64()), ("first_token", pa.int64()), ("n_tokens", pa.int64()), ("bin_tokens", pa.int64())])
@@ -40,23 +45,34 @@ _PACKED = pa.schema([("bin", pa.int64()), ("slot", pa.int32()), ("doc_id", pa.in
 def best_fit(lengths: list[int], sources: list[int], clusters: list[int], capacity: int) -> list[int]:
     """The bin of each item, in the order given; ``sources`` and ``clusters`` are bitmaps of at most one bit."""
     order: list[tuple[int, int]] = []  # (residual, bin) ascending
+    # by a frequent bit: the same of the bins without it
+    without = [{bit: [] for bit, n in Counter(bits).items() if bit and n > max(HOT_ITEMS, len(bits) // 16)} for bits in (sources, clusters)]
     of_source: list[int] = []
     of_cluster: list[int] = []
     out = []
     for n, source, cluster in zip(lengths, sources, clusters):
-        k = bisect_left(order, (n, -1))
-        while k < len(order) and (of_source[order[k][1]] & source or of_cluster[order[k][1]] & cluster):
+        found = min((kind[bit] for kind, bit in zip(without, (source, cluster)) if bit in kind), key=len, default=order)
+        k = bisect_left(found, (n, -1))
+        while k < len(found) and (of_source[found[k][1]] & source or of_cluster[found[k][1]] & cluster):
             k += 1
-        if k < len(order):
-            residual, at = order.pop(k)
-            of_source[at] |= source
-            of_cluster[at] |= cluster
+        old = found[k] if k < len(found) else None
+        residual, at = old or (capacity, len(of_source))
+        if old is None:
+            of_source.append(0)
+            of_cluster.append(0)
         else:
-            residual, at = capacity, len(of_source)
-            of_source.append(source)
-            of_cluster.append(cluster)
+            del order[bisect_left(order, old)]
         if residual > n:
             insort(order, (residual - n, at))
+        for kind, own, bit in zip(without, (of_source, of_cluster), (source, cluster)):
+            for hot, bins in kind.items():
+                if not own[at] & hot:
+                    if old is not None:
+                        del bins[bisect_left(bins, old)]
+                    if residual > n and bit != hot:
+                        insort(bins, (residual - n, at))
+        of_source[at] |= source
+        of_cluster[at] |= cluster
         out.append(at)
     return out
 
@@ -95,8 +111,8 @@ def _pack(capacity: int):
     return pack
 
 
-def measured(docs: DataFrame, tokenizer: str = TOKENIZER, source: str | None = "source", cluster: str | None = None) -> DataFrame:
-    """(doc_id, source, cluster, n_tokens): without a column ``cluster`` (long), documents of the same "plain" words are one."""
+def measured(docs: DataFrame, tokenizer: str = TOKENIZER, source: str | None = "source", cluster: str | None = None, by_words: bool = True) -> DataFrame:
+    """(doc_id, source, cluster, n_tokens): without a column ``cluster`` (long), documents of the same "plain" words are one if ``by_words``, else in none."""
     get = shared_tokenizer(docs.sparkSession, tokenizer)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,10 +120,10 @@ def measured(docs: DataFrame, tokenizer: str = TOKENIZER, source: str | None = "
         for batch in batches:
             for part in wordhash.slices(batch):
                 clusters = part.column("cluster")
-                if cluster is None:
+                if cluster is None and by_words:
                     w = wordhash.words(part.column("text"), "plain")
                     clusters = pa.array(wordhash.whole_texts(w.hashes, w.doc).view(np.int64))
-                yield shared.rows(_ITEMS, doc_id=part.column("doc_id"), source=part.column("source"), cluster=clusters, n_tokens=[len(x) for x in encode(part.column("text").to_pylist())])
+                yield shared.rows(_ITEMS, doc_id=part.column("doc_id"), source=part.column("source"), cluster=clusters, n_tokens=encode.lengths(part.column("text").to_pylist()))
 
     texts = shared.core(docs, "doc_id", "text", *{c for c in (source, cluster) if c})
     of = lambda c, kind, name: (F.col(c) if c else F.lit(None)).cast(kind).alias(name)
@@ -118,11 +134,11 @@ def measured(docs: DataFrame, tokenizer: str = TOKENIZER, source: str | None = "
 def pack(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, part_tokens: int = PART_TOKENS, source: str | None = "source", cluster: str | None = None, groups: DataFrame | None = None) -> DataFrame:
     """(bin, slot, doc_id, first_token, n_tokens, bin_tokens): a row for each document, or piece of a long one.
 
-    ``groups`` (doc_id, group) are clusters that go before those of ``measured``.
+    ``groups`` (doc_id, group) are the clusters instead; documents in none conflict with nothing but their source.
     """
-    items = measured(docs, tokenizer, source, cluster).where("n_tokens > 0")
+    items = measured(docs, tokenizer, source, cluster, groups is None).where("n_tokens > 0")
     if groups is not None:
-        items = items.join(groups.select("doc_id", "group"), "doc_id", "left").select("doc_id", "source", F.coalesce("group", "cluster").alias("cluster"), "n_tokens")
+        items = items.drop("cluster").join(groups.select("doc_id", F.col("group").alias("cluster")), "doc_id", "left")
     items = shared.store(items, "items")
     parts = shared.buckets_for(items.agg(F.sum("n_tokens")).first()[0] or 0, part_tokens)
     dealt = items.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)))

@@ -136,11 +136,9 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The clusters are the groups of near copies; documents in none are clustered with equal ones."""
+    """The clusters are the groups of near copies, exact ones included."""
     docs = shared.table(sf_dir, "documents", spark)
-    groups = shared.store(jaccard_join.groups(docs), "groups")
-    shared.release(spark)
-    return packing.pack(docs, groups=groups)
+    return packing.pack(docs, groups=jaccard_join.groups(docs))
 
 
 QUERIES: dict[str, Query] = {"op1_token_output": op1_token_output, "op2_decontamination": op2_decontamination, "op3_ngram_jaccard": op3_ngram_jaccard, "op4_url_filter": op4_url_filter, "op5_substring_dedup": op5_substring_dedup, "op6_avi_clips": op6_avi_clips, "op7_line_dedup": op7_line_dedup, "op8_capture_merge": op8_capture_merge, "op9_quality": op9_quality, "op10_bestfit_packing": op10_bestfit_packing}
