@@ -3,17 +3,23 @@
 The decoder reads sequential 8-bit Huffman images (SOF0, SOF1) of one or three
 components with any sampling factors and with restart intervals.  Frames without
 Huffman tables, as cameras write them into AVI, use the standard's own (ITU T.81,
-annex K).  Entropy decoding is a loop over symbols; dequantisation, inverse DCT and
-colour conversion run over all blocks at once.
+annex K).  Frames are decoded side by side: each step of entropy decoding takes one
+symbol of every frame (and of every restart interval), and dequantisation, inverse
+DCT and colour planes are made for all frames of one form at once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 
 
+See = Callable[[np.ndarray], Sequence]
+
+
 class JpegError(ValueError):
     """The bytes are no image that this decoder reads."""
 
@@ -26,6 +32,7 @@ def _zigzag() -> np.ndarray:
 ZIGZAG = _zigzag()
 _K = np.arange(8)
 _DCT = np.sqrt(np.where(_K == 0, 1, 2) / 8)[:, None] * np.cos((2 * _K[None, :] + 1) * _K[:, None] * np.pi / 16)
+_DCT32 = _DCT.astype(np.float32)
 
 
 def _annex_k(counts: str, symbols: str) -> tuple[bytes, bytes]:
@@ -63,70 +70,74 @@ def _codes(counts: bytes, symbols: bytes) -> list[tuple[int, int, int]]:
 
 
 @lru_cache(64)
-def _lookup(counts: bytes, symbols: bytes) -> list[int]:
+def _lookup(counts: bytes, symbols: bytes) -> np.ndarray:
     """For the next 16 bits: length << 8 | symbol; 0 where no code begins so."""
     table = np.zeros(1 << 16, np.int32)
     for code, length, symbol in _codes(counts, symbols):
         if code >> length:
             raise JpegError("overfull Huffman table")
         table[code << (16 - length) : (code + 1) << (16 - length)] = length << 8 | symbol
-    return table.tolist()
+    return table
 
 
-def _scan(data: bytes, plan: list[tuple[int, list[int], list[int]]], mcus: int, interval: int, components: int) -> list[list[list[int]]]:
-    """The coefficients, in zigzag order, of each component's blocks; ``plan`` is an MCU's blocks."""
-    out: list[list[list[int]]] = [[] for _ in range(components)]
-    pieces = _restart_pieces(data)
-    done = 0
-    for piece in pieces:
-        if done >= mcus:
-            break
-        acc = have = at = 0
-        size = len(piece)
-        before = [0] * components
-        for _ in range(min(interval or mcus, mcus - done)):
-            for c, dc, ac in plan:
-                block = [0] * 64
-                k = 0
-                while k < 64:
-                    if have < 32:
-                        chunk = piece[at : at + 6]
-                        at += 6
-                        acc = (acc & ((1 << have) - 1)) << 48 | int.from_bytes(chunk + b"\0" * (6 - len(chunk)), "big")
-                        have += 48
-                        if at - 12 > size:
-                            raise JpegError("the scan ends early")
-                    code = (ac if k else dc)[acc >> (have - 16) & 0xFFFF]
-                    if not code:
-                        raise JpegError("no such Huffman code")
-                    have -= code >> 8
-                    symbol = code & 255
-                    bits = symbol & 15
-                    if k:
-                        if not bits:
-                            if symbol != 0xF0:
-                                break
-                            k += 16
-                            continue
-                        k += symbol >> 4
-                        if k > 63:
-                            raise JpegError("too many coefficients")
-                    value = 0
-                    if bits:
-                        have -= bits
-                        value = acc >> have & ((1 << bits) - 1)
-                        if value < 1 << (bits - 1):
-                            value -= (1 << bits) - 1
-                    if not k:
-                        value += before[c]
-                        before[c] = value
-                    block[k] = value
-                    k += 1
-                out[c].append(block)
-            done += 1
-    if done < mcus:
-        raise JpegError("the scan ends early")
-    return out
+def _scan(pieces: list[tuple[bytes, int, int]], plan: list[tuple[int, int, int]], tables: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """The coefficients of all blocks, in zigzag order, and which pieces are broken.
+
+    A piece is entropy-coded bytes, its first block and its number of MCUs.  ``plan``
+    has for each block of an MCU the component and its tables' places in ``tables``.
+    """
+    out = np.zeros(blocks * 64, np.int16)
+    n = len(pieces)
+    ends = np.cumsum([len(p[0]) + 8 for p in pieces])
+    data = np.frombuffer(b"".join(p[0] + bytes(8) for p in pieces), np.uint8)
+    bad = np.zeros(n, bool)
+    component, dc, ac = (np.array([p[k] for p in plan]) for k in range(3))
+    flat = tables.ravel()
+    # of the pieces at work: number, next bit, last bit, block, last block, block of the MCU, coefficient, predictors
+    live = np.arange(n)
+    bit = (ends - np.array([len(p[0]) + 8 for p in pieces])) * 8
+    last = (ends - 8) * 8
+    block = np.array([p[1] for p in pieces], np.int64)
+    stop = block + np.array([p[2] for p in pieces], np.int64) * len(plan)
+    turn, k = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    before = np.zeros((n, int(component.max()) + 1), np.int64)
+    while len(live):
+        at = bit >> 3
+        window = np.zeros(len(live), np.int64)
+        for i in range(5):
+            window = window << 8 | data[at + i]
+        room = 40 - (bit & 7)
+        first = k == 0
+        code = flat[np.where(first, dc[turn], ac[turn]) << 16 | window >> (room - 16) & 0xFFFF]
+        bits = code & 15
+        room = room - (code >> 8) - bits
+        bit = bit + (code >> 8) + bits
+        value = window >> room & (1 << bits) - 1
+        value = np.where(value < 1 << bits >> 1, value - (1 << bits) + 1, value)
+        zeros = np.where(first, 0, code >> 4 & 15)
+        end = ~first & (code & 255 == 0)
+        k = k + zeros
+        wrong = (code == 0) | (bit > last) | (k > 63) & ~end
+        if first.any():
+            c = component[turn[first]]
+            rows = np.flatnonzero(first)
+            value[first] += before[rows, c]
+            before[rows, c] = value[first]
+        put = ~wrong & ((bits > 0) | first)
+        out[(block[put] << 6) + k[put]] = value[put]
+        k = k + 1
+        over = end | (k > 63)
+        if over.any() or wrong.any():
+            k[over] = 0
+            block = block + over
+            turn = np.where(over, turn + 1, turn)
+            turn[turn == len(plan)] = 0
+            done = wrong | (block >= stop)
+            if done.any():
+                bad[live[wrong]] = True
+                on = ~done
+                live, bit, last, block, stop, turn, k, before = (x[on] for x in (live, bit, last, block, stop, turn, k, before))
+    return out.reshape(-1, 64), bad
 
 
 def _restart_pieces(data: bytes) -> list[bytes]:
@@ -144,11 +155,22 @@ def _restart_pieces(data: bytes) -> list[bytes]:
         at += 1 if marker == 0xFF else 2
 
 
-def decode(data: bytes) -> np.ndarray:
-    """The image as YCbCr, (height, width, 3) uint8; grey images have chroma 128."""
+@dataclass(frozen=True)
+class _Form:
+    """What frames must have in common to be decoded at once."""
+
+    height: int
+    width: int
+    parts: tuple[tuple[int, int], ...]  # sampling factors of each component
+    quants: tuple[bytes, ...]
+    tables: tuple[tuple[tuple[bytes, bytes], tuple[bytes, bytes]], ...]  # of each component: DC and AC
+
+
+def _parse(data: bytes) -> tuple[_Form, bytes, int]:
+    """The form of an image, its entropy-coded bytes and its restart interval."""
     if data[:2] != b"\xff\xd8":
         raise JpegError("no start of image")
-    quant: dict[int, np.ndarray] = {}
+    quant: dict[int, bytes] = {}
     huffman = dict(STANDARD)
     frame, interval, at = None, 0, 2
     while True:
@@ -168,7 +190,7 @@ def decode(data: bytes) -> np.ndarray:
                 n = 128 if wide else 64
                 if len(body) < k + 1 + n:
                     raise JpegError("short quantisation table")
-                quant[name] = np.frombuffer(body, ">u2" if wide else "u1", 64, k + 1).astype(np.float32)
+                quant[name] = np.frombuffer(body, ">u2" if wide else "u1", 64, k + 1).astype(np.float32).tobytes()
                 k += 1 + n
         elif marker == 0xC4:
             k = 0
@@ -195,30 +217,87 @@ def decode(data: bytes) -> np.ndarray:
         parts = [(parts[0][0], 1, 1, parts[0][3])]
     if not body or body[0] != len(parts) or len(body) < 1 + 2 * len(parts) or any(not 1 <= h <= 4 or not 1 <= v <= 4 for _, h, v, _ in parts):
         raise JpegError("several scans")
-    most_h, most_v = max(p[1] for p in parts), max(p[2] for p in parts)
-    across, down = -(-width // (8 * most_h)), -(-height // (8 * most_v))
-    tables = {body[1 + 2 * i]: body[2 + 2 * i] for i in range(len(parts))}
-    plan = []
-    for c, (name, h, v, q) in enumerate(parts):
-        if name not in tables or q not in quant or any((k, tables[name] >> 4 * (1 - k) & 15) not in huffman for k in (0, 1)):
-            raise JpegError("a table is missing")
-        dc, ac = _lookup(*huffman[0, tables[name] >> 4]), _lookup(*huffman[1, tables[name] & 15])
-        plan += [(c, dc, ac)] * (h * v)
-    coefficients = _scan(data[at:], plan, across * down, interval, len(parts))
-    planes = []
-    for (_, h, v, q), blocks in zip(parts, coefficients):
-        natural = np.zeros((len(blocks), 64), np.float32)
-        natural[:, ZIGZAG] = np.array(blocks, np.float32) * quant[q]
-        pixels = _DCT.T @ natural.reshape(-1, 8, 8) @ _DCT + 128
-        pixels = np.clip(np.rint(pixels), 0, 255).astype(np.uint8)
-        plane = pixels.reshape(down, across, v, h, 8, 8).transpose(0, 2, 4, 1, 3, 5).reshape(down * v * 8, across * h * 8)
-        plane = plane.repeat(most_v // v, 0).repeat(most_h // h, 1)
-        if plane.shape[0] < height or plane.shape[1] < width:
-            raise JpegError("uneven sampling factors")
-        planes.append(plane[:height, :width])
+    chosen = {body[1 + 2 * i]: body[2 + 2 * i] for i in range(len(parts))}
+    if any(name not in chosen or q not in quant or (0, chosen[name] >> 4) not in huffman or (1, chosen[name] & 15) not in huffman for name, _, _, q in parts):
+        raise JpegError("a table is missing")
+    tables = tuple((huffman[0, chosen[p[0]] >> 4], huffman[1, chosen[p[0]] & 15]) for p in parts)
+    return _Form(height, width, tuple((h, v) for _, h, v, _ in parts), tuple(quant[p[3]] for p in parts), tables), data[at:], interval
+
+
+def _decode_form(form: _Form, scans: list[tuple[bytes, int]], see: See) -> list:
+    """What ``see`` makes of the frames of one form, from their entropy-coded bytes and restart intervals."""
+    most_h, most_v = (max(p[k] for p in form.parts) for k in (0, 1))
+    across, down = -(-form.width // (8 * most_h)), -(-form.height // (8 * most_v))
+    if any(most_h % h or most_v % v for h, v in form.parts):
+        return [JpegError("uneven sampling factors")] * len(scans)
+    names = list(dict.fromkeys(t for pair in form.tables for t in pair))
+    try:
+        tables = np.stack([_lookup(*t) for t in names])
+    except (JpegError, IndexError):
+        return [JpegError("no such Huffman table")] * len(scans)
+    plan = [(c, names.index(dc), names.index(ac)) for c, ((h, v), (dc, ac)) in enumerate(zip(form.parts, form.tables)) for _ in range(h * v)]
+    mcus, each = across * down, len(plan)
+    pieces, owner, short = [], [], np.zeros(len(scans), bool)
+    for f, (data, interval) in enumerate(scans):
+        done = 0
+        for piece in _restart_pieces(data):
+            if done < mcus:
+                n = min(interval or mcus, mcus - done)
+                pieces.append((piece, (f * mcus + done) * each, n))
+                owner.append(f)
+                done += n
+        short[f] = done < mcus
+    coefficients, bad = _scan(pieces, plan, tables, len(scans) * mcus * each)
+    short[np.array(owner, np.int64)[bad]] = True
+    coefficients = coefficients.reshape(len(scans), mcus, each, 64)
+    planes, at = [], 0
+    for (h, v), quant in zip(form.parts, form.quants):
+        natural = np.zeros((len(scans), mcus * h * v, 64), np.float32)
+        natural[..., ZIGZAG] = coefficients[:, :, at : at + h * v].reshape(len(scans), -1, 64) * np.frombuffer(quant, np.float32)
+        at += h * v
+        pixels = _DCT32.T @ natural.reshape(-1, 8, 8) @ _DCT32
+        pixels = np.clip(np.rint(pixels + 128), 0, 255).astype(np.uint8)
+        plane = pixels.reshape(-1, down, across, v, h, 8, 8).transpose(0, 1, 3, 5, 2, 4, 6).reshape(-1, down * v * 8, across * h * 8)
+        plane = plane.repeat(most_v // v, 1) if most_v > v else plane
+        plane = plane.repeat(most_h // h, 2) if most_h > h else plane
+        planes.append(plane[:, : form.height, : form.width])
     if len(planes) == 1:
-        planes += [np.full((height, width), 128, np.uint8)] * 2
-    return np.stack(planes, -1)
+        planes += [np.full_like(planes[0], 128)] * 2
+    seen = see(np.stack(planes, -1))
+    return [JpegError("the scan is broken") if short[f] else seen[f] for f in range(len(scans))]
+
+
+#: Bytes of coefficients and pixels that are decoded at once.
+_AT_ONCE = 64 << 20
+
+
+def decode_all(frames: list[bytes], see: See = list) -> list:
+    """Each image as YCbCr, (height, width, 3) uint8, or why it can't be read; grey images have chroma 128.
+
+    ``see`` gets some images at once, (n, height, width, 3), and gives what to keep of each.
+    """
+    out: list = [JpegError("not decoded")] * len(frames)
+    by_form: dict[_Form, list[tuple[int, bytes, int]]] = {}
+    for i, data in enumerate(frames):
+        try:
+            form, scan, interval = _parse(data)
+            by_form.setdefault(form, []).append((i, scan, interval))
+        except JpegError as e:
+            out[i] = e
+    for form, own in by_form.items():
+        step = max(1, _AT_ONCE // (12 * (form.height + 32) * (form.width + 32)))
+        for p in range(0, len(own), step):
+            some = own[p : p + step]
+            for (i, _, _), image in zip(some, _decode_form(form, [(scan, interval) for _, scan, interval in some], see)):
+                out[i] = image
+    return out
+
+
+def decode(data: bytes) -> np.ndarray:
+    """One image as ``decode_all`` gives it."""
+    if isinstance(image := decode_all([data])[0], JpegError):
+        raise image
+    return image
 
 
 _QUANT = np.clip(3 + np.add.outer(_K, _K) * 2, 1, 255).reshape(64)

@@ -26,14 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm import jpeg, shared
+from pageloom.llm import jpeg, shared, wordhash
 
 #: Frames on each side whose differences make the threshold.
 AROUND = 8
 SPREADS = 3.0
 #: The least share of an image whose histogram must change at a cut.
 LEAST = 0.25
-_MOST_FRAMES = 1 << 24
+#: Bytes of videos whose frames are decoded side by side.
+_TOGETHER = 8 << 20
 
 
 class AviError(ValueError):
@@ -135,16 +136,18 @@ def parse(data: bytes) -> Video:
     frames = opendml or (_idx1(data, index, movis[0][0], names) if index else [])
     if not frames or (len(movis) > 1 and not opendml):
         frames = [f for a, b in movis for f in _walk(data, a + 4, b, names)]
-    if len(frames) > _MOST_FRAMES:
-        raise AviError("too many frames")
     return Video(abs(width), abs(height), fps or 25.0, frames)
 
 
-def histogram(image: np.ndarray) -> np.ndarray:
-    """Shares of 16 levels of brightness and of 8 levels of each colour component."""
-    n = image.shape[0] * image.shape[1]
-    flat = image.reshape(-1, 3)
-    return np.concatenate([np.bincount(flat[:, 0] >> 4, minlength=16), np.bincount(flat[:, 1] >> 5, minlength=8), np.bincount(flat[:, 2] >> 5, minlength=8)]) / n
+def histograms(images: np.ndarray) -> np.ndarray:
+    """For each image the shares of 16 levels of brightness and of 8 levels of each colour component."""
+    n, pixels = len(images), images.shape[1] * images.shape[2]
+    flat = images.reshape(n, pixels, 3)
+    out = []
+    for c, levels in enumerate((16, 8, 8)):
+        at = (flat[..., c] // (256 // levels)).astype(np.int64) + levels * np.arange(n)[:, None]
+        out.append(np.bincount(at.ravel(), minlength=levels * n).reshape(n, levels))
+    return np.concatenate(out, 1) / pixels
 
 
 def cuts(differences: np.ndarray, around: int = AROUND, spreads: float = SPREADS, least: float = LEAST) -> list[int]:
@@ -173,20 +176,36 @@ class Shot:
 
 
 def shots(data: bytes) -> tuple[Video, list[Shot]]:
-    video = parse(data)
+    if isinstance(found := shots_of([data])[0], AviError):
+        raise found
+    return found
+
+
+def shots_of(files: list[bytes]) -> list[tuple[Video, list[Shot]] | AviError]:
+    """The shots of each file, or why there are none; frames of all files are decoded side by side."""
+    videos: list[Video | AviError] = []
+    for data in files:
+        try:
+            videos.append(parse(data))
+        except AviError as e:
+            videos.append(e)
+    places = [(v, at, n) for v, video in enumerate(videos) if isinstance(video, Video) for at, n in video.frames if n]
+    looks = lambda images: [(h, images.shape[1:3]) for h in histograms(images)]
+    seen = iter(jpeg.decode_all([files[v][at : at + n] for v, at, n in places], looks))
+    return [_shots_of_frames(v, [next(seen) if n else None for _, n in v.frames]) if isinstance(v, Video) else v for v in videos]
+
+
+def _shots_of_frames(video: Video, frames: list[tuple | jpeg.JpegError | None]) -> tuple[Video, list[Shot]] | AviError:
+    """``frames`` has each frame's histogram and size, None for an empty one, or why it can't be decoded."""
     seen: list[np.ndarray | None] = []
     last, bad, size = None, [], None
-    for at, n in video.frames:
-        try:
-            if n:
-                image = jpeg.decode(data[at : at + n])
-                last, size = histogram(image), image.shape
-            bad.append(False)
-        except jpeg.JpegError:
-            bad.append(True)
+    for frame in frames:
+        if isinstance(frame, tuple):
+            last, size = frame
+        bad.append(isinstance(frame, jpeg.JpegError))
         seen.append(last)
     if last is None:
-        raise AviError("no frame can be decoded")
+        return AviError("no frame can be decoded")
     video.width, video.height = video.width or size[1], video.height or size[0]
     first = next(h for h in seen if h is not None)
     known = np.stack([first if h is None else h for h in seen])
@@ -207,18 +226,19 @@ def clips(media: DataFrame, key: str = "media_id", content: str = "content") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: list[tuple] = []
-            for media_id, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                try:
-                    video, own = shots(data.as_buffer().to_pybytes() if data.is_valid else b"")
-                    found += [(media_id, k, s.first, s.end, s.first / video.fps, s.end / video.fps, video.width, video.height, s.strength, s.bad, None) for k, s in enumerate(own)]
-                except AviError as e:
-                    found.append((media_id, *[None] * 9, str(e)))
-            if found:
-                yield shared.rows(_CLIPS, **dict(zip(_CLIPS.names, map(list, zip(*found)))))
+            for part in wordhash.slices(batch, "content", _TOGETHER):
+                files = [data or b"" for data in part.column("content").to_pylist()]
+                rows: list[tuple] = []
+                for media_id, found in zip(part.column("media_id").to_pylist(), shots_of(files)):
+                    if isinstance(found, AviError):
+                        rows.append((media_id, *[None] * 9, str(found)))
+                        continue
+                    video, own = found
+                    rows += [(media_id, k, s.first, s.end, s.first / video.fps, s.end / video.fps, video.width, video.height, s.strength, s.bad, None) for k, s in enumerate(own)]
+                yield shared.rows(_CLIPS, **dict(zip(_CLIPS.names, map(list, zip(*rows)))))
 
     ddl = "media_id long, clip int, first_frame long, end_frame long, start_s double, end_s double, width int, height int, cut_strength double, bad_frames long, error string"
-    return media.select(F.col(key).cast("long"), content).mapInArrow(run, ddl)
+    return media.select(F.col(key).cast("long").alias("media_id"), F.col(content).alias("content")).mapInArrow(run, ddl)
 
 
 def _chunk(name: bytes, body: bytes) -> bytes:

@@ -422,6 +422,14 @@ def test_merge(spark, seed):
     r = random.Random(seed)
     rows = [(f"org,s{r.randrange(3)})/{'x' * r.randrange(3)}" if k % 3 else "com,hot)/", r.randrange(9), k, k, "d") for k in range(400)]
     found = spark.createDataFrame(rows, "url_key string, ts long, id long, length long, digest string").repartition(5)
+    if seed == 2:
+        rows = [(f"org,s{r.randrange(50)})/", r.randrange(9), k, k, "d") for k in range(60_000)]
+        found = spark.createDataFrame(rows, "url_key string, ts long, id long, length long, digest string").repartition(3)
+        index = capture_index.merged_index(found, range_rows=45_000)
+        got = [tuple(x) for x in index.select("url_key", "ts", "id").collect()]
+        assert got == [x[:3] for x in sorted(rows)]  # without a sort: partitions are in order
+        assert index.where("capture = 1").count() == 50 and {x.position for x in index.select("position").collect()} == set(range(1, 60_001))
+        return
     got = [tuple(x) for x in capture_index.merged_index(found, run_rows=17, range_rows=23, least_rows=5).orderBy("position").select("url_key", "ts", "id", "capture").collect()]
     nth, want = Counter(), []
     for url, ts, i, *_ in sorted(rows):
@@ -487,6 +495,75 @@ def test_jpeg(shape, interval):
             jpeg.decode(bad)
 
 
+def _by_java(spark, image, quality=0.75):
+    """A JPEG of RGB pixels by Java's own encoder (4:2:0), and how Java's own decoder reads it."""
+    jvm, (height, width) = spark._jvm, image.shape[:2]
+    java = jvm.java.awt.image.BufferedImage(width, height, 1)
+    packed = (image[..., 0].astype(int) << 16 | image[..., 1].astype(int) << 8 | image[..., 2]).ravel().tolist()
+    gateway = spark.sparkContext._gateway
+    pixels = gateway.new_array(jvm.int, len(packed))
+    for i, x in enumerate(packed):
+        pixels[i] = x
+    java.setRGB(0, 0, width, height, pixels, 0, width)
+    out = jvm.java.io.ByteArrayOutputStream()
+    writer = jvm.javax.imageio.ImageIO.getImageWritersByFormatName("jpeg").next()
+    param = writer.getDefaultWriteParam()
+    param.setCompressionMode(2)  # explicit
+    param.setCompressionQuality(quality)
+    stream = jvm.javax.imageio.ImageIO.createImageOutputStream(out)
+    writer.setOutput(stream)
+    writer.write(None, jvm.javax.imageio.IIOImage(java, None, None), param)
+    stream.close()
+    raw = bytes(out.toByteArray())
+    back = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(raw))
+    rgb = np.array(list(back.getRGB(0, 0, width, height, None, 0, width)), np.int64).reshape(height, width)
+    return raw, np.stack([rgb >> 16 & 255, rgb >> 8 & 255, rgb & 255], -1)
+
+
+@pytest.mark.parametrize("quality", [0.4, 0.95])
+def test_jpeg_of_another_encoder(spark, quality):
+    """Frames that Java encodes, with its own tables or without any, are read as Java reads them."""
+    y, x = np.mgrid[:45, :70]
+    r = np.random.default_rng(1)
+    image = np.clip(np.stack([x * 3, y * 5, 200 - x - y], -1) + r.normal(0, 12, (45, 70, 3)), 0, 255).astype(np.uint8)
+    raw, want = _by_java(spark, image, quality)
+    got = jpeg.decode(raw).astype(float)
+    lum, cb, cr = got[..., 0], got[..., 1] - 128, got[..., 2] - 128
+    rgb = np.stack([lum + 1.402 * cr, lum - 0.344136 * cb - 0.714136 * cr, lum + 1.772 * cb], -1)
+    # Java smooths the colour components when it makes them larger; brightness must agree
+    weights = np.array([0.299, 0.587, 0.114])
+    assert np.abs(np.clip(rgb, 0, 255) @ weights - want @ weights).mean() < 1.5 and np.abs(np.clip(rgb, 0, 255) - want).mean() < 4
+    at, bare = 2, raw[:2]
+    while raw[at + 1] != 0xDA:  # without the Huffman tables, which are the standard's
+        n = 2 + int.from_bytes(raw[at + 2 : at + 4], "big")
+        bare += raw[at : at + n] if raw[at + 1] != 0xC4 else b""
+        at += n
+    bare += raw[at:]
+    assert len(bare) < len(raw) and (jpeg.decode(bare) == jpeg.decode(raw)).all()
+
+
+def test_frames_decoded_together():
+    """Frames of several sizes, grey and with colour, with restarts and broken ones: each as if it were alone."""
+    r = np.random.default_rng(2)
+    frames = [jpeg.encode(r.integers(60, 190, (24, 40, 3)).astype(np.uint8), interval=k % 3, tables=k % 2 == 0) for k in range(7)]
+    frames += [jpeg.encode(r.integers(60, 190, (17, 9)).astype(np.uint8)) for _ in range(3)]
+    frames[2] = frames[2][: len(frames[2]) // 2]
+    for one, image in zip(frames, jpeg.decode_all(frames)):
+        if isinstance(image, jpeg.JpegError):
+            with pytest.raises(jpeg.JpegError):
+                jpeg.decode(one)
+        else:
+            assert (image == jpeg.decode(one)).all()
+    assert [isinstance(x, jpeg.JpegError) for x in jpeg.decode_all(frames)] == [k == 2 for k in range(10)]
+
+
+def test_cuts_of_equal_strength():
+    """Ties: each of several cuts as strong as the others begins a shot."""
+    differences = np.full(40, 0.01)
+    differences[[9, 19, 29]] = 0.8
+    assert media.cuts(differences) == [10, 20, 30] and media.cuts(np.zeros(5)) == [] and media.cuts(np.full(6, 0.5)) == []
+
+
 @pytest.mark.parametrize("index", ["idx1", "absolute", "opendml", "none"])
 def test_avi_index(index):
     frames = [jpeg.encode(np.full((8, 8), 20 * k, np.uint8)) for k in range(5)]
