@@ -3,14 +3,18 @@
 1. Each task sorts its captures by (URL key, timestamp, id) into runs of at most
    ``run_rows`` and cuts each run at the splitters, which deal the key space into
    ranges; the packed pieces are written to the shared folder (the external runs).
-2. Each range reads its pieces of all runs and merges them with a loser tree, which
-   does one comparison a level for each row.
-3. Ranges are in order, and their row counts give every row its global position; a
-   URL whose captures lie in several ranges goes on counting.
-
-Splitters come from about ``SAMPLES`` keys a range, chosen by a hash; they only
-balance the ranges and never change the result.  They hold the whole sort key, so
-one URL with very many captures is spread too.
+2. Each range merges its pieces of all runs with a loser tree, which does one
+   comparison a level for each row.  Pieces stay packed and are opened ``_BATCH``
+   rows at a time, and what is merged is given away in batches.
+3. Ranges are in order, and so are the files of the result; row counts of the ranges
+   give every row its global position, and a URL whose captures lie in several
+   ranges goes on counting.
+
+Ranges have about ``range_rows`` captures, or more where there would be over
+``MOST_RANGES`` of them: the driver holds a few keys and counts for each range, so
+what it holds is bounded.  Splitters come from about ``SAMPLES`` keys a range, chosen
+by a hash; they only balance the ranges and never change the result.  They hold the
+whole sort key, so one URL with very many captures is spread too.
 
 The URL key is the host's labels reversed, then ``)``, path and query; scheme,
 ``www.``, the scheme's own port and the fragment are dropped.
@@ -24,7 +28,7 @@ other columns don't matter.
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +44,10 @@ RANGE_ROWS = 100_000
 #: Captures below which a range isn't made only to use another core.
 LEAST_ROWS = 2_000
 SAMPLES = 16
+MOST_RANGES = 20_000
+#: Rows of a piece that are open at once, and of a batch of the result.
+_BATCH = 4_096
+_OUT_ROWS = 32_768
 
 _ROW = pa.schema([("url_key", pa.string()), ("ts", pa.int64()), ("id", pa.int64()), ("length", pa.int64()), ("digest", pa.string())])
 _RUN = pa.schema([("range", pa.int32()), ("run", pa.int64()), ("n", pa.int64()), ("tail", pa.int64()), ("piece", pa.binary())])
@@ -66,12 +74,12 @@ def captures(pages: DataFrame, url: str = "url", body: str = "html", ts: Column
 
 
 class LoserTree:
-    """Merges sorted lists of keys; an inner node holds the run that lost there."""
+    """Merges sorted keys; an inner node holds the run that lost there."""
 
-    def __init__(self, runs: list[list]) -> None:
-        self.runs, self.k = runs, max(1, len(runs))
+    def __init__(self, runs: list[Iterable]) -> None:
+        self.runs, self.k = list(map(iter, runs)) or [iter(())], max(1, len(runs))
         self.at = [0] * self.k
-        self.now = [r[0] if r else None for r in runs] or [None]
+        self.now = [next(r, None) for r in self.runs]
         self.losers = [-1] * self.k
         for i in range(self.k):
             self._sift(i)
@@ -99,8 +107,8 @@ class LoserTree:
         """(run, place in it), in order of the keys; of equal keys the earlier run's first."""
         while self.now[w := self.losers[0]] is not None:
             yield w, self.at[w]
-            self.at[w] = p = self.at[w] + 1
-            self.now[w] = self.runs[w][p] if p < len(self.runs[w]) else None
+            self.at[w] += 1
+            self.now[w] = next(self.runs[w], None)
             self._sift(w)
 
 
@@ -112,7 +120,8 @@ def _keys(table: pa.Table | pa.RecordBatch) -> list[Key]:
 def _write_piece(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as out:
-        out.write_batch(batch)
+        for at in range(0, batch.num_rows, _BATCH):
+            out.write_batch(batch.slice(at, _BATCH))
     return sink.getvalue().to_pybytes()
 
 
@@ -151,26 +160,62 @@ def _make_runs(splitters: list[Key], run_rows: int):
     return make
 
 
+class _Piece:
+    """A piece of a run: its keys one by one, and the rows of the batch that is open."""
+
+    def __init__(self, blob: bytes) -> None:
+        self.blob = blob
+        self.rows: pa.RecordBatch | None = None
+        self.first = 0
+
+    def __iter__(self) -> Iterator[Key]:
+        for batch in pa.ipc.open_stream(self.blob):
+            self.first += self.rows.num_rows if self.rows is not None else 0
+            self.rows = batch
+            yield from _keys(batch)
+
+
 def _merge(before: dict[int, int], carry: dict[int, tuple[str, int]]):
     """``before``: rows of earlier ranges; ``carry``: a URL and its captures in earlier ranges."""
 
-    def merge(key: tuple, group: pa.Table) -> pa.Table:
-        order = np.argsort(group.column("run").to_numpy(), kind="stable")
-        pieces = group.column("piece")
-        tables = [pa.ipc.open_stream(pieces[int(i)].as_buffer()).read_all() for i in order]
-        first = np.append(0, np.cumsum([t.num_rows for t in tables]))
-        place = np.fromiter((first[run] + at for run, at in LoserTree([_keys(t) for t in tables])), np.int64)
-        table = pa.concat_tables(tables).take(pa.array(place)).combine_chunks()
-        urls = table.column("url_key").to_pylist()
-        new = np.array([True, *(a != b for a, b in zip(urls, urls[1:]))])
-        begin = np.flatnonzero(new)
-        nth = np.arange(len(urls)) - np.repeat(begin, np.diff(np.append(begin, len(urls)))) + 1
+    def merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = sorted((run, piece) for b in batches for run, piece in zip(b.column("run").to_pylist(), b.column("piece").to_pylist()))
+        pieces = [_Piece(piece) for _, piece in found]
+        del found
         r = key[0].as_py()
-        url, earlier = carry.get(r, ("", 0))
-        if earlier and urls[0] == url:
-            nth[: begin[1] if len(begin) > 1 else len(urls)] += earlier
-        whole = lambda c: table.column(c).combine_chunks()
-        return pa.Table.from_batches([shared.rows(_OUT, position=before[r] + np.arange(1, len(urls) + 1), capture=nth, **{c: whole(c) for c in _ROW.names})], _OUT)
+        position = before[r]
+        url, nth = carry.get(r, (None, 0))
+        opened: list[pa.RecordBatch] = []  # batches that waiting rows are in
+        place = [(-1, 0)] * len(pieces)  # by piece: its open batch's first row, and where that is in ``opened``
+        size = 0
+        waiting: list[int] = []
+
+        def give() -> pa.RecordBatch:
+            nonlocal position, url, nth, opened, size, waiting
+            table = pa.Table.from_batches(opened).take(pa.array(waiting, pa.int64())).combine_chunks()
+            urls, capture = table.column("url_key").to_pylist(), []
+            for u in urls:
+                nth = nth + 1 if u == url else 1
+                url = u
+                capture.append(nth)
+            whole = lambda c: table.column(c).combine_chunks()
+            out = shared.rows(_OUT, position=position + np.arange(1, len(urls) + 1), capture=capture, **{c: whole(c) for c in _ROW.names})
+            position, opened, size, waiting = position + len(urls), [], 0, []
+            place[:] = [(-1, 0)] * len(pieces)
+            return out
+
+        # a piece opens its next batch when the tree asks for its next key, so a row is noted before that
+        for w, at in LoserTree(pieces):
+            piece = pieces[w]
+            if place[w][0] != piece.first:
+                place[w] = (piece.first, size)
+                opened.append(piece.rows)
+                size += piece.rows.num_rows
+            waiting.append(place[w][1] + at - piece.first)
+            if len(waiting) >= _OUT_ROWS:
+                yield give()
+        if waiting:
+            yield give()
 
     return merge
 
@@ -180,7 +225,7 @@ def merged_index(found: DataFrame, run_rows: int = RUN_ROWS, range_rows: int = R
     place by (url_key, ts, id), ``capture`` the place in its URL's history, both from 1."""
     spark = found.sparkSession
     total = found.count()
-    ranges = max(1, total // range_rows, min(int(spark.conf.get("spark.sql.shuffle.partitions")), total // least_rows))
+    ranges = max(1, min(total // range_rows, MOST_RANGES), min(int(spark.conf.get("spark.sql.shuffle.partitions")), total // least_rows))
     every = max(1, total // (ranges * SAMPLES))
     sample = found.select("url_key", F.coalesce("ts", F.lit(_LEAST)), F.coalesce("id", F.lit(_LEAST))).where(F.pmod(F.xxhash64("url_key", "ts", "id"), F.lit(every)) == 0) if ranges > 1 else None
     keys = sorted(map(tuple, sample.collect())) if sample is not None else []
@@ -195,4 +240,5 @@ def merged_index(found: DataFrame, run_rows: int = RUN_ROWS, range_rows: int = R
             url = splitters[r - 1][0]
             known = carry.get(r - 1, ("", 0))
             carry[r] = (url, rows.get(r - 1, (0, 0))[1] + (known[1] if known[0] == url else 0))
-    return runs.groupBy("range").applyInArrow(_merge(before, carry), _OUT_DDL)
+    # partitions by the order of the ranges, so that the result's files are in order too
+    return runs.repartitionByRange("range").groupBy("range").applyInArrow(_merge(before, carry), _OUT_DDL)
