@@ -6,9 +6,10 @@ verified word for word against the item.  Windows that hit merge into spans, whi
 are cut out; a document with a larger share of such words goes as a whole.  The
 documents aren't shuffled.
 
-Up to ``gram_limit`` n-grams are broadcast at once.  A larger benchmark is written
-to the shared folder in slices of that size, and each task holds one slice at a
-time; the result is the same.
+Executors build the arrays in slices of about ``slice_bytes`` bytes, which hold an
+item's words once and address its n-grams in them.  Up to ``broadcast_bytes`` bytes,
+as built, all slices are broadcast.  More stay in the shared folder, and a task reads
+one after another for each ``HELD_BYTES`` bytes of its texts; the result is the same.
 
 Words are those of ``wordhash`` kind "plain".  An item with fewer words than
 ``width`` is one n-gram of all its words; one with fewer than ``min_words`` is too
@@ -22,119 +23,216 @@ rows have the same result each; other columns, whatever their names, stay.
 
 from __future__ import annotations
 
-import pickle
+import struct
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from pageloom.llm import shared, wordhash
+from pageloom.llm.postings import BYTES_PER_WORD, runs
 
 WIDTH = 13
 MIN_WORDS = 5
 #: Share of its words from which a contaminated document goes as a whole.
 DROP_SHARE = 0.5
-#: n-grams in memory at once, about 30 bytes each.
-GRAM_LIMIT = 4_000_000
+#: Bytes of n-grams that are broadcast, and in one slice.
+BROADCAST_BYTES = 64 << 20
+SLICE_BYTES = 32 << 20
+#: Bytes of texts that a task holds while it reads the slices of a large benchmark.
+HELD_BYTES = 32 << 20
+#: Words of an item that are in one piece; the pieces of a longer one overlap.
+ITEM_WORDS = 20_000
+#: About the bytes of a slice for each word of an item.
+_BYTES_PER_GRAM = 33
 
-#: Of one slice: sorted hashes, item and first word of each n-gram, its number of words; and the words of its items.
-Grams = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, dict[int, list[bytes]]]
-_GRAM = pa.schema([("hash", pa.int64()), ("item_id", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("words", pa.list_(pa.binary()))])
+_PIECES = pa.schema([("slice", pa.int32()), ("item_id", pa.int64()), ("n", pa.int32()), ("words", pa.binary())])
+_BUILT = pa.schema([("path", pa.string()), ("bytes", pa.int64()), ("grams", pa.int64())])
 
 
-def _list_grams(width: int, min_words: int):
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class Grams:
+    """The n-grams of a slice: sorted hashes, where each one's words are in ``text`` (between single spaces), its number of words, and its items."""
+
+    _HEAD = struct.Struct("<4q")
+
+    def __init__(self, blob: bytes) -> None:
+        n, words, items, size = self._HEAD.unpack_from(blob)
+        at = self._HEAD.size
+
+        def take(kind: type, count: int) -> np.ndarray:
+            nonlocal at
+            out = np.frombuffer(blob, kind, count, at)
+            at += out.nbytes
+            return out
+
+        self.hashes, self.of_item, self.items = take(np.uint64, n), take(np.int64, n + 1), take(np.int64, items)
+        self.first, self.place, self.sizes = take(np.uint32, n), take(np.uint32, words + 1), take(np.uint8, n)
+        self.text = memoryview(blob)[at : at + size]
+
+    @classmethod
+    def pack(cls, hashes: np.ndarray, of_item: np.ndarray, items: np.ndarray, first: np.ndarray, place: np.ndarray, sizes: np.ndarray, text: bytes) -> bytes:
+        head = cls._HEAD.pack(len(hashes), len(place) - 1, len(items), len(text))
+        kinds = (np.uint64, np.int64, np.int64, np.uint32, np.uint32, np.uint8)
+        return head + b"".join(x.astype(k).tobytes() for x, k in zip((hashes, of_item, items, first, place, sizes), kinds)) + text
+
+    def words(self, k: int) -> memoryview:
+        first = int(self.first[k])
+        return self.text[int(self.place[first]) : int(self.place[first + int(self.sizes[k])]) - 1]
+
+    def items_of(self, k: int) -> list[int]:
+        return self.items[self.of_item[k] : self.of_item[k + 1]].tolist()
+
+
+def _cut_items(width: int, min_words: int, slices: int, item_words: int):
+    """An item's normalised words, in pieces that hold each of its n-grams once."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            w = wordhash.words(batch.column("text"), "plain")
-            raw, counts = w.data.tobytes(), w.counts()
-            items = batch.column("item_id").to_numpy()
-            for n in np.unique(np.minimum(counts, width)):
-                if n < min_words:
+            for part in wordhash.slices(batch):
+                w = wordhash.words(part.column("text"), "plain")
+                raw, found = w.data.tobytes(), []
+                for item, a, b in zip(part.column("item_id").to_pylist(), w.doc, w.doc[1:]):
+                    if (n := min(int(b - a), width)) < min_words:
+                        continue
+                    for i in range(int(a), int(b) - n + 1, item_words):
+                        j = min(i + item_words + n - 1, int(b))
+                        words = b" ".join([raw[x:y] for x, y in zip(w.starts[i:j].tolist(), w.ends[i:j].tolist())])
+                        found.append((int((int(w.hashes[i]) + (item ^ i)) % slices), item, n, words))
+                if found:
+                    yield shared.rows(_PIECES, **dict(zip(_PIECES.names, map(list, zip(*found)))))
+
+    return cut
+
+
+def _build(folder: str):
+    def build(key: tuple, group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        texts, items, sizes = group.column("words").to_pylist(), group.column("item_id").to_numpy(), group.column("n").to_numpy()
+        text = b" ".join(texts) + b" "
+        w = wordhash.words(pa.array(texts, pa.binary()).cast(pa.string()), "space")
+        begin = np.append(0, np.cumsum([len(t) + 1 for t in texts]))
+        place = np.append(w.starts + np.arange(len(texts)).repeat(w.counts()), begin[-1])
+        found = [(h, at, np.searchsorted(w.doc, at, "right") - 1, n) for n in np.unique(sizes) for h, at in [wordhash.windows(w.hashes, w.doc, int(n))]]
+        found = [(h[mine], at[mine], row[mine], n) for h, at, row, n in found for mine in [sizes[row] == n]]
+        hashes, first, row = (np.concatenate([f[k] for f in found]) for k in range(3))
+        n = np.repeat([f[3] for f in found], [len(f[0]) for f in found])
+        # an item once for each n-gram that it has, and each n-gram once: the same hash and size with other words stays apart
+        raw = memoryview(text)
+        order = np.lexsort((first, items[row], n, hashes))
+        hashes, first, row, n = hashes[order], first[order], row[order], n[order]
+        words = lambda k: raw[int(place[first[k]]) : int(place[first[k] + n[k]]) - 1]
+        cuts = runs(hashes)
+        kept: list[tuple[int, list[int]]] = []
+        for a, b in zip(cuts, cuts[1:]):
+            mine: list[tuple[int, list[int]]] = []
+            for k in range(a, b):
+                item = int(items[row[k]])
+                same = next((m for m in mine if n[m[0]] == n[k] and words(m[0]) == words(k)), None)
+                if same is None:
+                    mine.append((k, [item]))
+                elif same[1][-1] != item:
+                    same[1].append(item)
+            kept += mine
+        at = np.array([k for k, _ in kept], np.int64)
+        blob = Grams.pack(hashes[at], np.append(0, np.cumsum([len(x) for _, x in kept])), np.array([i for _, x in kept for i in x], np.int64), first[at], place, n[at], text)
+        path = f"{folder}/{key[0].as_py()}-{uuid.uuid4().hex}"
+        where, local = shared.file_system(path)
+        with where.open_output_stream(local) as f:
+            f.write(blob)
+        return pa.Table.from_batches([shared.rows(_BUILT, path=[path], bytes=[len(blob)], grams=[len(at)])], _BUILT)
+
+    return build
+
+
+def _load(path: str) -> Grams:
+    where, local = shared.file_system(path)
+    with where.open_input_stream(local) as f:
+        return Grams(f.read())
+
+
+class _Benchmark:
+    """The slices of n-grams, on the driver and in tasks."""
+
+    def __init__(self, benchmark: DataFrame, width: int, min_words: int, broadcast_bytes: int, slice_bytes: int) -> None:
+        spark = benchmark.sparkSession
+        items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+        size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        slices = shared.buckets_for(size // BYTES_PER_WORD * _BYTES_PER_GRAM, slice_bytes)
+        pieces = items.mapInArrow(_cut_items(width, min_words, slices, ITEM_WORDS), "slice int, item_id long, n int, words binary")
+        built = shared.store(pieces.groupBy("slice").applyInArrow(_build(shared.own_folder(spark, "grams")), "path string, bytes long, grams long"), "slices")
+        self.built = [tuple(r) for r in built.orderBy("path").collect()]
+        shared.discard(built)
+        paths = [path for path, *_ in self.built]
+        self.paths = None if sum(n for _, n, _ in self.built) <= broadcast_bytes else paths
+        self.held = spark.sparkContext.broadcast([bytes(_load(p).text.obj) for p in paths]) if self.paths is None else None
+        self.ready: list[Grams] = []
+        self.held_bytes = HELD_BYTES
+
+    def __getstate__(self) -> dict:
+        return {"paths": self.paths, "held": self.held, "held_bytes": self.held_bytes, "ready": []}
+
+    def hits(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, wordhash.Words, dict[int, list[tuple[int, int, set[int]]]]]]:
+        """Parts of batches, their words, and by text the spans."""
+        waiting, size = [], 0
+        for batch in batches:
+            for part in wordhash.slices(batch):
+                if self.paths is None:
+                    yield from self._found([part])
                     continue
-                hashes, at = wordhash.windows(w.hashes, w.doc, int(n))
-                row = np.searchsorted(w.doc, at, "right") - 1
-                mine = np.minimum(counts[row], width) == n
-                hashes, at, row = hashes[mine], at[mine], row[mine]
-                words = [[raw[a:b] for a, b in zip(w.starts[i : i + n].tolist(), w.ends[i : i + n].tolist())] for i in at]
-                yield shared.rows(_GRAM, hash=hashes.view(np.int64), item_id=items[row], at=(at - w.doc[row]).astype(np.int32), n=np.full(len(at), n, np.int32), words=words)
-
-    return make
-
-
-def _slice(part: list) -> Grams:
-    hashes = np.array([r[0] for r in part], np.int64).view(np.uint64)
-    order = np.argsort(hashes, kind="stable")
-    words: dict[int, list[bytes]] = {}
-    for k, i in enumerate(order):
-        words[k] = [bytes(x) for x in part[i][4]]
-    return hashes[order], np.array([part[i][1] for i in order], np.int64), np.array([part[i][2] for i in order]), np.array([part[i][3] for i in order]), words
-
-
-def _gram_slices(benchmark: DataFrame, width: int, min_words: int, limit: int) -> Callable[[], Iterator[Grams]]:
-    """What gives a task all slices of n-grams, one at a time."""
-    spark = benchmark.sparkSession
-    grams = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text")
-    grams = shared.cut(grams.mapInArrow(_list_grams(width, min_words), "hash long, item_id long, at int, n int, words array<binary>").distinct())
-    if grams.count() <= limit:
-        held = spark.sparkContext.broadcast(_slice(grams.collect()))
-        return lambda: iter([held.value])
-    folder = shared.new_path(spark, "grams")
-    where, base = shared.file_system(folder)
-    where.create_dir(base)
-    names, part = [], []
-    for row in grams.toLocalIterator():
-        part.append(tuple(row))
-        if len(part) == limit:
-            names.append(_write(folder, len(names), part))
-            part = []
-    if part:
-        names.append(_write(folder, len(names), part))
-
-    def load() -> Iterator[Grams]:
-        for name in names:
-            where, path = shared.file_system(name)
-            with where.open_input_stream(path) as f:
-                yield pickle.loads(f.read())
-
-    return load
-
-
-def _write(folder: str, k: int, part: list) -> str:
-    where, path = shared.file_system(f"{folder}/{k}")
-    with where.open_output_stream(path) as f:
-        f.write(pickle.dumps(_slice(part)))
-    return f"{folder}/{k}"
-
-
-def _hits(w: wordhash.Words, slices: Iterator[Grams]) -> list[tuple[int, int, int, int]]:
-    """Verified (text, first word, end word, item), sorted, of all texts."""
-    raw, out = w.data.tobytes(), set()
-    for hashes, items, _, sizes, words in slices:
-        for n in np.unique(sizes).tolist():
-            found, at = wordhash.windows(w.hashes, w.doc, n)
-            low = np.searchsorted(hashes, found)
-            hit = np.flatnonzero(hashes[np.minimum(low, len(hashes) - 1)] == found)
-            row = np.searchsorted(w.doc, at[hit], "right") - 1
-            for h, i, k, r in zip(found[hit], at[hit].tolist(), low[hit].tolist(), row.tolist()):
-                mine = [raw[a:b] for a, b in zip(w.starts[i : i + n].tolist(), w.ends[i : i + n].tolist())]
-                while k < len(hashes) and hashes[k] == h:
-                    if words[k] == mine:
-                        first = i - int(w.doc[r])
-                        out.add((r, first, first + n, int(items[k])))
-                    k += 1
-    return sorted(out)
-
-
-def _spans(hits: list[tuple[int, int, int, int]]) -> dict[int, list[tuple[int, int, set[int]]]]:
+                waiting.append(part)
+                size += part.column("text").nbytes
+                if size >= self.held_bytes:
+                    yield from self._found(waiting)
+                    waiting, size = [], 0
+        if waiting:
+            yield from self._found(waiting)
+
+    def _slices(self) -> Iterator[Grams]:
+        if self.paths is None:
+            if not self.ready:
+                self.ready = list(map(Grams, self.held.value))
+            return iter(self.ready)
+        return map(_load, self.paths)
+
+    def _found(self, parts: list[pa.RecordBatch]) -> Iterator[tuple]:
+        words = [wordhash.words(p.column("text"), "plain") for p in parts]
+        raw = [w.data.tobytes() for w in words]
+        hits: list[dict[tuple[int, int, int], set[int]]] = [{} for _ in parts]
+        for grams in self._slices():
+            for w, r, out in zip(words, raw, hits):
+                _look_up(grams, w, r, out)
+        for part, w, out in zip(parts, words, hits):
+            yield part, w, _spans(sorted(out.items()))
+
+
+def _look_up(grams: Grams, w: wordhash.Words, raw: bytes, out: dict[tuple[int, int, int], set[int]]) -> None:
+    """Adds the verified hits: by (text, first word, end word) the items."""
+    for n in np.unique(grams.sizes).tolist():
+        found, at = wordhash.windows(w.hashes, w.doc, n)
+        low = np.searchsorted(grams.hashes, found)
+        hit = np.flatnonzero(grams.hashes[np.minimum(low, len(grams.hashes) - 1)] == found)
+        row = np.searchsorted(w.doc, at[hit], "right") - 1
+        for h, i, k, r in zip(found[hit], at[hit].tolist(), low[hit].tolist(), row.tolist()):
+            mine = b" ".join([raw[a:b] for a, b in zip(w.starts[i : i + n].tolist(), w.ends[i : i + n].tolist())])
+            while k < len(grams.hashes) and grams.hashes[k] == h:
+                if grams.sizes[k] == n and grams.words(k) == mine:
+                    first = i - int(w.doc[r])
+                    out.setdefault((r, first, first + n), set()).update(grams.items_of(k))
+                k += 1
+
+
+def _spans(hits: list[tuple[tuple[int, int, int], set[int]]]) -> dict[int, list[tuple[int, int, set[int]]]]:
     """By text: windows that overlap, merged, with the items they are from."""
     out: dict[int, list[tuple[int, int, set[int]]]] = {}
-    for r, a, b, item in hits:
+    for (r, a, b), items in hits:
         mine = out.setdefault(r, [])
         if mine and a < mine[-1][1]:
-            mine[-1] = (mine[-1][0], max(b, mine[-1][1]), mine[-1][2] | {item})
+            mine[-1] = (mine[-1][0], max(b, mine[-1][1]), mine[-1][2] | items)
         else:
-            mine.append((a, b, {item}))
+            mine.append((a, b, items))
     return out
 
 
@@ -145,44 +243,43 @@ def _goes(spans: list[tuple[int, int, set[int]]], n_words: int, share: float) ->
     return sum(b - a for a, b, _ in spans) >= share * n_words
 
 
-def contaminated_spans(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, min_words: int = MIN_WORDS, drop_share: float = DROP_SHARE, gram_limit: int = GRAM_LIMIT) -> DataFrame:
+def contaminated_spans(
+    docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, min_words: int = MIN_WORDS, drop_share: float = DROP_SHARE, broadcast_bytes: int = BROADCAST_BYTES, slice_bytes: int = SLICE_BYTES
+) -> DataFrame:
     """(doc_id, first_word, end_word, items, action) of every span; ``action`` is "remove_document" if the
     document's spans hold at least ``drop_share`` of its words, else "remove_span"."""
-    slices = _gram_slices(benchmark, width, min_words, gram_limit)
+    items = _Benchmark(benchmark, width, min_words, broadcast_bytes, slice_bytes)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in wordhash.slices(batch):
-                w = wordhash.words(part.column("text"), "plain")
-                counts, ids = w.counts(), part.column("doc_id").to_numpy()
-                found = [(int(ids[r]), a, b, sorted(items), "remove_document" if _goes(s, counts[r], drop_share) else "remove_span") for r, s in _spans(_hits(w, slices())).items() for a, b, items in s]
-                if found:
-                    yield shared.rows(_FOUND, **dict(zip(_FOUND.names, map(list, zip(*found)))))
+        for part, w, spans in items.hits(batches):
+            counts, ids = w.counts(), part.column("doc_id").to_numpy()
+            found = [(int(ids[r]), a, b, sorted(own), "remove_document" if _goes(s, counts[r], drop_share) else "remove_span") for r, s in spans.items() for a, b, own in s]
+            if found:
+                yield shared.rows(_FOUND, **dict(zip(_FOUND.names, map(list, zip(*found)))))
 
     return shared.core(docs, "doc_id", "text").mapInArrow(scan, "doc_id long, first_word long, end_word long, items array<long>, action string")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, min_words: int = MIN_WORDS, drop_share: float = DROP_SHARE, gram_limit: int = GRAM_LIMIT) -> DataFrame:
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, min_words: int = MIN_WORDS, drop_share: float = DROP_SHARE, broadcast_bytes: int = BROADCAST_BYTES, slice_bytes: int = SLICE_BYTES
+) -> DataFrame:
     """``docs`` without the documents that go as a whole, and without the spans of the others."""
-    slices = _gram_slices(benchmark, width, min_words, gram_limit)
+    items = _Benchmark(benchmark, width, min_words, broadcast_bytes, slice_bytes)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in wordhash.slices(batch):
-                w = wordhash.words(part.column("text"), "plain")
-                found, counts = _spans(_hits(w, slices())), w.counts()
-                if not found:
-                    yield part
-                    continue
-                texts, stays = part.column("text").to_pylist(), np.ones(part.num_rows, bool)
-                for r, spans in found.items():
-                    stays[r] = not _goes(spans, counts[r], drop_share)
-                    raw = texts[r].encode()
-                    for a, b, _ in reversed(spans):
-                        first, end = w.starts[w.doc[r] + a] - w.offsets[r], w.ends[w.doc[r] + b - 1] - w.offsets[r]
-                        raw = raw[:first] + raw[end:]
-                    texts[r] = raw.decode()
-                names = part.schema.names
-                yield pa.RecordBatch.from_arrays([pa.array(texts, part.column(n).type) if n == "text" else part.column(n) for n in names], names).filter(pa.array(stays))
+        for part, w, found in items.hits(batches):
+            if not found:
+                yield part
+                continue
+            counts, texts, stays = w.counts(), part.column("text").to_pylist(), np.ones(part.num_rows, bool)
+            for r, spans in found.items():
+                stays[r] = not _goes(spans, counts[r], drop_share)
+                raw = texts[r].encode()
+                for a, b, _ in reversed(spans):
+                    first, end = w.starts[w.doc[r] + a] - w.offsets[r], w.ends[w.doc[r] + b - 1] - w.offsets[r]
+                    raw = raw[:first] + raw[end:]
+                texts[r] = raw.decode()
+            names = part.schema.names
+            yield pa.RecordBatch.from_arrays([pa.array(texts, part.column(n).type) if n == "text" else part.column(n) for n in names], names).filter(pa.array(stays))
 
     return docs.mapInArrow(clean, docs.schema)

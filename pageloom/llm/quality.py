@@ -263,7 +263,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[WeakModel, np.ndarray]:
     model = estimate(patterns, counts)
     share = int(min(1.0, sample / counts.sum()) * 2**31)
     chosen = texts.where(F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(2**31)) < share))
-    rows = sorted(chosen.mapInArrow(_sample_features, "doc_id long, pattern int, buckets binary, values binary").collect(), key=lambda r: (r[0], r[1], bytes(r[2])))
+    # equal rows train once, however many there are
+    rows = sorted(chosen.dropDuplicates().mapInArrow(_sample_features, "doc_id long, pattern int, buckets binary, values binary").collect(), key=lambda r: (r[0], r[1], bytes(r[2])))
     buckets, values = ([np.frombuffer(r[k], t) for r in rows] for k, t in ((2, np.uint16), (3, np.float32)))
     if not rows:
         return model, np.append(np.zeros(BUCKETS), np.log(model.prior / (1 - model.prior)))
