@@ -7,12 +7,18 @@
 2. Lines that the second filter knows are suspected repeats.  Only these are
    shuffled with their text, which confirms them exactly and gives the first
    occurrence, the least (doc_id, line number).
-3. A suspected line that is no first occurrence goes.  What a filter suspects
+3. The numbers of the first ones go back to where their documents are read: they
+   are written to the shared folder by the split of ``docs`` that each document was
+   met in, and a task that reads a split again takes its own list.  The texts are
+   never moved.  A document that isn't in its split's list, since splits were cut
+   in another way meanwhile, is looked up in the whole table.
+4. A suspected line that is no first occurrence goes.  What a filter suspects
    wrongly is its own first occurrence and stays, so the result is exact.
 
 The second filters hold repeated lines only.  Up to ``broadcast_limit`` bytes they
 are broadcast; beyond that, packed hashes and places of all lines go to the
-segments instead, and each is looked up where its filter is.
+segments instead, each is looked up where its filter is, and the numbers of the
+suspects go back by split as above.
 
 Lines end at ``\\n``.  Defined results: lines of nothing but white space always
 stay; null texts stay null; rows without a doc_id stay as they are, and their
@@ -28,32 +34,42 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as ds
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pageloom.llm import shared, wordhash
-from pageloom.llm.postings import bucket_of, chunk_of, read, runs, stable_order
+from pageloom.llm.postings import bucket_of, read, runs, stable_order
 
 #: Line hashes in one segment.
 SEGMENT = 2_000_000
 BITS_PER_LINE = 12
 PROBES = 6
+#: Bytes of filters that a task holds; they are tested as they are, a bit for a bit.
 BROADCAST_LIMIT = 64 << 20
+#: Splits whose lists are in one folder.
+SPLITS = 32
 
 
 class Bloom:
-    """A Bloom filter over 64-bit hashes; its size is a power of two of bits."""
+    """A Bloom filter over 64-bit hashes; its size is a power of two of bits.
 
-    def __init__(self, expected: int, bits: np.ndarray | None = None) -> None:
-        self.bits = np.zeros(1 << max(10, (expected * BITS_PER_LINE - 1).bit_length()), bool) if bits is None else bits
+    One that is filled has a byte a bit, one read by ``from_bytes`` a bit a bit.
+    """
+
+    def __init__(self, expected: int) -> None:
+        self.size = 1 << max(10, (expected * BITS_PER_LINE - 1).bit_length())
+        self.bits: np.ndarray | None = np.zeros(self.size, bool)
+        self.packed: np.ndarray | None = None
 
     def _places(self, hashes: np.ndarray) -> Iterator[np.ndarray]:
-        mask = np.uint64(len(self.bits) - 1)
+        mask = np.uint64(self.size - 1)
         step = (hashes >> np.uint64(33)) | np.uint64(1)
         at = wordhash.mix(hashes)
         for _ in range(PROBES):
-            yield at & mask
+            yield (at & mask).view(np.int64)
             at = at + step
 
     def add(self, hashes: np.ndarray) -> None:
@@ -63,7 +79,7 @@ class Bloom:
     def has(self, hashes: np.ndarray) -> np.ndarray:
         out = np.ones(len(hashes), bool)
         for at in self._places(hashes):
-            out &= self.bits[at]
+            out &= self.bits[at] if self.packed is None else (self.packed[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)
         return out
 
     def to_bytes(self) -> bytes:
@@ -71,7 +87,9 @@ class Bloom:
 
     @classmethod
     def from_bytes(cls, blob: bytes) -> Bloom:
-        return cls(0, np.unpackbits(np.frombuffer(blob, np.uint8)).view(bool))
+        out = cls(0)
+        out.bits, out.packed, out.size = None, np.frombuffer(blob, np.uint8), 8 * len(blob)
+        return out
 
 
 class Lines:
@@ -144,7 +162,7 @@ def _suspected(filters: dict[int, Bloom], segments: int, hashes: np.ndarray) ->
 
 
 _PLACED = pa.schema([("segment", pa.int32()), ("hashes", pa.binary()), ("docs", pa.binary()), ("numbers", pa.binary())])
-_LISTS = pa.schema([("doc_id", pa.int64()), ("numbers", pa.list_(pa.int32()))])
+_NUMBERS = pa.schema([("doc_id", pa.int64()), ("number", pa.int32())])
 
 
 def _send_places(segments: int):
@@ -164,48 +182,82 @@ def _send_places(segments: int):
 
 
 def _look_up(key: tuple, places: pa.Table, filters: pa.Table) -> pa.Table:
-    docs, numbers = read(places, "docs", np.int64), read(places, "numbers", np.int32)
+    docs, numbers, hashes = read(places, "docs", np.int64), read(places, "numbers", np.int32), read(places, "hashes", np.uint64)
     hit = np.zeros(len(docs), bool)
     for blob in filters.column("filter").to_pylist():
-        hit |= Bloom.from_bytes(blob).has(read(places, "hashes", np.uint64))
-    docs, numbers = docs[hit], numbers[hit]
-    order = np.argsort(docs, kind="stable")
-    docs, numbers = docs[order], numbers[order]
-    cuts = runs(docs)
-    lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(numbers, pa.int32()))
-    return pa.Table.from_batches([shared.rows(_LISTS, doc_id=docs[cuts[:-1]], numbers=lists)], _LISTS)
-
-
-_LINE = pa.schema([("doc_id", pa.int64()), ("number", pa.int32()), ("line", pa.binary())])
-
-
-def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(row, value) of all elements of a list column; nulls are empty."""
-    sizes = np.array([len(x) if x else 0 for x in column.to_pylist()], np.int64)
-    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64) if sizes.sum() else np.zeros(0, np.int64)
-    return np.repeat(np.arange(len(sizes)), sizes), values
-
-
-def _member(rows_a: np.ndarray, numbers_a: np.ndarray, rows_b: np.ndarray, numbers_b: np.ndarray) -> np.ndarray:
-    return np.isin((rows_a.astype(np.int64) << 32) | numbers_a, (rows_b.astype(np.int64) << 32) | numbers_b)
-
-
-def _occurrences(suspects: Callable[[Lines, pa.RecordBatch], np.ndarray]):
-    """The suspected lines with their text, the first of each text and slice only (others can't be first)."""
+        hit |= Bloom.from_bytes(blob).has(hashes)
+    return pa.Table.from_batches([shared.rows(_NUMBERS, doc_id=docs[hit], number=numbers[hit])], _NUMBERS)
+
+
+class _LineNumbers:
+    """Line numbers of documents, which a task reads for the split that it works on."""
+
+    def __init__(self, homes: DataFrame, numbers: DataFrame) -> None:
+        """``homes`` has the split of every document asked for, ``numbers`` its line numbers, if any."""
+        lists = homes.join(numbers, "doc_id", "left").groupBy("split", "doc_id").agg(F.collect_list("number").alias("numbers"))
+        lists = lists.withColumn("part", (F.col("split") / SPLITS).cast("int"))
+        self.path = shared.own_folder(homes.sparkSession, "lines") + "/lists"
+        lists.repartition("part").sortWithinPartitions("split", "doc_id").write.partitionBy("part").parquet(self.path)
+        self.split: int | None = None
+
+    def __getstate__(self) -> dict:
+        return {"path": self.path, "split": None}
+
+    def _read(self, folder: str, what: ds.Expression) -> tuple[np.ndarray, np.ndarray]:
+        where, path = shared.file_system(self.path + folder)
+        if where.get_file_info(path).type.name != "Directory":
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        files = ds.dataset(path, format="parquet", filesystem=where)
+        if not files.files:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        found = files.to_table(columns=["doc_id", "numbers"], filter=what).combine_chunks()
+        docs = found.column("doc_id").to_numpy()
+        sizes = found.column("numbers").combine_chunks().value_lengths().to_numpy()
+        values = found.column("numbers").combine_chunks().flatten().to_numpy().astype(np.int64)
+        return docs, np.stack([np.repeat(docs, sizes), values], 1) if len(values) else np.zeros((0, 2), np.int64)
+
+    def has(self, ids: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+        """Which of these lines are listed."""
+        if (split := TaskContext.get().partitionId()) != self.split:
+            self.split = split
+            self._keep(*self._read(f"/part={split // SPLITS}", ds.field("split") == split))
+        if len(ids) and len(missing := np.setdiff1d(ids, self.known)):
+            docs, lines = self._read("", ds.field("doc_id").isin(pa.array(missing)))
+            self._keep(np.concatenate([self.known, missing, docs]), np.concatenate([self.lines, lines]) if len(lines) else self.lines)
+        at = np.searchsorted(self.known, ids)
+        return np.isin(at << 32 | numbers, self.listed)
+
+    def _keep(self, docs: np.ndarray, lines: np.ndarray) -> None:
+        self.known, self.lines = np.unique(docs), lines.reshape(-1, 2)
+        self.listed = np.searchsorted(self.known, self.lines[:, 0]) << 32 | self.lines[:, 1]
+
+
+_LINE = pa.schema([("split", pa.int32()), ("doc_id", pa.int64()), ("number", pa.int32()), ("line", pa.binary())])
+
+#: Of hashes, doc_ids and numbers of lines: which are suspected.
+Suspects = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+
+
+def _occurrences(suspects: Suspects):
+    """The suspected lines with their text, the first of each text and slice only (others can't be first);
+    and a row without a line for each document that has any."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = TaskContext.get().partitionId()
         for batch in batches:
             for part in wordhash.slices(batch, limit=16 << 20):
                 x = Lines(part.column("text"))
-                at = np.flatnonzero(suspects(x, part))
                 ids = part.column("doc_id").to_numpy()
+                at = np.flatnonzero(suspects(x.hashes, ids[x.owner], x.number))
                 first: dict[bytes, tuple[int, int]] = {}
                 raw = x.data.tobytes()
                 for a, b, d, n in zip(x.starts[at].tolist(), x.ends[at].tolist(), ids[x.owner[at]].tolist(), x.number[at].tolist()):
                     if (old := first.get(line := raw[a:b])) is None or (d, n) < old:
                         first[line] = (d, n)
                 if first:
-                    yield shared.rows(_LINE, doc_id=[d for d, _ in first.values()], number=[n for _, n in first.values()], line=list(first))
+                    homes = np.unique(ids[x.owner[at]]).tolist()
+                    none = [None] * len(homes)
+                    yield shared.rows(_LINE, split=[split] * (len(first) + len(homes)), doc_id=[*(d for d, _ in first.values()), *homes], number=[*(n for _, n in first.values()), *none], line=[*first, *none])
 
     return find
 
@@ -219,47 +271,45 @@ def dedup_lines(docs: DataFrame, segment: int = SEGMENT, broadcast_limit: int =
     own = shared.core(docs, "doc_id", "text")
     breaks = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
     segments = shared.buckets_for(own.agg(F.sum(breaks)).first()[0] or 0, segment)
-    filters = shared.cut(own.mapInArrow(_send(segments), "segment int, hashes binary").groupBy("segment").applyInArrow(_filters, "segment int, filter binary"))
+    filters = shared.store(own.mapInArrow(_send(segments), "segment int, hashes binary").groupBy("segment").applyInArrow(_filters, "segment int, filter binary"), "filters")
     size = filters.agg(F.sum(F.octet_length("filter"))).first()[0] or 0
-    keep, key, found, removed = (shared.free_name(n, docs) for n in ("kept_lines", "kept_doc", "found_lines", "lines_removed"))
-    wide = docs
     if size <= broadcast_limit:
         held = spark.sparkContext.broadcast({r[0]: bytes(r[1]) for r in filters.collect()})
         ready: dict[int, Bloom] = {}
 
-        def suspects(x: Lines, part: pa.RecordBatch) -> np.ndarray:
+        def suspects(hashes: np.ndarray, ids: np.ndarray, numbers: np.ndarray) -> np.ndarray:
             if not ready:
                 ready.update((k, Bloom.from_bytes(v)) for k, v in held.value.items())
-            return _suspected(ready, segments, x.hashes)
-
-        occurrences = own.mapInArrow(_occurrences(suspects), "doc_id long, number int, line binary")
+            return _suspected(ready, segments, hashes)
     else:
         places = own.mapInArrow(_send_places(segments), "segment int, hashes binary, docs binary, numbers binary")
-        hits = places.groupBy("segment").cogroup(filters.groupBy("segment")).applyInArrow(_look_up, "doc_id long, numbers array<int>")
-        hits = hits.groupBy(F.col("doc_id").alias(key)).agg(F.flatten(F.collect_list("numbers")).alias(found))
-        wide = shared.cut(docs.join(hits, docs["doc_id"] == hits[key], "left").drop(key))
-
-        def suspects(x: Lines, part: pa.RecordBatch) -> np.ndarray:
-            return _member(x.owner, x.number, *_flat(part.column(found)))
+        hits = places.groupBy("segment").cogroup(filters.groupBy("segment")).applyInArrow(_look_up, "doc_id long, number int")
+        hit = _LineNumbers(own.select("doc_id", F.spark_partition_id().alias("split")).distinct(), hits)
 
-        occurrences = wide.where(F.col(found).isNotNull()).select("doc_id", "text", found).mapInArrow(_occurrences(suspects), "doc_id long, number int, line binary")
-    firsts = occurrences.groupBy("line").agg(F.min(F.struct("doc_id", "number")).alias("first"))
-    kept = firsts.groupBy(F.col("first.doc_id").alias(key)).agg(F.collect_list("first.number").alias(keep))
-    both = wide.join(kept, docs["doc_id"] == kept[key], "left").drop(key)
+        def suspects(hashes: np.ndarray, ids: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+            return hit.has(ids, numbers)
 
-    names = docs.columns
+    occurrences = shared.store(own.mapInArrow(_occurrences(suspects), "split int, doc_id long, number int, line binary"), "suspects")
+    firsts = occurrences.where("line IS NOT NULL").groupBy("line").agg(F.min(F.struct("doc_id", "number")).alias("first"))
+    homes = occurrences.where("line IS NULL").select("split", "doc_id").distinct()
+    kept = _LineNumbers(homes, firsts.select("first.doc_id", "first.number"))
+    shared.discard(filters, occurrences)
+    names, removed = docs.columns, shared.free_name("lines_removed", docs)
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in wordhash.slices(batch):
                 x = Lines(part.column("text"))
                 real = part.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
-                gone = suspects(x, part) & ~_member(x.owner, x.number, *_flat(part.column(keep))) & real[x.owner]
-                count = np.bincount(x.owner[gone], minlength=part.num_rows)
+                ids = part.column("doc_id").cast(pa.int64()).fill_null(0).to_numpy()
+                at = np.flatnonzero(real[x.owner])
+                at = at[suspects(x.hashes[at], ids[x.owner[at]], x.number[at])]
+                at = at[~kept.has(ids[x.owner[at]], x.number[at])]
+                count = np.bincount(x.owner[at], minlength=part.num_rows)
                 texts = part.column("text")
-                if gone.any():
+                if len(at):
                     lost: dict[int, set[int]] = {}
-                    for d, n in zip(x.owner[gone].tolist(), x.number[gone].tolist()):
+                    for d, n in zip(x.owner[at].tolist(), x.number[at].tolist()):
                         lost.setdefault(d, set()).add(n)
                     new = texts.to_pylist()
                     for d, numbers in lost.items():
@@ -267,4 +317,4 @@ def dedup_lines(docs: DataFrame, segment: int = SEGMENT, broadcast_limit: int =
                     texts = pa.array(new, texts.type)
                 yield pa.RecordBatch.from_arrays([texts if n == "text" else part.column(n) for n in names] + [pa.array(count, pa.int32())], [*names, removed])
 
-    return both.mapInArrow(strip, T.StructType([*docs.schema.fields, T.StructField(removed, T.IntegerType())]))
+    return docs.mapInArrow(strip, T.StructType([*docs.schema.fields, T.StructField(removed, T.IntegerType())]))
