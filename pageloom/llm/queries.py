@@ -64,21 +64,45 @@ SITE_RULES = [("domain", f"{name}.example.{end}", "block") for name in ("cheap-p
 SITE_RULES += [("domain", "tionsh.example.net", "allow")]
 
 
+def redirects(pages: DataFrame) -> DataFrame:
+    """(src, dst): the tables hold no redirects, so every page's URL leads to its site's short form of it, and that to
+    a short form that all sites share."""
+    number = F.regexp_extract("url", r"^[a-z]+://[^/?#]*/[^/?#]*/(\d+)", 1)
+    site = F.regexp_extract(url_filter.host(F.col("url")), r"([^.]+\.[^.]+\.[^.]+)$", 1)
+    hops = pages.select("url", F.concat(F.lit("http://"), site, F.lit("/n/"), number).alias("short"), F.concat(F.lit("http://short.example/n/"), number).alias("all")).where(number != "")
+    return hops.select(F.col("url").alias("src"), F.col("short").alias("dst")).union(hops.select("short", "all"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.decide(shared.table(sf_dir, "pages", spark), url_filter.rules_frame(spark, SITE_RULES))
+    pages = shared.table(sf_dir, "pages", spark)
+    return url_filter.decide(pages, url_filter.rules_frame(spark, SITE_RULES), redirects(pages))
+
+
+def _sql_host(url: str) -> str:
+    return f"regexp_replace(lower(regexp_extract({url}, '^[a-z]+://([^/?#]*)', 1)), ':[0-9]*$', '')"
+
+
+def _sql_normal(url: str) -> str:
+    path = f"regexp_replace(regexp_extract({url}, '^[a-z]+://[^/?#]*([^?#]*)', 1), '(/index)?(\\.html?|/)?$', '')"
+    query = f"regexp_replace(regexp_extract({url}, '(\\?[^#]*)', 1), '([?&])(utm_[a-z]+|ref|source)=[^&]*', '\\1', 'g')"
+    return f"'http://' || regexp_replace({_sql_host(url)}, '^(www|m)\\.', '') || {path} || regexp_replace(regexp_replace({query}, '([?&])&+', '\\1', 'g'), '[?&]+$', '')"
 
 
 _DOMAINS = ", ".join(f"'{value}'" for _, value, action in SITE_RULES if action == "block")
 OP4_SQL = f"""
-WITH u AS (SELECT page_id, url, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), ':[0-9]*$', '') AS host,
-  regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '(/index)?(\\.html?|/)?$', '') AS path,
-  regexp_replace(regexp_replace(regexp_replace(regexp_extract(url, '(\\?[^#]*)', 1), '([?&])(utm_[a-z]+|ref|source)=[^&]*', '\\1', 'g'), '([?&])&+', '\\1', 'g'), '[?&]+$', '') AS query FROM pages),
-n AS (SELECT *, 'http://' || regexp_replace(host, '^(www|m)\\.', '') || path || query AS normal FROM u),
-h AS (SELECT *, host = 'tionsh.example.net' OR host LIKE '%.tionsh.example.net' AS allowed,
-  len(list_filter([{_DOMAINS}], lambda d: host = d OR host LIKE '%.' || d OR regexp_extract(normal, '//([^/?]*)', 1) = d OR regexp_extract(normal, '//([^/?]*)', 1) LIKE '%.' || d)) > 0 AS hit FROM n),
-c AS (SELECT *, least(min(url) OVER (PARTITION BY normal), normal) AS component, bool_or(hit AND NOT allowed) OVER (PARTITION BY normal) AS blocked FROM h)
+WITH RECURSIVE p AS (SELECT *, regexp_extract(url, '^[a-z]+://[^/?#]*/[^/?#]*/([0-9]+)', 1) AS number FROM pages),
+q AS (SELECT url, 'http://' || regexp_extract({_sql_host("url")}, '([^.]+\\.[^.]+\\.[^.]+)$', 1) || '/n/' || number AS short, 'http://short.example/n/' || number AS every FROM p WHERE number <> ''),
+l AS (SELECT url AS a, short AS b FROM q UNION SELECT short, every FROM q),
+u AS (SELECT url FROM pages UNION SELECT a FROM l UNION SELECT b FROM l),
+n AS (SELECT url, {_sql_normal("url")} AS normal FROM u),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l UNION SELECT url, normal FROM n UNION SELECT normal, url FROM n),
+v AS (SELECT url FROM n UNION SELECT normal FROM n),
+r(node, seen) AS (SELECT url, url FROM v UNION SELECT e.b, r.seen FROM r JOIN e ON e.a = r.node),
+m AS (SELECT node, min(seen) AS component, {_sql_host("node")} AS host FROM r GROUP BY node),
+h AS (SELECT node, component, host = 'tionsh.example.net' OR host LIKE '%.tionsh.example.net' AS allowed, len(list_filter([{_DOMAINS}], lambda d: host = d OR host LIKE '%.' || d)) > 0 AS hit FROM m),
+k AS (SELECT *, bool_or(hit AND NOT allowed) OVER (PARTITION BY component) AS blocked FROM h)
 SELECT page_id, url, component, CASE WHEN allowed THEN 'allow' WHEN blocked THEN 'block' ELSE 'keep' END AS decision,
-  CASE WHEN allowed OR (hit AND blocked) THEN 'rule' WHEN blocked THEN 'alias' END AS reason FROM c
+  CASE WHEN allowed OR (hit AND blocked) THEN 'rule' WHEN blocked THEN 'alias' END AS reason FROM pages JOIN k ON k.node = pages.url
 """
 
 

@@ -87,7 +87,8 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def page_edges(pages: DataFrame) -> DataFrame:
     """(src, dst): canonical links and refresh targets of pages (url, html), resolved against the page's URL or its base element."""
-    some = pages.where("url IS NOT NULL").where(F.lower("html").rlike("canonical|http-equiv"))
+    low = F.lower("html")
+    some = pages.where("url IS NOT NULL").where(low.contains("canonical") | low.contains("http-equiv"))
     written = some.select("url", _attribute(_BASE, "href").alias("base"), _attribute(_LINK, "href").alias("canonical"), _attribute(_REFRESH, "content").alias("refresh"))
     return written.where("canonical <> '' OR refresh <> ''").mapInArrow(_edges, "src string, dst string").where(F.col("dst").rlike("(?i)^https?://[^/?#]"))
 
@@ -107,10 +108,13 @@ def decide(pages: DataFrame, rules: DataFrame, edges: DataFrame | None = None, k
     links = page_edges(real)
     if edges is not None:
         links = links.union(edges.select("src", "dst"))
-    ends = real.select("url").union(links.select("src")).union(links.select("dst")).where("url IS NOT NULL AND trim(url) <> ''").distinct()
-    links = links.where("src IS NOT NULL AND dst IS NOT NULL").union(ends.select("url", normal_form(F.col("url"))))
-    found = components(links)
-    nodes = shared.store(ends.union(links.select("dst")).distinct().join(found, F.col("url") == F.col("node"), "left").select("url", F.coalesce("component", "url").alias("component")), "urls")
+    links = shared.store(links.where("src IS NOT NULL AND dst IS NOT NULL"), "links")
+    ends = real.select("url").union(links.select("src")).union(links.select("dst")).where("trim(url) <> ''").distinct()
+    ends = shared.store(ends.select("url", normal_form(F.col("url")).alias("normal")), "ends")
+    found = components(links.union(ends))
+    nodes = ends.select("url").union(ends.select("normal")).distinct().join(found, F.col("url") == F.col("node"), "left")
+    nodes = shared.store(nodes.select("url", F.coalesce("component", "url").alias("component")), "urls")
+    shared.discard(links, ends)
     labels = F.split(host(F.col("url")), r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     known = rules.where("kind IN ('domain', 'url') AND value IS NOT NULL AND action IN ('block', 'allow')").select("kind", F.when(F.col("kind") == "domain", F.lower("value")).otherwise(normal_form(F.col("value"))).alias("value"), "action").distinct()
