@@ -99,6 +99,37 @@ def host_stats(df: DataFrame, host: str = "host", ok: str = "ok") -> DataFrame:
     return df.groupBy(host).agg(F.count("*").alias("requests"), F.count_if(~F.col(ok)).alias("failures"))
 
 
+def cache_stats(df: DataFrame, most: int = 1000, hit: str = "hit", item: str = "item") -> DataFrame:
+    """Hits, misses, the share of hits, and the number of items looked up, of a log of lookups; ``max_size`` is the cache's."""
+    hits = F.count_if(F.col(hit))
+    rate = F.when(F.count("*") > 0, hits / F.count("*")).otherwise(0.0)
+    return df.agg(hits.alias("hits"), F.count_if(~F.col(hit)).alias("misses"), F.count_distinct(item).alias("items"), F.lit(most).cast("long").alias("max_size"), rate.alias("hit_rate"))
+
+
+def robots_stats(rules: DataFrame, sitemaps: DataFrame) -> DataFrame:
+    """(host, rules, sitemaps) of parsed robots.txt files: ``rules`` of ``robots.rules``, ``sitemaps`` (host, sitemap)."""
+    counted = rules.groupBy("host").agg(F.count_if(F.col("kind").isin("allow", "disallow")).alias("rules"))
+    named = sitemaps.groupBy("host").agg(F.count("*").alias("sitemaps"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return counted.join(named, "host", "full").select("host", zero("rules"), zero("sitemaps"))
+
+
+def source_stats(sites: DataFrame, allowed: DataFrame, feeds: DataFrame, entries: DataFrame, now: Column, url: str = "url", hours: int = 48, most: int = 100) -> DataFrame:
+    """(url, robots_compliant, has_feed, has_sitemap, detected_type, estimated_articles) of each site.
+
+    ``allowed`` (url, allowed) is what robots.txt says of it, ``feeds`` (page) the pages
+    with feeds, ``entries`` (sitemap, lastmod) the entries of its host's sitemaps, of
+    which the recent ones, ``most`` at most, are the estimate.
+    """
+    host = urls.domain(F.col(url))
+    fed = feeds.select(F.col("page").alias(url)).distinct().withColumn("_fed", F.lit(True))
+    mapped = entries.groupBy(urls.domain(F.col("sitemap")).alias("_host")).agg(F.count_if(F.col("lastmod") >= now - F.make_interval(hours=F.lit(hours))).alias("_recent"))
+    joined = sites.select(url).distinct().withColumn("_host", host).join(allowed.select(url, "allowed").dropDuplicates([url]), url, "left").join(fed, url, "left").join(mapped, "_host", "left")
+    has_feed, has_map = F.col("_fed").isNotNull(), F.col("_recent").isNotNull()
+    kind = F.when(has_feed, "rss").when(has_map, "sitemap").otherwise("html")
+    return joined.select(url, F.coalesce("allowed", F.lit(True)).alias("robots_compliant"), has_feed.alias("has_feed"), has_map.alias("has_sitemap"), kind.alias("detected_type"), F.least(F.coalesce("_recent", F.lit(0)), F.lit(most)).cast("long").alias("estimated_articles"))
+
+
 def mock_articles(seeds: DataFrame, titles: list[str], excerpts: list[str], authors: list[str], seed: str = "seed") -> DataFrame:
     """Deterministic articles of a column of seeds."""
     s = F.col(seed)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 from urllib.parse import urljoin
 
 import pyarrow as pa
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from pageloom.functions import text, urls
 from pageloom.operators import dom
 from pageloom.operators.extract import _DATED, DATA_BLOCKS
+from pageloom.sources.tables import cut
 
 SITEMAPS = tuple(f"/{p}" for p in "sitemap.xml sitemap_index.xml sitemaps.xml news-sitemap.xml sitemap/".split())
 FEEDS = tuple(f"/{p}" for p in "atom.xml index.xml".split()) + tuple(f"/{p}{e}" for p in ("feed", "feeds", "rss") for e in (".xml", "/")) + tuple(f"/{d}/{p}" for d in ("blog", "news") for p in ("feed/", "rss.xml"))
@@ -136,16 +138,46 @@ def sitemap_candidates(entries: DataFrame, as_of: Column) -> DataFrame:
 
 
 LINK_SELECTORS = ("article a[href]", ".article a[href]", ".post a[href]", ".story a[href]", ".news-item a[href]", ".content-item a[href]", "h1 a[href]", "h2 a[href]", "h3 a[href]", ".headline a[href]", ".title a[href]")
-EXCLUDED_SECTIONS = ".ads,.advertisement,.comments,.footer,.menu,.navigation,.related,.sidebar"
+EXCLUDED_SECTIONS = ",".join(f".{c}" for c in "ads advertisement comments footer menu navigation related sidebar".split())
 LINKS_PER_PAGE = 100
 
 
-def _page_links(html: str, base: str, most: int) -> list[dict]:
+@dataclass(frozen=True)
+class Listing:
+    """How articles are looked for on listing pages: selectors, patterns of their addresses, and limits."""
+
+    links: tuple[str, ...] = LINK_SELECTORS
+    titles: str = "h1,h2,h3,.headline,.title"
+    dates: str = "time[datetime],.date,.published"
+    without: str = EXCLUDED_SECTIONS
+    excluded: str = urls.EXCLUDED
+    included: str = urls.INCLUDED
+    domains: tuple[str, ...] = ()
+    least_title: int = 10
+    most_title: int | None = None
+    most: int = LINKS_PER_PAGE
+
+    def merged(self, links: tuple[str, ...] = (), excluded: str | None = None, included: str | None = None, **others: object) -> Listing:
+        """With further selectors and patterns added to these, and ``others`` in place of these."""
+        both = lambda a, b: f"(?:{a})|(?:{b})" if b else a
+        return replace(self, links=self.links + tuple(links), excluded=both(self.excluded, excluded), included=both(self.included, included), **others)
+
+
+#: For pages as a browser renders them: cards and lists too, but no link of a page's head, foot or navigation.
+RENDERED = Listing(
+    links=tuple(f"{c} a[href]" for c in ("article", ".article", ".post", ".story", ".news-item", ".card", *(f'[class*="{k}"]' for k in ("article", "post", "news", "story")), "h1", "h2", "h3", ".headline", ".title", "ul li", ".list-item", '[role="listitem"]')),
+    without='nav,header,footer,.navigation,.menu,.sidebar,.advertisement,.ads,.comments,.social-share,[aria-hidden="true"]',
+    excluded=urls.EXCLUDED + r"|(?i)/(privacy|terms)/",
+    most_title=300,
+)
+
+
+def _page_links(html: str, base: str, how: Listing) -> list[dict]:
     root = dom.parse(html)
-    root.remove(EXCLUDED_SECTIONS)
+    root.remove(how.without)
     out: list[dict] = []
     seen: set[str] = set()
-    for k, selector in enumerate(LINK_SELECTORS):
+    for selector in how.links:
         for a in root.all(selector):
             try:
                 to = urljoin(base, a.get("href").strip())
@@ -156,10 +188,10 @@ def _page_links(html: str, base: str, most: int) -> list[dict]:
             seen.add(to)
             title = a.text().strip()
             card = a.closest("article,.article,.post,.story,.news-item")
-            head = card.first("h1,h2,h3,.headline,.title") if card and len(title) < 5 else None
+            head = card.first(how.titles) if card and len(title) < 5 else None
             better = head.text().strip() if head else ""
             dated = a.closest("article,.article,.post")
-            date = dated.first("time[datetime],.date,.published") if dated else None
+            date = dated.first(how.dates) if dated else None
             when = (date.get("datetime") or date.text().strip()) if date else ""
             about = a.closest("article,.article,.post,.story")
             told = about.first(".excerpt,.summary,p") if about else None
@@ -182,7 +214,7 @@ def _page_links(html: str, base: str, most: int) -> list[dict]:
 _LINK = pa.struct([("ord", pa.int32()), ("url", pa.string()), ("title", pa.string()), ("retitled", pa.bool_()), ("date", pa.string()), ("description", pa.string()), ("structured", pa.bool_())])
 
 
-def listing_links(pages: DataFrame, url: str = "url", html: str = "html", excluded: str = urls.EXCLUDED, included: str = urls.INCLUDED, most: int = LINKS_PER_PAGE) -> DataFrame:
+def listing_links(pages: DataFrame, url: str = "url", html: str = "html", how: Listing = Listing()) -> DataFrame:
     """(page, ord, url, title, published_at, description, confidence, source) of the articles that listing pages link to.
 
     The tree gives signals only; filters and scores are column expressions.
@@ -190,21 +222,25 @@ def listing_links(pages: DataFrame, url: str = "url", html: str = "html", exclud
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_page_links(h, u or "", most) if h else [] for u, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            found = [_page_links(h, u or "", how) if h else [] for u, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(_LINK))], ["page", "links"])
 
     kind = "array<struct<ord:int,url:string,title:string,retitled:boolean,date:string,description:string,structured:boolean>>"
     found = pages.select(url, html).mapInArrow(run, f"page string, links {kind}").select("page", F.explode("links").alias("l")).select("page", "l.*")
-    found = found.where(F.col("structured") | urls.passes_filters(F.col("url"), excluded, included))
+    wanted = urls.passes_filters(F.col("url"), how.excluded, how.included)
+    if how.domains:
+        wanted = wanted & F.coalesce(urls.domain(F.col("url")).isin(*how.domains), F.lit(False))
+    found = found.where(F.col("structured") | wanted)
     one = lambda test, points: F.when(F.coalesce(test, F.lit(False)), points).otherwise(0)
     size = F.length("title")
     tenths = 5 + one(F.col("retitled"), 2) + one(F.col("date").isNotNull(), 1) + one(F.length("description") > 50, 1) + one(urls.likely_article(F.col("url")), 2) + one(size.between(20, 120), 1)
     told = F.when(~F.col("structured") & (F.length("description") > 50), F.concat(F.substring("description", 1, 300), F.lit("..."))).otherwise(F.col("description"))
     scored = found.select("page", "ord", "url", "title", text.parse_date(F.col("date")).alias("published_at"), told.alias("description"), F.when(F.col("structured"), 0.9).otherwise(F.least(tenths / 10, F.lit(1.0))).alias("confidence"), F.when(F.col("structured"), "structured-data").otherwise("link-text").alias("source"))
-    kept = scored.where((F.col("source") == "structured-data") | (size >= 10))
+    fits = size >= how.least_title if how.most_title is None else size.between(how.least_title, how.most_title)
+    kept = scored.where((F.col("source") == "structured-data") | fits)
     first = kept.withColumn("_n", F.row_number().over(W.partitionBy("page", "url").orderBy("ord"))).where("_n = 1")
     place = F.row_number().over(W.partitionBy("page", "source").orderBy("ord"))
-    return first.withColumn("_n", place).where((F.col("source") == "structured-data") | (F.col("_n") <= most)).drop("_n")
+    return first.withColumn("_n", place).where((F.col("source") == "structured-data") | (F.col("_n") <= how.most)).drop("_n")
 
 
 def listing_candidates(links: DataFrame, as_of: Column) -> DataFrame:
@@ -213,9 +249,10 @@ def listing_candidates(links: DataFrame, as_of: Column) -> DataFrame:
     return links.select("url", F.coalesce("title", urls.title(F.col("url"))).alias("title"), at.alias("published_at"), none.alias("content"), F.col("description").alias("excerpt"), urls.guid(F.col("url"), at).alias("guid"), "confidence", F.lit("html").alias("source"), F.lit("html").alias("extraction_method"))
 
 
-def discover_feeds(pages: DataFrame, url: str = "url", html: str = "html", content_type: str | None = None) -> DataFrame:
+def discover_feeds(pages: DataFrame, url: str = "url", html: str = "html", content_type: str | None = None, common: DataFrame | None = None) -> DataFrame:
     """(page, feed, type, confidence) of the first tier that finds any: the page is a feed itself (1.0), links to one
-    (0.9 in its head, 0.6 elsewhere), or names one in its text (0.5)."""
+    (0.9 in its head, 0.6 elsewhere), its site has one at a usual path (``common``, of ``validate.common_path_feeds``),
+    or the page names one in its text (0.5)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,7 +269,9 @@ def discover_feeds(pages: DataFrame, url: str = "url", html: str = "html", conte
     linked = base.mapInArrow(run, "page string, feed string, kind string, label string, confidence double").where((F.col("confidence") == 0.9) | text.feed_like(F.col("feed"), F.col("label")))
     named = base.select("page", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(r"https?://[^\s\"'<>]*(?:feed|rss|atom)[^\s\"'<>]*"), 0))).alias("feed"))
     tiers = linked.select("page", "feed", F.when(F.col("kind") == "", F.col("feed")).otherwise(F.col("kind")).alias("kind"), "confidence", F.lit(2).alias("tier"))
-    tiers = tiers.union(named.select("page", "feed", F.col("feed").alias("kind"), F.lit(0.5), F.lit(3)))
+    tiers = tiers.union(named.select("page", "feed", F.col("feed").alias("kind"), F.lit(0.5), F.lit(4)))
+    if common is not None:
+        tiers = tiers.union(common.select("page", "feed", F.col("type"), "confidence", F.lit(3)))
     if content_type:
         own = pages.where(F.lower(content_type).rlike("rss|atom|rdf|xml") & ~F.lower(content_type).contains("html"))
         tiers = tiers.union(own.select(url, url, content_type, F.lit(1.0), F.lit(1)))
@@ -257,16 +296,31 @@ def next_pages(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
 
 
 def crawl(start: DataFrame, corpus: DataFrame, depth: int = 5, url: str = "url", html: str = "html") -> DataFrame:
-    """The pages of ``corpus`` (url, html) that ``start`` (url) reaches by next links, in at most ``depth`` levels."""
-    level = corpus.join(start.select(url).distinct(), url, "left_semi")
+    """The pages of ``corpus`` (url, html) that ``start`` (url) reaches by next links, in at most ``depth`` levels.
+
+    Each level is computed once, and the last is the first that adds nothing.
+    """
+    level = cut(corpus.join(start.select(url).distinct(), url, "left_semi"))
     seen = level
     for _ in range(depth - 1):
         ahead = next_pages(level, url, html).select(F.col("next").alias(url)).distinct().join(seen.select(url), url, "left_anti")
-        level = corpus.join(ahead, url, "left_semi")
+        level = cut(corpus.join(ahead, url, "left_semi"))
+        if level.isEmpty():
+            break
         seen = seen.union(level)
     return seen
 
 
+def known_type(sources: DataFrame, bodies: DataFrame, as_of: Column, how: Listing = Listing(), most: int | None = 1000) -> DataFrame:
+    """Candidates of sources (url, source_type) whose type is known, "rss", "sitemap" or "html": only that is looked for
+    in a source's body (url, body)."""
+    typed = lambda kind, name: bodies.join(sources.where(F.col("source_type") == kind).select("url").distinct(), "url", "left_semi").withColumnRenamed("body", name)
+    rss = feed_candidates(feed_items(typed("rss", "xml"), as_of))
+    sitemap = sitemap_candidates(sitemap_entries(typed("sitemap", "xml"), most=most), as_of)
+    listing = listing_candidates(listing_links(typed("html", "html"), how=how), as_of)
+    return rss.unionByName(sitemap).unionByName(listing)
+
+
 def cascade(rss: DataFrame, sitemap: DataFrame, listing: DataFrame) -> DataFrame:
     """Candidates of the first kind of source that has any, site by site."""
     ranked = rss.withColumn("_k", F.lit(0)).unionByName(sitemap.withColumn("_k", F.lit(1))).unionByName(listing.withColumn("_k", F.lit(2)))

@@ -11,25 +11,12 @@ from pyspark.sql import functions as F
 from pageloom.functions import quality, text, urls
 from pageloom.operators import articles, discover, extract, robots
 from pageloom.operators.chunks import chunked
+from pageloom.plans.errors import ConfigError, ScrapeError, UnsupportedInput  # noqa: F401
 
 MOST_BYTES = 10 << 20
 LEAST_CHARS = 200
 
 
-class ScrapeError(Exception):
-    """An error with a stable code."""
-
-    code = "UNKNOWN"
-
-
-class ConfigError(ScrapeError):
-    code = "INVALID_CONFIG"
-
-
-class UnsupportedInput(ScrapeError):
-    code = "UNSUPPORTED_INPUT"
-
-
 @dataclass
 class Plugins:
     """Hooks of a scrape: of URLs, of the table of articles, of a column of each, and a test that articles must pass."""
@@ -94,7 +81,7 @@ def scored(df: DataFrame, weights: quality.Weights = quality.Weights()) -> DataF
     return df.withColumn("quality_score", quality.score(c("text"), c("title"), c("html"), c("published_time"), c("byline"), c("schema_type"), c("reading_time"), weights))
 
 
-def scrape(candidates: DataFrame, corpus: DataFrame, config: ScrapeConfig = ScrapeConfig(), plugins: Plugins | None = None) -> DataFrame:
+def scrape(candidates: DataFrame, corpus: DataFrame, config: ScrapeConfig = ScrapeConfig(), plugins: Plugins | None = None, robots_rules: DataFrame | None = None) -> DataFrame:
     """The listing query: candidates are filtered by path, deduplicated and ranked, the best
     ``most`` of each site (None: all) looked up in the corpus (url, html), extracted, scored, and kept from the threshold on."""
     plugins = plugins or Plugins()
@@ -104,7 +91,7 @@ def scrape(candidates: DataFrame, corpus: DataFrame, config: ScrapeConfig = Scra
     found = found.where(~urls.denied(F.col("url"), config.deny))
     found = urls.apply_path_filters(found, "url", allow=config.allow, skip_allow=not config.allow)
     ranked = articles.rank_sites(articles.dedupe(found.withColumn("ord", F.col("guid"))).drop("ord"), config.most)
-    bodies = extract_articles(corpus.join(ranked.select("url"), "url", "left_semi")).select("url", *(F.col(c).alias(f"x_{c}") for c in ("title", "html", "text", "word_count", "reading_time", "byline", "schema_type", "excerpt")))
+    bodies = extract_articles(corpus.join(ranked.select("url"), "url", "left_semi"), robots_rules=robots_rules).select("url", *(F.col(c).alias(f"x_{c}") for c in ("title", "html", "text", "word_count", "reading_time", "byline", "schema_type", "excerpt")))
     joined = ranked.join(bodies, "url", "left")
     c = F.col
     out = joined.select("url", F.when(F.coalesce(F.length("title"), F.lit(0)) < 5, F.coalesce("x_title", "title")).otherwise(c("title")).alias("title"), "published_at", F.coalesce("x_excerpt", "excerpt").alias("excerpt"), F.coalesce("x_html", "content").alias("content"), c("x_text").alias("text"), F.when(c("x_html").isNotNull(), F.least(c("confidence") + 0.1, F.lit(1.0))).otherwise(c("confidence")).alias("confidence"), "source", "guid", c("x_word_count").alias("word_count"), c("x_reading_time").alias("reading_time"), c("x_byline").alias("byline"), c("x_schema_type").alias("schema_type"))
@@ -118,7 +105,7 @@ def scrape(candidates: DataFrame, corpus: DataFrame, config: ScrapeConfig = Scra
     return out
 
 
-def smart_scrape(pages: DataFrame, url: str = "url", html: str = "html", mode: str | None = None) -> DataFrame:
+def smart_scrape(pages: DataFrame, url: str = "url", html: str = "html", mode: str | None = None, how: discover.Listing = discover.Listing()) -> DataFrame:
     """(url, mode, title, items): articles of article pages, links of listing pages; an article page that gives no
     article is read as a listing."""
     if mode not in (None, "article", "listing"):
@@ -127,7 +114,7 @@ def smart_scrape(pages: DataFrame, url: str = "url", html: str = "html", mode: s
     kept = pages.select(F.col(url).alias("url"), F.col(html).alias("html")).withColumn("mode", asked)
     found = extract_articles(kept.where("mode = 'article'")).select("url", "title")
     missed = kept.join(found.select("url"), "url", "left_anti")
-    listed = discover.listing_links(missed).groupBy("page").agg(F.count("*").alias("items"))
+    listed = discover.listing_links(missed, how=how).groupBy("page").agg(F.count("*").alias("items"))
     a = found.select("url", F.lit("article").alias("mode"), "title", F.lit(1).cast("long").alias("items"))
     return a.union(missed.join(listed, F.col("url") == F.col("page"), "left").select("url", F.lit("listing"), F.lit(None).cast("string"), F.coalesce("items", F.lit(0)).cast("long")))
 

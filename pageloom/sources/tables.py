@@ -5,6 +5,8 @@ A live fetch is left to the ingest; here a body is a row.
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.repartition(cores) if name in WIDE and df.rdd.getNumPartitions() < cores else df
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once into the folder that all executors share, the session's ``spark.checkpoint.dir``.
+
+    Only a local session may be without that setting; it gets a temporary folder.
+    """
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="pageloom-"))
+    return df.checkpoint()
+
+
 def bodies(spark: SparkSession, path: str) -> DataFrame:
     """(url, body) of files: HTML pages, robots.txt, sitemaps or feeds, one each; ``url`` is the file's address."""
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("url"), F.col("value").alias("body"))

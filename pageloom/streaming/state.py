@@ -7,6 +7,7 @@ between micro-batches.
 
 from __future__ import annotations
 
+import heapq
 import pickle
 from collections import OrderedDict, deque
 from collections.abc import Callable, Iterable, Iterator
@@ -15,6 +16,7 @@ from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
@@ -66,25 +68,55 @@ class CircuitBreaker:
 
 @dataclass
 class TtlCache:
-    """Whether each lookup of ``row.item`` hits; a miss puts it in, and the least recently used goes when it is full."""
+    """Whether each lookup of ``row.item`` hits; a miss puts it in, and the least recently used go while it is over
+    ``most`` items or, if rows have ``bytes``, over ``most_bytes``.  What alone is larger isn't kept."""
 
     ttl_ms: int = 300_000
     most: int = 100
+    most_bytes: int = 100 << 20
     items: OrderedDict = field(default_factory=OrderedDict)
+    used: int = 0
     result = "boolean"
 
+    def _drop(self, item: Any) -> None:
+        if item in self.items:
+            self.used -= self.items.pop(item)[1]
+
     def step(self, ms: int, row: Any) -> bool:
-        until = self.items.get(row.item)
-        if until is not None and ms < until:
+        held = self.items.get(row.item)
+        if held is not None and ms < held[0]:
             self.items.move_to_end(row.item)
             return True
-        self.items.pop(row.item, None)
-        while len(self.items) >= self.most:
-            self.items.popitem(last=False)
-        self.items[row.item] = ms + self.ttl_ms
+        self._drop(row.item)
+        size = int(getattr(row, "bytes", 0) or 0)
+        if size > self.most_bytes:
+            return False
+        while self.items and (len(self.items) >= self.most or self.used + size > self.most_bytes):
+            self._drop(next(iter(self.items)))
+        self.items[row.item] = ms + self.ttl_ms, size
+        self.used += size
         return False
 
 
+@dataclass(frozen=True)
+class LimiterPreset:
+    """Requests a second and at once to a host, at once to all, and the longest wait after an error."""
+
+    per_second: float
+    at_once: int
+    at_once_in_all: int
+    most_backoff_ms: int
+
+
+LIMITERS = {"conservative": LimiterPreset(1, 2, 10, 30_000), "moderate": LimiterPreset(2, 3, 20, 30_000), "aggressive": LimiterPreset(4, 5, 30, 15_000)}
+#: (threshold, reset_ms) of the circuit breakers of feeds, of pages, and of tests.
+BREAKERS = {"rss": (3, 30_000), "scraping": (5, 30_000), "scraping_test": (3, 60_000)}
+
+
+def breaker(preset: str) -> Callable[[], CircuitBreaker]:
+    return lambda: CircuitBreaker(*BREAKERS[preset])
+
+
 @dataclass
 class HostSchedule:
     """The time (ms) at which each request to a host may go: ``per_second`` at most, one after another."""
@@ -102,6 +134,45 @@ class HostSchedule:
 Maker = Callable[[], Any]
 
 
+def host_times(df: DataFrame, per_second: float = 2.0, key: str = "host", ts: str = "ts", order: str = "event_id", name: str = "value") -> DataFrame:
+    """(key, order, value): what ``HostSchedule`` gives, by a window: the k-th request goes k gaps after the one that
+    found the host free last."""
+    gap = F.lit(1000 / per_second)
+    by_time = W.partitionBy(key).orderBy(ts, order)
+    numbered = df.select(key, order, ts, F.row_number().over(by_time).alias("_n"), F.timestamp_diff("MILLISECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(ts).cast("timestamp_ntz")).alias("_ms"))
+    free = F.max(F.col("_ms") - F.col("_n") * gap).over(by_time.rowsBetween(W.unboundedPreceding, W.currentRow))
+    return numbered.select(key, order, F.floor(free + F.col("_n") * gap + 1e-6).cast("long").alias(name))
+
+
+def priority_times(df: DataFrame, preset: str = "moderate", key: str = "host", ts: str = "ts", order: str = "event_id", priority: str = "priority", ms: str = "ms", name: str = "value") -> DataFrame:
+    """(key, order, value): when (ms) each request to a host goes if, of those that wait, the one of the highest priority
+    goes first (the oldest of equals), ``per_second`` at most and ``at_once`` at the same time, each taking ``ms``.
+
+    A host is one group.  How many go at once to all hosts is a matter of the fetcher.
+    """
+    how = LIMITERS[preset]
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values([ts, order], kind="stable")
+        came = (frame[ts].astype("datetime64[us]").astype("int64") // 1000).tolist()
+        rank, took = frame[priority].tolist(), frame[ms].tolist()
+        at, waiting, busy, next_free, k = [0] * len(came), [], [], 0.0, 0
+        while k < len(came) or waiting:
+            now = next_free if waiting else max(next_free, float(came[k]))
+            if len(busy) >= how.at_once:
+                now = max(now, heapq.heappop(busy))
+            while k < len(came) and came[k] <= now:
+                heapq.heappush(waiting, (-rank[k], k))
+                k += 1
+            i = heapq.heappop(waiting)[1]
+            at[i] = int(now)
+            heapq.heappush(busy, now + took[i])
+            next_free = now + 1000 / how.per_second
+        return pd.DataFrame({key: frame[key], order: frame[order], name: pd.Series(at, index=frame.index, dtype="int64")})
+
+    return df.groupBy(key).applyInPandas(run, _schema(df, key, order, name, "long"))
+
+
 def _fold(state: Any, frame: pd.DataFrame, key: str, ts: str, order: str, name: str) -> pd.DataFrame:
     frame = frame.sort_values([ts, order], kind="stable")
     ms = (frame[ts].astype("datetime64[us]").astype("int64") // 1000).tolist()
