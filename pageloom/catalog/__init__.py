@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pageloom.catalog import pages, stats, texts, urls
+from pageloom.catalog import pages, runs, stats, texts, urls
 from pageloom.catalog.base import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "pages", "stats", "texts", "urls"]
+__all__ = ["ORACLE_SQL", "QUERIES", "pages", "runs", "stats", "texts", "urls"]

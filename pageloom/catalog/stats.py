@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pageloom.catalog.base import column, query, read
 from pageloom.functions import urls
 from pageloom.operators import articles, robots
+from pageloom.plans import errors
 from pageloom.streaming import state
 
 _FETCH = "(SELECT event_id, ts, user_id, event_type <> 'error' AS ok, event_type = 'view' AS cached, CAST(floor(value * 10) AS BIGINT) AS ms, length(props) AS bytes, 'h' || user_id % 20 AS host FROM events)"
@@ -121,25 +122,69 @@ column(
 )
 column("backoff_schedule", "events", "event_id", lambda: state.backoff_ms((F.col("event_id") % 8).cast("int"), multiplier=(F.col("user_id") % 3 + 1).cast("double")), "CAST(least(1000.0 * (user_id % 3 + 1) * pow(2, event_id % 8), 60000) AS BIGINT)")
 column("retryable", "events", "event_id", lambda: state.retryable(F.when(F.col("event_id") % 4 == 0, 429).when(F.col("event_id") % 4 == 1, 503).when(F.col("event_id") % 4 == 2, 404)), "coalesce(event_id % 4 IN (0, 1), false)")
-column("content_guid", "documents", "doc_id", lambda: urls.content_guid(F.substring("text", 1, 60), F.lit("2024-01-15"), F.col("source")), r"sha256(regexp_replace(regexp_replace(lower(trim(text[:60])), '\s+', ' ', 'g'), '[^\w\s]', '', 'g') || '|2024-01-15|' || lower(trim(source)))")
+column("content_guid", "documents", "doc_id", lambda: urls.content_guid(F.col("text"), F.lit("2024-01-15"), F.col("source")), r"sha256(regexp_replace(regexp_replace(lower(trim(text)), '\s+', ' ', 'g'), '[^\w\s]', '', 'g') || '|2024-01-15|' || lower(trim(source)))")
 
 
-@query(None)
+#: The fetches of a key in the order of time, for recursion from one to the next.
+_STEPS = "e AS (SELECT *, epoch_us(ts) // 1000 AS at_ms, row_number() OVER (PARTITION BY {key} ORDER BY ts, event_id) AS n FROM " + _FETCH + ")"
+
+
+@query(
+    f"WITH RECURSIVE {_STEPS.format(key='user_id')}, r AS (SELECT user_id, event_id, n, true AS allowed, [at_ms] AS times FROM e WHERE n = 1"
+    " UNION ALL SELECT user_id, event_id, n, len(kept) < 3, CASE WHEN len(kept) < 3 THEN list_append(kept, at_ms) ELSE kept END"
+    " FROM (SELECT e.*, list_filter(r.times, lambda t: e.at_ms - t < 3600000) AS kept FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1) AS x) SELECT user_id, event_id, allowed FROM r"
+)
 def sliding_limiter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.replay(fetches(spark, sf_dir), lambda: state.SlidingLimiter(3, 3_600_000), "user_id", name="allowed")
 
 
-@query(None)
+@query(
+    f"WITH RECURSIVE {_STEPS.format(key='user_id')}, r AS (SELECT user_id, event_id, n, 'closed' AS seen, CASE WHEN ok THEN 0 ELSE 1 END AS failures, CASE WHEN ok THEN 0 ELSE at_ms END AS last, 'closed' AS state FROM e WHERE n = 1"
+    " UNION ALL SELECT user_id, event_id, n, now, CASE WHEN now = 'open' THEN failures WHEN ok THEN 0 ELSE failures + 1 END, CASE WHEN now = 'open' OR ok THEN last ELSE at_ms END,"
+    " CASE WHEN now = 'open' THEN 'open' WHEN ok THEN 'closed' WHEN failures + 1 >= 3 THEN 'open' ELSE now END"
+    " FROM (SELECT e.*, r.failures, r.last, CASE WHEN r.state <> 'open' THEN r.state WHEN e.at_ms - r.last < 3600000 THEN 'open' ELSE 'half_open' END AS now FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1) AS x)"
+    " SELECT user_id, event_id, seen AS state FROM r"
+)
 def circuit_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.replay(fetches(spark, sf_dir), lambda: state.CircuitBreaker(3, 3_600_000), "user_id", name="state")
 
 
-@query(None)
+@query(
+    f"WITH RECURSIVE {_STEPS.format(key='host')}, r AS (SELECT host, event_id, n, false AS hit, [{{'item': user_id, 'until': at_ms + 3600000}}] AS held FROM e WHERE n = 1"
+    " UNION ALL SELECT host, event_id, n, hit, list_append(CASE WHEN NOT hit AND len(others) >= 5 THEN others[len(others) - 3 :] ELSE others END, {'item': user_id, 'until': CASE WHEN hit THEN old ELSE at_ms + 3600000 END})"
+    " FROM (SELECT e.*, list_filter(r.held, lambda h: h.item <> e.user_id) AS others, list_filter(r.held, lambda h: h.item = e.user_id)[1].until AS old,"
+    " coalesce(e.at_ms < list_filter(r.held, lambda h: h.item = e.user_id)[1].until, false) AS hit FROM r JOIN e ON e.host = r.host AND e.n = r.n + 1) AS x) SELECT host, event_id, hit FROM r"
+)
 def ttl_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = fetches(spark, sf_dir).withColumn("item", F.col("user_id"))
     return state.replay(log, lambda: state.TtlCache(3_600_000, 5), "host", name="hit")
 
 
-@query(None)
+@query(f"WITH {_STEPS.format(key='host')} SELECT host, event_id, CAST(max(at_ms - n * 1000000) OVER (PARTITION BY host ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) + n * 1000000 AS BIGINT) AS at_ms FROM e")
 def host_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.replay(fetches(spark, sf_dir), lambda: state.HostSchedule(0.001), "host", name="at_ms")
+    return state.host_times(fetches(spark, sf_dir), 0.001, name="at_ms")
+
+
+@query(None)
+def priority_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = fetches(spark, sf_dir).withColumn("priority", (F.col("event_id") % 3).cast("int"))
+    return state.priority_times(log, "conservative", name="at_ms")
+
+
+@query(f"SELECT count(*) FILTER (WHERE cached) AS hits, count(*) FILTER (WHERE NOT cached) AS misses, count(DISTINCT user_id) AS items, CAST(1000 AS BIGINT) AS max_size, count(*) FILTER (WHERE cached) / CAST(count(*) AS DOUBLE) AS hit_rate FROM {_FETCH}")
+def cache_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return articles.cache_stats(fetches(spark, sf_dir), hit="cached", item="user_id")
+
+
+@query(
+    "SELECT event_id, CASE WHEN event_id % 13 = 0 THEN 'INVALID_URL' WHEN event_id % 11 = 0 THEN 'CIRCUIT_OPEN' WHEN event_id % 7 = 0 THEN 'ROBOTS_BLOCKED' WHEN event_type = 'error' AND user_id % 2 = 0 THEN 'REQUEST_TIMEOUT' WHEN event_id % 5 = 0 THEN 'RATE_LIMIT_EXCEEDED'"
+    " WHEN event_id % 5 = 1 THEN 'INVALID_URL' WHEN event_id % 5 = 2 OR event_type = 'error' THEN 'SCRAPER_ERROR' WHEN event_type = 'view' THEN 'NO_CONTENT_FOUND' WHEN event_type = 'click' THEN 'CONTENT_EXTRACTION_FAILED' END AS code FROM events"
+)
+def error_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as fetches of which some went wrong."""
+    e, n = read(spark, sf_dir, "events"), F.col("event_id")
+    kind = F.col("event_type")
+    message = F.when(kind == "error", F.when(F.col("user_id") % 2 == 0, "connection timed out").otherwise("refused"))
+    status = F.element_at(F.array(*map(F.lit, (429, 404, 503, 200, 200))), (n % 5 + 1).cast("int"))
+    code = errors.error_code(F.when(n % 13 == 0, "no url").otherwise("https://x.org/a"), status, message, F.when(kind != "view", kind != "click"), n % 7 != 0, F.when(n % 11 == 0, "open"))
+    return e.select("event_id", code.alias("code"))

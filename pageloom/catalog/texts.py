@@ -150,14 +150,14 @@ def llm_text_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _NL = "chr(10)"
 _FM = (
-    f"'---' || {_NL} || 'title: \"' || replace(text[:40], chr(10), ' ') || '\"' || {_NL} || 'url: https://x.org/' || doc_id || {_NL} || CASE WHEN doc_id % 2 = 0 THEN 'author: \"J. \\\"Q\\\" Doe\"' || {_NL} ELSE '' END"
+    f"'---' || {_NL} || 'title: \"' || replace(replace(text, chr(34), ''), chr(10), ' ') || '\"' || {_NL} || 'url: https://x.org/' || doc_id || {_NL} || CASE WHEN doc_id % 2 = 0 THEN 'author: \"J. \\\"Q\\\" Doe\"' || {_NL} ELSE '' END"
     f" || 'source: \"' || source || '\"' || {_NL} || 'language: ' || lang || {_NL} || 'word_count: ' || len({_WORDS}) || {_NL} || 'reading_time: ' || CAST(ceil(len({_WORDS}) / 200.0) AS BIGINT) || {_NL} || 'tokens: ' || {_TOKENS} || {_NL} || '---' || {_NL}"
 )
 
 
 def _frontmatter():
     n = text.word_count(_C("text"))
-    return text.frontmatter(F.replace(F.substring("text", 1, 40), F.lit('"'), F.lit("")), F.concat(F.lit("https://x.org/"), _C("doc_id")), n, text.reading_time(n), text.estimate_tokens(_C("text")), author=F.when(_C("doc_id") % 2 == 0, 'J. "Q" Doe'), site=_C("source"), language=_C("lang"))
+    return text.frontmatter(F.replace("text", F.lit('"'), F.lit("")), F.concat(F.lit("https://x.org/"), _C("doc_id")), n, text.reading_time(n), text.estimate_tokens(_C("text")), author=F.when(_C("doc_id") % 2 == 0, 'J. "Q" Doe'), site=_C("source"), language=_C("lang"))
 
 
 column("frontmatter", "documents", "doc_id", _frontmatter, _FM)
