@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pageloom.catalog.base import query, read
-from pageloom.catalog.urls import _PATH
+from pageloom.catalog.urls import _PATH, _TITLE
 from pageloom.operators import discover, evaluate, extract, robots
 from pageloom.plans import pipeline
 
@@ -201,7 +201,11 @@ def discover_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discover.discover_feeds(pages)
 
 
-@query(None)
+@query(
+    f"SELECT site || '/list/' || (n // 100) AS page, CAST(n % 100 AS INTEGER) AS ord, site || '/blog/' || page_id AS url, title, TIMESTAMP '2024-03-05 00:00:00' AS published_at, {_NONE} AS description,"
+    " CASE WHEN length(title) BETWEEN 20 AND 120 THEN CAST(0.9 AS DOUBLE) ELSE CAST(0.8 AS DOUBLE) END AS confidence, 'link-text' AS source"
+    f" FROM (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS site, {_HEAD} AS title, row_number() OVER (PARTITION BY regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) ORDER BY page_id) - 1 AS n FROM pages) WHERE length(title) >= 10"
+)
 def listing_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as cards of listing pages, by host; as many to a page as are read of one."""
     card = F.concat(F.lit('<div class="post"><h2><a href="/blog/'), F.col("page_id"), F.lit('">'), F.regexp_extract("html", "(?s)<h1>(.*?)</h1>", 1), F.lit('</a></h2><time datetime="2024-03-05">x</time></div>'))
@@ -222,7 +226,10 @@ def sitemap_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discover.sitemap_entries(_sitemap(spark, sf_dir)).select("sitemap", "loc", "lastmod", "priority")
 
 
-@query(None)
+@query(
+    f"SELECT url, {_TITLE} AS title, day AS published_at, {_NONE} AS content, {_NONE} AS excerpt, sha256(url || strftime(day, '%Y-%m-%dT%H:%M:%S.%g') || 'Z') AS guid, CAST(0.6 AS DOUBLE) AS confidence, 'sitemap' AS source, 'sitemap' AS extraction_method"
+    " FROM (SELECT url, make_timestamp(2024, 1, CAST(page_id % 28 + 1 AS BIGINT), 0, 0, 0.0) AS day FROM pages)"
+)
 def sitemap_candidates_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discover.sitemap_candidates(discover.sitemap_entries(_sitemap(spark, sf_dir)), F.lit("2024-02-01").cast("timestamp"))
 

@@ -54,11 +54,8 @@ _shaped(
     "CASE WHEN lower(" + _PATH + ") = '/' THEN NULL " + " ".join(f"WHEN starts_with(lower({_PATH}), '{s}') THEN '{s}/*'" for s in urls.SECTIONS) + f" WHEN length({_PATH}) > 3 THEN regexp_replace(lower({_PATH}), '/$', '') || '/*' END",
 )
 _shaped("ssrf_guard", urls.private_host, f"NOT regexp_matches(url, '{urls.WEB}') OR regexp_matches(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1), '{urls.PRIVATE_HOST}')")
-_shaped(
-    "title_from_url",
-    urls.title,
-    f"array_to_string(list_transform(string_split(regexp_replace(regexp_replace(coalesce(list_filter(string_split({_PATH}, '/'), lambda s: s <> '')[-1], {_HOST}), '[-_]', ' ', 'g'), '(?i)\\.(html?|php|asp|jsp)$', ''), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')",
-)
+_TITLE = f"array_to_string(list_transform(string_split(regexp_replace(regexp_replace(coalesce(list_filter(string_split({_PATH}, '/'), lambda s: s <> '')[-1], {_HOST}), '[-_]', ' ', 'g'), '(?i)\\.(html?|php|asp|jsp)$', ''), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')"
+_shaped("title_from_url", urls.title, _TITLE)
 _shaped("cache_key", urls.cache_key, "sha256(regexp_replace(lower(url), '/$', '') || ':' || md5('{}')[:8])[:24]")
 _QUERY = f"list_filter(string_split(regexp_extract(url, '{_R}', 4)[2:], '&'), lambda p: p <> '' AND string_split(p, '=')[1] NOT IN {urls.TRACKING})"
 _shaped(

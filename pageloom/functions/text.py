@@ -13,9 +13,12 @@ ENTITIES = (("nbsp", " "), ("amp", "&"), ("lt", "<"), ("gt", ">"), ("quot", '"')
 LEVELS = ((5, "elementary"), (8, "intermediate"), (12, "advanced"))
 INTERFACE = "Copy link|Email|Facebook|Jump to|LinkedIn|Menu|Navigate to|Print|Search|Share|Skip to|Tweet"
 TEASERS = "Click here|Continue reading|Read more|See more|View all"
-_IN, _TO = '[^"]*', "[^>]*"
-_CLUTTER = "ads|advertisement|comment|menu|modal|nav|popup|share|sidebar|social"
-NON_ARTICLE = tuple(rf"(?i)<{t}\b[^>]*>.*?</{t}>" for t in ("nav", "header", "footer", "aside", "form")) + tuple(rf'(?i)<div{_TO}{a}="{_IN}(?:{_CLUTTER}){_IN}"{_TO}>.*?</div>' for a in ("class", "id"))
+CLUTTER = "ads|advertisement|comment|menu|modal|nav|popup|share|sidebar|social"
+#: One-line elements that are no part of an article, for Java and for Python.
+NON_ARTICLE = (
+    *(rf"(?i)<{tag}\b[^>]*>.*?</{tag}>" for tag in ("nav", "header", "footer", "aside", "form")),
+    *(rf'(?i)<div[^>]*{name}="[^"]*(?:{CLUTTER})[^"]*"[^>]*>.*?</div>' for name in ("class", "id")),
+)
 ATTRIBUTES = (r'(?i)\s*class="[^"]*"', r'(?i)\s*id="[^"]*"', r'(?i)\s*data-[^=]*="[^"]*"')
 
 

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pageloom.operators.slices import slices
+
 _SPACE = re.compile("[\\s﻿]+")
 _SENTENCE = re.compile(r"[^.!?]+[.!?]+")
 _BOUNDARY = re.compile(r"(?:^|\. )[A-Z]")
@@ -124,7 +126,7 @@ def chunked(df: DataFrame, key: str, text: str = "text", most: int = 4000, repea
     """(key, index, total, content, tokens, start_pos, end_pos): a row for each chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, 1)):
             out: list[list] = [[] for _ in range(7)]
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = chunk(t or "", most, repeat)

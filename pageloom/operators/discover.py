@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pageloom.functions import text, urls
 from pageloom.operators import dom
 from pageloom.operators.extract import _DATED, DATA_BLOCKS
+from pageloom.operators.slices import slices
 from pageloom.sources.tables import cut
 
 SITEMAPS = tuple(f"/{p}" for p in "sitemap.xml sitemap_index.xml sitemaps.xml news-sitemap.xml sitemap/".split())
@@ -222,8 +223,9 @@ def listing_links(pages: DataFrame, url: str = "url", html: str = "html", how: L
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_page_links(h, u or "", how) if h else [] for u, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(_LINK))], ["page", "links"])
+            for part in slices(batch, 1):
+                found = [_page_links(h, u or "", how) if h else [] for u, h in zip(part.column(0).to_pylist(), part.column(1).to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(_LINK))], ["page", "links"])
 
     kind = "array<struct<ord:int,url:string,title:string,retitled:boolean,date:string,description:string,structured:boolean>>"
     found = pages.select(url, html).mapInArrow(run, f"page string, links {kind}").select("page", F.explode("links").alias("l")).select("page", "l.*")
@@ -255,7 +257,7 @@ def discover_feeds(pages: DataFrame, url: str = "url", html: str = "html", conte
     or the page names one in its text (0.5)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, 1)):
             rows: list[tuple] = []
             for u, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 root = dom.parse(h or "")
@@ -283,7 +285,7 @@ def next_pages(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     """(page, next): links of a listing that lead to its next page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b, 1)):
             rows = []
             for u, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for n in dom.parse(h or "").all(".pagination a[href],.pager a[href],.next a[href],a.next[href],a[rel=\"next\"]"):

@@ -20,6 +20,7 @@ from pageloom.operators import dom
 from pageloom.operators.cleaning import clean_text, strip_html
 from pageloom.operators.dom import Node
 from pageloom.operators.markdown import convert
+from pageloom.operators.slices import slices
 
 _FORMS = "button,form,iframe,input,noscript,select,textarea"
 _NOISE = "script,style,nav,header,footer,.ads,.advertisement,.comments,.menu,.modal,.navigation,.popup,.sidebar,.social-share"
@@ -431,7 +432,7 @@ def extract(pages: DataFrame, *parts: str, html: str = "html", url: str = "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(at, 256) for at in range(0, batch.num_rows, 256)):
+            for part in slices(batch, html):
                 columns: dict[str, list] = {p: [] for p in parts}
                 for text, address in zip(part.column(html).to_pylist(), part.column(url).to_pylist()):
                     tree = dom.parse(text) if text and any(p in PARTS for p in parts) else None

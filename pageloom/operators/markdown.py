@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 
+from pageloom.functions.text import ATTRIBUTES, NON_ARTICLE
 from pageloom.operators.dom import Node, parse
 
 DROPPED = frozenset("aside button footer form header iframe input nav noscript script select style textarea".split())
@@ -92,11 +93,7 @@ def to_markdown(html: str, paragraphs: bool = False) -> str:
     return tidy(space_sections(raw))
 
 
-_IN, _TO = '[^"]*', "[^>]*"
-_CLUTTER = "ads|advertisement|comment|menu|modal|nav|popup|share|sidebar|social"
-_STRIP = [re.compile(rf"<{t}\b[^>]*>.*?</{t}>", re.I) for t in ("nav", "header", "footer", "aside", "form")]
-_STRIP += [re.compile(rf'<div{_TO}{a}="{_IN}(?:{_CLUTTER}){_IN}"{_TO}>.*?</div>', re.I) for a in ("class", "id")]
-_STRIP += [re.compile(p, re.I) for p in (r'\s*class="[^"]*"', r'\s*id="[^"]*"', r'\s*data-[^=]*="[^"]*"')]
+_STRIP = [re.compile(p) for p in (*NON_ARTICLE, *ATTRIBUTES)]
 
 
 def convert(html: str, clean: bool = True, paragraphs: bool = False) -> str:

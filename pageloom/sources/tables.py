@@ -8,6 +8,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Tables whose rows are wide and whose queries compute much for each.
@@ -19,7 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     with as many splits as cores, as on a cluster, nothing is shuffled."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if name in WIDE and df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if name in WIDE and _splits(df) < cores else df
+
+
+def _splits(df: DataFrame) -> int:
+    """At least the splits that a table's files have: one each, more for large ones."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    most = int(df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return max(len(df.inputFiles()), int(str(plan.stats().sizeInBytes())) // most)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -61,15 +69,32 @@ def file_key(key: Column | str) -> Column:
     return F.substring(F.sha2(F.col(key) if isinstance(key, str) else key, 256), 1, 16)
 
 
+def _shard(key: Column | str) -> Column:
+    """The folder of a store that a key is in, of 256."""
+    return F.concat(F.lit("k"), F.substring(file_key(key), 1, 2))
+
+
 def remember(df: DataFrame, path: str, key: str, until: Column) -> None:
-    """Adds results to a store of results that end at a time."""
-    df.withColumns({"_key": file_key(key), "_until": until}).write.mode("append").parquet(path)
+    """Adds results to a store of results that end at a time; the store has a folder for each of 256 parts of the keys."""
+    kept = df.withColumns({"_key": file_key(key), "_until": until, "_shard": _shard(key)})
+    kept.repartition("_shard").write.mode("append").partitionBy("_shard").parquet(path)
+
+
+def forget(spark: SparkSession, path: str, to: str, key: str, now: Column) -> None:
+    """Writes a store anew at ``to``: of each key the latest result, if it holds still."""
+    kept = spark.read.parquet(path).where(F.col("_until") > now)
+    best = W.partitionBy(key).orderBy(F.desc("_until"))
+    kept = kept.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
+    kept.repartition("_shard").write.partitionBy("_shard").parquet(to)
 
 
 def recall(wanted: DataFrame, path: str, key: str, now: Column) -> tuple[DataFrame, DataFrame]:
     """What the store still holds of the wanted keys, the latest of each, and the keys that must be computed."""
     spark = wanted.sparkSession
+    asked = wanted.select(key, _shard(key).alias("_shard")).distinct()
     kept = spark.read.parquet(path).where(F.col("_until") > now)
-    best = kept.groupBy(key).agg(F.max("_until").alias("_until"))
-    held = kept.join(best, [key, "_until"]).dropDuplicates([key]).drop("_key", "_until").join(wanted.select(key).distinct(), key, "left_semi")
+    # only the folders that are asked for are read, and of them only the rows of wanted keys go further
+    mine = kept.join(asked.select(key, "_shard"), [key, "_shard"], "left_semi")
+    best = W.partitionBy(key).orderBy(F.desc("_until"))
+    held = mine.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n", "_key", "_until", "_shard")
     return held, wanted.join(held.select(key), key, "left_anti")

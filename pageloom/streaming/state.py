@@ -174,7 +174,6 @@ def priority_times(df: DataFrame, preset: str = "moderate", key: str = "host", t
 
 
 def _fold(state: Any, frame: pd.DataFrame, key: str, ts: str, order: str, name: str) -> pd.DataFrame:
-    frame = frame.sort_values([ts, order], kind="stable")
     ms = (frame[ts].astype("datetime64[us]").astype("int64") // 1000).tolist()
     values = [state.step(t, row) for t, row in zip(ms, frame.itertuples(index=False))]
     return pd.DataFrame({key: frame[key], order: frame[order], name: pd.Series(values, index=frame.index, dtype=object)})
@@ -185,9 +184,19 @@ def _schema(df: DataFrame, key: str, order: str, name: str, kind: str) -> Struct
 
 
 def replay(df: DataFrame, make: Maker, key: str, ts: str = "ts", order: str = "event_id", name: str = "value") -> DataFrame:
-    """(key, order, value) of every event; ``order`` breaks ties of time."""
-    schema = _schema(df, key, order, name, make().result)
-    return df.groupBy(key).applyInPandas(lambda frame: _fold(make(), frame, key, ts, order, name), schema)
+    """(key, order, value) of every event; ``order`` breaks ties of time.
+
+    Partitions are sorted once, by key and time, and a key's events come to its fold in
+    batches, so that a key with very many of them needs no more memory than its state.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state = make()
+        for frame in frames:
+            yield _fold(state, frame, key, ts, order, name)
+
+    by_time = df.repartition(key).sortWithinPartitions(key, ts, order)
+    return by_time.groupBy(key).applyInPandas(run, _schema(df, key, order, name, make().result))
 
 
 def stream(df: DataFrame, make: Maker, key: str, ts: str = "ts", order: str = "event_id", name: str = "value", idle_ms: int = 3_600_000) -> DataFrame:
@@ -198,7 +207,7 @@ def stream(df: DataFrame, make: Maker, key: str, ts: str = "ts", order: str = "e
             held.remove()
             return
         state = pickle.loads(held.get[0]) if held.exists else make()
-        frame = pd.concat(list(frames))
+        frame = pd.concat(list(frames)).sort_values([ts, order], kind="stable")
         yield _fold(state, frame, key, ts, order, name)
         held.update((pickle.dumps(state),))
         held.setTimeoutDuration(idle_ms)

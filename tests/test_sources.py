@@ -36,6 +36,18 @@ def test_store(spark, tmp_path):
     assert [r.v for r in held.collect()] == [9] and due.count() == 2
 
 
+def test_store_is_written_anew(spark, tmp_path):
+    path, to = str(tmp_path / "store"), str(tmp_path / "new")
+    at = lambda s: F.timestamp_seconds(F.lit(s))
+    df = spark.createDataFrame([("a", 1), ("b", 2)], "url string, v int")
+    for k in (100, 200, 300):
+        tables.remember(df.where(f"url = 'a' OR {k} = 100").withColumn("v", F.col("v") + k), path, "url", at(k))
+    tables.forget(spark, path, to, "url", at(150))
+    assert [(r.url, r.v) for r in spark.read.parquet(to).collect()] == [("a", 301)]
+    held, due = tables.recall(df, to, "url", at(150))
+    assert [(r.url, r.v) for r in held.collect()] == [("a", 301)] and [r.url for r in due.collect()] == ["b"]
+
+
 def test_spread(spark):
     df = tables.table(spark, "/root/testdata/sf0.001", "documents")
     assert df.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
