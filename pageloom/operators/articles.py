@@ -41,6 +41,12 @@ def recent(df: DataFrame, ts: str, now: Column, hours: int = 48, most: int = 100
     return df.where(F.col(ts) >= now - F.make_interval(hours=F.lit(hours))).orderBy(F.desc(ts)).limit(most)
 
 
+def recent_stream(df: DataFrame, ts: str, key: str, hours: int = 48) -> DataFrame:
+    """Of a stream the first row of each key; what is older than the newest time less ``hours`` is late and dropped, and
+    so is the state of keys."""
+    return df.where(F.col(ts).isNotNull()).withWatermark(ts, f"{hours} hours").dropDuplicatesWithinWatermark([key])
+
+
 def enhance(articles: DataFrame, extracted: DataFrame, key: str = "url") -> DataFrame:
     """Articles (key, title, content, excerpt, confidence) of under 2000 characters take over what was extracted (same columns)."""
     e = extracted.select(F.col(key).alias("_k"), *(F.col(c).alias(f"_{c}") for c in ("title", "content", "excerpt")))

@@ -44,10 +44,13 @@ def size_guard(pages: DataFrame, html: str = "html", most: int = MOST_BYTES) ->
     return pages.where(F.length(html) <= most)
 
 
-def extract_articles(pages: DataFrame, url: str = "url", html: str = "html", robots_rules: DataFrame | None = None) -> DataFrame:
-    """Articles of pages (url, html): no internal addresses, allowed by robots.txt if rules are given, not too large,
+def extract_articles(pages: DataFrame, url: str = "url", html: str = "html", robots_rules: DataFrame | None = None, open_hosts: DataFrame | None = None) -> DataFrame:
+    """Articles of pages (url, html): no internal addresses, none of ``open_hosts`` (host), whose circuit breaker is
+    open, allowed by robots.txt if rules are given, not too large,
     by readability or else the usual elements, of 200 characters or more."""
     found = size_guard(pages, html).where(~urls.private_host(F.col(url)))
+    if open_hosts is not None:
+        found = found.join(open_hosts.select(F.col("host").alias("_host")), urls.domain(F.col(url)) == F.col("_host"), "left_anti")
     if robots_rules is not None:
         found = robots.check(found, robots_rules, url).where("allowed").drop("allowed", "crawl_delay")
     made = extract.extract(found, "readable", "fallback", "article", "published", "site_name", "language", html=html, url=url)
@@ -81,7 +84,7 @@ def scored(df: DataFrame, weights: quality.Weights = quality.Weights()) -> DataF
     return df.withColumn("quality_score", quality.score(c("text"), c("title"), c("html"), c("published_time"), c("byline"), c("schema_type"), c("reading_time"), weights))
 
 
-def scrape(candidates: DataFrame, corpus: DataFrame, config: ScrapeConfig = ScrapeConfig(), plugins: Plugins | None = None, robots_rules: DataFrame | None = None) -> DataFrame:
+def scrape(candidates: DataFrame, corpus: DataFrame, config: ScrapeConfig = ScrapeConfig(), plugins: Plugins | None = None, robots_rules: DataFrame | None = None, open_hosts: DataFrame | None = None) -> DataFrame:
     """The listing query: candidates are filtered by path, deduplicated and ranked, the best
     ``most`` of each site (None: all) looked up in the corpus (url, html), extracted, scored, and kept from the threshold on."""
     plugins = plugins or Plugins()
@@ -91,7 +94,7 @@ def scrape(candidates: DataFrame, corpus: DataFrame, config: ScrapeConfig = Scra
     found = found.where(~urls.denied(F.col("url"), config.deny))
     found = urls.apply_path_filters(found, "url", allow=config.allow, skip_allow=not config.allow)
     ranked = articles.rank_sites(articles.dedupe(found.withColumn("ord", F.col("guid"))).drop("ord"), config.most)
-    bodies = extract_articles(corpus.join(ranked.select("url"), "url", "left_semi"), robots_rules=robots_rules).select("url", *(F.col(c).alias(f"x_{c}") for c in ("title", "html", "text", "word_count", "reading_time", "byline", "schema_type", "excerpt")))
+    bodies = extract_articles(corpus.join(ranked.select("url"), "url", "left_semi"), robots_rules=robots_rules, open_hosts=open_hosts).select("url", *(F.col(c).alias(f"x_{c}") for c in ("title", "html", "text", "word_count", "reading_time", "byline", "schema_type", "excerpt")))
     joined = ranked.join(bodies, "url", "left")
     c = F.col
     out = joined.select("url", F.when(F.coalesce(F.length("title"), F.lit(0)) < 5, F.coalesce("x_title", "title")).otherwise(c("title")).alias("title"), "published_at", F.coalesce("x_excerpt", "excerpt").alias("excerpt"), F.coalesce("x_html", "content").alias("content"), c("x_text").alias("text"), F.when(c("x_html").isNotNull(), F.least(c("confidence") + 0.1, F.lit(1.0))).otherwise(c("confidence")).alias("confidence"), "source", "guid", c("x_word_count").alias("word_count"), c("x_reading_time").alias("reading_time"), c("x_byline").alias("byline"), c("x_schema_type").alias("schema_type"))

@@ -192,3 +192,44 @@ def test_crawl_ends_early(spark):
     corpus = spark.createDataFrame([("p1", page(2)), ("p2", page(3)), ("p3", "<p>end</p>"), ("p9", page(1))], "url string, html string")
     start = spark.createDataFrame([("p1",)], "url string")
     assert sorted(r.url for r in discover.crawl(start, corpus, 50).collect()) == ["p1", "p2", "p3"]
+
+
+@pytest.mark.parametrize("kind", ["folder", "memory"])
+def test_stores(spark, tmp_path, kind):
+    from pageloom.sources.store import FolderStore, MemoryStore, wrap
+
+    store = FolderStore(spark, f"{tmp_path}/store", seconds=100) if kind == "folder" else MemoryStore(spark, seconds=100)
+    at = lambda s: F.timestamp_seconds(F.lit(s))
+    computed = []
+
+    def compute(due):
+        computed.append(sorted(r.url for r in due.collect()))
+        return due.withColumn("v", F.length("url"))
+
+    urls = lambda *names: spark.createDataFrame([(n,) for n in names], "url string")
+    run = lambda s, *names: sorted(tuple(r) for r in wrap(store, compute, at(s))(urls(*names)).select("url", "v").collect())
+    assert store.size(at(0)) == 0 and store.has(urls("a"), at(0)).first().held is False
+    assert run(0, "a", "bb") == [("a", 1), ("bb", 2)]
+    assert run(50, "a", "ccc") == [("a", 1), ("ccc", 3)]
+    assert computed == [["a", "bb"], ["ccc"]] and store.size(at(50)) == 3
+    assert {r.url: r.held for r in store.has(urls("a", "x"), at(60)).collect()} == {"a": True, "x": False}
+    store.delete(urls("a"), at(60))
+    assert sorted(r.url for r in store.keys(at(60)).collect()) == ["bb", "ccc"]
+    assert sorted(r.url for r in store.keys(at(120)).collect()) == ["ccc"]
+    assert run(120, "bb", "ccc") == [("bb", 2), ("ccc", 3)] and computed[-1] == ["bb"]
+    store.clear()
+    assert store.size(at(120)) == 0
+
+
+def test_open_hosts(spark, corpus):
+    hosts = spark.createDataFrame([("x.org",)], "host string")
+    assert pipeline.extract_articles(corpus).count() == 2 and pipeline.extract_articles(corpus, open_hosts=hosts).count() == 0
+
+
+def test_recent_stream(spark, tmp_path):
+    rows = [("a", "2024-01-10"), ("a", "2024-01-10"), ("b", "2024-01-11"), ("c", None)]
+    spark.createDataFrame(rows, "url string, day string").coalesce(1).write.json(f"{tmp_path}/in")
+    stream = spark.readStream.schema("url string, day string").json(f"{tmp_path}/in").withColumn("ts", F.col("day").cast("timestamp"))
+    query = articles.recent_stream(stream, "ts", "url").writeStream.format("memory").queryName("recent").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert sorted(r.url for r in spark.table("recent").collect()) == ["a", "b"]
