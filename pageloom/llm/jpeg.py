@@ -318,27 +318,41 @@ def encode(image: np.ndarray, interval: int = 0, tables: bool = True) -> bytes:
     ``interval`` is the restart interval in MCUs; without ``tables`` the Huffman
     tables are left out, as in AVI.
     """
-    grey = image.ndim == 2
-    height, width = image.shape[:2]
+    return encode_all(image[None], interval, tables)[0]
+
+
+def encode_all(images: np.ndarray, interval: int = 0, tables: bool = True) -> list[bytes]:
+    """A JPEG as of ``encode`` for each of several images of one size."""
+    grey = images.ndim == 3
+    n, height, width = images.shape[:3]
     step = 8 if grey else 16
-    pad = ((0, -height % step), (0, -width % step)) + ((0, 0),) * (image.ndim - 2)
-    full = np.pad(image, pad, "edge").astype(np.float32)
-    across, down = full.shape[1] // step, full.shape[0] // step
+    pad = ((0, 0), (0, -height % step), (0, -width % step)) + ((0, 0),) * (images.ndim - 3)
+    full = (np.pad(images, pad, "edge") if any(b for _, b in pad) else images).astype(np.float32)
+    across, down = full.shape[2] // step, full.shape[1] // step
 
     def blocks(plane: np.ndarray) -> np.ndarray:
-        side = plane.shape[0] // down
-        cut = plane.reshape(down, side // 8, 8, across, side // 8, 8).transpose(0, 3, 1, 4, 2, 5).reshape(down * across, -1, 8, 8)
-        return np.rint((_DCT @ (cut - 128) @ _DCT.T).reshape(*cut.shape[:2], 64)[..., ZIGZAG] / _QUANT[ZIGZAG]).astype(int)
+        side = plane.shape[1] // down
+        cut = plane.reshape(n, down, side // 8, 8, across, side // 8, 8).transpose(0, 1, 4, 2, 5, 3, 6).reshape(n, down * across, -1, 8, 8)
+        return np.rint((_DCT @ (cut - 128) @ _DCT.T).reshape(*cut.shape[:3], 64)[..., ZIGZAG] / _QUANT[ZIGZAG]).astype(int)
 
-    half = lambda p: p.reshape(p.shape[0] // 2, 2, p.shape[1] // 2, 2).mean((1, 3))
+    half = lambda p: p.reshape(n, p.shape[1] // 2, 2, p.shape[2] // 2, 2).mean((2, 4))
     planes = [blocks(full)] if grey else [blocks(full[..., 0]), blocks(half(full[..., 1])), blocks(half(full[..., 2]))]
+    parts = [(1, 0x11, 0)] if grey else [(1, 0x22, 0), (2, 0x11, 0), (3, 0x11, 0)]
+    head = b"\xff\xd8" + _marker(0xDB, b"\0" + _QUANT[ZIGZAG].astype(np.uint8).tobytes())
+    head += _marker(0xC0, b"\x08" + height.to_bytes(2, "big") + width.to_bytes(2, "big") + bytes((len(parts),)) + b"".join(map(bytes, parts)))
+    if tables:
+        head += b"".join(_marker(0xC4, bytes((kind << 4 | name,)) + counts + symbols) for (kind, name), (counts, symbols) in STANDARD.items())
+    if interval:
+        head += _marker(0xDD, interval.to_bytes(2, "big"))
+    head += _marker(0xDA, bytes((len(parts),)) + b"".join(bytes((p[0], 0x11 * min(c, 1))) for c, p in enumerate(parts)) + b"\0\x3f\0")
+    return [head + _entropy([p[f].tolist() for p in planes], interval) + b"\xff\xd9" for f in range(n)]
+
+
+def _entropy(planes: list[list[list[list[int]]]], interval: int) -> bytes:
+    """The entropy-coded bytes of the components' coefficients by MCU, block and place."""
     scan, acc, have = bytearray(), 0, 0
     before = [0] * len(planes)
 
-    def put(code: int, length: int) -> None:
-        nonlocal acc, have
-        acc, have = acc << length | code, have + length
-
     def flush() -> None:
         nonlocal acc, have
         fill = -have % 8
@@ -346,38 +360,31 @@ def encode(image: np.ndarray, interval: int = 0, tables: bool = True) -> bytes:
         scan.extend(raw.replace(b"\xff", b"\xff\0"))
         acc = have = 0
 
-    for m in range(across * down):
+    coders = [(_encoder(0, min(c, 1)), _encoder(1, min(c, 1))) for c in range(len(planes))]
+    for m in range(len(planes[0])):
         if interval and m and m % interval == 0:
             flush()
             scan += bytes((0xFF, 0xD0 + (m // interval - 1) % 8))
             before = [0] * len(planes)
         for c, plane in enumerate(planes):
-            dc, ac = _encoder(0, min(c, 1)), _encoder(1, min(c, 1))
-            for block in plane[m].tolist():
-                zeros = 0
-                last = max((k for k in range(64) if block[k]), default=0)
-                for k in range(last + 1):
-                    value = block[k] - (before[c] if k == 0 else 0)
-                    if k and not value:
-                        zeros += 1
-                        continue
+            dc, ac = coders[c]
+            for block in plane[m]:
+                places = [k for k in range(1, 64) if block[k]]
+                last = 0
+                for k in (0, *places):
+                    value = block[k] - before[c] if k == 0 else block[k]
+                    zeros = k - last - 1 if k else 0
                     while zeros > 15:
-                        put(*ac[0xF0])
-                        zeros -= 16
+                        code, length = ac[0xF0]
+                        acc, have, zeros = acc << length | code, have + length, zeros - 16
                     bits = abs(value).bit_length()
-                    put(*(ac[zeros << 4 | bits] if k else dc[bits]))
-                    put(value if value > 0 else value + (1 << bits) - 1, bits)
-                    zeros = 0
+                    code, length = ac[zeros << 4 | bits] if k else dc[bits]
+                    acc = (acc << length | code) << bits | (value if value > 0 else value + (1 << bits) - 1)
+                    have += length + bits
+                    last = k
                 before[c] = block[0]
                 if last < 63:
-                    put(*ac[0])
+                    code, length = ac[0]
+                    acc, have = acc << length | code, have + length
     flush()
-    parts = [(1, 0x11, 0)] if grey else [(1, 0x22, 0), (2, 0x11, 0), (3, 0x11, 0)]
-    out = b"\xff\xd8" + _marker(0xDB, b"\0" + _QUANT[ZIGZAG].astype(np.uint8).tobytes())
-    out += _marker(0xC0, b"\x08" + height.to_bytes(2, "big") + width.to_bytes(2, "big") + bytes((len(parts),)) + b"".join(map(bytes, parts)))
-    if tables:
-        out += b"".join(_marker(0xC4, bytes((kind << 4 | name,)) + counts + symbols) for (kind, name), (counts, symbols) in STANDARD.items())
-    if interval:
-        out += _marker(0xDD, interval.to_bytes(2, "big"))
-    out += _marker(0xDA, bytes((len(parts),)) + b"".join(bytes((p[0], 0x11 * min(c, 1))) for c, p in enumerate(parts)) + b"\0\x3f\0")
-    return out + bytes(scan) + b"\xff\xd9"
+    return bytes(scan)

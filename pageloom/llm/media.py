@@ -279,15 +279,17 @@ SIDE = 16
 def draw(key: int, values: list[float]) -> tuple[bytes, list[int]]:
     """A small video made from numbers, and the frames at which its shots begin: what test media are."""
     values = [v for v in values if v is not None] or [0.0]
-    frames, begins = [], []
+    images, begins = [], []
     for shot in range(2 + key % 3):
-        begins.append(len(frames))
+        begins.append(sum(map(len, images)))
         tone = np.array([values[(3 * shot + i) % len(values)] for i in range(3)])
         base = np.array([40 + 150 * (shot % 2), 60 + 130 * (shot // 2 % 2), 190 - 130 * (shot % 2)]) + 20 * np.tanh(tone)
-        for k in range(4 + (key * 7 + shot) % 5):
-            image = np.tile(base, (SIDE, SIDE, 1))
+        shots = np.tile(base, (4 + (key * 7 + shot) % 5, SIDE, SIDE, 1))
+        for k, image in enumerate(shots):
             image[k % 8 : k % 8 + 4, 4:8, 0] += 30
-            frames.append(jpeg.encode(np.clip(image, 0, 255).astype(np.uint8), tables=key % 2 == 0))
+        images.append(shots)
+    drawings = np.clip(np.concatenate(images), 0, 255).astype(np.uint8)
+    frames = jpeg.encode_all(drawings, tables=key % 2 == 0)
     return write_avi(frames, SIDE, SIDE, 12, ("idx1", "opendml", "absolute", "none")[key % 4]), begins
 
 

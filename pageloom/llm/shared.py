@@ -12,6 +12,11 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pageloom.sources import tables
+
+#: Tables whose rows take long.
+SPREAD = ("documents", "pages", "embeddings", "conversations")
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: the session's ``spark.checkpoint.dir``.
@@ -52,7 +57,8 @@ def core(docs: DataFrame, *columns: str) -> DataFrame:
 
 
 def table(sf_dir: str, name: str, spark: SparkSession) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one in fewer splits than the session has cores is spread over them, as ``tables.spread`` tells."""
+    return tables.spread(spark.read.parquet(f"{sf_dir}/{name}.parquet")) if name in SPREAD else spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def rows(schema: pa.Schema, **columns) -> pa.RecordBatch:

@@ -16,11 +16,15 @@ WIDE = ("documents", "pages", "conversations")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A Parquet table.  A wide one in fewer splits than the session has cores is spread over them;
-    with as many splits as cores, as on a cluster, nothing is shuffled."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if name in WIDE and _splits(df) < cores else df
+    return spread(df) if name in WIDE else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table of files, dealt to all cores if it has fewer splits than the session has cores.  With as many splits as
+    cores, as on a cluster, nothing is shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if _splits(df) < cores else df
 
 
 def _splits(df: DataFrame) -> int:
