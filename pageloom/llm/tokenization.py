@@ -8,6 +8,7 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Callable
+from itertools import pairwise
 
 import numpy as np
 from pyspark.sql import SparkSession
@@ -16,12 +17,16 @@ from pyspark.sql import SparkSession
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 _PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same without the slow look-ahead, which leaves the last white space of a run to the next piece: so texts are cut there.
+_FAST_PIECES = _PIECES.replace(r"\s+(?!\S)|", "")
 #: Characters after which a longer text is cut, where the next word begins.
 _PIECE_CHARS = 200_000
 #: Where a word ends and another begins after one space: no token lies across.
 _BETWEEN = re.compile(r"(?<=[A-Za-z0-9])(?= [A-Za-z])")
-#: White space (as in ``\\s`` of the pieces) of a length that their look-ahead can't take.
-_LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"  # as in the pieces' \s
+_RUN = re.compile(f"[{_SPACE}]{{2,}}")
+_ASCII_SPACE = bytes.maketrans(b"\t\n\v\f\r", b" " * 5)
+_WIDE_SPACE = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 class Encode:
@@ -46,28 +51,22 @@ def _cuts(text: str) -> list[str]:
     return [*out, text[at:]]
 
 
+def _runs(text: str) -> list[int]:
+    """The last place of each run of white space that something follows."""
+    if b"  " not in text.encode("utf-8", "surrogatepass").translate(_ASCII_SPACE) and (text.isascii() or not any(c in text for c in _WIDE_SPACE)):
+        return []
+    return [run.end() - 1 for run in _RUN.finditer(text) if run.end() < len(text)]
+
+
 def _tiktoken(raw: bytes) -> tuple[Encode, int]:
     import tiktoken
 
     ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in raw.splitlines() if line)}
-    encoding, whole = (tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={}) for name, pattern in (("own", _PIECES), ("whole", "(?s:.+)")))
-
-    def spaced(text: str) -> list[int]:
-        """Long white space is one piece, without its last character if something follows it."""
-        out, at = [], 0
-        for run in _LONG_SPACE.finditer(text):
-            end = run.end() - (run.end() < len(text))
-            out += encoding.encode_ordinary(text[at : run.start()]) + whole.encode_ordinary(text[run.start() : end])
-            at = end
-        return out + encoding.encode_ordinary(text[at:])
+    encode = tiktoken.Encoding("own", pat_str=_FAST_PIECES, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def part(text: str) -> list[int]:
-        try:
-            return encoding.encode_ordinary(text)
-        except BaseException as e:
-            if type(e).__name__ != "PanicException":
-                raise
-            return spaced(text)
+        at = [0, *_runs(text), len(text)]
+        return encode(text) if len(at) == 2 else [i for begin, end in pairwise(at) for i in encode(text[begin:end])]
 
     def one(text: str) -> np.ndarray:
         return np.concatenate([np.array(part(p), np.uint32) for p in _cuts(text)])
