@@ -28,7 +28,12 @@ def _plain(html: str) -> str:
 
 _TEXT = _plain(f"regexp_replace({_ARTICLE}, '<[^>]*>', '', 'g')")
 _HEAD = f"trim({_plain("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")})"
-_WORDS = f"len(list_filter(regexp_split_to_array({_TEXT}, '\\s+'), lambda w: w <> ''))"
+_AD = "trim(regexp_extract(html, '(?s)<div class=\"ad\">(.*?)</div>', 1))"
+#: Fast extraction takes the body for an article of under 50 characters of HTML, of which the parser's closing tags are 8.
+_FAST = f"(CASE WHEN length({_ARTICLE}) + 8 >= 50 THEN {_TEXT} ELSE {_AD} || {_TEXT} END)"
+#: Characters of the body's HTML without what fast extraction removes: the marked block, the article and their tags.
+_BODY = f"(length({_ARTICLE}) + 8 + length({_AD}) + {len('<div class="ad"></div><article></article>')})"
+_WORDS = f"len(list_filter(regexp_split_to_array({_FAST}, '\\s+'), lambda w: w <> ''))"
 _SECTION = _plain(f"regexp_replace(trim(regexp_replace(regexp_replace({_ARTICLE}, '(?s)^.*?</h1>', ''), '</?(p|b|br)>', chr(10), 'g'), chr(10)), chr(10) || '+', chr(10), 'g')")
 _NONE = "CAST(NULL AS VARCHAR)"
 
@@ -140,13 +145,13 @@ def fast_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spark, sf_dir, "fast").select("page_id", "fast.*")
 
 
-@query(f"SELECT page_id, {_HEAD} AS title, {_TEXT} AS text, CASE WHEN length({_TEXT}) > 200 THEN ({_TEXT})[:200] || '...' ELSE {_TEXT} END AS excerpt, {_WORDS} AS word_count, CAST(ceil({_WORDS} / 200.0) AS BIGINT) AS reading_time FROM pages")
+@query(f"SELECT page_id, {_HEAD} AS title, {_FAST} AS text, CASE WHEN length({_FAST}) > 200 THEN ({_FAST})[:200] || '...' ELSE {_FAST} END AS excerpt, {_WORDS} AS word_count, CAST(ceil({_WORDS} / 200.0) AS BIGINT) AS reading_time FROM pages")
 def fast_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fast extraction without its HTML and Markdown."""
     return _pages(spark, sf_dir, "fast").select("page_id", *(f"fast.{c}" for c in ("title", "text", "excerpt", "word_count", "reading_time")))
 
 
-@query(f"SELECT page_id, url, length({_TEXT}) >= 50 AS extracted, CASE WHEN length({_TEXT}) >= 50 THEN {_WORDS} END AS word_count FROM pages")
+@query(f"SELECT page_id, url, {_BODY} >= 50 AS extracted, CASE WHEN {_BODY} >= 50 THEN {_WORDS} END AS word_count FROM pages")
 def batch_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spark, sf_dir, "fast").select("page_id", "url", F.col("fast").isNotNull().alias("extracted"), F.col("fast.word_count").alias("word_count"))
 
@@ -265,7 +270,6 @@ def scrape_site(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.scrape(everything, corpus, config).select("url", "title", "confidence", "quality_score", "word_count")
 
 
-_AD = "trim(regexp_extract(html, '(?s)<div class=\"ad\">(.*?)</div>', 1))"
 #: Whether an article is found: its words have 200 characters, or, where its HTML hasn't over 200, the whole body's have.
 _FOUND = f"(CASE WHEN length({_ARTICLE}) + 8 > 200 THEN length({_TEXT}) >= 200 ELSE length({_TEXT}) + length({_AD}) >= 200 END)"
 
@@ -281,8 +285,8 @@ def smart_scrape(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"SELECT page_id * 3 + k AS id, ['url', 'html-string', 'unsupported'][k + 1] AS input_type, CASE WHEN k < 2 THEN {_HEAD} END AS title, CASE WHEN k < 2 THEN {_TEXT} END AS text, CASE WHEN k < 2 THEN {_WORDS} END AS word_count,"
-    f" CASE WHEN k < 2 THEN CAST(ceil(length({_TEXT}) / 4.0) AS BIGINT) ELSE 0 END AS tokens, CASE WHEN k = 2 THEN 'UNSUPPORTED_INPUT' END AS error FROM (SELECT DISTINCT ON (url) * FROM pages ORDER BY url, page_id), (SELECT unnest([0, 1, 2]) AS k)"
+    f"SELECT page_id * 3 + k AS id, ['url', 'html-string', 'unsupported'][k + 1] AS input_type, CASE WHEN k < 2 THEN {_HEAD} END AS title, CASE WHEN k < 2 THEN {_FAST} END AS text, CASE WHEN k < 2 THEN {_WORDS} END AS word_count,"
+    f" CASE WHEN k < 2 THEN CAST(ceil(length({_FAST}) / 4.0) AS BIGINT) ELSE 0 END AS tokens, CASE WHEN k = 2 THEN 'UNSUPPORTED_INPUT' END AS error FROM (SELECT DISTINCT ON (url) * FROM pages ORDER BY url, page_id), (SELECT unnest([0, 1, 2]) AS k)"
 )
 def parse_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page (the first of those with one URL) in three forms: its URL, its HTML, and words that are neither."""
