@@ -15,8 +15,11 @@ share min(l of the one, l of the other) prefix shingles.  The join is exact.
    its least document, so that the lists of a group of near copies come together
    and candidates are counted there.  Lists with the same members count as one of
    their number.  A list of over ``LIST_BLOCK`` documents is cut into blocks, and
-   its pairs of blocks are spread.
-4. Candidates are verified by blocks of a leader; a set is sent once to a block,
+   its pairs of blocks are spread.  Documents that lists of over ``HOT`` documents
+   connect are a family: where that costs less than the pairs of its lists, its sets
+   are compared all with all instead, as products of matrices in tiles, and none of
+   its pairs becomes a row.  Pairs across families share no such list.
+4. Other candidates are verified by blocks of a leader; a set is sent once to a block,
    however many partners it has there.  A block gives each document's number of
    links and its root within the block, so that pairs needn't be listed.
 
@@ -55,6 +58,12 @@ VERIFY_COST = 8.0
 SPREAD = 2_000_000
 #: Documents of a posting list that are paired in one piece.
 LIST_BLOCK = 1_000
+#: Documents of a posting list above which it is kept whole until it is known whether its documents are compared all with all.
+HOT = 100
+#: Most sets, and shingles, of a family in one tile, on average.
+TILE, TILE_TOKENS = 1_000, 1_000_000
+#: Pairs of a family that can be compared for each pair of its lists, and for each pair of its longest list.
+PER_EVENT, PER_PAIR = 0.2, 20.0
 #: Sets in one block of verification.
 BLOCK = 8_000
 #: Repeated doc_ids that a task can hold; with more of them texts aren't collapsed where they are read.
@@ -68,7 +77,8 @@ _PACKED = pa.schema([("bucket", pa.int32()), ("hashes", pa.binary()), ("docs", p
 _COMMON = pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("ranks", pa.binary()), ("classes", pa.binary()), ("docs", pa.binary()), ("counts", pa.binary()), ("owners", pa.binary()), ("sizes", pa.binary()), ("copies", pa.binary())])
 _SETS = pa.schema([("doc_id", pa.int64()), ("size", pa.int32()), ("shared", pa.int32()), ("l", pa.int32()), ("prefix", pa.int32()), ("head", pa.binary()), ("rest", pa.binary()), ("same_as", pa.int64())])
 _PREFIX = pa.schema([("bucket", pa.int32()), ("tokens", pa.binary()), ("docs", pa.binary()), ("counts", pa.binary()), ("sizes", pa.binary()), ("ls", pa.binary())])
-_LISTS = pa.schema([("part", pa.int32()), ("leaders", pa.binary()), ("lengths", pa.binary()), ("lefts", pa.binary()), ("docs", pa.binary()), ("sizes", pa.binary()), ("ls", pa.binary())])
+_LISTS = pa.schema([("part", pa.int32()), ("leaders", pa.binary()), ("lengths", pa.binary()), ("lefts", pa.binary()), ("docs", pa.binary()), ("sizes", pa.binary()), ("ls", pa.binary()), ("leader", pa.int64())])
+_EDGES = pa.schema([("leader", pa.int64()), ("doc_id", pa.int64())])
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int32()), ("need", pa.int32()), ("leader", pa.int64())])
 _FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("jaccard", pa.float64())])
 _LINKS = pa.schema([("doc_id", pa.int64()), ("root", pa.int64()), ("links", pa.int64())])
@@ -296,8 +306,8 @@ def _send_prefix(buckets: int, width: int):
     return send
 
 
-def _lists(parts: int, width: int, list_block: int):
-    """Posting lists of two documents or more, sent to where their leader's are counted."""
+def _lists(parts: int, width: int, list_block: int, hot: int | None = None):
+    """Posting lists of two documents or more, sent to where their leader's are counted; with ``hot`` longer ones are whole, a row each."""
 
     def make(key: tuple, group: pa.Table) -> pa.Table:
         counts = read_squeezed(group, "counts")
@@ -309,42 +319,78 @@ def _lists(parts: int, width: int, list_block: int):
         cut = runs(tokens)
         length = np.diff(cut)
         first, length = cut[:-1][length > 1], length[length > 1].astype(np.int64)
-        # pieces of lists: the places of a piece are two runs, the second empty in a piece that is paired with itself
-        short = length <= list_block
-        begin, n, begin2, n2 = first[short], length[short], np.zeros(short.sum(), np.int64), np.zeros(short.sum(), np.int64)
-        for f, k in zip(first[~short].tolist(), length[~short].tolist()):
-            blocks = -(-k // list_block)
-            i, j = np.triu_indices(blocks)
-            each = np.minimum(list_block, k - np.arange(blocks) * list_block)
-            begin, n = np.append(begin, f + i * list_block), np.append(n, each[i])
-            begin2, n2 = np.append(begin2, f + j * list_block), np.append(n2, np.where(i == j, 0, each[j]))
-        two = np.stack([begin, begin2], 1).ravel(), np.stack([n, n2], 1).ravel()
-        take = np.repeat(two[0] - np.append(0, np.cumsum(two[1])[:-1]), two[1]) + np.arange(two[1].sum())
-        length, left = n + n2, np.where(n2 > 0, n, 0)
-        at = np.append(0, np.cumsum(length))
-        doc, size, ell = doc[take], size[take], ell[take]
-        leader = doc[at[:-1]] if len(length) else doc[:0]
-        # lists of the same members go to the same part, where they count as one
-        total = np.append(np.zeros(1, np.uint64), np.cumsum(wordhash.mix(doc.view(np.uint64))))
-        content = wordhash.mix(total[at[1:]] - total[at[:-1]])
-        pairs = np.where(left > 0, left * (length - left), length * (length - 1) // 2)
-        salt = content % (1 + 4 * pairs // list_block**2).astype(np.uint64)
-        salt = np.where(left > 0, content % np.uint64(1 << 20), salt).astype(np.int64)
-        part = chunk_of(leader + salt * 0x5851F42D4C957F2D, parts)
-        order = np.lexsort((leader, part))
-        out: dict[str, list] = {k: [] for k in _LISTS.names}
-        cuts = runs(part[order])
-        for a, b in zip(cuts, cuts[1:]):
-            mine = order[a:b]
-            n = length[mine]
-            take = np.repeat(at[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            for name, x in zip(out, (int(part[mine[0]]), leader[mine].tobytes(), squeeze(n), squeeze(left[mine]), doc[take].tobytes(), size[take].tobytes(), ell[take].tobytes())):
+        whole = length > hot if hot is not None else np.zeros(len(length), bool)
+        out = _dealt(doc, size, ell, first[~whole], length[~whole], parts, list_block)
+        for f, k in zip(first[whole].tolist(), length[whole].tolist()):
+            mine = slice(f, f + k)
+            for name, x in zip(out, (None, doc[f : f + 1].tobytes(), squeeze(np.array([k])), squeeze(np.zeros(1, np.int64)), doc[mine].tobytes(), size[mine].tobytes(), ell[mine].tobytes(), int(doc[f]))):
                 out[name].append(x)
         return _table(_LISTS, **out)
 
     return make
 
 
+def _deal(parts: int, list_block: int):
+    """Whole lists, cut and sent as the others are."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = pa.Table.from_batches([batch.slice(i, 1)])
+                doc = read(row, "docs", np.int64)
+                yield shared.rows(_LISTS, **_dealt(doc, read(row, "sizes", np.uint32), read(row, "ls", np.uint8), np.zeros(1, np.int64), np.array([len(doc)]), parts, list_block))
+
+    return deal
+
+
+def _dealt(doc: np.ndarray, size: np.ndarray, ell: np.ndarray, first: np.ndarray, length: np.ndarray, parts: int, list_block: int) -> dict[str, list]:
+    """Columns of ``_LISTS`` for the lists that begin at ``first``."""
+    # pieces of lists: the places of a piece are two runs, the second empty in a piece that is paired with itself
+    short = length <= list_block
+    begin, n, begin2, n2 = first[short], length[short], np.zeros(short.sum(), np.int64), np.zeros(short.sum(), np.int64)
+    for f, k in zip(first[~short].tolist(), length[~short].tolist()):
+        blocks = -(-k // list_block)
+        i, j = np.triu_indices(blocks)
+        each = np.minimum(list_block, k - np.arange(blocks) * list_block)
+        begin, n = np.append(begin, f + i * list_block), np.append(n, each[i])
+        begin2, n2 = np.append(begin2, f + j * list_block), np.append(n2, np.where(i == j, 0, each[j]))
+    two = np.stack([begin, begin2], 1).ravel(), np.stack([n, n2], 1).ravel()
+    take = np.repeat(two[0] - np.append(0, np.cumsum(two[1])[:-1]), two[1]) + np.arange(two[1].sum())
+    length, left = n + n2, np.where(n2 > 0, n, 0)
+    at = np.append(0, np.cumsum(length))
+    doc, size, ell = doc[take], size[take], ell[take]
+    leader = doc[at[:-1]] if len(length) else doc[:0]
+    # lists of the same members go to the same part, where they count as one
+    total = np.append(np.zeros(1, np.uint64), np.cumsum(wordhash.mix(doc.view(np.uint64))))
+    content = wordhash.mix(total[at[1:]] - total[at[:-1]])
+    pairs = np.where(left > 0, left * (length - left), length * (length - 1) // 2)
+    salt = content % (1 + 4 * pairs // list_block**2).astype(np.uint64)
+    salt = np.where(left > 0, content % np.uint64(1 << 20), salt).astype(np.int64)
+    part = chunk_of(leader + salt * 0x5851F42D4C957F2D, parts)
+    order = np.lexsort((leader, part))
+    out: dict[str, list] = {k: [] for k in _LISTS.names}
+    cuts = runs(part[order])
+    for a, b in zip(cuts, cuts[1:]):
+        mine = order[a:b]
+        n = length[mine]
+        take = np.repeat(at[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        for name, x in zip(out, (int(part[mine[0]]), leader[mine].tobytes(), squeeze(n), squeeze(left[mine]), doc[take].tobytes(), size[take].tobytes(), ell[take].tobytes(), None)):
+            out[name].append(x)
+    return out
+
+
+def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Who is in a whole list with its leader."""
+    for batch in batches:
+        group = pa.Table.from_batches([batch])
+        doc = read(group, "docs", np.int64)
+        leader = np.repeat(read(group, "leaders", np.int64), read_squeezed(group, "lengths"))
+        order = np.lexsort((doc, leader))
+        leader, doc = leader[order], doc[order]
+        new = np.append(True, (leader[1:] != leader[:-1]) | (doc[1:] != doc[:-1]))
+        yield shared.rows(_EDGES, leader=leader[new], doc_id=doc[new])
+
+
 def _add_up(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     code, n = np.concatenate(codes), np.concatenate(counts)
     order = np.argsort(code, kind="stable")
@@ -442,6 +488,13 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
+def _links(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.Table:
+    """Each one's number of links, and the least of those that they connect; ``ids`` ascend."""
+    links = np.bincount(a, minlength=len(ids)) + np.bincount(b, minlength=len(ids))
+    root, some = _roots(len(ids), a, b), np.flatnonzero(links)
+    return _table(_LINKS, doc_id=ids[some], root=ids[root[some]], links=links[some])
+
+
 def _verify(t: float, width: int, pairs_too: bool):
     def verify(key: tuple, pairs: pa.Table, sets: pa.Table) -> pa.Table:
         pairs, sets = pairs.combine_chunks(), sets.combine_chunks()
@@ -478,13 +531,95 @@ def _verify(t: float, width: int, pairs_too: bool):
         a, b = a[good], b[good]
         if pairs_too:
             return _table(_FOUND, a=ids[a], b=ids[b], jaccard=value[good])
-        links = np.bincount(a, minlength=len(ids)) + np.bincount(b, minlength=len(ids))
-        root, some = _roots(len(ids), a, b), np.flatnonzero(links)
-        return _table(_LINKS, doc_id=ids[some], root=ids[root[some]], links=links[some])
+        return _links(ids, a, b)
 
     return verify
 
 
+def _in_common(token: np.ndarray, row: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """For sets ``left`` and ``right`` (places of rows) how many tokens each two different ones share; ``row`` has ``token``, once.
+
+    Tokens of many sets are multiplied as matrices of zeros and ones, which numbers below 2**24 leave exact; those of
+    few are counted pair by pair.
+    """
+    rows = 1 + int(max(x.max(initial=-1) for x in (row, left, right)))
+    common = np.zeros((len(left), len(right)), np.float32)
+    df = np.bincount(token)
+    often = df > max(1, rows // 32)
+    number = np.cumsum(often) - 1
+    dense = often[token]
+    order = np.argsort(number[token[dense]], kind="stable")
+    col, at = number[token[dense]][order], row[dense][order]
+    for low in range(0, int(often.sum()), 2048):
+        a, b = np.searchsorted(col, (low, low + 2048))
+        ones = np.zeros((rows, min(2048, int(often.sum()) - low)), np.float32)
+        ones[at[a:b], col[a:b] - low] = 1
+        common += ones[left] @ ones[right].T
+    few = ~dense & (df[token] > 1)
+    token, row = token[few], row[few]
+    sides = []
+    for side in (left, right):
+        where = np.full(rows, -1)
+        where[side] = np.arange(len(side))
+        mine = np.flatnonzero(where[row] >= 0)
+        mine = mine[np.argsort(token[mine], kind="stable")]
+        sides.append((token[mine], where[row[mine]]))
+    (t1, r1), (t2, r2) = sides
+    begin = np.searchsorted(t2, t1)
+    n = np.searchsorted(t2, t1, "right") - begin
+    total = np.append(0, np.cumsum(n))
+    flat = common.ravel()
+    a = 0
+    while a < len(t1):
+        b = max(a + 1, int(np.searchsorted(total, total[a] + _EVENTS, "right")) - 1)
+        take = np.repeat(begin[a:b] - (total[a:b] - total[a]), n[a:b]) + np.arange(total[b] - total[a])
+        np.add.at(flat, np.repeat(r1[a:b], n[a:b]) * len(right) + r2[take], np.float32(1))
+        a = b
+    return common
+
+
+def _compare(t: float, width: int, pairs_too: bool):
+    """A tile of a family with itself or another one: all sets of the one with all of the other."""
+
+    def compare(key: tuple, group: pa.Table) -> pa.Table:
+        first, second = key[1].as_py(), key[2].as_py()
+        group = group.combine_chunks()
+        group = group.take(pa.array(np.argsort(group.column("doc_id").to_numpy())))
+        ids, size, tile = group.column("doc_id").to_numpy(), group.column("size").to_numpy().astype(np.int64), group.column("tile").to_numpy()
+        blobs = [h + r for h, r in zip(group.column("head").to_pylist(), group.column("rest").to_pylist())]
+        del group
+        row = np.repeat(np.arange(len(ids)), np.array(list(map(len, blobs)), np.int64) // width)
+        token = np.unique(widen(b"".join(blobs), width), return_inverse=True)[1]
+        del blobs
+        left, right = np.flatnonzero(tile == first), np.flatnonzero(tile == second)
+        common = _in_common(token, row, left, right).astype(np.float64)
+        value = np.minimum(common / (size[left][:, None] + size[right] - common), 1.0)
+        good = value >= t - 1e-12
+        if first == second:
+            good = np.triu(good, 1)
+        i, j = np.nonzero(good)
+        a, b = np.minimum(left[i], right[j]), np.maximum(left[i], right[j])
+        if pairs_too:
+            return _table(_FOUND, a=ids[a], b=ids[b], jaccard=value[i, j])
+        return _links(ids, a, b)
+
+    return compare
+
+
+def _families(sets: DataFrame, hot: DataFrame) -> DataFrame:
+    """(doc_id, family, tiles) of the families whose sets are compared all with all; ``sets`` has no copies."""
+    own = components(hot.select("leaders", "lengths", "docs").mapInArrow(_edges, _ddl(_EDGES)), "leader", "doc_id").withColumnsRenamed({"node": "doc_id", "component": "family"})
+    own = shared.store(own, "members")
+    k = F.length("docs") / 8
+    lists = hot.select(F.col("leader").alias("doc_id"), k.alias("k")).join(own, "doc_id").groupBy("family").agg(F.sum(F.col("k") * F.col("k")).alias("events"), F.max("k").alias("most"))
+    counts = sets.select("doc_id", "shared").join(own, "doc_id").groupBy("family").agg(F.count("*").alias("n"), F.sum("shared").alias("tokens"))
+    tiles = F.ceil(F.greatest(F.col("n") / TILE, F.col("tokens") / TILE_TOKENS)).cast("int").alias("tiles")
+    chosen = counts.join(lists, "family").where(F.col("n") * F.col("n") <= PER_EVENT * F.col("events") + PER_PAIR * F.col("most") * F.col("most")).select("family", tiles)
+    out = shared.store(own.join(chosen, "family").select("doc_id", "family", "tiles"), "families")
+    shared.discard(own)
+    return out
+
+
 def _linked(docs: DataFrame, n: int, t: float, longest: int, bucket: int, block: int, pairs_too: bool) -> tuple[DataFrame, DataFrame]:
     """What is found of documents with different sets, stored: pairs (a, b, jaccard), or (doc_id, root, links) in
     each block; and the copies (doc_id, same_as), stored: documents with the set of a lesser doc_id, the first of its class."""
@@ -504,9 +639,19 @@ def _linked(docs: DataFrame, n: int, t: float, longest: int, bucket: int, block:
     copies = shared.store(copies.union(later), "copies")
     ones = sets.select("doc_id", "size", "l", "prefix", "head").join(later.select("doc_id"), "doc_id", "left_anti")
     parts = shared.buckets_for(sets.agg(F.sum("prefix")).first()[0] or 0, bucket // 4)
-    lists = ones.mapInArrow(_send_prefix(parts, width), _ddl(_PREFIX)).groupBy("bucket").applyInArrow(_lists(parts, width, LIST_BLOCK), _ddl(_LISTS))
-    counted = lists.groupBy("part").applyInArrow(_count_pairs(t), _ddl(_PAIRS)).groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need"), F.min("leader").alias("leader"))
-    candidates = shared.store(counted.where("n >= need").select("a", "b", "leader"), "candidates")
+    lists = shared.store(ones.mapInArrow(_send_prefix(parts, width), _ddl(_PREFIX)).groupBy("bucket").applyInArrow(_lists(parts, width, LIST_BLOCK, HOT), _ddl(_LISTS)), "lists")
+    hot, cold, families = lists.where("leader IS NOT NULL"), lists.where("leader IS NULL"), None
+    if not hot.isEmpty():
+        families = _families(sets, hot)
+        paired = hot.join(families.select(F.col("doc_id").alias("leader")), "leader", "left_anti").select(*lists.columns)
+        cold = cold.union(paired.mapInArrow(_deal(parts, LIST_BLOCK), _ddl(_LISTS)))
+    counted = cold.groupBy("part").applyInArrow(_count_pairs(t), _ddl(_PAIRS)).groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need"), F.min("leader").alias("leader"))
+    counted = counted.where("n >= need").select("a", "b", "leader")
+    if families is not None:
+        for end in ("a", "b"):
+            counted = counted.join(families.select(F.col("doc_id").alias(end), F.col("family").alias(f"of_{end}")), end, "left")
+        counted = counted.where("of_a IS NULL OR of_b IS NULL OR of_a <> of_b").select("a", "b", "leader")
+    candidates = shared.store(counted, "candidates")
     big = candidates.groupBy("leader").agg((F.count("*") / SPREAD * 4).cast("long").alias("spread")).where("spread > 0")
     pairs = candidates.join(big, "leader", "left").select("a", "b", F.xxhash64("leader", F.when(F.col("spread") > 0, F.pmod(F.xxhash64("a"), F.col("spread") + 1)).otherwise(0)).alias("block"))
     needed = pairs.select(F.col("a").alias("doc_id"), "block").union(pairs.select(F.col("b").alias("doc_id"), "block")).distinct()
@@ -514,8 +659,13 @@ def _linked(docs: DataFrame, n: int, t: float, longest: int, bucket: int, block:
     of_block = F.pmod(F.col("block"), F.lit(blocks)).cast("int").alias("block")
     held = needed.select("doc_id", of_block).distinct().join(sets.select("doc_id", "size", "head", "rest"), "doc_id").select("block", "doc_id", "size", "head", "rest")
     found = pairs.select(of_block, "a", "b").groupBy("block").cogroup(held.groupBy("block")).applyInArrow(_verify(t, width, pairs_too), _ddl(_FOUND if pairs_too else _LINKS))
+    if families is not None:
+        tiled = families.withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        tiled = tiled.select("doc_id", "family", F.least("tile", "other").alias("first"), F.greatest("tile", "other").alias("second"), "tile")
+        tiled = tiled.join(sets.select("doc_id", "size", "head", "rest"), "doc_id")
+        found = found.union(tiled.groupBy("family", "first", "second").applyInArrow(_compare(t, width, pairs_too), _ddl(_FOUND if pairs_too else _LINKS)))
     found = shared.store(found, "found")
-    shared.discard(stored, later, candidates)
+    shared.discard(stored, later, lists, candidates, *[families] * (families is not None))
     return found, copies
 
 

@@ -198,6 +198,51 @@ def test_one_list_of_many_documents(monkeypatch):
     assert seen == n * (n - 1) // 2 and most < 4_000_000
 
 
+@pytest.mark.parametrize(("tile", "per_pair"), [(2, 1e9), (1000, 1e9), (1000, 20.0), (1000, 0.0)])
+def test_families_are_compared_all_with_all(docs, tile, per_pair, monkeypatch):
+    """In tiles or whole, all families, those where it pays, or none: the same links as by brute force."""
+    for name, value in (("HOT", 2), ("TILE", tile), ("PER_PAIR", per_pair), ("PER_EVENT", 0.0)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    rows = jaccard_join.similar(docs, t=0.5, bucket=500, block=3).collect()
+    assert {tuple(r) for r in rows} == brute_similar(ROWS, 0.5) and len(rows) == len({r.doc_id for r in rows})
+    sets = shingle_sets(ROWS)
+    found = {(r.a, r.b): r.jaccard for r in jaccard_join.distinct_pairs(docs, bucket=500, block=3)[0].collect()}
+    assert found and all(abs(j - len(sets[a] & sets[b]) / len(sets[a] | sets[b])) < 1e-12 for (a, b), j in found.items())
+
+
+def test_pairs_of_a_large_family_are_no_rows(spark, monkeypatch):
+    """Of 300 near copies all 44,850 links are counted, but only pairs outside of the family become candidates."""
+    r = random.Random(3)
+    base = [f"w{r.randrange(500)}" for _ in range(120)]
+    rows = []
+    for i in range(300):
+        w = list(base)
+        for _ in range(r.randint(2, 8)):
+            w[r.randrange(120)] = f"w{r.randrange(500)}"
+        rows.append((i, " ".join(w)))
+    rows += [(i + 1000, f"some other text of few words number {i // 2}") for i in range(20)]
+    stored, store = {}, shared.store
+
+    def counting(df, name):
+        out = store(df, name)
+        stored[name] = out.count()
+        return out
+
+    monkeypatch.setattr(shared, "store", counting)
+    got = {tuple(x) for x in jaccard_join.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_similar(rows, 0.5) and stored["candidates"] <= 300
+
+
+@pytest.mark.parametrize(("often", "apart"), [(0.9, True), (0.02, True), (0.9, False), (0.02, False)])
+def test_tokens_in_common(often, apart):
+    r = np.random.default_rng(4)
+    has = r.random((70, 3000)) < np.where(np.arange(3000) % 7, 0.02, often)
+    left, right = (np.arange(0, 70, 2), np.arange(1, 70, 2)) if apart else (np.arange(70),) * 2
+    row, token = np.nonzero(has)
+    same = jaccard_join._in_common(token, row, left, right) == has[left].astype(int) @ has[right].T.astype(int)
+    assert same[left[:, None] != right].all()
+
+
 def test_longer_prefixes_are_chosen_where_they_pay():
     df = np.array([50.0, 2, 2, 2, 2, 2])
     cut, base, limit = np.array([0, 6]), np.array([1]), np.array([6])
