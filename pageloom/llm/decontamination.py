@@ -161,8 +161,8 @@ class _Benchmark:
         items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
         size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         slices = shared.buckets_for(size // BYTES_PER_WORD * _BYTES_PER_GRAM, slice_bytes)
-        pieces = items.mapInArrow(_cut_items(width, min_words, slices, ITEM_WORDS), "slice int, item_id long, n int, words binary")
-        built = shared.store(pieces.groupBy("slice").applyInArrow(_build(shared.own_folder(spark, "grams")), "path string, bytes long, grams long"), "slices")
+        pieces = items.mapInArrow(shared.freed(_cut_items(width, min_words, slices, ITEM_WORDS)), "slice int, item_id long, n int, words binary")
+        built = shared.store(pieces.groupBy("slice").applyInArrow(shared.freed(_build(shared.own_folder(spark, "grams"))), "path string, bytes long, grams long"), "slices")
         self.built = [tuple(r) for r in built.orderBy("path").collect()]
         shared.discard(built)
         paths = [path for path, *_ in self.built]
@@ -257,7 +257,7 @@ def contaminated_spans(
             if found:
                 yield shared.rows(_FOUND, **dict(zip(_FOUND.names, map(list, zip(*found)))))
 
-    return shared.core(docs, "doc_id", "text").mapInArrow(scan, "doc_id long, first_word long, end_word long, items array<long>, action string")
+    return shared.core(docs, "doc_id", "text").mapInArrow(shared.freed(scan), "doc_id long, first_word long, end_word long, items array<long>, action string")
 
 
 def decontaminate(
@@ -282,4 +282,4 @@ def decontaminate(
             names = part.schema.names
             yield pa.RecordBatch.from_arrays([pa.array(texts, part.column(n).type) if n == "text" else part.column(n) for n in names], names).filter(pa.array(stays))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return docs.mapInArrow(shared.freed(clean), docs.schema)

@@ -474,6 +474,7 @@ def _count_pairs(t: float):
                 yield batch()
         if ready:
             yield batch()
+        shared.release()
 
     return count
 
@@ -608,7 +609,7 @@ def _compare(t: float, width: int, pairs_too: bool):
 
 def _families(sets: DataFrame, hot: DataFrame) -> DataFrame:
     """(doc_id, family, tiles) of the families whose sets are compared all with all; ``sets`` has no copies."""
-    own = components(hot.select("leaders", "lengths", "docs").mapInArrow(_edges, _ddl(_EDGES)), "leader", "doc_id").withColumnsRenamed({"node": "doc_id", "component": "family"})
+    own = components(hot.select("leaders", "lengths", "docs").mapInArrow(shared.freed(_edges), _ddl(_EDGES)), "leader", "doc_id").withColumnsRenamed({"node": "doc_id", "component": "family"})
     own = shared.store(own, "members")
     k = F.length("docs") / 8
     lists = hot.select(F.col("leader").alias("doc_id"), k.alias("k")).join(own, "doc_id").groupBy("family").agg(F.sum(F.col("k") * F.col("k")).alias("events"), F.max("k").alias("most"))
@@ -628,8 +629,8 @@ def _linked(docs: DataFrame, n: int, t: float, longest: int, bucket: int, block:
     total = text_size(docs)
     buckets, width = shared.buckets_for(total // BYTES_PER_WORD, bucket), _token_width(total)
     repeated = docs.groupBy("doc_id").count().where("count > 1").select("doc_id").limit(MOST_REPEATED + 1).toPandas()["doc_id"].to_numpy(np.int64)
-    packed = docs.mapInArrow(_pack(n, buckets, repeated if len(repeated) <= MOST_REPEATED else None), _ddl(_PACKED)).groupBy("bucket").applyInArrow(_count(buckets), _ddl(_COMMON))
-    stored = shared.store(packed.groupBy("chunk").applyInArrow(_assemble(t, longest, buckets, width), _ddl(_SETS)), "sets")
+    packed = docs.mapInArrow(shared.freed(_pack(n, buckets, repeated if len(repeated) <= MOST_REPEATED else None)), _ddl(_PACKED)).groupBy("bucket").applyInArrow(shared.freed(_count(buckets)), _ddl(_COMMON))
+    stored = shared.store(packed.groupBy("chunk").applyInArrow(shared.freed(_assemble(t, longest, buckets, width)), _ddl(_SETS)), "sets")
     sets = stored.where("same_as IS NULL")
     whole = sets.where("shared = size").select("doc_id", "size", F.md5(F.concat("head", "rest")).alias("set"))
     first = whole.groupBy("set", "size").agg(F.min("doc_id").alias("same_as"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -639,12 +640,12 @@ def _linked(docs: DataFrame, n: int, t: float, longest: int, bucket: int, block:
     copies = shared.store(copies.union(later), "copies")
     ones = sets.select("doc_id", "size", "l", "prefix", "head").join(later.select("doc_id"), "doc_id", "left_anti")
     parts = shared.buckets_for(sets.agg(F.sum("prefix")).first()[0] or 0, bucket // 4)
-    lists = shared.store(ones.mapInArrow(_send_prefix(parts, width), _ddl(_PREFIX)).groupBy("bucket").applyInArrow(_lists(parts, width, LIST_BLOCK, HOT), _ddl(_LISTS)), "lists")
+    lists = shared.store(ones.mapInArrow(shared.freed(_send_prefix(parts, width)), _ddl(_PREFIX)).groupBy("bucket").applyInArrow(shared.freed(_lists(parts, width, LIST_BLOCK, HOT)), _ddl(_LISTS)), "lists")
     hot, cold, families = lists.where("leader IS NOT NULL"), lists.where("leader IS NULL"), None
     if not hot.isEmpty():
         families = _families(sets, hot)
         paired = hot.join(families.select(F.col("doc_id").alias("leader")), "leader", "left_anti").select(*lists.columns)
-        cold = cold.union(paired.mapInArrow(_deal(parts, LIST_BLOCK), _ddl(_LISTS)))
+        cold = cold.union(paired.mapInArrow(shared.freed(_deal(parts, LIST_BLOCK)), _ddl(_LISTS)))
     counted = cold.groupBy("part").applyInArrow(_count_pairs(t), _ddl(_PAIRS)).groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need"), F.min("leader").alias("leader"))
     counted = counted.where("n >= need").select("a", "b", "leader")
     if families is not None:
@@ -658,12 +659,12 @@ def _linked(docs: DataFrame, n: int, t: float, longest: int, bucket: int, block:
     blocks = shared.buckets_for(needed.count(), block)
     of_block = F.pmod(F.col("block"), F.lit(blocks)).cast("int").alias("block")
     held = needed.select("doc_id", of_block).distinct().join(sets.select("doc_id", "size", "head", "rest"), "doc_id").select("block", "doc_id", "size", "head", "rest")
-    found = pairs.select(of_block, "a", "b").groupBy("block").cogroup(held.groupBy("block")).applyInArrow(_verify(t, width, pairs_too), _ddl(_FOUND if pairs_too else _LINKS))
+    found = pairs.select(of_block, "a", "b").groupBy("block").cogroup(held.groupBy("block")).applyInArrow(shared.freed(_verify(t, width, pairs_too)), _ddl(_FOUND if pairs_too else _LINKS))
     if families is not None:
         tiled = families.withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         tiled = tiled.select("doc_id", "family", F.least("tile", "other").alias("first"), F.greatest("tile", "other").alias("second"), "tile")
         tiled = tiled.join(sets.select("doc_id", "size", "head", "rest"), "doc_id")
-        found = found.union(tiled.groupBy("family", "first", "second").applyInArrow(_compare(t, width, pairs_too), _ddl(_FOUND if pairs_too else _LINKS)))
+        found = found.union(tiled.groupBy("family", "first", "second").applyInArrow(shared.freed(_compare(t, width, pairs_too)), _ddl(_FOUND if pairs_too else _LINKS)))
     found = shared.store(found, "found")
     shared.discard(stored, later, lists, candidates, *[families] * (families is not None))
     return found, copies

@@ -271,7 +271,7 @@ def dedup_lines(docs: DataFrame, segment: int = SEGMENT, broadcast_limit: int =
     own = shared.core(docs, "doc_id", "text")
     breaks = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
     segments = shared.buckets_for(own.agg(F.sum(breaks)).first()[0] or 0, segment)
-    filters = shared.store(own.mapInArrow(_send(segments), "segment int, hashes binary").groupBy("segment").applyInArrow(_filters, "segment int, filter binary"), "filters")
+    filters = shared.store(own.mapInArrow(shared.freed(_send(segments)), "segment int, hashes binary").groupBy("segment").applyInArrow(shared.freed(_filters), "segment int, filter binary"), "filters")
     size = filters.agg(F.sum(F.octet_length("filter"))).first()[0] or 0
     if size <= broadcast_limit:
         held = spark.sparkContext.broadcast({r[0]: bytes(r[1]) for r in filters.collect()})
@@ -282,14 +282,14 @@ def dedup_lines(docs: DataFrame, segment: int = SEGMENT, broadcast_limit: int =
                 ready.update((k, Bloom.from_bytes(v)) for k, v in held.value.items())
             return _suspected(ready, segments, hashes)
     else:
-        places = own.mapInArrow(_send_places(segments), "segment int, hashes binary, docs binary, numbers binary")
-        hits = places.groupBy("segment").cogroup(filters.groupBy("segment")).applyInArrow(_look_up, "doc_id long, number int")
+        places = own.mapInArrow(shared.freed(_send_places(segments)), "segment int, hashes binary, docs binary, numbers binary")
+        hits = places.groupBy("segment").cogroup(filters.groupBy("segment")).applyInArrow(shared.freed(_look_up), "doc_id long, number int")
         hit = _LineNumbers(own.select("doc_id", F.spark_partition_id().alias("split")).distinct(), hits)
 
         def suspects(hashes: np.ndarray, ids: np.ndarray, numbers: np.ndarray) -> np.ndarray:
             return hit.has(ids, numbers)
 
-    occurrences = shared.store(own.mapInArrow(_occurrences(suspects), "split int, doc_id long, number int, line binary"), "suspects")
+    occurrences = shared.store(own.mapInArrow(shared.freed(_occurrences(suspects)), "split int, doc_id long, number int, line binary"), "suspects")
     firsts = occurrences.where("line IS NOT NULL").groupBy("line").agg(F.min(F.struct("doc_id", "number")).alias("first"))
     homes = occurrences.where("line IS NULL").select("split", "doc_id").distinct()
     kept = _LineNumbers(homes, firsts.select("first.doc_id", "first.number"))
@@ -317,4 +317,4 @@ def dedup_lines(docs: DataFrame, segment: int = SEGMENT, broadcast_limit: int =
                     texts = pa.array(new, texts.type)
                 yield pa.RecordBatch.from_arrays([texts if n == "text" else part.column(n) for n in names] + [pa.array(count, pa.int32())], [*names, removed])
 
-    return docs.mapInArrow(strip, T.StructType([*docs.schema.fields, T.StructField(removed, T.IntegerType())]))
+    return docs.mapInArrow(shared.freed(strip), T.StructType([*docs.schema.fields, T.StructField(removed, T.IntegerType())]))

@@ -128,7 +128,7 @@ def measured(docs: DataFrame, tokenizer: str = TOKENIZER, source: str | None = "
     texts = shared.core(docs, "doc_id", "text", *{c for c in (source, cluster) if c})
     of = lambda c, kind, name: (F.col(c) if c else F.lit(None)).cast(kind).alias(name)
     texts = texts.select("doc_id", of(source, "string", "source"), of(cluster, "long", "cluster"), "text")
-    return texts.mapInArrow(measure, "doc_id long, source string, cluster long, n_tokens long")
+    return texts.mapInArrow(shared.freed(measure), "doc_id long, source string, cluster long, n_tokens long")
 
 
 def pack(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, part_tokens: int = PART_TOKENS, source: str | None = "source", cluster: str | None = None, groups: DataFrame | None = None) -> DataFrame:
@@ -142,4 +142,4 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY,
     items = shared.store(items, "items")
     parts = shared.buckets_for(items.agg(F.sum("n_tokens")).first()[0] or 0, part_tokens)
     dealt = items.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)))
-    return dealt.groupBy("part").applyInArrow(_pack(capacity), "bin long, slot int, doc_id long, first_token long, n_tokens long, bin_tokens long")
+    return dealt.groupBy("part").applyInArrow(shared.freed(_pack(capacity)), "bin long, slot int, doc_id long, first_token long, n_tokens long, bin_tokens long")

@@ -256,7 +256,7 @@ def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[WeakModel, np.ndarray]:
     """The weak-label model of all documents, and the scorer's weights."""
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    counted = texts.select("text").mapInArrow(_count_votes, "pattern int, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()
+    counted = texts.select("text").mapInArrow(shared.freed(_count_votes), "pattern int, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()
     patterns, counts = np.array([r[0] for r in counted], np.int64), np.array([r[1] for r in counted], np.float64)
     if not len(patterns):
         return WeakModel(0.5, np.full((len(LABELLERS), 2, 3), 1 / 3)), np.zeros(BUCKETS + 1)
@@ -264,7 +264,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[WeakModel, np.ndarray]:
     share = int(min(1.0, sample / counts.sum()) * 2**31)
     chosen = texts.where(F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(2**31)) < share))
     # equal rows train once, however many there are
-    rows = sorted(chosen.dropDuplicates().mapInArrow(_sample_features, "doc_id long, pattern int, buckets binary, values binary").collect(), key=lambda r: (r[0], r[1], bytes(r[2])))
+    rows = sorted(chosen.dropDuplicates().mapInArrow(shared.freed(_sample_features), "doc_id long, pattern int, buckets binary, values binary").collect(), key=lambda r: (r[0], r[1], bytes(r[2])))
     buckets, values = ([np.frombuffer(r[k], t) for r in rows] for k, t in ((2, np.uint16), (3, np.float32)))
     if not rows:
         return model, np.append(np.zeros(BUCKETS), np.log(model.prior / (1 - model.prior)))
@@ -290,7 +290,7 @@ def scored(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(label), pa.array(value)], [*names, *new])
 
     new = [shared.free_name(n, docs) for n in ("weak_label", "quality_score")]
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(n, T.DoubleType()) for n in new)]))
+    return docs.mapInArrow(shared.freed(run), T.StructType([*docs.schema.fields, *(T.StructField(n, T.DoubleType()) for n in new)]))
 
 
 def keep_good(docs: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:

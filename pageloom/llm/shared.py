@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 import weakref
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs
@@ -79,6 +81,40 @@ def file_system(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
+#: The C library's way to return free memory, where it has one.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Returns this process's free memory to the system.
+
+    Workers live on from one task and stage to the next, and would keep the most that any of them needed.
+    """
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
+def freed(function: Callable) -> Callable:
+    """``function`` of ``mapInArrow``, or of (key, table) or (key, table, table) of ``applyInArrow``, with ``release`` after it."""
+
+    def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        release()
+
+    def group_of(key: tuple, group: pa.Table) -> pa.Table:
+        out = function(key, group)
+        release()
+        return out
+
+    def groups_of(key: tuple, first: pa.Table, second: pa.Table) -> pa.Table:
+        out = function(key, first, second)
+        release()
+        return out
+
+    return (batches_of, group_of, groups_of)[function.__code__.co_argcount - 1]
+
+
 #: Stored tables that exist, and where; what is left when the driver ends goes then.
 _STORED: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 _LEFT: set[str] = set()
