@@ -44,6 +44,33 @@ def test_dom():
     assert dom.parse("a &lt; b &amp; c").first("body").inner_html() == "a &lt; b &amp; c"
 
 
+def test_dom_leaves_cut_references():
+    """A reference without its semicolon stays as written, whether or not a whole one is beside it."""
+    root = dom.parse("<h1 title='a&amp'>x&&amp;&amp</h1><p>&notit; &lt;&#65;&#66 \ufdd0 &copy&copy;</p><script>a&&b</script>")
+    assert root.first("h1").text() == "x&&&amp" and root.first("h1").get("title") == "a&amp"
+    assert root.first("p").text() == "&notit; <A&#66 \ufdd0 &copy©" and root.first("script").text() == "a&&b"
+    assert extract.fast(dom.parse(f"<article><h1>T&amp</h1>{PROSE}</article>"), "")["text"].startswith("T&ampSentence")
+
+
+def test_titles_of_pages_with_cut_references(spark, tmp_path):
+    """Queries of titles give what their SQL gives where a heading was cut within a reference or has quotes."""
+    import duckdb
+
+    html = "<html lang=\"en\"><head><meta charset=\"utf-8\"><title>{0}</title></head><body><div class=\"ad\">ad</div><article><h1>{0}</h1><p>{1}</p></article></body></html>"
+    rows = [(i, f"http://a.org/en/{i}", html.format(h, PROSE)) for i, h in enumerate(("The heading ends in &amp;&amp", "The heading ends in &am", "The heading is &quot;quoted&quot; &lt;here&gt;"))]
+    # an article of 200 characters of HTML, with the parser's end tags, and a body whose text has as many
+    rows.append((4, "http://a.org/en/4", html.format("A short heading", "w" * 162).replace("<p>", "<p><b>").replace("</p>", "").replace(">ad<", f">{'a' * 46}<")))
+    assert len(dom.parse(rows[-1][2]).first("article").inner_html()) == 200
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    for name in ("page_title", "page_headings", "page_metadata", "page_sections", "fast_text", "listing_links", "parse_inputs", "smart_scrape", "extract_many", "scrape_for_llm", "batch_summary"):
+        want = con.execute(ORACLE_SQL[name])
+        names = [c[0] for c in want.description]
+        got = QUERIES[name](spark, str(tmp_path)).select(*names).collect()
+        assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want.fetchall())), name
+
+
 def test_parts(rich):
     r = extract.extract(rich, *extract.PARTS).where("page_id = 1").first()
     assert (r.title, r.description, r.language, r.canonical, r.site_name, r.published) == ("Old mills", "About mills", "en", "https://x.org/mills", "Site", "2024-01-15")
