@@ -31,11 +31,15 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def column(name: str, of: str, key: str, value: Callable[[], Column | dict[str, Column]], sql: str, source: str | None = None) -> None:
-    """Registers (key, value) of every row of a table; ``sql`` is the value's expression, or several with names."""
+def column(name: str, of: str, key: str, value: Callable[[], Column | dict[str, Column] | tuple], sql: str, source: str | None = None) -> None:
+    """Registers (key, value) of every row of a table; ``sql`` is the value's expression, or several with names.
+
+    A value is a column, several with names, or one that is computed once with what is selected of it as ``v``."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         made = value()
+        if isinstance(made, tuple):
+            return read(spark, sf_dir, of).select(key, made[0].alias("v")).selectExpr(key, *made[1:])
         return read(spark, sf_dir, of).select(key, *((c.alias(n) for n, c in made.items()) if isinstance(made, dict) else [made.alias("value")]))
 
     QUERIES[name] = run

@@ -129,7 +129,7 @@ def quality_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _DUP = "(SELECT CASE WHEN len(s) > 0 THEN (len(s) - len(list_distinct(s))) / CAST(len(s) AS DOUBLE) ELSE 0.0 END FROM (SELECT list_filter(string_split(t, '.'), lambda x: length(" + _strip("x") + ") > 10) AS s))"
 _FAULTS = f"[length(t) < 200, length(h) < 10, length(h) > 200, length(t) / CAST(length(html) AS DOUBLE) < 0.1, {_DUP} > 0.3]"
-column("validate_extracted", "pages", "page_id", lambda: {"valid": (v := quality.validate_extracted(*_article()))["is_valid"], "n_issues": F.size(v["issues"]).cast("long")}, f"len(list_filter({_FAULTS}, lambda x: x)) = 0 AS valid, len(list_filter({_FAULTS}, lambda x: x)) AS n_issues", _ARTICLES)
+column("validate_extracted", "pages", "page_id", lambda: (quality.validate_extracted(*_article()), "v.is_valid AS valid", "CAST(size(v.issues) AS BIGINT) AS n_issues"), f"len(list_filter({_FAULTS}, lambda x: x)) = 0 AS valid, len(list_filter({_FAULTS}, lambda x: x)) AS n_issues", _ARTICLES)
 
 
 @query(f"SELECT doc_id, {_TOKENS} AS tokens FROM documents WHERE {_TOKENS} <= 500")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pageloom.functions.text import strip_space
+from pageloom.functions.text import bound, strip_space
 
 ARTICLE_TYPES = ("Article", "BlogPosting", "NewsArticle", "ScholarlyArticle", "TechArticle")
 
@@ -71,22 +71,26 @@ def score(*args, **kwargs) -> Column:
 
 def duplicate_ratio(text: Column) -> Column:
     """The share of sentences of over 10 characters that repeat another one."""
-    sentences = F.filter(F.split(text, r"\."), lambda s: F.length(strip_space(s)) > 10)
-    return F.when(F.size(sentences) > 0, (F.size(sentences) - F.size(F.array_distinct(sentences))) / F.size(sentences)).otherwise(F.lit(0.0))
+    sentences = F.filter(F.split(text, r"\."), lambda s: (F.length(s) > 10) & (F.length(strip_space(s)) > 10))
+    return bound(sentences, lambda s: F.when(F.size(s) > 0, (F.size(s) - F.size(F.array_distinct(s))) / F.size(s)).otherwise(F.lit(0.0)))
+
+
+_EXTRACTED = ((0.5, "short content"), (0.2, "short title"), (0.1, "long title"), (0.2, "much markup"), (0.3, "repeated sentences"))
 
 
 def validate_extracted(text: Column, title: Column, html: Column) -> Column:
     """struct(is_valid, score, issues): stricter, any issue makes it invalid."""
     length = F.coalesce(F.length(title), F.lit(0))
-    found = (
-        (F.coalesce(F.length(text), F.lit(0)) < 200, 0.5, "short content"),
-        (length < 10, 0.2, "short title"),
-        (length > 200, 0.1, "long title"),
-        (F.coalesce(F.length(text) / F.length(html) < 0.1, F.lit(False)), 0.2, "much markup"),
-        (F.coalesce(duplicate_ratio(text) > 0.3, F.lit(False)), 0.3, "repeated sentences"),
-    )
-    total = F.lit(1.0)
-    for issue, penalty, _ in found:
-        total = total - F.when(issue, F.lit(penalty)).otherwise(F.lit(0.0))
-    issues = F.array_compact(F.array(*(F.when(i, F.lit(n)) for i, _, n in found)))
-    return F.struct((F.size(issues) == 0).alias("is_valid"), F.greatest(total, F.lit(0.0)).alias("score"), issues.alias("issues"))
+
+    def found(t: Column) -> Column:
+        much = F.coalesce(F.length(t) / F.length(html) < 0.1, F.lit(False))
+        return F.array(F.coalesce(F.length(t), F.lit(0)) < 200, length < 10, length > 200, much, F.coalesce(duplicate_ratio(t) > 0.3, F.lit(False)))
+
+    def judged(flags: Column) -> Column:
+        total = F.lit(1.0)
+        for i, (penalty, _) in enumerate(_EXTRACTED):
+            total = total - F.when(flags[i], F.lit(penalty)).otherwise(F.lit(0.0))
+        issues = F.array_compact(F.array(*(F.when(flags[i], F.lit(name)) for i, (_, name) in enumerate(_EXTRACTED))))
+        return F.struct((~F.exists(flags, lambda x: x)).alias("is_valid"), F.greatest(total, F.lit(0.0)).alias("score"), issues.alias("issues"))
+
+    return bound(bound(text, found), judged)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,26 +25,55 @@ NON_ARTICLE = (
 ATTRIBUTES = (r'(?i)\s*class="[^"]*"', r'(?i)\s*id="[^"]*"', r'(?i)\s*data-[^=]*="[^"]*"')
 
 
+#: The same for Java, which is done with an ASCII character after two tests: without and with line breaks.
+_LINE_WS = r"[ \t\x0B\f\r[\x{A0}-\x{FEFF}&&[\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]]]"
+_WS = _LINE_WS.replace(r"[ \t", r"[ \t\n")
+
+
+def bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once for each row, however often ``f`` names it."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
 def strip_space(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^{WS}+|{WS}+$", "")
+    return F.regexp_replace(c, rf"^{_WS}+|{_WS}+$", "")
+
+
+def _flat(text: Column) -> Column:
+    """With single blanks, those at the ends too."""
+    return F.regexp_replace(text, rf"{_WS}+", " ")
+
+
+def _blanks(flat: Column) -> Column:
+    return F.length(flat) - F.length(F.replace(flat, F.lit(" "), F.lit("")))
 
 
 def trim_lines(c: Column) -> Column:
-    return F.array_join(F.transform(F.split(c, "\n"), strip_space), "\n")
+    """Lines without white space at their ends; a run of it is looked at from its beginning only."""
+    ended = F.regexp_replace(c, rf"{_LINE_WS}(?<!{_LINE_WS}{{2}}){_LINE_WS}*+(?=\n|\z)", "")
+    return F.regexp_replace(ended, rf"(\A|\n){_LINE_WS}++", "$1")
 
 
 def strip_html(html: Column) -> Column:
     """Text without scripts, styles and tags; what tags parted is joined without a space."""
     for pattern in (r"(?is)<script\b.*?</script>", r"(?is)<style\b.*?</style>", r"<[^>]+>"):
         html = F.regexp_replace(html, pattern, "")
-    return strip_space(F.regexp_replace(html, rf"{WS}+", " "))
+    return F.trim(_flat(html))
 
 
 def decode_entities(text: Column) -> Column:
     """Named entities, then decimal and hexadecimal ones."""
-    for name, char in ENTITIES:
-        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
-    return _numeric(_numeric(text, r"&#(\d{1,7});", 10, 3), r"&#[xX]([0-9a-fA-F]{1,6});", 16, 4)
+
+    def named(t: Column) -> Column:
+        for name, char in ENTITIES:
+            t = F.replace(t, F.lit(f"&{name};"), F.lit(char))
+        return t
+
+    def numeric(t: Column) -> Column:
+        return bound(_numeric(t, r"&#(\d{1,7});", 10, 3), lambda u: _numeric(u, r"&#[xX]([0-9a-fA-F]{1,6});", 16, 4))
+
+    read = lambda t: bound(named(t), lambda u: F.when(u.contains("&#"), numeric(u)).otherwise(u))
+    return bound(text, lambda t: F.when(t.contains("&"), read(t)).otherwise(t))
 
 
 def _numeric(text: Column, pattern: str, base: int, skip: int) -> Column:
@@ -65,17 +97,20 @@ def normalize_whitespace(text: Column) -> Column:
 
 def detect_paragraphs(text: Column) -> Column:
     """Blank lines go; one is put after a line of over 40 characters that ends a sentence before one of over 20 that begins one."""
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(strip_space(x)) > 0)
+    return _paragraphs(F.filter(F.split(text, "\n"), lambda x: F.length(strip_space(x)) > 0))
+
 
+def _paragraphs(lines: Column) -> Column:
     def mark(x: Column, following: Column) -> Column:
         return F.when(x.rlike(r"[.!?]$") & following.rlike("^[A-Z0-9]") & (F.length(x) > 40) & (F.length(following) > 20), F.concat(x, F.lit("\n"))).otherwise(x)
 
-    # both arrays are computed once a row; an index into ``lines`` inside a lambda would compute it for every line
-    return F.array_join(F.zip_with(lines, F.slice(lines, F.lit(2), F.greatest(F.size(lines), F.lit(0))), mark), "\n")
+    # an index into the lines inside a lambda would look one up for every line
+    return bound(lines, lambda ls: F.array_join(F.zip_with(ls, F.slice(ls, F.lit(2), F.greatest(F.size(ls), F.lit(0))), mark), "\n"))
 
 
 def clean_text(text: Column) -> Column:
-    return strip_space(detect_paragraphs(normalize_whitespace(decode_entities(text))))
+    # normalized lines have no white space at their ends
+    return strip_space(_paragraphs(F.filter(F.split(normalize_whitespace(decode_entities(text)), "\n"), lambda x: x != "")))
 
 
 def remove_urls(text: Column) -> Column:
@@ -102,7 +137,11 @@ def words(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.coalesce(F.size(words(text)), F.lit(0)).cast("long")
+    return F.coalesce(bound(F.trim(_flat(text)), _words_of), F.lit(0)).cast("long")
+
+
+def _words_of(flat: Column) -> Column:
+    return F.when(flat == "", 0).otherwise(_blanks(flat) + 1)
 
 
 def reading_time(count: Column) -> Column:
@@ -122,8 +161,7 @@ def utf16_length(text: Column) -> Column:
 
 def estimate_tokens(text: Column) -> Column:
     """A quarter of the length, more for URLs, code blocks, numbers and characters beyond ASCII."""
-    flat = strip_space(F.regexp_replace(text, rf"{WS}+", " "))
-    return F.coalesce(F.when(text == "", 0).otherwise(F.element_at(F.transform(F.array(flat), _tokens_of), 1)), F.lit(0)).cast("long")
+    return F.coalesce(bound(text, lambda t: F.when(t == "", 0).otherwise(bound(F.trim(_flat(t)), _tokens_of))), F.lit(0)).cast("long")
 
 
 def _tokens_of(flat: Column) -> Column:
@@ -132,7 +170,7 @@ def _tokens_of(flat: Column) -> Column:
     missing = lambda pattern: F.length(flat) - F.length(F.regexp_replace(flat, pattern, ""))
     beyond = F.when(F.octet_length(flat) > F.length(flat), missing(r"[^\x00-\x7F]+")).otherwise(0)
     wide = F.when(F.octet_length(flat) > F.length(flat), missing(r"[\x{10000}-\x{10FFFF}]+")).otherwise(0)
-    numbers = F.length(F.regexp_replace(F.regexp_replace(flat, "[^0-9]+", " "), "[0-9]+", "1")) - F.length(F.regexp_replace(F.regexp_replace(flat, "[^0-9]+", " "), "[0-9]+", ""))
+    numbers = bound(F.trim(F.regexp_replace(flat, "[^0-9]+", " ")), _words_of)
     return F.ceil((F.length(flat) + wide) / 4) + rare("://", r"https?://[^ ]+", 5) + rare("```", r"(?s)```.*?```", 10) + F.floor(numbers * 0.5) + beyond + wide
 
 
@@ -148,39 +186,69 @@ def sentence_count(text: Column) -> Column:
     return F.greatest(F.regexp_count(text, F.lit("[.!?]+")), F.lit(1)).cast("long")
 
 
-def _syllables(word: Column) -> Column:
-    w = F.regexp_replace(word, "[^a-z]", "")
-    groups = F.greatest(F.regexp_count(w, F.lit("[aeiouy]+")), F.lit(1))
-    groups = groups - F.when(w.endswith("e") & (groups > 1), 1).otherwise(0) + F.when(w.rlike("[^aeiouy]le$"), 1).otherwise(0)
-    return F.when(F.length(w) <= 3, 1).otherwise(F.greatest(groups, F.lit(1)))
+def syllable_count(text: Column) -> Column:
+    """Of each piece between white space its letters: of up to three, one syllable; else one for each group of vowels,
+    but for an e at the end after another group, one more for a consonant and "le" at the end, and at least one."""
+    return bound(_flat(text), _syllables_of).cast("long")
+
 
+def _syllables_of(flat: Column) -> Column:
+    """From the whole text at once, as a look at every word by itself takes many times as long."""
+    letters = F.regexp_replace(F.lower(flat), "[^a-z ]+", "")
+    # of the longer words: each group of vowels becomes an "a", or an "E" where it ends the word with an e
+    longer = F.regexp_replace(F.concat(F.lit(" "), letters, F.lit(" ")), " [a-z]{1,3}(?= )", " ")
 
-def syllable_count(text: Column) -> Column:
-    return F.aggregate(F.split(F.lower(text), f"{WS}+"), F.lit(0), lambda n, w: n + _syllables(w)).cast("long")
+    def count(ended: Column) -> Column:
+        marked = F.regexp_replace(F.regexp_replace(ended, "[aeiouy]+E", "E"), "[aeiouy]+", "a")
+        return bound(marked, groups) + F.regexp_count(ended, F.lit("lE(?<=[b-df-hj-np-tv-xz]lE)"))
+
+    def groups(m: Column) -> Column:
+        # a word without vowels is one syllable, as is a short one
+        vowels = 2 * F.length(m) - F.length(F.replace(m, F.lit("a"), F.lit(""))) - F.length(F.replace(m, F.lit("E"), F.lit("")))
+        return vowels - F.regexp_count(m, F.lit("a[b-z]*E")) - F.regexp_count(m, F.lit(" [b-z]*[aE]"))
+
+    return _blanks(flat) + 1 + bound(F.replace(longer, F.lit("e "), F.lit("E ")), count)
 
 
 def reading_grade(text: Column) -> Column:
     """Flesch-Kincaid grade, one decimal, at least 0; 0 without words."""
-    n = word_count(text)
-    raw = F.lit(0.39) * (n / sentence_count(text)) + F.lit(11.8) * (syllable_count(text) / n) - F.lit(15.59)
-    return F.when(n > 0, F.greatest(F.floor(raw * 10 + 0.5) / 10, F.lit(0.0))).otherwise(F.lit(0.0)).cast("double")
+
+    def of(flat: Column) -> Column:
+        return bound(_words_of(F.trim(flat)), lambda n: F.when(n > 0, graded(flat, n)).otherwise(F.lit(0.0)))
+
+    def graded(flat: Column, n: Column) -> Column:
+        raw = F.lit(0.39) * (n / sentence_count(flat)) + F.lit(11.8) * (_syllables_of(flat) / n) - F.lit(15.59)
+        return F.greatest(F.floor(raw * 10 + 0.5) / 10, F.lit(0.0))
+
+    return F.coalesce(bound(_flat(text), of), F.lit(0.0)).cast("double")
 
 
 def reading_level(grade: Column) -> Column:
-    out = F.when(grade <= LEVELS[0][0], LEVELS[0][1])
-    for most, name in LEVELS[1:]:
-        out = out.when(grade <= most, name)
-    return out.otherwise("expert")
+
+    def named(g: Column) -> Column:
+        out = F.when(g <= LEVELS[0][0], LEVELS[0][1])
+        for most, name in LEVELS[1:]:
+            out = out.when(g <= most, name)
+        return out.otherwise("expert")
+
+    return bound(grade, named)
 
 
 def clean_for_llm(text: Column) -> Column:
     """Without interface lines and teasers, with single spaces and at most one blank line that was there before."""
     text = F.regexp_replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), r"\n{3,}", "\n\n")
     text = F.regexp_replace(text, rf"(?im)^({INTERFACE}).*$", "")
-    text = F.regexp_replace(text, rf"(?i)\[?({TEASERS})\.?\]?", "")
+    text = bound(text, _without_teasers)
     return strip_space(trim_lines(F.regexp_replace(text, r"[ \t]+", " ")))
 
 
+def _without_teasers(text: Column) -> Column:
+    """The pattern is tried at every character, so only where one of them is."""
+    low = F.lower(text)
+    some = functools.reduce(Column.__or__, (low.contains(t.lower()) for t in TEASERS.split("|")))
+    return F.when(some, F.regexp_replace(text, rf"(?i)\[?({TEASERS})\.?\]?", "")).otherwise(text)
+
+
 def escape_yaml(c: Column) -> Column:
     return F.replace(F.replace(c, F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit(" "))
 

@@ -176,3 +176,40 @@ def test_score(spark):
 def test_duplicates(spark):
     assert one(spark, "Other words here. The same sentence here. The same sentence here. ", quality.duplicate_ratio) > 0
     assert one(spark, "", quality.duplicate_ratio) == 0
+
+
+def test_values_are_computed_once(spark):
+    """What a text is made of stands once in the plan, or a lambda or branch computes it again for each use."""
+    row = spark.createDataFrame([("a &amp; b. The table is a queue.", "Title of it")], "t string, h string")
+    made = F.regexp_replace("t", "MARKER", "")
+    for name, c in {
+        "clean_text": text.clean_text(made),
+        "decode_entities": text.decode_entities(made),
+        "reading_level": text.reading_level(text.reading_grade(made)),
+        "estimate_tokens": text.estimate_tokens(made),
+        "word_count": text.word_count(made),
+        "validate_extracted": quality.validate_extracted(made, F.col("h"), F.col("t")),
+    }.items():
+        plan = row.select(c.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MARKER") == 1, name
+
+
+def test_grade_of_whole_texts_is_that_of_words(spark):
+    """Counting over a whole text gives what counting word by word gives."""
+    import random
+    import re
+
+    space = re.compile("[\\s﻿]+")
+
+    def syllables(word):
+        w = re.sub("[^a-z]", "", word)
+        if len(w) <= 3:
+            return 1
+        n = max(len(re.findall("[aeiouy]+", w)), 1)
+        return max(n - (w.endswith("e") and n > 1) + bool(re.search("[^aeiouy]le$", w)), 1)
+
+    r = random.Random(9)
+    bits = ["table", "tree", "queue", "ylie", "Trie", "Mmmh", "stle", "aisle", "hole", "e", "le", "a-b", "dont", "22", "été", "Kelle", " ", " ", "\n\n", "\t ", ".", "?!"]
+    given = ["", " ", "\n a  "] + ["".join(r.choice(bits) + " " * r.randint(0, 1) for _ in range(r.randint(0, 30))) for _ in range(300)]
+    assert many(spark, given, text.syllable_count) == [sum(map(syllables, space.split(s.lower()))) for s in given]
+    assert many(spark, given, text.word_count) == [len([w for w in space.split(s) if w]) for s in given]
