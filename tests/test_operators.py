@@ -121,6 +121,15 @@ def test_chunks():
     assert chunks.overlap("abc. Def ghi", 2) == " Def ghi" and chunks.overlap("Zz abc. Def ghi", 3) == "Def ghi" and chunks.overlap("", 5) == "" and chunks.overlap("x", 0) == ""
 
 
+def test_long_text_without_a_sentence():
+    """A text without sentences, or with a long end that is none, costs time in proportion to its length."""
+    import time
+
+    began = time.process_time()
+    assert chunks.sentences("One. Two?! " + "word " * 40_000) == ["One.", " Two?!"] and chunks.sentences("word " * 40_000) == []
+    assert time.process_time() - began < 5
+
+
 def test_chunks_count_by_pieces():
     """Counting piece by piece gives what counting the whole gives."""
     import random
