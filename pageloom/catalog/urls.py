@@ -69,10 +69,8 @@ column("article_guid", "events", "event_id", lambda: urls.guid(F.concat(F.lit("h
 
 @query("SELECT a.page_id AS a, b.page_id AS b FROM pages a JOIN pages b ON a.page_id < b.page_id AND " + _HOST.replace("url", "a.url") + " = " + _HOST.replace("url", "b.url"))
 def same_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of pages of one site: an equi-join on the host."""
-    pages = read(spark, sf_dir, "pages").select("page_id", urls.domain(F.col("url")).alias("host"))
-    other = pages.select(F.col("page_id").alias("b"), "host")
-    return pages.withColumnRenamed("page_id", "a").join(other, "host").where("a < b").select("a", "b")
+    """Pairs of pages of one site."""
+    return urls.pairs(read(spark, sf_dir, "pages").select("page_id", urls.domain(F.col("url")).alias("host")), "host", "page_id")
 
 
 @query(f"SELECT page_id, url FROM {_SHAPED} WHERE NOT (regexp_matches({_PATH}, '{urls.LOCALE}') AND NOT regexp_matches({_PATH}, '{urls.US_ENGLISH}')) AND NOT regexp_matches({_PATH}, '(?i)^/tag(/|$)') AND regexp_matches({_PATH}, '(?i)^/(blog|news|page)(/|$)')")

@@ -6,9 +6,11 @@ and RE2 read alike, so the same constants serve DuckDB in tests.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: scheme, host, path, query with "?", fragment with "#"
@@ -65,6 +67,31 @@ def same_domain(a: Column, b: Column) -> Column:
     return domain(a).eqNullSafe(domain(b))
 
 
+#: Members of a group that are paired at once with as many others, as two arrays.
+PAIR_BLOCK = 1024
+#: Pairs of blocks to a task.
+_BLOCKS_PER_TASK = 16
+
+
+def pairs(df: DataFrame, group: str, key: str, block: int = PAIR_BLOCK) -> DataFrame:
+    """(a, b), a < b, of all keys of one group; null groups and keys have no pairs.
+
+    A group's keys are cut in order into blocks, and each block is paired with itself and those after it.  Pairs of
+    blocks are dealt to tasks by their number, which follows the pairs, so a large group is no large task.
+    """
+    known = df.select(F.col(group).alias("g"), F.col(key).alias("k")).where("g IS NOT NULL AND k IS NOT NULL")
+    sizes = known.groupBy("g").agg(F.ceil(F.count("*") / block).alias("m"))
+    n = sizes.agg(F.sum(F.col("m") * (F.col("m") + 1) / 2)).first()[0]
+    place = F.row_number().over(W.partitionBy("g").orderBy("k")) - 1
+    blocks = known.withColumn("i", F.floor(place / block)).groupBy("g", "i").agg(F.array_sort(F.collect_list("k")).alias("ks"))
+    first = blocks.select("g", "i", F.col("ks").alias("left"))
+    later = blocks.select("g", F.col("i").alias("j"), F.col("ks").alias("right"))
+    both = first.join(later, "g").where("i <= j").select("left", "right")
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, min(math.ceil((n or 0) / _BLOCKS_PER_TASK), 20_000))
+    dealt = both.repartition(tasks).select(F.explode("left").alias("a"), "right")
+    return dealt.select("a", F.explode("right").alias("b")).where("a < b")
+
+
 def path(url: Column) -> Column:
     """The path, at least "/"; null for what is no URL."""
     return F.when(part(url, 1) != "", F.when(part(url, 3) == "", "/").otherwise(part(url, 3)))

@@ -213,3 +213,14 @@ def test_grade_of_whole_texts_is_that_of_words(spark):
     given = ["", " ", "\n a  "] + ["".join(r.choice(bits) + " " * r.randint(0, 1) for _ in range(r.randint(0, 30))) for _ in range(300)]
     assert many(spark, given, text.syllable_count) == [sum(map(syllables, space.split(s.lower()))) for s in given]
     assert many(spark, given, text.word_count) == [len([w for w in space.split(s) if w]) for s in given]
+
+
+def test_pairs_of_large_groups(spark):
+    """Pairs of a group larger than its blocks are all there, once, and no task has a group of many blocks to itself."""
+    rows = [("g", k) for k in range(50)] + [("h", 1), ("h", 3), ("h", 3), (None, 7), (None, 8), ("g", None), ("i", 9)]
+    df = spark.createDataFrame(rows, "g string, k long")
+    made = urls.pairs(df, "g", "k", block=4)
+    assert sorted(map(tuple, made.collect())) == sorted([(a, b) for a in range(50) for b in range(a + 1, 50)] + [(1, 3), (1, 3)])
+    sizes = [n for n in made.rdd.glom().map(len).collect()]
+    assert len(sizes) >= 4 and max(sizes) < sum(sizes) * 0.6
+    assert urls.pairs(df.where("false"), "g", "k").count() == 0
