@@ -53,8 +53,8 @@ def extract_articles(pages: DataFrame, url: str = "url", html: str = "html", rob
         found = found.join(open_hosts.select(F.col("host").alias("_host")), urls.domain(F.col(url)) == F.col("_host"), "left_anti")
     if robots_rules is not None:
         found = robots.check(found, robots_rules, url).where("allowed").drop("allowed", "crawl_delay")
-    made = extract.extract(found, "readable", "fallback", "article", "published", "site_name", "language", html=html, url=url)
-    best = made.withColumn("c", F.coalesce("readable", "fallback")).where(F.length("c.text") >= LEAST_CHARS)
+    made = extract.extract(found, "main", "article", "published", "site_name", "language", html=html, url=url)
+    best = made.withColumnRenamed("main", "c").where(F.length("c.text") >= LEAST_CHARS)
     others = [c for c in pages.columns if c not in (html,)]
     return best.select(*others, F.coalesce(F.nullif("c.title", F.lit("")), "article.title").alias("title"), "c.html", "c.text", "c.word_count", "c.reading_time", "c.confidence", "c.method", F.col("article.author").alias("byline"), F.coalesce("published", "article.published_time").alias("published_time"), F.col("article.type").alias("schema_type"), F.coalesce("site_name", "article.site_name").alias("site_name"), F.coalesce("language", "article.lang").alias("lang"), text.excerpt(F.col("c.text")).alias("excerpt"))
 

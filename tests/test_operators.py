@@ -71,6 +71,23 @@ def test_titles_of_pages_with_cut_references(spark, tmp_path):
         assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want.fetchall())), name
 
 
+def test_selectors_by_tag():
+    root = dom.parse("<div class=x><p>a<b>c</b></p></div><p id=y>d<i></i></p>")
+    tags = lambda s: [n.tag for n in root.all(s)]
+    assert tags("div *") == ["p", "b"] and tags("p,.x") == ["div", "p", "p"] and tags("b,*[id]") == ["b", "p"] and tags("p *") == ["b", "i"] and tags("p.x") == []
+    again = root.copy()
+    again.remove("p")
+    assert again.inner_html() == '<body><div class="x"></div></body>' and tags("p") == ["p", "p"] and root.first("b").parent.tag == "p"
+
+
+def test_main_is_readable_or_fallback(rich):
+    r = extract.extract(rich, "main", "readable", "fallback").where("page_id = 1").first()
+    assert r.main == r.readable
+    short = f"<html><body><div class='content'>{PROSE}</div></body></html>"
+    first, second = extract.OWN_TREE["main"][1]
+    assert (first, second) == (extract.readable, extract.fallback) and second(dom.parse(short), "")["method"] == "fallback"
+
+
 def test_parts(rich):
     r = extract.extract(rich, *extract.PARTS).where("page_id = 1").first()
     assert (r.title, r.description, r.language, r.canonical, r.site_name, r.published) == ("Old mills", "About mills", "en", "https://x.org/mills", "Site", "2024-01-15")
